@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions.hashing import hash_key, hash_sql
 from tokenmill.functions.text import first_half, second_half
-from tokenmill.session import table
+from tokenmill.session import spread, table
 from tokenmill.sources.corpus import corpus_layout, with_split
 
 # virtual corpus layout of `documents`: 16 rows per row group, 4 row groups per shard
@@ -20,7 +20,7 @@ RG_ROWS, RG_PER_SHARD = 16, 4
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus_layout(table(spark, sf, "documents"), "doc_id", RG_ROWS, RG_PER_SHARD)
+    return corpus_layout(spread(table(spark, sf, "documents")), "doc_id", RG_ROWS, RG_PER_SHARD)
 
 
 def corpus_split(spark: SparkSession, sf: str) -> DataFrame:
