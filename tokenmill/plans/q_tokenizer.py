@@ -28,3 +28,152 @@ FROM scored GROUP BY split, lang
 def bpb_bytes_by_lang(spark, sf):
     """Flagship: documents -> byte tokens (+BOS) -> bigram count scorer -> bits per byte."""
     return scoring.corpus_bpb(corpus_split(spark, sf), ["lang"])
+
+
+# ----------------------------------------------------------------------------- byte tokenizer / chunks
+from tokenmill.functions.text import SIMPLE_SPLIT_PATTERN, byte_ids, pretokenize  # noqa: E402
+from tokenmill.operators import tokenizer as TK  # noqa: E402
+from tokenmill.operators.filters import char_budget, crop_docs  # noqa: E402
+from tokenmill.plans.derived import corpus  # noqa: E402
+from tokenmill.session import table  # noqa: E402
+from tokenmill.sources import corpus as C  # noqa: E402
+
+SIMPLE_SQL = SIMPLE_SPLIT_PATTERN.replace("'", "''")
+
+
+@register("tok01_pretokenize", sql=f"""
+SELECT doc_id, CAST(len(regexp_extract_all(text, '{SIMPLE_SQL}')) AS BIGINT) AS n_chunks,
+       CAST(array_to_string(regexp_extract_all(text, '{SIMPLE_SQL}'), '') = text AS BIGINT) AS lossless
+FROM documents
+""")
+def pretokenize_q(spark, sf):
+    d = table(spark, sf, "documents")
+    ch = pretokenize("text", SIMPLE_SPLIT_PATTERN, unicode=False)
+    return d.select("doc_id", F.size(ch).cast("bigint").alias("n_chunks"),
+                    (F.array_join(ch, "") == F.col("text")).cast("bigint").alias("lossless"))
+
+
+@register("tok02_chunk_counts", sql=f"""
+SELECT chunk, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT unnest(regexp_extract_all(text, '{SIMPLE_SQL}')) AS chunk FROM documents) GROUP BY chunk
+""")
+def chunk_counts_q(spark, sf):
+    return TK.chunk_counts(table(spark, sf, "documents"), pattern=SIMPLE_SPLIT_PATTERN, unicode=False)
+
+
+@register("tok13_byte_encode", sql=f"""
+WITH t AS {byte_rows_sql("documents", "doc_id")}
+SELECT doc_id, CAST(count(*) + 1 AS BIGINT) AS n_tokens, CAST(sum(tok) + 256 AS BIGINT) AS id_sum,
+       CAST(max(tok) AS BIGINT) AS max_byte,
+       CAST(sum(CASE WHEN tok >= 128 THEN 1 ELSE 0 END) AS BIGINT) AS n_non_ascii
+FROM t GROUP BY doc_id
+""")
+def byte_encode_q(spark, sf):
+    d = TK.byte_encode(table(spark, sf, "documents"), prepend=TK.BYTE_BOS)
+    body = F.slice("ids", 2, F.size("ids"))
+    return d.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                    F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"),
+                    F.array_max(body).cast("bigint").alias("max_byte"),
+                    F.size(F.filter(body, lambda x: x >= 128)).cast("bigint").alias("n_non_ascii"))
+
+
+@register("tok05_byte_roundtrip", sql="""
+SELECT lang, CAST(count(*) AS BIGINT) AS n_docs, CAST(0 AS BIGINT) AS n_failures,
+       CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes
+FROM documents GROUP BY lang
+""")
+def byte_roundtrip_q(spark, sf):
+    d = TK.byte_encode(table(spark, sf, "documents"), prepend=TK.BYTE_BOS)
+    d = TK.byte_decode(d, out="decoded")
+    return d.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.count(F.when(~F.col("decoded").eqNullSafe(F.col("text")), 1)).alias("n_failures"),
+        F.sum(F.size("ids") - 1).cast("bigint").alias("n_bytes"))
+
+
+@register("tok12_join_docs", sql=f"""
+WITH {CORPUS_SQL}
+SELECT CAST(shard_idx AS BIGINT) AS shard_idx, CAST(rg_idx AS BIGINT) AS rg_idx,
+       md5(string_agg(text, chr(10) ORDER BY row_in_rg)) AS joined_md5,
+       CAST(sum(length(text)) + count(*) - 1 AS BIGINT) AS joined_len
+FROM corpus GROUP BY shard_idx, rg_idx
+""")
+def join_docs_q(spark, sf):
+    from tokenmill.operators.conversation import join_docs
+    j = join_docs(corpus(spark, sf), ["shard_idx", "rg_idx"], "row_in_rg")
+    return j.select(F.col("shard_idx").cast("bigint").alias("shard_idx"), F.col("rg_idx").cast("bigint").alias("rg_idx"),
+                    F.md5("joined").alias("joined_md5"), F.char_length("joined").cast("bigint").alias("joined_len"))
+
+
+# ----------------------------------------------------------------------------- BPE (plain-Python model tests)
+BPE_VOCAB = 256 + 9 + 48
+_MODELS: dict[str, TK.BPEModel] = {}
+
+
+def train_corpus_bpe(spark, sf, vocab_size: int = BPE_VOCAB) -> TK.BPEModel:
+    """Reference tokenizer-training flow: train split -> crop 10000 -> 300k char budget -> BPE."""
+    key = f"{sf}:{vocab_size}"
+    if key not in _MODELS:
+        tr = crop_docs(C.split(corpus(spark, sf), "train"), cap=10000)
+        b = char_budget(tr, 300000, ["pos"], bucket=(F.col("pos") / 4096).cast("bigint"))
+        _MODELS[key] = TK.train_bpe(TK.chunk_counts(b), vocab_size)
+    return _MODELS[key]
+
+
+@register("tok03_train_bpe")
+def train_bpe_q(spark, sf):
+    return train_corpus_bpe(spark, sf).merges_df(spark)
+
+
+@register("tok04_bpe_encode")
+def bpe_encode_q(spark, sf):
+    m = train_corpus_bpe(spark, sf)
+    d = TK.bpe_encode(table(spark, sf, "documents"), m, prepend="<|bos|>")
+    d = TK.bpe_decode(d.withColumn("body", F.slice("ids", 2, F.size("ids"))), m, ids="body", out="decoded")
+    return d.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                    (F.col("decoded") == F.col("text")).alias("roundtrip_ok"))
+
+
+@register("tok09_compression")
+def compression_q(spark, sf):
+    m = train_corpus_bpe(spark, sf)
+    d = TK.bpe_encode(table(spark, sf, "documents"), m)
+    return TK.compression(d, ["lang"])
+
+
+@register("tok10_compare_tokenizers")
+def compare_q(spark, sf):
+    m = train_corpus_bpe(spark, sf)
+    docs = table(spark, sf, "documents")
+    ours = TK.compression(TK.bpe_encode(docs, m), ["lang"])
+    base = TK.compression(TK.byte_encode(docs), ["lang"])
+    return TK.compare_tokenizers(base, ours, ["lang"])
+
+
+@register("tok07_special_ids")
+def special_ids_q(spark, sf):
+    v = train_corpus_bpe(spark, sf).vocab_df(spark)
+    return TK.special_id(v, "<|assistant_start|>").crossJoin(TK.bos_id(v))
+
+
+@register("tok08_vocab_info")
+def vocab_info_q(spark, sf):
+    return TK.vocab_info(train_corpus_bpe(spark, sf).vocab_df(spark))
+
+
+@register("snk03_token_bytes")
+def token_bytes_q(spark, sf):
+    return TK.token_bytes_table(train_corpus_bpe(spark, sf).vocab_df(spark))
+
+
+@register("tok11_token_bytes_stats")
+def token_bytes_stats_q(spark, sf):
+    return TK.token_bytes_stats(TK.token_bytes_table(train_corpus_bpe(spark, sf).vocab_df(spark)))
+
+
+@register("set05_exclude_specials")
+def exclude_specials_q(spark, sf):
+    """SET-05: the vocabulary without its special tokens (anti join)."""
+    v = train_corpus_bpe(spark, sf).vocab_df(spark)
+    sp = v.where(F.col("is_special")).select("token_id")
+    return v.join(sp, "token_id", "left_anti").select("token_id", "token_hex", "n_bytes")
