@@ -101,20 +101,34 @@ class BPEModel:
 
 
 def merge_pair(ids: Column, a: int, b: int, m: int) -> Column:
-    """Replace every left-to-right occurrence of (a, b) by m in one array pass."""
+    """Array form: replace every left-to-right occurrence of (a, b) by m."""
     def step(acc, x):
-        hit = (x == F.lit(b)) & (F.size(acc) > 0) & (F.element_at(acc, -1) == F.lit(a))
+        hit = (x == F.lit(b)) & (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) == F.lit(a))
         return F.when(hit, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.lit(m)))) \
                 .otherwise(F.concat(acc, F.array(x)))
     return F.aggregate(ids, F.array().cast("array<int>"), step)
 
 
+def merge_pair_str(s: Column, a: int, b: int, m: int) -> Column:
+    """Token-string form (`` 104 101 108 ``): one native regex pass.
+
+    Lookarounds keep the delimiters unconsumed, and ``regexp_replace`` scans
+    left to right without overlaps -- exactly the BPE merge rule.
+    """
+    return F.regexp_replace(s, f"(?<= ){a} {b}(?= )", str(m))
+
+
+def _tokens(s: Column) -> Column:
+    return F.split(F.trim(s), " ")
+
+
 def pair_counts(chunks: DataFrame) -> DataFrame:
-    """Adjacent-pair counts weighted by chunk frequency."""
-    z = chunks.where(F.size("ids") >= 2).select(
-        "n", F.explode(F.arrays_zip(F.slice("ids", 1, F.size("ids") - 1).alias("a"),
-                                    F.slice("ids", 2, F.size("ids") - 1).alias("b"))).alias("p"))
-    return z.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("cnt"))
+    """Adjacent-pair counts weighted by chunk frequency (token-string chunks)."""
+    t = _tokens(F.col("s"))
+    z = chunks.select("n", F.explode(F.arrays_zip(F.slice(t, 1, F.size(t) - 1).alias("a"),
+                                                  F.slice(t, 2, F.size(t) - 1).alias("b"))).alias("p"))
+    return z.groupBy(F.col("p.a").cast("int").alias("a"), F.col("p.b").cast("int").alias("b")) \
+            .agg(F.sum("n").alias("cnt"))
 
 
 def train_bpe(chunks: DataFrame, vocab_size: int, merges_per_round: int = 1,
@@ -124,19 +138,26 @@ def train_bpe(chunks: DataFrame, vocab_size: int, merges_per_round: int = 1,
     Each round picks the most frequent adjacent pair (ties: smaller left id,
     then smaller right id) and merges it everywhere. ``merges_per_round > 1``
     takes several top pairs that share no token in one round (faster, not
-    strictly greedy). Lineage is cut with reliable checkpoints.
+    strictly greedy). One Spark job per round: it counts pairs of the
+    previous round's persisted table and materialises the next one. Chunks
+    reduced to one token drop out. Lineage is cut with reliable checkpoints.
     """
+    from tokenmill.session import spread
     n_merges = vocab_size - N_BYTES - len(SPECIAL_TOKENS)
     if n_merges < 0:
         raise ValueError(f"vocab_size must be >= {N_BYTES + len(SPECIAL_TOKENS)}")
-    cur = chunks.select(byte_ids("chunk").alias("ids"), F.col("n").cast("bigint").alias("n")) \
-                .where(F.size("ids") >= 2)
-    cur = cut_lineage(cur)
+    ids = byte_ids("chunk")
+    cur = chunks.where(F.octet_length("chunk") >= 2).select(
+        F.concat(F.lit(" "), F.array_join(ids.cast("array<string>"), " "), F.lit(" ")).alias("s"),
+        F.col("n").cast("bigint").alias("n"))
+    cur = cut_lineage(spread(cur))
     model = BPEModel()
-    rounds = 0
+    rounds, prev = 0, None
     while model.n_merges < n_merges:
         want = min(merges_per_round, n_merges - model.n_merges)
-        cands = (pair_counts(cur).orderBy(F.desc("cnt"), "a", "b").limit(max(want * 4, want)).collect())
+        cands = pair_counts(cur).orderBy(F.desc("cnt"), "a", "b").limit(max(want * 4, want)).collect()
+        if prev is not None:
+            prev.unpersist()
         if not cands:
             break
         chosen, used = [], set()
@@ -147,15 +168,17 @@ def train_bpe(chunks: DataFrame, vocab_size: int, merges_per_round: int = 1,
                 continue
             chosen.append((r["a"], r["b"]))
             used.update((r["a"], r["b"]))
-        ids = F.col("ids")
+        s = F.col("s")
         for a, b in chosen:
             m = N_BYTES + model.n_merges
             model.merges.append((a, b))
-            ids = merge_pair(ids, a, b, m)
-        cur = cur.withColumn("ids", ids).where(F.size("ids") >= 2)
+            s = merge_pair_str(s, a, b, m)
         rounds += 1
+        nxt = cur.select(s.alias("s"), "n").where(F.instr(F.trim("s"), " ") > 0)
         if rounds % checkpoint_every == 0:
-            cur = cut_lineage(cur)
+            prev, cur = None, cut_lineage(nxt)
+        else:
+            prev, cur = (cur if cur.is_cached else None), nxt.persist()
     return model
 
 
