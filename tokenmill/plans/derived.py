@@ -110,31 +110,45 @@ BENCH_ITEMS_SQL = f"""bench_items AS (
         FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)))"""
 
 
-def mc_items(spark: SparkSession, sf: str, n_choices: int = 4) -> DataFrame:
-    """(item_id, perm, query, choices ARRAY<STRING>, gold INT)."""
+def eval_items(spark: SparkSession, sf: str, n_choices: int = 4) -> DataFrame:
+    """(item_id, perm, query, continuation, gold, choices, context_options).
+
+    Distractors are the items at the next ``n_choices - 1`` permutation
+    positions (equi-join on position, no pairs); the gold answer is inserted
+    at a hashed position.
+    """
     it = bench_items(spark, sf)
     n = it.agg(F.count(F.lit(1))).scalar()  # scalar subquery: number of items
     offs = it.select("item_id", "perm", F.explode(F.sequence(F.lit(1), F.lit(n_choices - 1))).alias("k"))
     offs = offs.withColumn("dperm", (F.col("perm") + F.col("k")) % n)
-    d = offs.join(it.select(F.col("perm").alias("dperm"), F.col("continuation").alias("dc")), "dperm")
-    dist = d.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("k", "dc"))).alias("ds"))
+    d = offs.join(it.select(F.col("perm").alias("dperm"), F.col("query").alias("dq"),
+                            F.col("continuation").alias("dc")), "dperm")
+    dist = d.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("k", "dq", "dc"))).alias("ds"))
     j = it.join(dist, "item_id").withColumn("gold", (hash_key(ITEM_SEED + 1, "item_id") % n_choices).cast("int"))
-    ds = F.transform("ds", lambda s: s["dc"])
-    choices = F.concat(F.slice(ds, 1, F.col("gold")), F.array("continuation"),
-                       F.slice(ds, F.col("gold") + 1, n_choices))
-    return j.select("item_id", "perm", "query", choices.alias("choices"), "gold", "continuation")
+
+    def insert(own: str, field: str):
+        ds = F.transform("ds", lambda s: s[field])
+        return F.concat(F.slice(ds, 1, F.col("gold")), F.array(own), F.slice(ds, F.col("gold") + 1, n_choices))
+
+    return j.select("item_id", "perm", "query", "continuation", "gold",
+                    insert("continuation", "dc").alias("choices"), insert("query", "dq").alias("context_options"))
+
+
+def mc_items(spark: SparkSession, sf: str, n_choices: int = 4) -> DataFrame:
+    return eval_items(spark, sf, n_choices)
 
 
-def mc_items_sql(n_choices: int = 4) -> str:
+def eval_items_sql(n_choices: int = 4) -> str:
     return BENCH_ITEMS_SQL + f""",
-mc_dist AS (
-  SELECT a.item_id, list(b.continuation ORDER BY k) AS ds
+ev_dist AS (
+  SELECT a.item_id, list(b.continuation ORDER BY k) AS dc, list(b.query ORDER BY k) AS dq
   FROM (SELECT item_id, perm, unnest(range(1, {n_choices})) AS k FROM bench_items) a
   JOIN bench_items b ON b.perm = (a.perm + a.k) % (SELECT count(*) FROM bench_items)
   GROUP BY a.item_id),
-mc_items AS (
+eval_items AS (
   SELECT i.item_id, i.perm, i.query, i.continuation, g.gold,
-         list_concat(d.ds[1:g.gold], [i.continuation], d.ds[g.gold + 1:]) AS choices
-  FROM bench_items i JOIN mc_dist d USING (item_id)
+         list_concat(list_concat(d.dc[1:g.gold], [i.continuation]), d.dc[g.gold + 1:]) AS choices,
+         list_concat(list_concat(d.dq[1:g.gold], [i.query]), d.dq[g.gold + 1:]) AS context_options
+  FROM bench_items i JOIN ev_dist d USING (item_id)
   JOIN (SELECT item_id, CAST({hash_sql(ITEM_SEED + 1, "item_id")} % {n_choices} AS INTEGER) AS gold
         FROM bench_items) g USING (item_id))"""
