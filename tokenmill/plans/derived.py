@@ -63,6 +63,8 @@ RUN_STEPS_SQL = """run_steps AS (
 
 # ---------------------------------------------------------------- rollouts from `lineitem`
 # problem = l_orderkey; sample = 0-based row order over all columns; correct = returnflag 'R'.
+# chat task names (fixed values of the ChatCORE definition)
+CHAT_TASKS = ["ARC-Easy", "ARC-Challenge", "MMLU", "GSM8K", "HumanEval", "SpellingBee"]
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
               "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
@@ -75,14 +77,20 @@ def rollouts(spark: SparkSession, sf: str) -> DataFrame:
                      F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("reward"),
                      F.col("l_quantity").cast("bigint").alias("seq_len"),
                      F.col("l_discount").alias("logp"),
-                     F.year("l_shipdate").cast("bigint").alias("step"))
+                     F.year("l_shipdate").cast("bigint").alias("step"),
+                     F.when(F.col("l_linestatus") == "O", -1).otherwise(F.col("l_linenumber")).cast("bigint").alias("target"),
+                     F.col("l_linestatus").alias("subject"),
+                     F.element_at(F.array(*[F.lit(t) for t in CHAT_TASKS]), (F.col("l_orderkey") % 6 + 1).cast("int"))
+                     .alias("task"))
 
 
 ROLLOUTS_SQL = f"""rollouts AS (
   SELECT l_orderkey AS problem,
          CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)}) - 1 AS BIGINT) AS sample,
          (l_returnflag = 'R') AS correct, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS reward,
-         CAST(l_quantity AS BIGINT) AS seq_len, l_discount AS logp, CAST(year(l_shipdate) AS BIGINT) AS step
+         CAST(l_quantity AS BIGINT) AS seq_len, l_discount AS logp, CAST(year(l_shipdate) AS BIGINT) AS step,
+         CAST(CASE WHEN l_linestatus = 'O' THEN -1 ELSE l_linenumber END AS BIGINT) AS target,
+         l_linestatus AS subject, {CHAT_TASKS!r}[l_orderkey % 6 + 1] AS task
   FROM lineitem)"""
 
 
