@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions.hashing import hash_key, hash_unit
 from tokenmill.functions.text import byte_ids
-from tokenmill.operators.ordering import checked_broadcast, with_index
+from tokenmill.operators.ordering import checked_broadcast, hash_bucket, with_index
 from tokenmill.operators.scoring import score_pairs
 from tokenmill.operators.tokenizer import BYTE_BOS
 
@@ -30,18 +30,20 @@ def strip(c: Column) -> Column:
 # ----------------------------------------------------------------------------- few-shot selection
 
 
-def fewshot(items: DataFrame, k: int, seed: int = 1234, key: str = "item_id") -> DataFrame:
+def fewshot(items: DataFrame, k: int, seed: int = 1234, key: str = "item_id", n_buckets: int = 64) -> DataFrame:
     """JN-02: for every item, ``k`` other items, deterministic per seed, never itself.
 
     Items are laid out in a seeded permutation; item at position p takes the
     items at p+1..p+k (cyclic). O(n*k) rows via an equi-join on position.
     """
-    it = with_index(items.select(key).withColumn("_h", hash_key(seed, key)), ["_h", key], name="_p").drop("_h")
+    it = with_index(items.select(key).withColumn("_h", hash_key(seed, key)), ["_h", key], name="_p",
+                    bucket=hash_bucket("_h", n_buckets), n_buckets=n_buckets).drop("_h")
     n = it.agg(F.count(F.lit(1))).scalar()
     want = it.select(F.col(key).alias("item"), "_p", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("shot_rank"))
     want = want.withColumn("_q", (F.col("_p") + F.col("shot_rank")) % n)
     return want.join(it.select(F.col("_p").alias("_q"), F.col(key).alias("shot_id")), "_q") \
-               .select(F.col("item").alias(key), F.col("shot_rank").cast("bigint").alias("shot_rank"), "shot_id")
+               .select(F.col("item").alias(key), F.col("shot_rank").cast("bigint").alias("shot_rank"), "shot_id") \
+               .persist()  # k rows per item, read by every prompt builder
 
 
 def _shot_prefix(items: DataFrame, shots: DataFrame, shot_text: Column, key: str = "item_id") -> DataFrame:

@@ -56,6 +56,12 @@ def range_bucket(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET
     return expr, nb
 
 
+def hash_bucket(key: str | Column, n_buckets: int) -> Column:
+    """Bucket of a uniform 60-bit hash key: no sizing job needed (the key is uniform by construction)."""
+    k = F.col(key) if isinstance(key, str) else key
+    return F.least(F.lit(n_buckets - 1), (k / float(1 << 60) * n_buckets).cast("bigint"))
+
+
 def _bucketed(df: DataFrame, order: Sequence[str | Column], bucket: Column | None,
               n_buckets: int | None, rows_per_bucket: int) -> tuple[DataFrame, int]:
     if bucket is None:
@@ -101,9 +107,17 @@ def prefix_sum(df: DataFrame, value: str | Column, order: Sequence[str | Column]
     return out.drop("_bkt", "_off", "_v")
 
 
-def permute(df: DataFrame, key: str, seed: int = 42, name: str = "perm_idx") -> DataFrame:
-    """SRT-01: fixed permutation per seed -> dense position ``name``."""
+def permute(df: DataFrame, key: str, seed: int = 42, name: str = "perm_idx",
+            n_buckets: int | None = None) -> DataFrame:
+    """SRT-01: fixed permutation per seed -> dense position ``name``.
+
+    With ``n_buckets`` the range buckets come straight from the uniform hash
+    (no sizing job); otherwise one small aggregate sizes them from the count.
+    """
     h = df.withColumn("_h", hash_key(seed, key))
+    if n_buckets:
+        return with_index(h, ["_h", key], name=name, bucket=hash_bucket("_h", n_buckets),
+                          n_buckets=n_buckets).drop("_h")
     return with_index(h, ["_h", key], name=name).drop("_h")
 
 

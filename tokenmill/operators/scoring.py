@@ -45,9 +45,16 @@ def byte_pair_counts(docs: DataFrame, by: Sequence[str], text: str = "text", bos
     return pair_counts(docs, by, ids)
 
 
-def bigram_model(train_pairs: DataFrame, vocab: int = N_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(a, b, c_ab) and (a, c_a) tables from pair counts of the training rows."""
-    c_ab = train_pairs.groupBy("a", "b").agg(F.sum("n").alias("c_ab"))
+def bigram_model(pairs: DataFrame, train: Column | None = None, vocab: int = N_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(a, b, c_ab) and (a, c_a) tables from pair counts.
+
+    ``train`` selects the training rows with a *conditional sum* rather than
+    a filter: the filter would be pushed below the pair-count aggregate and
+    make the plan scan the corpus again, while the conditional form keeps the
+    subtree identical to the evaluation side so the shuffle is reused.
+    """
+    w = F.col("n") if train is None else F.when(train, F.col("n"))
+    c_ab = pairs.groupBy("a", "b").agg(F.sum(w).alias("c_ab")).where(F.col("c_ab") > 0)
     c_a = c_ab.groupBy("a").agg(F.sum("c_ab").alias("c_a"))
     return c_ab, c_a
 
@@ -107,15 +114,20 @@ def align_next(scores: DataFrame, seq: str = "seq_id", pos: str = "pos", token:
     return scores.withColumn("target", F.lead(token).over(w))
 
 
-def corpus_bpb(docs: DataFrame, by: Sequence[str]) -> DataFrame:
+def corpus_bpb(docs: DataFrame, by: Sequence[str], vocab: int = N_BYTES) -> DataFrame:
     """Flagship: byte tokenizer -> bigram count model on train -> bpb per (split, by...).
 
-    ``docs`` needs ``split`` and ``text``. One pass builds the pair-count table
-    for both splits; the model and the evaluation read that table (the shuffle
-    is reused).
+    ``docs`` needs ``split`` and ``text``. The corpus is scanned once into the
+    pair-count table (partial aggregation map side; at most groups x V^2
+    rows). The model counts are windows over that small table -- partitioned
+    by ``a`` and then by ``(a, b)``, which needs no second shuffle -- so no
+    branch of the plan rescans the corpus.
     """
     keys = ["split", *by]
     pc = byte_pair_counts(docs, keys)
-    model = bigram_model(pc.where(F.col("split") == "train"))
-    scored = score_pairs(pc, model).withColumn("token_bytes", F.lit(1))
+    tr = F.when(F.col("split") == "train", F.col("n"))
+    m = pc.withColumn("c_a", F.sum(tr).over(Window.partitionBy("a"))) \
+          .withColumn("c_ab", F.sum(tr).over(Window.partitionBy("a", "b")))
+    p = (F.coalesce(F.col("c_ab"), F.lit(0)) + 1.0) / (F.coalesce(F.col("c_a"), F.lit(0)) + float(vocab))
+    scored = m.withColumn("loss", -F.log(p)).withColumn("token_bytes", F.lit(1))
     return bits_per_byte(scored, keys, weight="n")

@@ -98,14 +98,16 @@ ROLLOUTS_SQL = f"""rollouts AS (
 # query/context = first half of the words, gold continuation = second half;
 # distractors = continuations of the next three items in a seeded permutation.
 ITEM_SEED = 7
+ITEM_BUCKETS = 64  # range buckets of the item permutation (items are uniform 60-bit hashes)
 
 
 def bench_items(spark: SparkSession, sf: str) -> DataFrame:
-    from tokenmill.operators.ordering import with_index
+    from tokenmill.operators.ordering import hash_bucket, with_index
     b = table(spark, sf, "benchmark")
     b = b.select("item_id", first_half("text").alias("query"), second_half("text").alias("continuation"),
                  hash_key(ITEM_SEED, "item_id").alias("h"))
-    return with_index(b, ["h", "item_id"], name="perm").drop("h")
+    return with_index(b, ["h", "item_id"], name="perm", bucket=hash_bucket("h", ITEM_BUCKETS),
+                      n_buckets=ITEM_BUCKETS).drop("h")
 
 
 BENCH_ITEMS_SQL = f"""bench_items AS (
@@ -138,8 +140,10 @@ def eval_items(spark: SparkSession, sf: str, n_choices: int = 4) -> DataFrame:
         ds = F.transform("ds", lambda s: s[field])
         return F.concat(F.slice(ds, 1, F.col("gold")), F.array(own), F.slice(ds, F.col("gold") + 1, n_choices))
 
+    # a benchmark item table is read by every stage of the evaluation: persist it once
     return j.select("item_id", "perm", "query", "continuation", "gold",
-                    insert("continuation", "dc").alias("choices"), insert("query", "dq").alias("context_options"))
+                    insert("continuation", "dc").alias("choices"),
+                    insert("query", "dq").alias("context_options")).persist()
 
 
 def mc_items(spark: SparkSession, sf: str, n_choices: int = 4) -> DataFrame:

@@ -31,8 +31,10 @@ def shots(spark, sf):
 
 
 def model(spark, sf):
-    pc = scoring.byte_pair_counts(corpus_split(spark, sf), ["split"])
-    m = scoring.bigram_model(pc.where(F.col("split") == "train"))
+    # the pair-count table is small (splits x V^2 rows); persisting it lets the
+    # three model lookups (pair, context, argmax) share one corpus scan
+    pc = scoring.byte_pair_counts(corpus_split(spark, sf), ["split"]).persist()
+    m = scoring.bigram_model(pc, F.col("split") == "train")
     return m, scoring.argmax_table(m)
 
 
