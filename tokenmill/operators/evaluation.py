@@ -160,8 +160,12 @@ def span_losses(spans: DataFrame, model, argmax: DataFrame, keys: Sequence[str])
 
 
 def decide_choice(losses: DataFrame, gold: DataFrame, key: str = "item_id") -> DataFrame:
-    """EVL-08: lowest mean loss over the span wins (first on ties), compared with gold."""
-    m = losses.groupBy(key, "choice").agg(F.avg("loss").alias("mean_loss"))
+    """EVL-08: lowest mean loss over the span wins (first on ties), compared with gold.
+
+    Means are rounded to 1e-9 so that mathematically equal choices (duplicate
+    continuations) tie exactly whatever the summation order of the cluster.
+    """
+    m = losses.groupBy(key, "choice").agg(F.round(F.avg("loss"), 9).alias("mean_loss"))
     best = m.groupBy(key).agg(F.min_by("choice", F.struct("mean_loss", "choice")).alias("pred"))
     return best.join(gold, key).withColumn("correct", F.col("pred") == F.col("gold"))
 

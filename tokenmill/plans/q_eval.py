@@ -167,7 +167,7 @@ scored AS (
 
 def decide_choice_sql(prompts_sql: str, side: str) -> str:
     return f"""{spans_sql(prompts_sql, side)}, {crop_sql(MAXLEN)}, {MODEL_SQL}, {SCORED_SQL},
-mlo AS (SELECT item_id, choice, avg(loss) AS mean_loss FROM scored GROUP BY item_id, choice),
+mlo AS (SELECT item_id, choice, round(avg(loss), 9) AS mean_loss FROM scored GROUP BY item_id, choice),
 pred AS (SELECT item_id, first(choice ORDER BY mean_loss, choice) AS pred FROM mlo GROUP BY item_id),
 decided AS (SELECT p.item_id, CAST(p.pred AS BIGINT) AS pred, CAST(g.gold AS BIGINT) AS gold, p.pred = g.gold AS correct
             FROM pred p JOIN (SELECT DISTINCT item_id, gold FROM prompts) g USING (item_id))"""
