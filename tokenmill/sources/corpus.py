@@ -146,9 +146,10 @@ CORE_CSV_SCHEMA = T.StructType([
 
 def read_core_csv(spark: SparkSession, path: str) -> DataFrame:
     """SRC-11: padded CORE result CSV -> (task, accuracy, centered)."""
-    raw = (spark.read.option("header", "true").option("ignoreLeadingWhiteSpace", "true")
+    raw = (spark.read.option("header", "false").option("ignoreLeadingWhiteSpace", "true")
            .option("ignoreTrailingWhiteSpace", "true").schema(CORE_CSV_SCHEMA).csv(path))
-    return (raw.where(F.col("Task").isNotNull() & F.col("Centered").isNotNull())
+    # the header row is dropped by value: part files carry no order guarantee
+    return (raw.where(F.col("Task").isNotNull() & F.col("Centered").isNotNull() & (F.col("Task") != "Task"))
                .select(F.col("Task").alias("task"),
                        F.expr("try_cast(nullif(Accuracy, '') AS DOUBLE)").alias("accuracy"),
                        F.expr("try_cast(Centered AS DOUBLE)").alias("centered"))
