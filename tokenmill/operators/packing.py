@@ -331,3 +331,85 @@ def pack(df: DataFrame, algo: str, capacity: int, buffer: int = 1000, group: str
             first = nxt[0]
 
     return src.mapInPandas(run, PLAN_SCHEMA)
+
+
+# ----------------------------------------------------------------------------- UDF-05: packing as a table function
+
+
+class BestFitPacker:
+    """Push-based best fit (same placements as :func:`bestfit`): docs arrive in refill batches;
+    a placement happens only once the buffer is full or the input has ended."""
+
+    def __init__(self, capacity: int, buffer: int, crop: bool):
+        self.capacity, self.buffer, self.crop = capacity, buffer, crop
+        self.buf = _Buffer()
+        self.row, self.pos, self.slot, self.started = 0, 0, 0, False
+
+    def _end_row(self):
+        self.row, self.pos, self.slot, self.started = self.row + 1, 0, 0, False
+
+    def add_batch(self, batch):
+        for d, n in batch:
+            self.buf.add(d, n)
+        yield from self.pump(final=False)
+
+    def pump(self, final: bool):
+        while True:
+            if self.buf.size < self.buffer and not final:
+                return
+            if self.buf.size == 0:
+                if self.started:
+                    self._end_row()
+                return
+            hit = self.buf.largest_fitting(self.capacity - self.pos)
+            if hit is not None:
+                d, n = hit
+                yield self.row, self.slot, d, n, n
+                self.pos += n
+            elif self.crop:
+                d, n = self.buf.shortest()
+                yield self.row, self.slot, d, self.capacity - self.pos, n
+                self.pos = self.capacity
+            else:
+                self._end_row()  # pad the rest of the row
+                continue
+            self.slot += 1
+            self.started = True
+            if self.pos >= self.capacity:
+                self._end_row()
+
+
+def make_pack_udtf(capacity: int, buffer: int, crop: bool = True):
+    """UDF-05: ``SELECT * FROM pack(TABLE(t) PARTITION BY grp ORDER BY pos)``.
+
+    Spark hands each partition's rows in order to one instance; the state is
+    the bounded buffer plus the pending refill batch.
+    """
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="grp bigint, row_id bigint, slot int, doc_id bigint, take bigint, n_tokens bigint")
+    class Pack:
+        def __init__(self):
+            self.packer = BestFitPacker(capacity, buffer, crop)
+            self.grp, self.batch, self.key = None, [], None
+
+        def _flush(self):
+            out = list(self.packer.add_batch(self.batch)) if self.batch else []
+            self.batch = []
+            return out
+
+        def eval(self, row):
+            out = []
+            if self.key is not None and row["bkey"] != self.key:
+                out = self._flush()
+            self.grp, self.key = row["grp"], row["bkey"]
+            self.batch.append((row["doc_id"], row["n"]))
+            for r in out:
+                yield (self.grp, *r)
+
+        def terminate(self):
+            out = self._flush() + list(self.packer.pump(final=True))
+            for r in out:
+                yield (self.grp, *r)
+
+    return Pack

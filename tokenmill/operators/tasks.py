@@ -253,3 +253,46 @@ def generation_summary(df: DataFrame, status: str = "status") -> DataFrame:
     """GEN-05: success / error accounting of a generation run."""
     total = df.agg(F.count(F.lit(1))).scalar()
     return df.groupBy(status).agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / total)
+
+
+# ----------------------------------------------------------------------------- UDF-01: task surface
+
+
+class Task:
+    """A task is a table plus two functions (UDF-01).
+
+    ``to_messages``: DataFrame -> DataFrame with a ``messages`` column;
+    ``grade``: (reference Column, response Column) -> boolean Column. Examples
+    are addressed by a dense ``idx`` (slicing = FLT-03); ``reward`` is the
+    grade as a double.
+    """
+
+    def __init__(self, name: str, df: DataFrame, key: str, grade, to_messages=None, eval_type: str = "generative"):
+        self.name, self.df, self.key, self._grade, self._to_messages = name, df, key, grade, to_messages
+        self.eval_type = eval_type
+
+    def num_examples(self) -> Column:
+        return self.df.agg(F.count(F.lit(1))).scalar()
+
+    def examples(self, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
+        from tokenmill.operators.filters import slice_task
+        return slice_task(with_index(self.df, [self.key], name="idx"), start, stop, step)
+
+    def conversations(self) -> DataFrame:
+        return self._to_messages(self.df) if self._to_messages else self.df
+
+    def evaluate(self, responses: DataFrame, reference: str, response: str) -> DataFrame:
+        return responses.withColumn("correct", self._grade(F.col(reference), F.col(response)))
+
+    def reward(self, responses: DataFrame, reference: str, response: str) -> DataFrame:
+        return self.evaluate(responses, reference, response).withColumn("reward", F.col("correct").cast("double"))
+
+
+TASKS: dict[str, "callable"] = {}
+
+
+def register_task(name: str):
+    def deco(factory):
+        TASKS[name] = factory
+        return factory
+    return deco

@@ -340,3 +340,44 @@ def roundtrip_failures(df: DataFrame, text: str = "text", decoded: str = "decode
 
 
 LN2 = math.log(2.0)
+
+
+# ----------------------------------------------------------------------------- UDF-03: tokenizer protocol
+
+
+class ByteTokenizer:
+    """Tokenizer protocol, byte implementation: ``encode(df)``, ``decode(df)``, ``vocab()``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def encode(self, df: DataFrame, text: str = "text", out: str = "ids", prepend: str | None = None) -> DataFrame:
+        return byte_encode(df, text, out, prepend=byte_special_id(prepend) if prepend else None)
+
+    def decode(self, df: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
+        return byte_decode(df, ids, out)
+
+    def vocab(self) -> DataFrame:
+        return byte_vocab(self.spark)
+
+    def special_id(self, name: str) -> int:
+        return byte_special_id(name)
+
+
+class BPETokenizer:
+    """Tokenizer protocol, BPE implementation over a trained :class:`BPEModel`."""
+
+    def __init__(self, spark: SparkSession, model: BPEModel):
+        self.spark, self.model = spark, model
+
+    def encode(self, df: DataFrame, text: str = "text", out: str = "ids", prepend: str | None = None) -> DataFrame:
+        return bpe_encode(df, self.model, text, out, prepend=prepend)
+
+    def decode(self, df: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
+        return bpe_decode(df, self.model, ids, out)
+
+    def vocab(self) -> DataFrame:
+        return self.model.vocab_df(self.spark)
+
+    def special_id(self, name: str) -> int:
+        return self.model.special_id(name)

@@ -31,5 +31,6 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> tuple[dict[str, QueryFn], dict[str, str]]:
     # importing the modules registers their queries
-    from tokenmill.plans import q_conversation, q_corpus, q_eval, q_logs, q_io, q_packing, q_results, q_stream, q_tasks, q_tokenizer  # noqa: F401
+    from tokenmill.plans import (q_conversation, q_corpus, q_eval, q_io, q_logs, q_more,  # noqa: F401
+                                 q_packing, q_results, q_stream, q_tasks, q_tokenizer)
     return QUERIES, ORACLES

@@ -149,9 +149,9 @@ def write_reshard(docs: DataFrame, plan: DataFrame, path: str, key: str = "doc_i
 
 
 def scan_runs(spark: SparkSession, root: str) -> DataFrame:
-    """SRC-16: checkpoint metadata ``<tag>/meta_<step>.json`` -> (tag, step, fields, mtime)."""
-    m = spark.read.option("multiLine", "true").json(f"{root}/*/meta_*.json")
-    fp = F.col("_metadata.file_path")
-    return m.select("*", F.regexp_extract(fp, r"/([^/]+)/meta_\d+\.json$", 1).alias("tag"),
-                    F.regexp_extract(fp, r"meta_(\d+)\.json$", 1).cast("bigint").alias("file_step"),
-                    F.col("_metadata.file_modification_time").alias("mtime"))
+    """SRC-16: run catalog of checkpoint metadata JSON, one ``tag=<model tag>`` folder per run family.
+
+    The tag comes from partition discovery, the write time from ``_metadata``.
+    """
+    m = spark.read.json(root)
+    return m.select("*", F.col("_metadata.file_modification_time").alias("mtime"))
