@@ -101,3 +101,13 @@ def test_results_independent_of_shuffle_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert a == b
+
+
+def test_udtf_equals_map_in_pandas(spark):
+    df, _ = _docs(spark)
+    plan = sorted(tuple(r) for r in P.pack(df, "bestfit_crop", 257, buffer=20, batch="batch").collect())
+    spark.udtf.register("t_pack", P.make_pack_udtf(257, 20, crop=True))
+    df.select(F.col("rank").cast("bigint").alias("grp"), F.col("pos").cast("bigint").alias("pos"), "doc_id",
+              F.col("n_tokens").alias("n"), F.col("batch").cast("bigint").alias("bkey")).createOrReplaceTempView("t_in")
+    u = spark.sql("SELECT * FROM t_pack(TABLE(t_in) PARTITION BY grp ORDER BY pos)").collect()
+    assert sorted(tuple(r) for r in u) == plan

@@ -332,3 +332,86 @@ def pack_udtf_q(spark, sf):
                                     "doc_id", F.col("n_tokens").alias("n"), F.col("batch").cast("bigint").alias("bkey"))
     src.createOrReplaceTempView("tm_pack_input")
     return spark.sql("SELECT * FROM tm_pack_bestfit(TABLE(tm_pack_input) PARTITION BY grp ORDER BY pos)")
+
+
+# ----------------------------------------------------------------------------- explicit IDs
+
+
+@register("flt14_valid_targets", sql=f"""
+WITH {RENDER_SQL},
+pr AS (SELECT CASE WHEN mask[p + 1] = 1 THEN ids[p + 1] ELSE -1 END AS target
+       FROM (SELECT ids, mask, unnest(range(1, len(ids))) AS p FROM r))
+SELECT CAST(count(*) AS BIGINT) AS n_targets, CAST(count(*) FILTER (WHERE target >= 0 AND target < 256) AS BIGINT) AS n_valid,
+       CAST(count(*) FILTER (WHERE target >= 256) AS BIGINT) AS n_special
+FROM pr""")
+def valid_targets_q(spark, sf):
+    r = CV.render(chat_ok(spark, sf)).withColumn("tg", CV.targets_from_mask("ids", "mask"))
+    e = r.select(F.explode("tg").alias("target"))
+    tb = TK.token_bytes_table(TK.byte_vocab(spark), mode="raw")
+    v = scoring.valid_targets(e, tb)
+    n_valid = v.agg(F.count(F.lit(1))).scalar()
+    return e.agg(F.count(F.lit(1)).alias("n_targets"), F.count(F.when(F.col("target") >= 256, 1)).alias("n_special")) \
+            .withColumn("n_valid", n_valid)
+
+
+@register("tok06_roundtrip_failures", sql="SELECT doc_id FROM documents WHERE octet_length(encode(text)) < 0")
+def roundtrip_failures_q(spark, sf):
+    d = TK.byte_decode(TK.byte_encode(table(spark, sf, "documents")), out="decoded")
+    return TK.roundtrip_failures(d).select("doc_id")
+
+
+@register("src13_shuffled_scan", sql=f"""
+SELECT conv_id, CAST(row_number() OVER (ORDER BY {hash_sql(42, "conv_id")}, conv_id) - 1 AS BIGINT) AS pos
+FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def shuffled_scan_q(spark, sf):
+    from tokenmill.operators.ordering import permute
+    c = table(spark, sf, "conversations").select("conv_id").distinct()
+    return permute(c, "conv_id", seed=42, name="pos", n_buckets=64)
+
+
+@register("gen04_diversity_prompts", sql=f"""
+WITH cats AS (SELECT source AS cat, row_number() OVER (ORDER BY source) - 1 AS ci FROM (SELECT DISTINCT source FROM documents)),
+personas AS (SELECT c_mktsegment AS persona, row_number() OVER (ORDER BY c_mktsegment) - 1 AS pi FROM (SELECT DISTINCT c_mktsegment FROM customer)),
+dyn AS (SELECT o_orderpriority AS dynamic, row_number() OVER (ORDER BY o_orderpriority) - 1 AS di FROM (SELECT DISTINCT o_orderpriority FROM orders)),
+mcat AS (SELECT event_type AS mc FROM (SELECT DISTINCT event_type FROM events)),
+ex AS (SELECT event_type AS mc, arg_min(props, event_id) AS example FROM events GROUP BY 1),
+rows AS (SELECT doc_id AS i FROM documents),
+pick AS (SELECT i, c.cat, p.persona, d.dynamic FROM rows
+         JOIN cats c ON c.ci = {hash_sql("dc", "i")} % (SELECT count(*) FROM cats)
+         JOIN personas p ON p.pi = {hash_sql("dp", "i")} % (SELECT count(*) FROM personas)
+         JOIN dyn d ON d.di = {hash_sql("dd", "i")} % (SELECT count(*) FROM dyn)),
+three AS (SELECT i, string_agg(m.mc || ': ' || ex.example, ' | ' ORDER BY rk) AS examples FROM (
+            SELECT i, mc, row_number() OVER (PARTITION BY i ORDER BY {hash_sql("dm", "i || ':' || mc")}, mc) AS rk
+            FROM rows, mcat) m JOIN ex USING (mc) WHERE rk <= 3 GROUP BY i)
+SELECT pick.i, printf('Write a conversation about %s for a %s user, %s priority. Examples: %s', cat, persona, dynamic, examples)
+       AS prompt
+FROM pick JOIN three USING (i)""")
+def diversity_prompts_q(spark, sf):
+    """GEN-04: stratified picks from dimension tables derived from the given tables (broadcast: each
+    is a set of distinct labels), three distinct message categories per row with one example each."""
+    from tokenmill.functions.hashing import hash_key
+
+    def dim(df, col, idx):
+        # a dimension is a set of distinct labels (a handful of rows): rank it directly
+        d = df.select(F.col(col).alias("v")).distinct()
+        return d.withColumn(idx, (F.dense_rank().over(Window.orderBy("v")) - 1).cast("bigint"))
+
+    cats = dim(table(spark, sf, "documents"), "source", "ci").withColumnRenamed("v", "cat")
+    pers = dim(table(spark, sf, "customer"), "c_mktsegment", "pi").withColumnRenamed("v", "persona")
+    dyn = dim(table(spark, sf, "orders"), "o_orderpriority", "di").withColumnRenamed("v", "dynamic")
+    ev = table(spark, sf, "events")
+    ex = ev.groupBy(F.col("event_type").alias("mc")).agg(F.min_by("props", "event_id").alias("example"))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("i"))
+    n = lambda d: d.agg(F.count(F.lit(1))).scalar()
+    pick = (rows.withColumn("ci", hash_key("dc", "i") % n(cats)).join(F.broadcast(cats), "ci")
+                .withColumn("pi", hash_key("dp", "i") % n(pers)).join(F.broadcast(pers), "pi")
+                .withColumn("di", hash_key("dd", "i") % n(dyn)).join(F.broadcast(dyn), "di"))
+    mcats = ex.agg(F.array_sort(F.collect_list("mc"))).scalar()  # scalar subquery: the message categories
+    r = rows.select("i", F.explode(mcats).alias("mc"))
+    r = r.withColumn("_h", hash_key("dm", F.concat_ws(":", F.col("i").cast("string"), "mc")))
+    r = topk(r, ["i"], [F.col("_h"), F.col("mc")], 3).join(F.broadcast(ex), "mc")
+    three = r.groupBy("i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(
+        "mc", F.lit(": "), "example").alias("t")))), lambda x: x["t"]), " | ").alias("examples"))
+    out = pick.join(three, "i")
+    return out.select("i", F.format_string("Write a conversation about %s for a %s user, %s priority. Examples: %s",
+                                           "cat", "persona", "dynamic", "examples").alias("prompt"))
