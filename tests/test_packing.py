@@ -111,3 +111,13 @@ def test_udtf_equals_map_in_pandas(spark):
               F.col("n_tokens").alias("n"), F.col("batch").cast("bigint").alias("bkey")).createOrReplaceTempView("t_in")
     u = spark.sql("SELECT * FROM t_pack(TABLE(t_in) PARTITION BY grp ORDER BY pos)").collect()
     assert sorted(tuple(r) for r in u) == plan
+
+
+def test_stream_pack_matches_batch_plan(spark):
+    import __spark_entry__ as E
+    sf = "/root/testdata/sf0.01"  # enough documents per rank to fill the buffer
+    stream = set(tuple(r) for r in E.queries()["str07_stream_pack"](spark, sf).collect())
+    batch = set(tuple(r) for r in E.queries()["pck01_bestfit_crop"](spark, sf).collect())
+    assert stream and stream <= batch  # every streamed placement is the batch placement
+    # only the final drain is pending: per rank at most the buffer plus one refill batch (16 docs)
+    assert len(batch - stream) <= 2 * (100 + 16)

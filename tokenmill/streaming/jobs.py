@@ -119,3 +119,49 @@ def append_validated(turns: DataFrame, ok_path: str, bad_path: str, checkpoint:
         ok.write.mode("append").parquet(ok_path)
         bad.write.mode("append").parquet(bad_path)
     run_to_completion(turns.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
+
+
+# ----------------------------------------------------------------------------- STR-07
+
+PACK_IN_SCHEMA = T.StructType([T.StructField("grp", T.LongType()), T.StructField("pos", T.LongType()),
+                               T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()),
+                               T.StructField("bkey", T.LongType())])
+PACK_OUT = "grp long, row_id long, slot int, doc_id long, take long, n_tokens long"
+PACK_STATE = ("buf_docs array<long>, buf_lens array<long>, row long, pos long, slot long, started boolean, "
+              "bkey long, pend_docs array<long>, pend_lens array<long>")
+
+
+def stream_pack(docs: DataFrame, capacity: int, buffer: int, crop: bool = True) -> DataFrame:
+    """STR-07: online best-fit packing per rank; the state is the bounded buffer and the row cursor.
+
+    Placements equal the batch plan (PCK-01/02) for every document placed
+    before the stream's current end; the documents still buffered are placed
+    when more input arrives (a final flush is the batch operator's drain).
+    """
+    from tokenmill.operators.packing import BestFitPacker
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pk = BestFitPacker(capacity, buffer, crop)
+        pend, bkey = [], None
+        if state.exists:
+            bd, bl, row, pos, slot, started, bkey, pd_, pl = state.get
+            for d, n in zip(bd, bl):
+                pk.buf.add(int(d), int(n))
+            pk.row, pk.pos, pk.slot, pk.started = int(row), int(pos), int(slot), bool(started)
+            pend = list(zip(map(int, pd_), map(int, pl)))
+        out = []
+        rows = pd.concat(list(pdfs)).sort_values("pos")
+        for d, n, b in rows[["doc_id", "n", "bkey"]].itertuples(index=False):
+            if bkey is not None and b != bkey and pend:
+                out.extend(pk.add_batch(pend))
+                pend = []
+            bkey = int(b)
+            pend.append((int(d), int(n)))
+        # buffer content in insertion order (ties resolve by arrival, as in the batch kernel)
+        flat = [(d, n) for n, q in sorted(pk.buf.by_len.items()) for d in q]
+        state.update(([d for d, _ in flat], [n for _, n in flat], pk.row, pk.pos, pk.slot, pk.started, bkey,
+                      [d for d, _ in pend], [n for _, n in pend]))
+        if out:
+            yield pd.DataFrame([(key[0], *r) for r in out], columns=["grp", "row_id", "slot", "doc_id", "take", "n_tokens"])
+
+    return docs.groupBy("grp").applyInPandasWithState(fn, PACK_OUT, PACK_STATE, "append", GroupStateTimeout.NoTimeout)
