@@ -121,3 +121,38 @@ def stream_pack_q(spark, sf):
     S.run_to_completion(out.writeStream.format("parquet").option("path", f"{base}/out")
                         .option("checkpointLocation", f"{base}/ck"))
     return spark.read.parquet(f"{base}/out")
+
+
+def _watch(spark, sf):
+    from tokenmill.plans.q_logs import BUDGET_MIN, HEARTBEAT_MIN
+    base = S.scratch(spark, "watch")
+    from tokenmill.functions.timefns import epoch_micros
+    lines = run_steps(spark, sf).select("run", "step", "ts").withColumn("_us", epoch_micros("ts"))
+    _write_ranges(lines, "_us", f"{base}/in")  # a log arrives in time order
+    schema = "run long, step long, ts timestamp_ntz, _us long"
+    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    out = S.watchdog(lines, HEARTBEAT_MIN, BUDGET_MIN)
+    S.run_to_completion(out.writeStream.format("parquet").option("path", f"{base}/out")
+                        .option("checkpointLocation", f"{base}/ck"))
+    return spark.read.parquet(f"{base}/out")
+
+
+@register("str03_heartbeat_gaps_stream")
+def heartbeat_stream_q(spark, sf):
+    """Gaps between consecutive lines from the stateful watchdog (equals the batch twin)."""
+    w = _watch(spark, sf)
+    return w.where(F.col("kind") == "gap").select("run", "step", F.col("value_sec").alias("gap_sec"))
+
+
+@register("str04_budget_exceeded_stream")
+def budget_stream_q(spark, sf):
+    w = _watch(spark, sf)
+    return w.where(F.col("kind") == "budget").select("run", "step", F.col("value_sec").alias("elapsed_sec"))
+
+
+def _share_watch_oracles():
+    ORACLES["str03_heartbeat_gaps_stream"] = ORACLES["str03_heartbeat_gaps_batch"]
+    ORACLES["str04_budget_exceeded_stream"] = ORACLES["str04_budget_exceeded_batch"]
+
+
+_share_watch_oracles()

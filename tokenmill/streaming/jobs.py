@@ -165,3 +165,52 @@ def stream_pack(docs: DataFrame, capacity: int, buffer: int, crop: bool = True)
             yield pd.DataFrame([(key[0], *r) for r in out], columns=["grp", "row_id", "slot", "doc_id", "take", "n_tokens"])
 
     return docs.groupBy("grp").applyInPandasWithState(fn, PACK_OUT, PACK_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+# ----------------------------------------------------------------------------- STR-03 / STR-04
+
+WATCH_OUT = "run long, step long, kind string, value_sec long"
+WATCH_STATE = "last_us long, last_step long, start_us long, budget_hit boolean"
+
+
+def watchdog(lines: DataFrame, heartbeat_min: float, budget_min: float, watermark: str = "1 day") -> DataFrame:
+    """STR-03 + STR-04: per run, gaps longer than the heartbeat limit and the first line past the
+    runtime budget. State = (last line time, last step, start time, budget flag); an event-time
+    timeout at ``last + heartbeat`` reports a run that went silent without a following line
+    (``kind = 'silent'``) once the watermark passes it.
+
+    Input: (run, step, ts) with ``ts`` a timestamp; lines of a run arrive in step order.
+    """
+    from tokenmill.functions.timefns import epoch_micros
+    hb_us, bud_us = int(heartbeat_min * 60e6), int(budget_min * 60e6)
+    src = lines.withColumn("ts_us", epoch_micros("ts")).withColumn("ts", F.col("ts").cast("timestamp")) \
+               .withWatermark("ts", watermark)
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        run = key[0]
+        if state.hasTimedOut:
+            last_us, last_step, start_us, hit = state.get
+            state.remove()
+            yield pd.DataFrame([(run, last_step, "silent", None)], columns=["run", "step", "kind", "value_sec"])
+            return
+        last_us, last_step, start_us, hit = state.get if state.exists else (None, None, None, False)
+        out = []
+        for step, t in pd.concat(list(pdfs)).sort_values("step")[["step", "ts_us"]].itertuples(index=False):
+            t, step = int(t), int(step)
+            if start_us is None:
+                start_us = t
+            if last_us is not None and t - last_us > hb_us:
+                out.append((run, last_step, "gap", (t - last_us) // 1_000_000))
+            if not hit and t - start_us > bud_us:
+                out.append((run, step, "budget", (t - start_us) // 1_000_000))
+                hit = True
+            last_us, last_step = t, step
+        state.update((last_us, last_step, start_us, hit))
+        deadline = last_us // 1000 + hb_us // 1000
+        if deadline > state.getCurrentWatermarkMs():  # an elapsed silence shows up as a gap on the next line
+            state.setTimeoutTimestamp(deadline)
+        if out:
+            yield pd.DataFrame(out, columns=["run", "step", "kind", "value_sec"])
+
+    return src.groupBy("run").applyInPandasWithState(fn, WATCH_OUT, WATCH_STATE, "append",
+                                                     GroupStateTimeout.EventTimeTimeout)
