@@ -9,7 +9,7 @@ from tokenmill.operators import ordering
 from tokenmill.operators.filters import char_budget, crop_docs, min_length
 from tokenmill.operators.stats import shard_totals, text_stats
 from tokenmill.plans.catalog import register
-from tokenmill.plans.derived import CORPUS_SQL, corpus, corpus_split
+from tokenmill.plans.derived import CORPUS_SQL, corpus
 from tokenmill.sources import corpus as C
 from tokenmill.session import table
 

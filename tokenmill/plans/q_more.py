@@ -3,8 +3,6 @@ shard ETA, batch padding, top-k, eval bundle, run catalog, task registry, tokeni
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 

@@ -31,7 +31,7 @@ def bpb_bytes_by_lang(spark, sf):
 
 
 # ----------------------------------------------------------------------------- byte tokenizer / chunks
-from tokenmill.functions.text import SIMPLE_SPLIT_PATTERN, byte_ids, pretokenize  # noqa: E402
+from tokenmill.functions.text import SIMPLE_SPLIT_PATTERN, pretokenize  # noqa: E402
 from tokenmill.operators import tokenizer as TK  # noqa: E402
 from tokenmill.operators.filters import char_budget, crop_docs  # noqa: E402
 from tokenmill.plans.derived import corpus  # noqa: E402
