@@ -238,7 +238,7 @@ def centered(acc: Column, baseline: Column, percent: bool = True) -> Column:
 
 def join_baselines(results: DataFrame, baselines: DataFrame, task: str = "task") -> DataFrame:
     """JN-01: results with their random baseline; a missing baseline is an error."""
-    j = results.join(F.broadcast(baselines), task, "left")
+    j = results.join(F.broadcast(baselines), task, "left")  # one row per task
     return j.withColumn("baseline", F.when(F.col("baseline").isNull(),
                                            F.raise_error(F.concat(F.lit("no baseline for task "), F.col(task))))
                         .otherwise(F.col("baseline")))

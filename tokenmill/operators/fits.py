@@ -107,9 +107,14 @@ def ratio_at_reference(pl: DataFrame) -> DataFrame:
         "y_ref", F.pow(F.lit(10.0), F.col("log_coef") + F.col("exponent") * F.log10(xref)))
 
 
-def apply_models(df: DataFrame, models: DataFrame, x: str, key: str) -> DataFrame:
-    """FIT-07: apply per-group linear models (broadcast: one row per group) and average two predictors."""
-    return df.join(F.broadcast(models), key).withColumn("pred", F.col("intercept") + F.col("slope") * F.col(x))
+def apply_models(df: DataFrame, models: DataFrame, x: str, key: str, n_models: int | None = None) -> DataFrame:
+    """FIT-07: apply per-group linear models (one row per group); callers average two predictors.
+
+    The model table is broadcast only when its row count is known to be small.
+    """
+    from tokenmill.operators.ordering import checked_broadcast
+    m = checked_broadcast(models, n_models) if n_models is not None else models
+    return df.join(m, key).withColumn("pred", F.col("intercept") + F.col("slope") * F.col(x))
 
 
 def row_mean(arr: str | Column) -> Column:

@@ -96,14 +96,14 @@ def bits_per_byte(scored: DataFrame, by: Sequence[str], loss: str = "loss", n_by
 
 def valid_targets(tokens: DataFrame, token_bytes: DataFrame, target: str = "target") -> DataFrame:
     """FLT-14 + JN-03: keep targets >= 0 and attach their byte length (0 when unknown)."""
-    tb = token_bytes.select(F.col("token_id").alias(target), "token_bytes")
+    tb = token_bytes.select(F.col("token_id").alias(target), "token_bytes")  # one row per vocabulary entry
     j = tokens.where(F.col(target) >= 0).join(F.broadcast(tb), target, "left")
     return j.withColumn("token_bytes", F.coalesce("token_bytes", F.lit(0))).where(F.col("token_bytes") > 0)
 
 
 def with_token_bytes(tokens: DataFrame, token_bytes: DataFrame, target: str = "target") -> DataFrame:
     """JN-03: token -> byte length, 0 for ignored targets and specials."""
-    tb = token_bytes.select(F.col("token_id").alias(target), "token_bytes")
+    tb = token_bytes.select(F.col("token_id").alias(target), "token_bytes")  # one row per vocabulary entry
     return tokens.join(F.broadcast(tb), target, "left").withColumn(
         "token_bytes", F.when(F.col(target) < 0, 0).otherwise(F.coalesce("token_bytes", F.lit(0))))
 

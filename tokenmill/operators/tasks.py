@@ -145,6 +145,7 @@ def curriculum(members: Sequence[DataFrame]) -> DataFrame:
         u = u.unionByName(p)
     sizes = u.groupBy("task_idx").agg(F.count(F.lit(1)).alias("size"))
     offs = member_offsets(sizes, "size", ["task_idx"])
+    # the offsets table has one row per member task
     return u.join(F.broadcast(offs.select("task_idx", "offset")), "task_idx") \
             .withColumn("idx", F.col("offset") + F.col("local_idx")).drop("offset")
 
