@@ -93,3 +93,10 @@ def test_byte_tokenizer_literal(spark):
     df = spark.createDataFrame([("Hello",)], "text string")
     ids = TK.byte_encode(df, prepend=TK.BYTE_BOS).first()["ids"]
     assert ids == [256, 72, 101, 108, 108, 111]
+
+
+def test_byte_ids_edge_cases(spark):
+    from tokenmill.functions.text import byte_ids
+    df = spark.createDataFrame([("",), ("é\x00€",), ("a",)], "text string")
+    got = [r["ids"] for r in df.select(byte_ids("text").alias("ids")).collect()]
+    assert got == [[], list("é\x00€".encode()), [97]]

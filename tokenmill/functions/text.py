@@ -40,10 +40,14 @@ def pretokenize(text: str | Column, pattern: str = SPLIT_PATTERN, unicode: bool
 
 
 def byte_ids(text: str | Column) -> Column:
-    """TOK-13: UTF-8 bytes of a string as ARRAY<INT> (linear: hex + split by pairs)."""
-    h = F.hex(F.encode(col(text), "UTF-8"))
-    parts = F.split(h, "(?<=\\G..)")
-    return F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("int"))
+    """TOK-13: UTF-8 bytes of a string as ARRAY<INT>, linear and JVM-side.
+
+    The UTF-8 bytes are re-read as ISO-8859-1, which maps every byte to exactly
+    one character, so ``split(.., '')`` + ``ascii`` yields the byte values.
+    """
+    latin1 = F.decode(F.encode(col(text), "UTF-8"), "ISO-8859-1")
+    return F.when(latin1 == "", F.array().cast("array<int>")).otherwise(
+        F.transform(F.split(latin1, ""), lambda c: F.ascii(c)))
 
 
 def bytes_to_text(ids: str | Column) -> Column:
