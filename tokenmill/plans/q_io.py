@@ -56,10 +56,25 @@ def reshard_files_q(spark, sf):
     path = scratch(spark, "snk01")
     IO.write_reshard(docs, _plan(spark, sf), path)
     back = spark.read.parquet(path)
-    return back.groupBy(F.col("shard_idx").cast("bigint").alias("shard_idx")).agg(
+    return back.groupBy(F.col("shard").cast("bigint").alias("shard_idx")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.char_length("text")).cast("bigint").alias("n_chars"))
 
 
+@register("src01_scan_corpus_files", sql=f"""{RESHARD_SQL}
+SELECT shard_idx, CAST(count(*) AS BIGINT) AS n_docs, CAST(count(DISTINCT rg_idx) AS BIGINT) AS n_row_groups,
+       CAST(max(CASE WHEN shard_idx = (SELECT max(shard_idx) FROM plan) THEN 1 ELSE 0 END) AS BIGINT) AS is_val
+FROM plan GROUP BY shard_idx""")
+def scan_corpus_files_q(spark, sf):
+    """Resharded files scanned back as a corpus: shard from the sorted file listing, row group
+    from ``_metadata.row_index``, split from the last shard."""
+    path = scratch(spark, "src01")
+    IO.write_reshard(table(spark, sf, "documents"), _plan(spark, sf), path)
+    c = C.with_split(C.scan_corpus(spark, path, rows_per_group=RG))
+    return c.groupBy(F.col("shard_idx").cast("bigint").alias("shard_idx")).agg(
+        F.count(F.lit(1)).alias("n_docs"), F.countDistinct("rg_idx").alias("n_row_groups"),
+        F.max(F.when(F.col("split") == "val", 1).otherwise(0)).cast("bigint").alias("is_val"))
+
+
 @register("snk06_src08_conversations_jsonl", sql="""
 WITH m AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i,
                   count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),

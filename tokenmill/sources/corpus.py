@@ -13,7 +13,7 @@ Two ways to get there:
 
 from __future__ import annotations
 
-import posixpath
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,13 +27,14 @@ CORPUS_COLS = ["shard_idx", "rg_idx", "row_in_rg", "pos"]
 
 def scan_corpus(spark: SparkSession, path: str, rows_per_group: int = ROW_GROUP_ROWS,
                 text_col: str = "text") -> DataFrame:
-    """SRC-01: ``*.parquet`` shards sorted by name (``*.tmp`` never match)."""
+    """SRC-01: ``*.parquet`` shards sorted by path (``*.tmp`` never match)."""
     df = (spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
           .select(F.col(text_col).alias("text"),
-                  F.col("_metadata.file_path").alias("file_path"),
+                  F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("file_path"),
                   F.col("_metadata.row_index").alias("row_index")))
-    # file names come from the listing (driver metadata, one entry per file)
-    files = sorted(df.inputFiles(), key=posixpath.basename)
+    # file names come from the listing (driver metadata, one entry per file); local URIs are
+    # normalised because the listing and the scan metadata spell them differently
+    files = sorted(re.sub(r"^file:/+", "/", f) for f in df.inputFiles())
     file_tab = spark.createDataFrame([(f, i) for i, f in enumerate(files)],
                                      "file_path string, shard_idx int")
     out = df.join(checked_broadcast(file_tab, len(files)), "file_path")

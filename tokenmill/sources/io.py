@@ -138,11 +138,12 @@ def reshard_plan(docs: DataFrame, chars_per_shard: int, rows_per_group: int = 10
 
 
 def write_reshard(docs: DataFrame, plan: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """SNK-01 files: one folder per shard, rows in shuffled order, zstd, no dictionary."""
-    d = docs.select(key, text).join(plan, key)
-    (d.repartition("shard_idx").sortWithinPartitions("shard_idx", "pos").select("shard_idx", text)
+    """SNK-01 files: one folder per shard (``shard=00000``, zero-padded so path order is shard
+    order), rows in shuffled order, zstd, no dictionary; each shard is written by one task."""
+    d = docs.select(key, text).join(plan, key).withColumn("shard", F.format_string("%05d", "shard_idx"))
+    (d.repartition("shard").sortWithinPartitions("shard", "pos").select("shard", text)
       .write.mode("overwrite").option("compression", "zstd").option("parquet.enable.dictionary", "false")
-      .partitionBy("shard_idx").parquet(path))
+      .partitionBy("shard").parquet(path))
 
 
 # ----------------------------------------------------------------------------- run catalog
