@@ -25,8 +25,19 @@ STATE_OF = {"signup": "launched", "view": "running", "click": "recovering", "pur
 # ----------------------------------------------------------------------------- derived training log
 
 
+_RUN_LOGS: dict = {}
+
+
 def run_log(spark, sf):
-    """One log line per event: step lines, validation lines, parameter counts and stop lines."""
+    """One log line per event (persisted once per session: every log query reads it)."""
+    key = (id(spark), sf)
+    if key not in _RUN_LOGS:
+        _RUN_LOGS[key] = _build_run_log(spark, sf).persist()
+    return _RUN_LOGS[key]
+
+
+def _build_run_log(spark, sf):
+    """Step lines, validation lines, parameter counts and stop lines derived from `events`."""
     s = run_steps(spark, sf)
     s = s.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("run")))
     v, step, total, eid = F.col("metric"), F.col("step"), F.col("total"), F.col("event_id")
