@@ -68,7 +68,7 @@ _RESULTS: dict = {}
 
 def results(spark, sf):
     """Per-task accuracy of the three CORE-style tasks (one row per task, persisted once per session)."""
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _RESULTS:
         parts = [EV.accuracy(decide(spark, sf, k).withColumn("task", F.lit(k))) for k in ("mc", "schema", "lm")]
         _RESULTS[key] = reduce(lambda a, b: a.unionByName(b), parts).persist()

@@ -30,7 +30,7 @@ _RUN_LOGS: dict = {}
 
 def run_log(spark, sf):
     """One log line per event (persisted once per session: every log query reads it)."""
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _RUN_LOGS:
         _RUN_LOGS[key] = _build_run_log(spark, sf).persist()
     return _RUN_LOGS[key]
