@@ -110,12 +110,16 @@ BPE_VOCAB = 256 + 9 + 48
 _MODELS: dict[str, TK.BPEModel] = {}
 
 
+DOC_CAP = 10_000             # reference default: crop each document to 10k code points
+MAX_CHARS = 2_000_000_000    # reference default budget (covers the whole train split here)
+
+
 def train_corpus_bpe(spark, sf, vocab_size: int = BPE_VOCAB) -> TK.BPEModel:
-    """Reference tokenizer-training flow: train split -> crop 10000 -> 300k char budget -> BPE."""
+    """Reference tokenizer-training flow: train split -> crop -> char budget -> chunk counts -> BPE."""
     key = f"{sf}:{vocab_size}"
     if key not in _MODELS:
-        tr = crop_docs(C.split(corpus(spark, sf), "train"), cap=10000)
-        b = char_budget(tr, 300000, ["pos"], bucket=(F.col("pos") / 4096).cast("bigint"))
+        tr = crop_docs(C.split(corpus(spark, sf), "train"), cap=DOC_CAP)
+        b = char_budget(tr, MAX_CHARS, ["pos"], bucket=(F.col("pos") / 4096).cast("bigint"))
         _MODELS[key] = TK.train_bpe(TK.chunk_counts(b), vocab_size)
     return _MODELS[key]
 
