@@ -49,10 +49,12 @@ def byte_rows_sql(src: str, keys: str, text: str = "text") -> str:
 # run = user_id; step = 0-based order by (ts, event_id) inside the run; metric = value.
 
 def run_steps(spark: SparkSession, sf: str) -> DataFrame:
-    ev = table(spark, sf, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return ev.select(F.col("user_id").alias("run"), (F.row_number().over(w) - 1).cast("bigint").alias("step"),
-                     "ts", "event_type", F.col("value").alias("metric"), "event_id")
+    # alias first, then window on `run`: later per-run windows reuse this partitioning (no second shuffle)
+    ev = table(spark, sf, "events").select(F.col("user_id").alias("run"), "ts", "event_type",
+                                           F.col("value").alias("metric"), "event_id")
+    w = Window.partitionBy("run").orderBy("ts", "event_id")
+    return ev.select("run", (F.row_number().over(w) - 1).cast("bigint").alias("step"),
+                     "ts", "event_type", "metric", "event_id")
 
 
 RUN_STEPS_SQL = """run_steps AS (
