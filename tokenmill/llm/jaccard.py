@@ -182,8 +182,9 @@ def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
     n_left, total = len(left), np.zeros((len(left), len(right)), np.float32)
-    step = max(1, (32 << 20) // (4 * len(sets)))
-    for low in range(0, int(often.sum()), step):
+    n_often = int(often.sum())
+    step = max(1, min(n_often, (32 << 20) // (4 * len(sets))))
+    for low in range(0, n_often, step):
         a, b = np.searchsorted(at, (low, low + step))
         has = np.zeros((len(sets), step), np.float32)
         has[owner[a:b], at[a:b] - low] = 1
