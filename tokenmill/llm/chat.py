@@ -106,6 +106,12 @@ def final_messages(rows: Iterable[tuple]) -> Iterator[tuple]:
             yield conv, role, "".join(texts)
 
 
+def _frames(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as frames of at most 100 rows; conv_id may be null."""
+    while some := list(islice(rows, 100)):
+        yield pd.DataFrame(some, columns=names).astype({"conv_id": "Int64"})
+
+
 def format_conversations(events: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """Rendered conversations from an event log, as FORMATTED rows: parts of at most ``part_turns`` messages.
 
@@ -115,15 +121,17 @@ def format_conversations(events: DataFrame, part_turns: int = PART_TURNS) -> Dat
     follow each other in one partition. A conversation without messages has no row. Other columns are ignored.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         rows = ((None if known else c, m, op, role, text) for pdf in frames
                 for known, c, m, op, role, text in zip(pdf["none"], pdf["conv"].tolist(), pdf["msg"].tolist(), pdf["op"], pdf["role"], pdf["text"]))
         for conv, turns in groupby(final_messages(rows), key=lambda t: t[0]):
             for part in count():
                 if not (some := [t[1:] for t in islice(turns, part_turns)]):
                     break
-                text, loss = render(some)
-                yield pd.DataFrame({"conv_id": pd.array([conv], "Int64"), "part": [part], "formatted": [text], "loss": [loss]})
+                yield (conv, part, *render(some))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _frames(parts(frames), ["conv_id", "part", "formatted", "loss"])
 
     bounded_batches(events.sparkSession)
     opened = F.min("seq").over(Window.partitionBy("conv_id", "msg"))
@@ -140,7 +148,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     parts in order, a conversation in one partition. Digests grow part by part; nothing else is held.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digests(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         rows = ((None if pd.isna(c) else int(c), text, loss) for pdf in frames for c, text, loss in zip(pdf["conv_id"], pdf["formatted"], pdf["loss"]))
         for conv, parts in groupby(rows, key=lambda r: r[0]):
             turns, masked, n, chars, loss_chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
@@ -153,7 +161,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     said = unescape(text[span["start"]: span["stop"]])
                     loss_chars += len(said)
                     masked.update(said.encode())
-            yield pd.DataFrame({"conv_id": pd.array([conv], "Int64"), "n_turns": [n], "turns_sha256": [turns.hexdigest()], "loss_chars": [loss_chars],
-                                "loss_sha256": [masked.hexdigest()], "formatted_chars": [chars]})
+            yield conv, n, turns.hexdigest(), loss_chars, masked.hexdigest(), chars
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _frames(digests(frames), ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     return formatted.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenmill.session import ensure_checkpoint_dir
@@ -50,20 +50,20 @@ def labelled_sample(docs: DataFrame, ids: DataFrame, label: str, per_label: int,
     """Texts of a bounded sample of labelled documents: (doc_id, text, label), at most ``per_label`` rows a label.
 
     ``ids`` has (doc_id, label). The choice is by hash of the id, so it is the same on every run. Only ids are ranked
-    and moved; ``per_label`` times ``max_labels`` ids at most are sent back as a broadcast, the labels in their order.
+    and moved; at most ``per_label`` ids of each of ``max_labels`` labels, the first in order, come back as a broadcast.
+    Of rows with the same id, the least text counts.
     """
     spark = docs.sparkSession
-    from pyspark.sql import Window
-
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = (ids.select("doc_id", F.col(label).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
+    picked = (ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
               .groupBy("doc_id").agg(F.min("label").alias("label"))
               .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label).drop("rank"))
     names = {r[0] for r in picked.select("label").distinct().orderBy("label").limit(max_labels).collect()}
     schema = picked.schema
     rows = sorted((tuple(r) for r in picked.where(F.col("label").isin(list(names))).collect()), key=lambda r: r[0]) if names else []
     chosen = spark.createDataFrame(rows, schema)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
