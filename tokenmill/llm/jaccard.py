@@ -285,5 +285,21 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
     comps = similar_sets(docs, sketch, width, num, den)
     rows = sketch.select("doc_id", "n", "fp").join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp"))
     rows = saved(rows.select("doc_id", "n", "label"))
-    least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # stored, so that the join deals out both sides anew and may split a large component's rows
+    least = saved(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")))
     return rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when every component is left with its least doc_id.
+
+    Rows with the same id count as one document: one of them stays, if any. Rows without an id, and documents without shingles, stay.
+    """
+    rows = saved(jaccard_components(docs, width, num, den).where("doc_id is not null"))
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = ids.where(~F.col("stays")).select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    again = saved(ids.where(F.col("stays") & (F.col("n") > 1)).select("doc_id"))
+    if not again.isEmpty():
+        kept = kept.join(again, "doc_id", "left_anti").union(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
