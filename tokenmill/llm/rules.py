@@ -1,6 +1,7 @@
 """Quality rules on the JVM only: base counts and a hashed n-gram log-likelihood ratio of target against raw corpus.
 
-Both corpora are multinomials over ``buckets`` hashed word unigrams and bigrams, counted over every document. A text's
+Both corpora are multinomials over ``buckets`` hashed word unigrams and bigrams. The raw one is counted over every document, the
+target over a bounded number of trusted ones. A text's
 score is the sum of log(target / raw) over its n-grams divided by their number, and each document is kept or not by a
 fixed threshold on its score.
 """
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from tokenmill.llm.common import saved
 
 BUCKETS = 1 << 16
+#: Trusted documents that the target's counts are taken from, at most.
+TRUSTED_IDS = 20_000
 #: Added to every count, so that a bucket unseen in one corpus has a finite ratio.
 SMOOTHING = 1.0
 #: Least score (nats per n-gram) of a kept document.
@@ -79,15 +82,17 @@ def _counts(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.select(F.explode(grams(F.col("text"), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, trusted_ids: int = TRUSTED_IDS) -> DataFrame:
     """(bucket, ratio) with log(target / raw) of every bucket seen; at most ``buckets`` rows, whatever the corpus.
 
-    Raw counts are over all ``docs``, target counts over all rows whose doc_id is in ``trusted``. Counts are combined
-    within each task before the shuffle. With no trusted document every ratio is 0.
+    Raw counts are over all ``docs``. Target counts are over all rows with one of at most ``trusted_ids`` ids of ``trusted``
+    (doc_id), chosen by hash, so that the ids can be broadcast and no text is moved. Counts are combined within each task
+    before the shuffle. With no trusted document every ratio is 0.
     """
     texts = _texts(docs)
-    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    raw, target = _counts(texts, buckets), _counts(texts.join(ids, "doc_id", "left_semi"), buckets)
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_ids)
+    ids = docs.sparkSession.createDataFrame(ids.toPandas(), "doc_id long")
+    raw, target = _counts(texts, buckets), _counts(texts.join(F.broadcast(ids), "doc_id", "left_semi"), buckets)
     both = saved(raw.join(target.withColumnRenamed("n", "t"), "bucket", "left").fillna(0, ["t"]))
     total = both.agg(F.sum("n").alias("sum_n"), F.sum("t").alias("sum_t"))
     share = lambda n, of: F.log((F.col(n) + smoothing) / (F.col(of) + smoothing * buckets))
