@@ -28,6 +28,20 @@ SIMPLE_SPLIT_PATTERN = r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]+[
 
 N_BYTES = 256
 
+# White space as Python's str.strip() sees it; the same class works in Java's and RE2's expressions.
+SPACES = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+STRIP_PATTERN = rf"^[{SPACES}]+|[{SPACES}]+\z"
+
+
+def strip(text: str | Column) -> Column:
+    """Text without leading and trailing white space, Unicode's included."""
+    return F.regexp_replace(col(text), STRIP_PATTERN, "")
+
+
+def strip_sql(expr: str) -> str:
+    """DuckDB twin of :func:`strip`."""
+    return f"regexp_replace({expr}, '{STRIP_PATTERN}', '', 'g')"
+
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -51,10 +65,10 @@ def byte_ids(text: str | Column) -> Column:
 
 
 def bytes_to_text(ids: str | Column) -> Column:
-    """TOK-05 on the byte vocabulary: ids < 256 are bytes, specials are dropped."""
+    """TOK-05 on the byte vocabulary: ids < 256 are bytes, specials are dropped; bytes that are no UTF-8 become U+FFFD."""
     kept = F.filter(col(ids), lambda x: x < N_BYTES)
     hexs = F.array_join(F.transform(kept, lambda x: F.lpad(F.hex(x), 2, "0")), "")
-    return F.decode(F.unhex(hexs), "UTF-8")
+    return F.make_valid_utf8(F.unhex(hexs).cast("string"))
 
 
 def utf8_len(text: str | Column) -> Column:

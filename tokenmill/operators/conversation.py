@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.functions.text import N_BYTES, SPECIAL_TOKENS, byte_ids, col
+from tokenmill.functions.text import N_BYTES, SPECIAL_TOKENS, byte_ids, col, strip
 
 PART = "struct<type:string,text:string>"
 
@@ -101,20 +101,22 @@ def _arr(v: int) -> Column:
     return F.array(F.lit(v))
 
 
-def _mask(n: Column, v: int) -> Column:
-    return F.array_repeat(F.lit(v), n.cast("int"))
+def _mask(n: Column, v: int | Column) -> Column:
+    return F.array_repeat(F.lit(v) if isinstance(v, int) else v, n.cast("int"))
 
 
-def render(df: DataFrame, messages: str = "messages", max_tokens: int = 2048,
+def render(df: DataFrame, messages: str = "messages", max_tokens: int | None = 2048,
            encode: Callable[[Column], Column] = byte_ids,
            special: Callable[[str], int] = byte_special) -> DataFrame:
     """CNV-03: (ids, mask) per conversation; a leading system message is merged first.
 
     user: start, text, end all 0. assistant: start 0; text parts 1; python
     parts with their start/end 1; python_output with its start/end 0; end 1.
-    Each part is encoded separately. Truncated to ``max_tokens``.
+    Each part is encoded once, by itself. Truncated to ``max_tokens``, if given.
+    Conversations that can't be rendered (a system message that can't be merged, a
+    role other than user and assistant) are left out: :func:`unrenderable` has them.
     """
-    d = merge_system(df, messages)
+    d = merge_system(df, messages).where(F.col("merge_error").isNull() & ~F.exists(messages, _other_role))
     us, ue = special("<|user_start|>"), special("<|user_end|>")
     as_, ae = special("<|assistant_start|>"), special("<|assistant_end|>")
     ps, pe = special("<|python_start|>"), special("<|python_end|>")
@@ -124,31 +126,42 @@ def render(df: DataFrame, messages: str = "messages", max_tokens: int = 2048,
     def parts_of(m):
         return F.coalesce(m["parts"], F.array(F.struct(F.lit("text").alias("type"), m["text"].alias("text"))))
 
-    def part_ids(p):
-        e = encode(p["text"])
-        return F.when(p["type"] == "python", F.concat(_arr(ps), e, _arr(pe))) \
-                .when(p["type"] == "python_output", F.concat(_arr(os_), e, _arr(oe))).otherwise(e)
+    # a span is (open token, encoded text, close token, mask of text and of both tokens); -1 stands for no token
+    def span(open_, text, close, on, ends):
+        return F.struct(F.lit(open_).alias("open"), encode(text).alias("e"), F.lit(close).alias("close"), F.lit(on).alias("on"), F.lit(ends).alias("ends"))
 
-    def part_mask(p):
-        e = encode(p["text"])
-        n = F.size(e)
-        return F.when(p["type"] == "python", _mask(n + 2, 1)) \
-                .when(p["type"] == "python_output", _mask(n + 2, 0)).otherwise(_mask(n, 1))
+    def part_span(p):
+        return F.when(p["type"] == "python", span(ps, p["text"], pe, 1, 1)) \
+                .when(p["type"] == "python_output", span(os_, p["text"], oe, 0, 0)).otherwise(span(-1, p["text"], -1, 1, 1))
 
-    def msg_ids(m):
-        user = F.concat(_arr(us), encode(m["text"]), _arr(ue))
-        asst = F.concat(_arr(as_), F.flatten(F.transform(parts_of(m), part_ids)), _arr(ae))
-        return F.when(m["role"] == "user", user).otherwise(asst)
+    def spans_of(m):
+        none = F.array().cast("array<int>")
+        edge = lambda t, on: F.array(F.struct(F.lit(t).alias("open"), none.alias("e"), F.lit(-1).alias("close"), F.lit(on).alias("on"), F.lit(on).alias("ends")))
+        return F.when(m["role"] == "user", F.array(span(us, m["text"], ue, 0, 0))).otherwise(
+            F.concat(edge(as_, 0), F.transform(parts_of(m), part_span), edge(ae, 1)))
 
-    def msg_mask(m):
-        user = _mask(F.size(encode(m["text"])) + 2, 0)
-        asst = F.concat(F.array(F.lit(0)), F.flatten(F.transform(parts_of(m), part_mask)), F.array(F.lit(1)))
-        return F.when(m["role"] == "user", user).otherwise(asst)
+    def one(t):
+        return F.when(t == -1, F.array().cast("array<int>")).otherwise(F.array(t))
 
-    m = F.col(messages)
-    ids = F.concat(_arr(bos), F.flatten(F.transform(m, msg_ids)))
-    mask = F.concat(F.array(F.lit(0)), F.flatten(F.transform(m, msg_mask)))
-    return d.withColumn("ids", F.slice(ids, 1, max_tokens)).withColumn("mask", F.slice(mask, 1, max_tokens))
+    def span_mask(s):
+        return F.concat(_mask(F.size(one(s["open"])), s["ends"]), _mask(F.size(s["e"]), s["on"]), _mask(F.size(one(s["close"])), s["ends"]))
+
+    r = d.withColumn("_spans", F.flatten(F.transform(F.col(messages), spans_of)))
+    ids = F.concat(_arr(bos), F.flatten(F.transform("_spans", lambda s: F.concat(one(s["open"]), s["e"], one(s["close"])))))
+    mask = F.concat(_arr(0), F.flatten(F.transform("_spans", span_mask)))
+    cut = (lambda c: c) if max_tokens is None else (lambda c: F.slice(c, 1, max_tokens))
+    return r.withColumn("ids", cut(ids)).withColumn("mask", cut(mask)).drop("_spans")
+
+
+def _other_role(m: Column) -> Column:
+    return ~F.coalesce(m["role"].isin("user", "assistant"), F.lit(False))
+
+
+def unrenderable(df: DataFrame, messages: str = "messages") -> DataFrame:
+    """Conversations that :func:`render` leaves out, with a ``reason``."""
+    d = merge_system(df, messages)
+    reason = F.coalesce("merge_error", F.when(F.exists(messages, _other_role), F.lit("bad_role")))
+    return d.withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("merge_error")
 
 
 def render_for_completion(df: DataFrame, messages: str = "messages", **kw) -> DataFrame:
@@ -244,12 +257,12 @@ ANSWER_RE = r"#### (\-?[0-9\.\,]+)"
 def extract_answer(text: str | Column) -> Column:
     """CNV-09: first ``#### number``, commas removed; null when absent."""
     t = col(text)
-    return F.when(t.rlike(ANSWER_RE), F.replace(F.trim(F.regexp_extract(t, ANSWER_RE, 1)), F.lit(","), F.lit("")))
+    return F.when(t.rlike(ANSWER_RE), F.replace(strip(F.regexp_extract(t, ANSWER_RE, 1)), F.lit(","), F.lit("")))
 
 
 def extract_imports(prompt: str | Column) -> Column:
     """CNV-10: leading import lines (comments and blanks skipped, stop at other code)."""
-    lines = F.transform(F.split(col(prompt), "\n", -1), lambda s: F.trim(s))
+    lines = F.transform(F.split(col(prompt), "\n", -1), strip)
     is_imp = lambda s: s.startswith("import ") | s.startswith("from ")
     is_stop = lambda s: (~is_imp(s)) & (s != "") & (~s.startswith("#"))
     state = F.struct(F.array().cast("array<string>").alias("acc"), F.lit(False).alias("done"))
@@ -268,7 +281,7 @@ PROGRAM_RE = r"(?s)```(?:python)?\s*\n(.*?)\n```"
 def extract_program(completion: str | Column) -> Column:
     """CNV-11: first fenced code block (trimmed), else the whole trimmed text."""
     c = col(completion)
-    return F.when(c.rlike(PROGRAM_RE), F.trim(F.regexp_extract(c, PROGRAM_RE, 1))).otherwise(F.trim(c))
+    return F.when(c.rlike(PROGRAM_RE), strip(F.regexp_extract(c, PROGRAM_RE, 1))).otherwise(strip(c))
 
 
 def assemble_program(imports: Column, code: Column, test: Column, entry_point: Column) -> Column:

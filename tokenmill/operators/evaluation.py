@@ -14,19 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenmill.functions.hashing import hash_key, hash_unit
-from tokenmill.functions.text import byte_ids
+from tokenmill.functions.text import byte_ids, strip
 from tokenmill.operators.ordering import checked_broadcast, hash_bucket, with_index
 from tokenmill.operators.scoring import score_pairs
 from tokenmill.operators.tokenizer import BYTE_BOS
 
-WS = r"^\s+|\s+$"
-
-
-def strip(c: Column) -> Column:
-    """Python ``str.strip()`` on ASCII whitespace."""
-    return F.regexp_replace(c, WS, "")
-
-
 # ----------------------------------------------------------------------------- few-shot selection
 
 

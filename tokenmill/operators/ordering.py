@@ -6,18 +6,19 @@ it into positions without an unpartitioned window (which would pull the whole
 table into one task):
 
 1. map every row to a range bucket that is monotone in the order key and
-   roughly uniform (dense positions or hash keys are uniform by construction);
+   roughly uniform (cut at quantiles; dense positions or hash keys are uniform by construction);
 2. aggregate per bucket (count / sum) -> a table with one row per bucket;
-3. exclusive prefix over that small table gives each bucket's offset;
-4. join the offsets back (broadcast, the table size is the bucket count which
-   we chose) and finish with a window partitioned by bucket.
+3. exclusive prefix over that table, in two levels, gives each bucket's offset;
+4. join the offsets back and finish with a window partitioned by bucket.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from tokenmill.functions.hashing import hash_key
 ROWS_PER_BUCKET = 1 << 22
 # offsets tables up to this many rows are broadcast; larger ones are shuffled
 BROADCAST_ROWS = 1 << 20
+# quantile limits asked for at once, and buckets in one stretch of the offset table
+MAX_LIMITS, STRETCH = 4096, 1024
 
 
 def checked_broadcast(df: DataFrame, n_rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -38,22 +41,34 @@ def _cols(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def range_bucket(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET
-                 ) -> tuple[Column, int]:
-    """Monotone bucket expression on a numeric key, plus the bucket count.
+def range_bucket(df: DataFrame, order: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, int]:
+    """``df`` with a bucket ``_bkt`` that is monotone in ``order``, and the bucket count.
 
-    One small aggregate (min, max, count) decides the bucket width. For dense
-    or hashed keys this yields buckets of about ``rows_per_bucket`` rows.
+    The limits are quantiles of the first key (one aggregate; at most ``MAX_LIMITS`` of them come back), so buckets
+    have about the same number of rows however the key is distributed. A value that fills more than one bucket gets
+    buckets of its own, cut at quantiles of the second key among its rows.
     """
-    row = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi, n = row["lo"], row["hi"], row["n"]
-    if n == 0 or lo is None:
-        return F.lit(0).cast("bigint"), 1
-    nb = max(1, math.ceil(n / rows_per_bucket))
-    span = float(hi) - float(lo) + 1.0
-    width = span / nb
-    expr = F.least(F.lit(nb - 1), F.floor((F.col(key).cast("double") - F.lit(float(lo))) / F.lit(width))).cast("bigint")
-    return expr, nb
+    key = order[0]
+    num = F.col(key).cast("double")
+    n = df.count()
+    want = min(MAX_LIMITS, math.ceil(n / rows_per_bucket))
+    if want <= 1:
+        return df.withColumn("_bkt", F.lit(0).cast("bigint")), 1
+    shares = [i / want for i in range(1, want)]
+    limits = df.agg(F.percentile_approx(num, shares, 100 * want)).first()[0] or []
+    hot = {v: c for v, c in Counter(limits).items() if c > 1 and len(order) > 1}
+    cuts = sorted({*limits, *(math.nextafter(v, math.inf) for v in hot)})
+    sub = {}
+    for v, c in hot.items():
+        sub[v] = df.where(num == v).agg(F.percentile_approx(F.col(order[1]).cast("double"), [i / (c + 1) for i in range(1, c + 1)], 100 * (c + 1))).first()[0]
+    b = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_num", outputCol="_lvl", handleInvalid="keep").transform(
+        df.withColumn("_num", num)).withColumn("_lvl", F.when(F.col("_num").isNull(), -1).otherwise(F.col("_lvl")).cast("bigint"))
+    width = 1 + max([len(set(x)) for x in sub.values()], default=0)
+    fine = F.lit(0)
+    for v, xs in sub.items():
+        second = F.col(order[1]).cast("double")
+        fine = F.when(F.col("_num") == v, sum(((second > x).cast("int") for x in sorted(set(xs))), F.lit(0))).otherwise(fine)
+    return b.withColumn("_bkt", F.col("_lvl") * width + fine).drop("_num", "_lvl"), (len(cuts) + 2) * width
 
 
 def hash_bucket(key: str | Column, n_buckets: int) -> Column:
@@ -65,23 +80,33 @@ def hash_bucket(key: str | Column, n_buckets: int) -> Column:
 def _bucketed(df: DataFrame, order: Sequence[str | Column], bucket: Column | None,
               n_buckets: int | None, rows_per_bucket: int) -> tuple[DataFrame, int]:
     if bucket is None:
-        first = order[0]
-        if not isinstance(first, str):
-            raise ValueError("pass `bucket` when the first order key is an expression")
-        bucket, n_buckets = range_bucket(df, first, rows_per_bucket)
+        if not all(isinstance(c, str) for c in order[:2]):
+            raise ValueError("pass `bucket` when an order key is an expression")
+        return range_bucket(df, list(order), rows_per_bucket)
     return df.withColumn("_bkt", bucket), (n_buckets or BROADCAST_ROWS + 1)
 
 
+def _offsets(per_bucket: DataFrame, value: str) -> DataFrame:
+    """(_bkt, _off): exclusive prefix sum of ``value`` over the buckets, in two levels.
+
+    Buckets are summed up in stretches of ``STRETCH`` numbers first; only the table of stretches, with a row for at
+    most ``STRETCH`` buckets, is ordered as a whole.
+    """
+    s = per_bucket.withColumn("_st", F.floor(F.col("_bkt") / STRETCH))
+    tops = s.groupBy("_st").agg(F.sum(value).alias("_sum"))
+    before = Window.orderBy("_st").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("_st", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_st").orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    return s.join(tops, "_st").select("_bkt", (F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).alias("_off"))
+
+
 def with_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx",
                bucket: Column | None = None, n_buckets: int | None = None,
                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """WIN-01: dense 0-based global row index in ``order`` (keys must be unique)."""
     b, nb = _bucketed(df, order, bucket, n_buckets, rows_per_bucket)
     counts = b.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_bkt",
-        (F.sum("_n").over(Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-        .alias("_off"))
+    offsets = _offsets(counts, "_n")
     w = Window.partitionBy("_bkt").orderBy(*_cols(order))
     return (b.join(checked_broadcast(offsets, nb), "_bkt")
              .withColumn(name, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
@@ -95,10 +120,7 @@ def prefix_sum(df: DataFrame, value: str | Column, order: Sequence[str | Column]
     v = F.col(value) if isinstance(value, str) else value
     b, nb = _bucketed(df.withColumn("_v", v.cast("bigint")), order, bucket, n_buckets, rows_per_bucket)
     sums = b.groupBy("_bkt").agg(F.sum("_v").alias("_s"))
-    offsets = sums.select(
-        "_bkt",
-        (F.sum("_s").over(Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s"))
-        .alias("_off"))
+    offsets = _offsets(sums, "_s")
     w = Window.partitionBy("_bkt").orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
     out = (b.join(checked_broadcast(offsets, nb), "_bkt")
              .withColumn(name, (F.col("_off") + F.sum("_v").over(w)).cast("bigint")))

@@ -9,6 +9,7 @@ history of a step.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -163,18 +164,25 @@ def parse_model_tag(tag: str | Column) -> Column:
     return F.struct(F.when(depth != "", depth.cast("int")).alias("depth"), typ.alias("type"), groups.alias("groups"))
 
 
-def ema(df: DataFrame, value: str, beta: float = 0.9, run: str = "run", step: str = "step", extra: int = 0,
-        horizon: int = 400) -> DataFrame:
-    """WIN-04: debiased EMA ``s = beta*s + (1-beta)*x``, ``/(1 - beta^(t+1+extra))``.
+def ema(df: DataFrame, value: str, beta: float = 0.9, run: str = "run", step: str = "step", extra: int = 0) -> DataFrame:
+    """WIN-04: debiased EMA ``s = beta*s + (1-beta)*x``, ``/(1 - beta^(t+1+extra))``, over the whole history.
 
-    Closed form over a bounded frame of ``horizon`` rows (terms older than
-    beta^horizon vanish in double precision). ``step`` must be 0-based dense.
+    Blocked prefix sums: inside a block of steps the recurrence is a running sum of ``beta^-offset * x``, whose
+    factors stay below e^200; a block takes over the smoothed value at the end of the one before it. Of earlier
+    blocks, the one four back weighs e^-800, which is 0 in double precision, so four terms are the whole carry.
+    ``step`` must be 0-based dense and ``0 < beta < 1``.
     """
-    w = Window.partitionBy(run).orderBy(step).rowsBetween(-horizon, 0)
-    hist = F.collect_list(F.struct(F.col(step).alias("t"), F.col(value).alias("x"))).over(w)
-    out = df.withColumn("_h", hist)
-    s = F.aggregate("_h", F.lit(0.0), lambda acc, e: acc + (1 - beta) * F.pow(F.lit(beta), F.col(step) - e["t"]) * e["x"])
-    return out.withColumn("ema", s / (1 - F.pow(F.lit(beta), F.col(step) + 1 + extra))).drop("_h")
+    size = max(1, int(200 / -math.log(beta)))
+    at = F.col(step) % size
+    b = df.withColumn("_b", F.floor(F.col(step) / size)).withColumn("_w", F.pow(F.lit(beta), -at) * F.col(value))
+    w = Window.partitionBy(run, "_b").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    b = b.withColumn("_p", F.sum("_w").over(w))
+    ends = b.groupBy(run, "_b").agg((F.sum("_w") * (1 - beta) * beta ** (size - 1)).alias("_e"))
+    wb = Window.partitionBy(run).orderBy("_b")
+    carry = sum((F.coalesce(F.lag("_e", k).over(wb), F.lit(0.0)) * (beta ** size) ** (k - 1) for k in (1, 2, 3, 4)), F.lit(0.0))
+    out = b.join(ends.select(run, "_b", carry.alias("_c")), [run, "_b"])
+    s = (1 - beta) * F.pow(F.lit(beta), at) * F.col("_p") + F.pow(F.lit(beta), at + 1) * F.col("_c")
+    return out.withColumn("ema", s / (1 - F.pow(F.lit(beta), F.col(step) + 1 + extra))).drop("_b", "_w", "_p", "_c")
 
 
 def running_min(df: DataFrame, value: str, run: str = "run", step: str = "step") -> DataFrame:
@@ -257,9 +265,12 @@ def wall_clock(start: Column, end: Column) -> Column:
 
 
 def summary(metrics: DataFrame, stages: Sequence[str], metric: str = "metric", stage: str = "stage",
-            value: str = "value") -> DataFrame:
-    """AGG-18: metric x stage table, missing -> '-', CORE first, ChatCORE last, others by name."""
-    p = metrics.groupBy(metric).pivot(stage, list(stages)).agg(F.last(value))
+            value: str = "value", order: str = "value") -> DataFrame:
+    """AGG-18: metric x stage table, missing -> '-', CORE first, ChatCORE last, others by name.
+
+    Of several values of a cell the one with the largest ``order`` counts.
+    """
+    p = metrics.groupBy(metric).pivot(stage, list(stages)).agg(F.max_by(value, order))
     for s in stages:
         p = p.withColumn(s, F.coalesce(F.col(s).cast("string"), F.lit("-")))
     key = F.when(F.col(metric) == "CORE", 0).when(F.col(metric) == "ChatCORE", 2).otherwise(1)

@@ -5,20 +5,22 @@ the train split: ``p(b | a) = (c(a,b) + 1) / (c(a) + V)`` (add-one smoothing),
 ``loss = -ln p``. The model table has at most ``(V + specials) * V`` rows, a
 bound fixed by the vocabulary, so it is safe to broadcast.
 
-The heavy step is one scan of the corpus that explodes adjacent pairs straight
-into a partial hash aggregate keyed by ``(group, a, b)``; everything after that
-works on the small pair-count table.
+The heavy step is one scan of the corpus that counts adjacent pairs batch by
+batch in numpy; everything after that works on the small pair-count table.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import repeat
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenmill.functions.text import N_BYTES, SPECIAL_TOKENS, byte_ids
+from tokenmill.functions.text import N_BYTES, SPECIAL_TOKENS
 from tokenmill.operators.ordering import checked_broadcast
 from tokenmill.operators.tokenizer import BYTE_BOS
 
@@ -40,9 +42,39 @@ def pair_counts(df: DataFrame, by: Sequence[str], ids: str | Column) -> DataFram
 
 
 def byte_pair_counts(docs: DataFrame, by: Sequence[str], text: str = "text", bos: int = BYTE_BOS) -> DataFrame:
-    """Pair counts of BOS + UTF-8 bytes per document, grouped by ``by``."""
-    ids = F.concat(F.array(F.lit(bos)), byte_ids(text))
-    return pair_counts(docs, by, ids)
+    """Pair counts of BOS + UTF-8 bytes per document, grouped by ``by``.
+
+    Each Arrow batch is counted with one ``bincount`` per group over ``a * width + b``; what leaves a batch is at
+    most groups x width^2 partial counts, which Spark then sums. Null texts are empty.
+    """
+    width = max(N_BYTES, bos) + 1
+    schema = docs.select(*by).schema.add("a", "integer").add("b", "integer").add("n", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups: dict[tuple, list[bytes]] = {}
+            for key, t in zip(zip(*(batch[c].to_pylist() for c in by)) if by else repeat(()), batch["_text"].to_pylist()):
+                if t:
+                    groups.setdefault(key, []).append(t)
+            out: dict[str, list] = {f.name: [] for f in schema}
+            for key, texts in groups.items():
+                ends = np.cumsum([len(t) for t in texts])
+                data = np.frombuffer(b"".join(texts), np.uint8)
+                left = np.empty(len(data), np.int32)
+                left[1:] = data[:-1]
+                left[0], left[ends[:-1]] = bos, bos
+                counts = np.bincount(left * width + data, minlength=width * width)
+                seen = np.flatnonzero(counts)
+                for c, v in zip(by, key):
+                    out[c].append(pa.array([v] * len(seen), batch.schema.field(c).type))
+                out["a"].append(pa.array(seen // width, pa.int32()))
+                out["b"].append(pa.array(seen % width, pa.int32()))
+                out["n"].append(pa.array(counts[seen], pa.int64()))
+            if groups:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(v) for v in out.values()], names=list(out))
+
+    rows = docs.select(*by, F.col(text).cast("binary").alias("_text"))
+    return rows.mapInArrow(run, schema).groupBy(*by, "a", "b").agg(F.sum("n").alias("n"))
 
 
 def bigram_model(pairs: DataFrame, train: Column | None = None, vocab: int = N_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -97,14 +129,14 @@ def bits_per_byte(scored: DataFrame, by: Sequence[str], loss: str = "loss", n_by
 def valid_targets(tokens: DataFrame, token_bytes: DataFrame, target: str = "target") -> DataFrame:
     """FLT-14 + JN-03: keep targets >= 0 and attach their byte length (0 when unknown)."""
     tb = token_bytes.select(F.col("token_id").alias(target), "token_bytes")  # one row per vocabulary entry
-    j = tokens.where(F.col(target) >= 0).join(F.broadcast(tb), target, "left")
+    j = tokens.where(F.col(target) >= 0).join(tb, target, "left")
     return j.withColumn("token_bytes", F.coalesce("token_bytes", F.lit(0))).where(F.col("token_bytes") > 0)
 
 
 def with_token_bytes(tokens: DataFrame, token_bytes: DataFrame, target: str = "target") -> DataFrame:
     """JN-03: token -> byte length, 0 for ignored targets and specials."""
     tb = token_bytes.select(F.col("token_id").alias(target), "token_bytes")  # one row per vocabulary entry
-    return tokens.join(F.broadcast(tb), target, "left").withColumn(
+    return tokens.join(tb, target, "left").withColumn(
         "token_bytes", F.when(F.col(target) < 0, 0).otherwise(F.coalesce("token_bytes", F.lit(0))))
 
 

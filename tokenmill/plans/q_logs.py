@@ -269,6 +269,21 @@ def ema_q(spark, sf):
     return e.select("run", "step", F.round("ema", 6).alias("ema"))
 
 
+SLOW_BETA = 0.999
+
+
+@register("win04_ema_slow", sql=f"""
+WITH {RUN_STEPS_SQL}
+SELECT a.run, a.step,
+       round(sum((1 - {SLOW_BETA}) * pow({SLOW_BETA}, a.step - b.step) * b.metric) / (1 - pow({SLOW_BETA}, a.step + 1)), 6) AS ema
+FROM run_steps a JOIN run_steps b ON a.run = b.run AND b.step <= a.step
+GROUP BY a.run, a.step""")
+def ema_slow_q(spark, sf):
+    """A slow average: nearly all of the history counts."""
+    e = RL.ema(run_steps(spark, sf), "metric", SLOW_BETA)
+    return e.select("run", "step", F.round("ema", 6).alias("ema"))
+
+
 @register("win05_running_min", sql=f"""
 WITH {RUN_STEPS_SQL}
 SELECT run, step, min(metric) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
@@ -287,13 +302,14 @@ c AS (SELECT *, sum(CASE WHEN step > 10 THEN coalesce(dt, 0.0) ELSE 0.0 END)
                   OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS train_time
       FROM d)
 SELECT run, step, round(dt, 6) AS dt, round(CASE WHEN dt > 0 THEN 524288 / dt END, 6) AS tok_per_sec,
+       round(CASE WHEN dt > 0 THEN 100.0 * 6.0e8 * 524288 / dt / 1.0e15 END, 6) AS mfu,
        round(train_time, 6) AS train_time,
        round((total - step) * CASE WHEN step > 10 THEN train_time / (step - 10) END, 6) AS eta
 FROM c""")
 def throughput_q(spark, sf):
     s = run_steps(spark, sf).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("run")))
     t = RL.throughput(s, 524288, 6.0e8, 1.0e15)
-    return t.select("run", "step", F.round("dt", 6).alias("dt"), F.round("tok_per_sec", 6).alias("tok_per_sec"),
+    return t.select("run", "step", F.round("dt", 6).alias("dt"), F.round("tok_per_sec", 6).alias("tok_per_sec"), F.round("mfu", 6).alias("mfu"),
                     F.round("train_time", 6).alias("train_time"), F.round("eta", 6).alias("eta"))
 
 
