@@ -71,3 +71,89 @@ def test_prefix_sum_matches_running_sum(spark):
         run += k % 7
         exp.append((k, run))
     assert got == exp
+
+
+def test_strip_sees_unicode_white_space(spark):
+    import duckdb
+    from tokenmill.functions.text import strip, strip_sql
+    cases = [" a ", " \t\n\x0b\x0c\r\x1c\x85a b　\n", "", " ", "a​", "\nx\n\n"]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    assert [r["s"] for r in df.orderBy("i").select(strip("t").alias("s")).collect()] == [c.strip() for c in cases]
+    con = duckdb.connect()
+    assert [con.execute(f"SELECT {strip_sql('?')}", [c]).fetchall()[0][0] for c in cases] == [c.strip() for c in cases]
+
+
+def test_program_without_fence_loses_its_last_newline(spark):
+    df = spark.createDataFrame([("def f(x):\n    return 1\n",), ("x\n```python\n  y = 1 \n\n```\nz",)], "c string")
+    assert [r["p"] for r in df.select(CV.extract_program("c").alias("p")).collect()] == ["def f(x):\n    return 1", "y = 1"]
+
+
+def test_bytes_that_are_no_utf8_are_replaced(spark):
+    from tokenmill.functions.text import bytes_to_text
+    cases = [[0xFF, 0x41], [0xE2, 0x82], [0x41, 300, 0xC3, 0xA9], []]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, ids array<int>")
+    want = [bytes(x for x in c if x < 256).decode("utf-8", "replace") for c in cases]
+    assert [r["t"] for r in df.orderBy("i").select(bytes_to_text("ids").alias("t")).collect()] == want
+
+
+def test_calculator_floor_division():
+    from tokenmill.plans.q_tasks import _calc
+    assert [_calc(e) for e in ("7//2", "12/60", "2**3", "-(3+4)*2", "'abca'.count('a')", "1//0", "__import__")] == ["3", "0.2", None, "-14", "2", None, None]
+
+
+def test_ema_keeps_the_whole_history(spark):
+    for beta in (0.5, 0.9, 0.999):
+        df = spark.range(3000).select(F.lit(1).alias("run"), F.col("id").alias("step"), (F.sin("id") + 2).alias("x"))
+        got = [r["ema"] for r in RL.ema(df, "x", beta).orderBy("step").collect()]
+        xs = [r["x"] for r in df.orderBy("step").collect()]
+        s = 0.0
+        for t, (x, g) in enumerate(zip(xs, got)):
+            s = beta * s + (1 - beta) * x
+            assert abs(g - s / (1 - beta ** (t + 1))) < 1e-9
+
+
+def test_buckets_are_even_whatever_the_keys(spark):
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.exp(F.col("id") / 2000)).cast("double").alias("k"))
+    b, _ = O.range_bucket(df, ["k", "id"], rows_per_bucket=500)
+    sizes = [r["count"] for r in b.groupBy("_bkt").count().collect()]
+    assert max(sizes) <= 1000 and sum(sizes) == 20_000
+    got = [r["id"] for r in O.with_index(df, ["k", "id"], rows_per_bucket=500).orderBy("idx").collect()]
+    assert got == [r["id"] for r in df.orderBy("k", "id").collect()]
+
+
+def test_items_with_empty_spans_stay(spark):
+    from tokenmill.operators import evaluation as EV
+    choices = spark.createDataFrame([(1, 0, 1), (1, 1, 1), (2, 0, 0), (2, 1, 0)], "item_id int, choice int, gold int")
+    losses = spark.createDataFrame([(1, 1, 9.0)], "item_id int, choice int, loss double")
+    got = {r["item_id"]: (r["pred"], r["correct"]) for r in EV.decide_choice(losses, choices).collect()}
+    assert got == {1: (1, True), 2: (0, True)}
+    none = spark.createDataFrame([], "item_id int, argmax_token int, b int")
+    assert [r["correct"] for r in EV.decide_lm(none, choices.select("item_id").distinct()).collect()] == [True, True]
+
+
+def test_draw_above_the_rounded_sum_takes_the_last_token(spark):
+    from tokenmill.operators import evaluation as EV
+    s = spark.createDataFrame([(1, t, 0.1 * t) for t in range(10)], "g int, token int, logit double")
+    import unittest.mock as m
+    with m.patch.object(EV, "hash_unit", lambda *a: F.lit(1.0 + 1e-9)):
+        assert EV.topk_softmax(s, ["g"], 0, 1.0, 1).first()["sampled"] == 0
+
+
+def test_unmergeable_conversations_are_not_rendered(spark):
+    rows = [(1, [("system", "a"), ("assistant", "b")]), (2, [("user", "a"), ("tool", "b")]), (3, [("system", "s"), ("user", "a"), ("assistant", "b")])]
+    df = spark.createDataFrame([(i, [(k, r, t, None) for k, (r, t) in enumerate(m)]) for i, m in rows],
+                               "conv_id int, messages array<struct<turn:bigint,role:string,text:string,parts:array<struct<type:string,text:string>>>>")
+    assert [r["conv_id"] for r in CV.render(df).collect()] == [3]
+    assert {r["conv_id"]: r["reason"] for r in CV.unrenderable(df).collect()} == {1: "system_not_followed_by_user", 2: "bad_role"}
+
+
+def test_tool_calls_are_rendered_with_their_masks(spark):
+    parts = [("text", "a"), ("python", "1+1"), ("python_output", "2"), ("text", "b")]
+    df = spark.createDataFrame([(1, [(0, "user", "q", None), (1, "assistant", "", parts)])],
+                               "conv_id int, messages array<struct<turn:bigint,role:string,text:string,parts:array<struct<type:string,text:string>>>>")
+    r = CV.render(df).first()
+    sp = CV.byte_special
+    want = [(sp("<|bos|>"), 0), (sp("<|user_start|>"), 0), (ord("q"), 0), (sp("<|user_end|>"), 0), (sp("<|assistant_start|>"), 0), (ord("a"), 1),
+            (sp("<|python_start|>"), 1), *[(ord(c), 1) for c in "1+1"], (sp("<|python_end|>"), 1), (sp("<|output_start|>"), 0), (ord("2"), 0),
+            (sp("<|output_end|>"), 0), (ord("b"), 1), (sp("<|assistant_end|>"), 1)]
+    assert list(zip(r["ids"], r["mask"])) == want

@@ -151,21 +151,25 @@ def span_losses(spans: DataFrame, model, argmax: DataFrame, keys: Sequence[str])
     return sc.join(checked_broadcast(argmax, 300), "a", "left")
 
 
-def decide_choice(losses: DataFrame, gold: DataFrame, key: str = "item_id") -> DataFrame:
+def decide_choice(losses: DataFrame, choices: DataFrame, key: str = "item_id") -> DataFrame:
     """EVL-08: lowest mean loss over the span wins (first on ties), compared with gold.
 
-    Means are rounded to 1e-9 so that mathematically equal choices (duplicate
-    continuations) tie exactly whatever the summation order of the cluster.
+    ``choices`` has a row (key, choice, gold) for every choice of every item. A choice without losses (an empty
+    span) loses against any that has some; an item without any is decided for its first choice. Means are rounded
+    to 1e-9 so that mathematically equal choices (duplicate continuations) tie exactly whatever the summation order
+    of the cluster.
     """
     m = losses.groupBy(key, "choice").agg(F.round(F.avg("loss"), 9).alias("mean_loss"))
-    best = m.groupBy(key).agg(F.min_by("choice", F.struct("mean_loss", "choice")).alias("pred"))
-    return best.join(gold, key).withColumn("correct", F.col("pred") == F.col("gold"))
+    m = choices.select(key, "choice", "gold").join(m, [key, "choice"], "left")
+    mean = F.coalesce("mean_loss", F.lit(float("inf"))).alias("mean")
+    best = m.groupBy(key).agg(F.min_by("choice", F.struct(mean, "choice")).alias("pred"), F.max("gold").alias("gold"))
+    return best.withColumn("correct", F.col("pred") == F.col("gold"))
 
 
-def decide_lm(losses: DataFrame, key: str = "item_id") -> DataFrame:
-    """EVL-09: correct when every argmax prediction in the span equals the actual token."""
-    return losses.groupBy(key).agg(F.bool_and(F.coalesce(F.col("argmax_token") == F.col("b"), F.lit(False)))
-                                   .alias("correct"))
+def decide_lm(losses: DataFrame, items: DataFrame, key: str = "item_id") -> DataFrame:
+    """EVL-09: correct when every argmax prediction in the span equals the actual token; an empty span is correct."""
+    ok = losses.groupBy(key).agg(F.bool_and(F.coalesce(F.col("argmax_token") == F.col("b"), F.lit(False))).alias("_ok"))
+    return items.select(key).join(ok, key, "left").select(key, F.coalesce("_ok", F.lit(True)).alias("correct"))
 
 
 def decide_letter(scores: DataFrame, letters: DataFrame, key: str = "item_id") -> DataFrame:
@@ -201,8 +205,9 @@ def topk_softmax(scores: DataFrame, by: Sequence[str], k: int, temperature: floa
     r = r.withColumn("_p", F.col("_e") / F.sum("_e").over(wg))
     r = r.withColumn("_c", F.sum("_p").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     r = r.withColumn("_u", hash_unit(seed, *[F.col(b) for b in by]))
-    pick = r.where(F.col("_c") >= F.col("_u"))
-    return pick.groupBy(*by).agg(F.min_by(token, "_r").alias("sampled"))
+    # the last token stands in where rounding leaves the whole sum below the draw
+    return r.groupBy(*by).agg(F.coalesce(F.min_by(F.when(F.col("_c") >= F.col("_u"), F.col(token)), F.when(F.col("_c") >= F.col("_u"), F.col("_r"))),
+                                         F.max_by(token, "_r")).alias("sampled"))
 
 
 def trim_completions(df: DataFrame, tokens: str, stop_ids: Sequence[int], out: str = "completion") -> DataFrame:
@@ -230,7 +235,7 @@ def centered(acc: Column, baseline: Column, percent: bool = True) -> Column:
 
 def join_baselines(results: DataFrame, baselines: DataFrame, task: str = "task") -> DataFrame:
     """JN-01: results with their random baseline; a missing baseline is an error."""
-    j = results.join(F.broadcast(baselines), task, "left")  # one row per task
+    j = results.join(baselines, task, "left")
     return j.withColumn("baseline", F.when(F.col("baseline").isNull(),
                                            F.raise_error(F.concat(F.lit("no baseline for task "), F.col(task))))
                         .otherwise(F.col("baseline")))
@@ -255,11 +260,12 @@ def any_pass_rate(outcomes: DataFrame, problem: str = "problem", correct: str =
     return per.agg(F.count(F.lit(1)).alias("n_problems"), F.avg(F.col("passed").cast("double")).alias("pass_rate"))
 
 
-def pass_at_k(outcomes: DataFrame, n: int, problem: str = "problem", sample: str = "sample",
+def pass_at_k(outcomes: DataFrame, n: int | None = None, problem: str = "problem", sample: str = "sample",
               correct: str = "correct") -> DataFrame:
-    """AGG-08: pass@k for k = 1..n: share of problems with a correct sample among the first k."""
+    """AGG-08: pass@k for k = 1..n: share of problems with a correct sample among the first k; n defaults to all samples."""
+    top = F.lit(n).cast("bigint") if n is not None else (outcomes.agg(F.max(sample)).scalar() + 1).cast("bigint")
     first = outcomes.groupBy(problem).agg(F.min(F.when(F.col(correct), F.col(sample))).alias("first_ok"))
-    ks = first.select("first_ok", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("k"))
+    ks = first.select("first_ok", F.explode(F.sequence(F.lit(1).cast("bigint"), top)).alias("k"))
     return ks.groupBy("k").agg(F.avg(F.when(F.col("first_ok") < F.col("k"), 1.0).otherwise(0.0)).alias("pass_at_k"))
 
 

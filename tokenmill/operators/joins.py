@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.operators.ordering import checked_broadcast
-
-MAX_PATTERNS = 100_000  # pattern tables are rule lists; beyond this they are shuffled, not broadcast
-
 
 def grade_choice(pred: DataFrame, gold: DataFrame, key: str = "item_id", domain: str | None = None) -> DataFrame:
     """JN-04: prediction joined with gold; optional answer-domain check (prediction must be a valid letter)."""
@@ -19,19 +15,25 @@ def grade_choice(pred: DataFrame, gold: DataFrame, key: str = "item_id", domain:
     return j.withColumn("correct", ok)
 
 
-def first_match(df: DataFrame, text: str, patterns: DataFrame, default: float, n_patterns: int | None = None,
-                key: str = "id") -> DataFrame:
+def first_match(df: DataFrame, text: str, patterns: DataFrame, default: float, key: str = "id", width: int = 3) -> DataFrame:
     """JN-05: ordered rules ``(priority, substrings ARRAY<STRING>, value)``: the first rule whose
-    substrings all occur in ``text`` gives the value, else ``default``.
+    substrings all occur in ``text`` (any case) gives the value, else ``default``.
 
-    A broadcast nested-loop (theta) join against the rule table, then
-    ``min_by(value, priority)`` per row; rows without a match keep the default
-    through a left join.
+    A rule is filed under the first ``width`` characters of its longest substring, a text under all its runs of up
+    to ``width`` characters; an equi-join on these finds the candidates, which are then checked. Rules of shorter
+    substrings are filed under all they have, rules without any under the empty run, which every text has.
     """
-    p = checked_broadcast(patterns, n_patterns if n_patterns is not None else MAX_PATTERNS + 1, MAX_PATTERNS)
-    t = F.lower(F.col(text))
-    cond = F.forall(F.col("substrings"), lambda s: t.contains(F.lower(s)))
-    hits = df.select(key, text).join(p, cond).groupBy(key).agg(F.min_by("value", "priority").alias("value"))
+    subs = F.transform("substrings", lambda s: F.lower(s))
+    longest = F.coalesce(F.max_by("_s", F.length("_s")), F.lit(""))
+    filed = patterns.select("priority", "value", subs.alias("_subs"))
+    grams = filed.select("priority", "value", "_subs", F.explode_outer("_subs").alias("_s")).groupBy("priority", "value", "_subs").agg(
+        F.substring(longest, 1, width).alias("_g"))
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
+    runs = F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(low, i, F.lit(k)) for k in range(width + 1)])))
+    t = df.select(key, low.alias("_t"), F.explode(F.array_distinct(runs)).alias("_g"))
+    hits = t.join(grams, "_g").where(F.forall("_subs", lambda s: F.contains(F.col("_t"), s)))
+    hits = hits.groupBy(key).agg(F.min_by("value", "priority").alias("value"))
     return df.join(hits, key, "left").withColumn("value", F.coalesce("value", F.lit(float(default))))
 
 

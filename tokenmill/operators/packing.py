@@ -8,7 +8,7 @@ so the sequential step never carries text.
 * :func:`pack_concat` (PCK-06) is declarative: a global prefix sum of lengths
   and an ``explode(sequence(first_row, last_row))``.
 * Best-fit / greedy / first-fit-decreasing (PCK-01..05) are sequential per
-  group (= data-parallel rank, as in the reference). Each group is streamed
+  group (= a data-parallel rank's part of a stretch of shards). Each group is streamed
   through ``mapInPandas`` in ``pos`` order with a bounded buffer; state is
   the buffer, never the group.
 """
@@ -16,9 +16,11 @@ so the sequential step never carries text.
 from __future__ import annotations
 
 import bisect
+import heapq
 from collections import deque
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,14 +87,16 @@ def pack_report(plan: DataFrame, capacity: int, by: Sequence[str] = ()) -> DataF
                     F.round((slots - F.col("kept")) * 100.0 / slots, 6).alias("pad_pct"))
 
 
-def pack_progress(per_row: DataFrame, size: int) -> DataFrame:
+def pack_progress(per_row: DataFrame, size, rows_per_task: int | None = None) -> DataFrame:
     """PCK-11: ``(grp, row_id, new_docs)`` -> consumed / size per row (clamped) and the last-row flag.
 
-    Runs on the per-row table (one row per packed sequence, not per token).
+    Runs on the per-row table (one row per packed sequence, not per token). With ``rows_per_task`` the rows are one
+    sequence of dense row ids, summed up in stretches; ``size`` is a number or a scalar subquery.
     """
     w = Window.partitionBy("grp").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
-    c = per_row.withColumn("consumed", F.sum("new_docs").over(w))
-    return c.withColumn("progress", F.least(F.lit(1.0), F.col("consumed") / float(size))) \
+    c = per_row.withColumn("consumed", F.sum("new_docs").over(w)) if rows_per_task is None else prefix_sum(
+        per_row, "new_docs", ["row_id"], name="consumed", bucket=F.floor(F.col("row_id") / rows_per_task))
+    return c.withColumn("progress", F.least(F.lit(1.0), F.col("consumed") / size)) \
             .withColumn("last_step", F.col("consumed") >= size)
 
 
@@ -150,50 +154,58 @@ def _batches(docs: Iterable[tuple[int, int, object]]) -> Iterator[list[tuple[int
         yield cur
 
 
-def bestfit(docs: Iterable[tuple[int, int, object]], capacity: int, buffer: int, crop: bool
-            ) -> Iterator[tuple[int, int, int, int, int]]:
-    """PCK-01 (crop=True) / PCK-02 (crop=False). Yields (row, slot, doc, take, n).
-
-    Before each placement the buffer is refilled (whole batches) up to
-    ``buffer`` docs. Largest doc that fits goes first; when nothing fits the
-    row is completed by cropping the shortest doc (crop) or by padding (pad).
-    Over-long docs never fit in pad mode: callers divert them beforehand.
+class BestFitPacker:
+    """Push-based best fit: docs arrive in refill batches. A placement happens only once the buffer is full or the
+    input has ended. The largest doc that fits goes first (the earliest of equals); when nothing fits, the row is
+    completed by cropping the shortest doc, or by padding. Over-long docs never fit in pad mode: callers divert them.
     """
-    src = _batches(docs)
-    buf = _Buffer()
-    exhausted = False
-    row = 0
-    while True:
-        pos, slot = 0, 0
-        started = False
-        while pos < capacity:
-            while buf.size < buffer and not exhausted:
-                b = next(src, None)
-                if b is None:
-                    exhausted = True
-                else:
-                    for d, n in b:
-                        buf.add(d, n)
-            if buf.size == 0:
-                break
-            hit = buf.largest_fitting(capacity - pos)
+
+    def __init__(self, capacity: int, buffer: int, crop: bool):
+        self.capacity, self.buffer, self.crop = capacity, buffer, crop
+        self.buf = _Buffer()
+        self.row, self.pos, self.slot, self.started = 0, 0, 0, False
+
+    def _end_row(self):
+        self.row, self.pos, self.slot, self.started = self.row + 1, 0, 0, False
+
+    def add_batch(self, batch):
+        for d, n in batch:
+            self.buf.add(d, n)
+        yield from self.pump(final=False)
+
+    def pump(self, final: bool):
+        while True:
+            if self.buf.size < self.buffer and not final:
+                return
+            if self.buf.size == 0:
+                if self.started:
+                    self._end_row()
+                return
+            hit = self.buf.largest_fitting(self.capacity - self.pos)
             if hit is not None:
                 d, n = hit
-                yield row, slot, d, n, n
-                pos += n
-            elif crop:
-                d, n = buf.shortest()
-                yield row, slot, d, capacity - pos, n
-                pos = capacity
+                yield self.row, self.slot, d, n, n
+                self.pos += n
+            elif self.crop:
+                d, n = self.buf.shortest()
+                yield self.row, self.slot, d, self.capacity - self.pos, n
+                self.pos = self.capacity
             else:
-                break  # pad the rest of the row
-            slot += 1
-            started = True
-        if not started:
-            return
-        row += 1
-        if buf.size == 0 and exhausted:
-            return
+                self._end_row()  # pad the rest of the row
+                continue
+            self.slot += 1
+            self.started = True
+            if self.pos >= self.capacity:
+                self._end_row()
+
+
+def bestfit(docs: Iterable[tuple[int, int, object]], capacity: int, buffer: int, crop: bool
+            ) -> Iterator[tuple[int, int, int, int, int]]:
+    """PCK-01 (crop=True) / PCK-02 (crop=False). Yields (row, slot, doc, take, n)."""
+    packer = BestFitPacker(capacity, buffer, crop)
+    for batch in _batches(docs):
+        yield from packer.add_batch(batch)
+    yield from packer.pump(final=True)
 
 
 def greedy(docs: Iterable[tuple[int, int, object]], capacity: int, crop: bool
@@ -220,44 +232,33 @@ def greedy(docs: Iterable[tuple[int, int, object]], capacity: int, crop: bool
             row, pos, slot = row + 1, 0, 0
 
 
-def ffd(docs: Iterable[tuple[int, int, object]], capacity: int, buffer: int
-        ) -> Iterator[tuple[int, int, int, int, int]]:
-    """PCK-05: first-fit decreasing on consecutive windows of ``buffer`` docs.
+def ffd(docs: Iterable[tuple[int, int, object]], capacity: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """PCK-05: first-fit decreasing over the whole group; docs come longest first (:func:`pack` sorts them).
 
-    Docs longer than the capacity are cropped to it; rows are padded.
+    Docs longer than the capacity are cropped to it; rows are padded. The state is the open rows by their free
+    room: for each room the rows that have it, and the lowest of them; full rows are forgotten.
     """
-    row0 = 0
-    window: list[tuple[int, int]] = []
-
-    def flush(win):
-        nonlocal row0
-        order = sorted(range(len(win)), key=lambda i: (-min(win[i][1], capacity), i))
-        free: list[int] = []
-        slots: list[int] = []
-        out = []
-        for i in order:
-            d, n = win[i]
-            take = min(n, capacity)
-            for r, room in enumerate(free):
-                if room >= take:
-                    free[r] -= take
-                    out.append((row0 + r, slots[r], d, take, n))
-                    slots[r] += 1
-                    break
-            else:
-                free.append(capacity - take)
-                slots.append(1)
-                out.append((row0 + len(free) - 1, 0, d, take, n))
-        row0 += len(free)
-        return out
-
+    none = np.iinfo(np.int64).max
+    rows: list[list[int]] = [[] for _ in range(capacity + 1)]
+    lowest = np.full(capacity + 1, none, np.int64)
+    slots: dict[int, int] = {}
+    made = 0
     for d, n, _ in docs:
-        window.append((d, n))
-        if len(window) == buffer:
-            yield from flush(window)
-            window = []
-    if window:
-        yield from flush(window)
+        take = min(n, capacity)
+        room = take + int(lowest[take:].argmin())
+        if lowest[room] == none:
+            row, room, made = made, capacity, made + 1
+            slots[row] = 0
+        else:
+            row = heapq.heappop(rows[room])
+            lowest[room] = rows[room][0] if rows[room] else none
+        yield row, slots[row], d, take, n
+        if left := room - take:
+            slots[row] += 1
+            heapq.heappush(rows[left], row)
+            lowest[left] = rows[left][0]
+        else:
+            del slots[row]
 
 
 def pack_rejects(df: DataFrame, capacity: int, n: str = "n_tokens") -> DataFrame:
@@ -278,7 +279,7 @@ def run_kernel(algo: str, docs, capacity: int, buffer: int):
     if algo == "greedy_pad":
         return greedy(docs, capacity, crop=False)
     if algo == "ffd":
-        return ffd(docs, capacity, buffer)
+        return ffd(docs, capacity)
     raise ValueError(algo)
 
 
@@ -286,9 +287,9 @@ def pack(df: DataFrame, algo: str, capacity: int, buffer: int = 1000, group: str
          n: str = "n_tokens", batch: str | None = None, batch_size: int = 128) -> DataFrame:
     """PCK-01..05 plan: one sequential pass per group with a bounded buffer.
 
-    Rows are hash-partitioned by ``group`` and sorted by ``(group, order)``
-    inside each partition; the kernel streams the Arrow batches of a
-    partition and restarts whenever the group changes.
+    Rows are hash-partitioned by ``group`` into as many partitions as the session has for shuffles (a fixed number,
+    so that small groups aren't merged into one task) and sorted by ``(group, order)`` inside each, by length first
+    for first-fit decreasing; the kernel streams the Arrow batches of a partition and restarts whenever the group changes.
     """
     if algo not in ALGOS:
         raise ValueError(f"unknown packing algorithm {algo}")
@@ -298,7 +299,9 @@ def pack(df: DataFrame, algo: str, capacity: int, buffer: int = 1000, group: str
     src = (df.select(F.col(group).cast("bigint").alias("grp"), F.col(order).cast("bigint").alias("pos"),
                      F.col("doc_id").cast("bigint").alias("doc_id"), F.col(n).cast("bigint").alias("n"),
                      bcol.cast("bigint").alias("bkey"))
-             .repartition("grp").sortWithinPartitions("grp", "pos"))
+             .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grp"))
+    first = [F.desc(F.least(F.col("n"), F.lit(capacity)))] if algo == "ffd" else []
+    src = src.sortWithinPartitions("grp", *first, "pos")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows():
@@ -336,49 +339,6 @@ def pack(df: DataFrame, algo: str, capacity: int, buffer: int = 1000, group: str
 # ----------------------------------------------------------------------------- UDF-05: packing as a table function
 
 
-class BestFitPacker:
-    """Push-based best fit (same placements as :func:`bestfit`): docs arrive in refill batches;
-    a placement happens only once the buffer is full or the input has ended."""
-
-    def __init__(self, capacity: int, buffer: int, crop: bool):
-        self.capacity, self.buffer, self.crop = capacity, buffer, crop
-        self.buf = _Buffer()
-        self.row, self.pos, self.slot, self.started = 0, 0, 0, False
-
-    def _end_row(self):
-        self.row, self.pos, self.slot, self.started = self.row + 1, 0, 0, False
-
-    def add_batch(self, batch):
-        for d, n in batch:
-            self.buf.add(d, n)
-        yield from self.pump(final=False)
-
-    def pump(self, final: bool):
-        while True:
-            if self.buf.size < self.buffer and not final:
-                return
-            if self.buf.size == 0:
-                if self.started:
-                    self._end_row()
-                return
-            hit = self.buf.largest_fitting(self.capacity - self.pos)
-            if hit is not None:
-                d, n = hit
-                yield self.row, self.slot, d, n, n
-                self.pos += n
-            elif self.crop:
-                d, n = self.buf.shortest()
-                yield self.row, self.slot, d, self.capacity - self.pos, n
-                self.pos = self.capacity
-            else:
-                self._end_row()  # pad the rest of the row
-                continue
-            self.slot += 1
-            self.started = True
-            if self.pos >= self.capacity:
-                self._end_row()
-
-
 def make_pack_udtf(capacity: int, buffer: int, crop: bool = True):
     """UDF-05: ``SELECT * FROM pack(TABLE(t) PARTITION BY grp ORDER BY pos)``.
 

@@ -250,6 +250,16 @@ def spelling_rows(words: DataFrame, n: int, split: str = "train", seed_offset: i
                     F.concat("word", F.lit(":"), F.array_join(F.split("word", ""), ",")).alias("assistant"))
 
 
+def three_positions(row: str, n: Column) -> Column:
+    """Three different positions below ``n`` (all there are, if ``n`` is smaller) in an order drawn by hash for each row."""
+    a = _h("m1", F.col(row)) % n
+    b = (a + 1 + _h("m2", F.col(row)) % F.greatest(n - 1, F.lit(1))) % n
+    r = _h("m3", F.col(row)) % F.greatest(n - 2, F.lit(1))
+    r = r + (r >= F.least(a, b)).cast("bigint")
+    c = r + (r >= F.greatest(a, b)).cast("bigint")
+    return F.slice(F.array(a, b, c), F.lit(1), F.least(n, F.lit(3)).cast("int"))
+
+
 def generation_summary(df: DataFrame, status: str = "status") -> DataFrame:
     """GEN-05: success / error accounting of a generation run."""
     total = df.agg(F.count(F.lit(1))).scalar()

@@ -58,7 +58,7 @@ def row_group_stride(spark, sf):
 @register("src04_assign_rank", sql=f"""
 WITH {CORPUS_SQL}
 SELECT CAST(rg_idx % 3 AS BIGINT) AS rank, CAST(count(*) AS BIGINT) AS n_docs,
-       CAST(count(DISTINCT shard_idx * 1000 + rg_idx) AS BIGINT) AS n_row_groups,
+       CAST(count(DISTINCT (shard_idx, rg_idx)) AS BIGINT) AS n_row_groups,
        CAST(sum(n_chars) AS BIGINT) AS n_chars
 FROM corpus_split WHERE split = 'train' GROUP BY rg_idx % 3
 """)
@@ -66,7 +66,7 @@ def assign_rank(spark, sf):
     r = C.assign_rank(C.split(corpus(spark, sf), "train"), 3)
     return r.groupBy(F.col("rank").cast("bigint").alias("rank")).agg(
         F.count(F.lit(1)).alias("n_docs"),
-        F.countDistinct(F.col("shard_idx") * 1000 + F.col("rg_idx")).alias("n_row_groups"),
+        F.countDistinct("shard_idx", "rg_idx").alias("n_row_groups"),
         F.sum("n_chars").cast("bigint").alias("n_chars"))
 
 
@@ -99,15 +99,15 @@ def resume_scan(spark, sf):
 
 
 @register("src07_repeat_epochs", sql=f"""
-WITH {CORPUS_SQL}, e AS (SELECT doc_id, pos, unnest(range(1, 4)) AS epoch FROM corpus_split WHERE split = 'val')
+WITH {CORPUS_SQL}, e AS (SELECT doc_id, pos, unnest(range(1, 4)) AS epoch FROM corpus)
 SELECT doc_id, CAST(epoch AS BIGINT) AS epoch,
        CAST(row_number() OVER (ORDER BY epoch, pos) - 1 AS BIGINT) AS seq
 FROM e
 """)
 def repeat_epochs(spark, sf):
-    val = C.split(corpus(spark, sf), "val").select("doc_id", "pos")
-    n = val.agg(F.max("pos") + 1).scalar()
-    e = C.repeat_epochs(val, 3).withColumn("_k", (F.col("epoch") - 1) * n + F.col("pos"))
+    docs = corpus(spark, sf).select("doc_id", "pos")
+    n = docs.agg(F.max("pos") + 1).scalar()
+    e = C.repeat_epochs(docs, 3).withColumn("_k", (F.col("epoch") - 1) * n + F.col("pos"))
     return ordering.with_index(e, ["_k"], name="seq").select("doc_id", F.col("epoch").cast("bigint").alias("epoch"), "seq")
 
 

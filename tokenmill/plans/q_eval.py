@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from tokenmill.functions.hashing import hash_sql
+from tokenmill.functions.text import strip_sql as text_strip_sql
 from tokenmill.operators import evaluation as EV
 from tokenmill.operators import scoring
 from tokenmill.plans.catalog import register
@@ -15,7 +16,6 @@ from tokenmill.plans.derived import CORPUS_SQL, byte_rows_sql, corpus_split, eva
 K = 2             # shots
 SHOT_SEED = 1234
 DELIM = " "
-MAXLEN = 1024     # model context for the decision queries
 CROP_DEMO = 256   # context used by the crop query
 
 
@@ -55,12 +55,12 @@ def lm_spans(spark, sf):
 def decide(spark, sf, kind):
     m, amax = model(spark, sf)
     if kind == "lm":
-        s = EV.left_crop(lm_spans(spark, sf), MAXLEN)
-        return EV.decide_lm(EV.span_losses(s, m, amax, ["item_id"]))
-    s = EV.left_crop(spans(spark, sf, kind), MAXLEN)
-    losses = EV.span_losses(s, m, amax, ["item_id", "choice"])
-    gold = s.select("item_id", F.col("gold").cast("bigint").alias("gold")).distinct()
-    return EV.decide_choice(losses, gold)
+        s = lm_spans(spark, sf)
+        return EV.decide_lm(EV.span_losses(s, m, amax, ["item_id"]), items(spark, sf))
+    losses = EV.span_losses(spans(spark, sf, kind), m, amax, ["item_id", "choice"])
+    options = F.posexplode("choices" if kind == "mc" else "context_options").alias("choice", "_o")
+    choices = items(spark, sf).select("item_id", F.col("gold").cast("bigint").alias("gold"), options)
+    return EV.decide_choice(losses, choices.withColumn("choice", F.col("choice").cast("bigint")))
 
 
 _RESULTS: dict = {}
@@ -103,7 +103,7 @@ def _prefix_sql(shot_expr: str) -> str:
 
 
 def strip_sql(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return text_strip_sql(x)
 
 
 PROMPTS_MC_SQL = f"""{SHOTS_SQL},
@@ -173,8 +173,9 @@ scored AS (
 
 
 def decide_choice_sql(prompts_sql: str, side: str) -> str:
-    return f"""{spans_sql(prompts_sql, side)}, {crop_sql(MAXLEN)}, {MODEL_SQL}, {SCORED_SQL},
-mlo AS (SELECT item_id, choice, round(avg(loss), 9) AS mean_loss FROM scored GROUP BY item_id, choice),
+    return f"""{spans_sql(prompts_sql, side)}, crop AS (SELECT * FROM spans), {MODEL_SQL}, {SCORED_SQL},
+mlo AS (SELECT p.item_id, p.choice, coalesce(round(avg(s.loss), 9), 'inf'::DOUBLE) AS mean_loss
+        FROM prompts p LEFT JOIN scored s USING (item_id, choice) GROUP BY ALL),
 pred AS (SELECT item_id, first(choice ORDER BY mean_loss, choice) AS pred FROM mlo GROUP BY item_id),
 decided AS (SELECT p.item_id, CAST(p.pred AS BIGINT) AS pred, CAST(g.gold AS BIGINT) AS gold, p.pred = g.gold AS correct
             FROM pred p JOIN (SELECT DISTINCT item_id, gold FROM prompts) g USING (item_id))"""
@@ -186,8 +187,9 @@ spans AS (
          CAST(len({tok_list("prompt_without")}) AS BIGINT) AS s_start,
          CAST(len({tok_list("prompt_with")}) AS BIGINT) AS s_end
   FROM lm),
-{crop_sql(MAXLEN)}, {MODEL_SQL}, {SCORED_SQL},
-lm_decided AS (SELECT item_id, bool_and(coalesce(argmax_token = b, false)) AS correct FROM scored GROUP BY item_id)"""
+crop AS (SELECT * FROM spans), {MODEL_SQL}, {SCORED_SQL},
+lm_decided AS (SELECT item_id, coalesce(bool_and(coalesce(argmax_token = b, false)) FILTER (WHERE b IS NOT NULL), true) AS correct
+               FROM lm LEFT JOIN scored USING (item_id) GROUP BY item_id)"""
 
 
 def results_sql() -> str:

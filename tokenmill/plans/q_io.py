@@ -22,8 +22,8 @@ CHARS_PER_SHARD = 150_000
 RG = 16
 
 
-def _plan(spark, sf):
-    return IO.reshard_plan(table(spark, sf, "documents"), CHARS_PER_SHARD, RG, seed=42)
+def _plan(spark, sf, drop_tail=True):
+    return IO.reshard_plan(table(spark, sf, "documents"), CHARS_PER_SHARD, RG, seed=42, drop_tail=drop_tail)
 
 
 RESHARD_SQL = f"""WITH RECURSIVE
@@ -43,6 +43,9 @@ plan AS (SELECT p.doc_id, p.n, CAST(f.shard AS BIGINT) AS shard_idx, CAST(f.rg_i
          FROM p JOIN f ON p.pos // {RG} = f.rg)"""
 
 
+WHOLE_RESHARD_SQL = RESHARD_SQL.replace(" WHERE shard <= (SELECT max(shard) FROM t WHERE closes)", "")
+
+
 @register("snk01_reshard_plan", sql=f"{RESHARD_SQL} SELECT doc_id, shard_idx, rg_idx FROM plan")
 def reshard_plan_q(spark, sf):
     return _plan(spark, sf).select("doc_id", "shard_idx", F.col("rg_idx").cast("bigint").alias("rg_idx"))
@@ -60,7 +63,7 @@ def reshard_files_q(spark, sf):
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.char_length("text")).cast("bigint").alias("n_chars"))
 
 
-@register("src01_scan_corpus_files", sql=f"""{RESHARD_SQL}
+@register("src01_scan_corpus_files", sql=f"""{WHOLE_RESHARD_SQL}
 SELECT shard_idx, CAST(count(*) AS BIGINT) AS n_docs, CAST(count(DISTINCT rg_idx) AS BIGINT) AS n_row_groups,
        CAST(max(CASE WHEN shard_idx = (SELECT max(shard_idx) FROM plan) THEN 1 ELSE 0 END) AS BIGINT) AS is_val
 FROM plan GROUP BY shard_idx""")
@@ -68,7 +71,7 @@ def scan_corpus_files_q(spark, sf):
     """Resharded files scanned back as a corpus: shard from the sorted file listing, row group
     from ``_metadata.row_index``, split from the last shard."""
     path = scratch(spark, "src01")
-    IO.write_reshard(table(spark, sf, "documents"), _plan(spark, sf), path)
+    IO.write_reshard(table(spark, sf, "documents"), _plan(spark, sf, drop_tail=False), path)
     c = C.with_split(C.scan_corpus(spark, path, rows_per_group=RG))
     return c.groupBy(F.col("shard_idx").cast("bigint").alias("shard_idx")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.countDistinct("rg_idx").alias("n_row_groups"),

@@ -19,15 +19,15 @@ from tokenmill.plans.catalog import register
 from tokenmill.plans.derived import RUN_STEPS_SQL, eval_items, eval_items_sql, run_steps
 from tokenmill.plans.q_conversation import MSG_SQL, chat_ok
 from tokenmill.plans.q_eval import MODEL_SQL, model
-from tokenmill.plans.q_io import RESHARD_SQL, _plan
+from tokenmill.plans.q_io import WHOLE_RESHARD_SQL, _plan
 from tokenmill.plans.q_logs import CLASSIFY_SQL, RUN_LOG_SQL, TAG_SQL, run_log, tags
 from tokenmill.plans.q_tasks import ANSWER_SQL, MATH_SQL, math_rows
 from tokenmill.session import table
 from tokenmill.streaming.jobs import scratch
 
 RENDER_SQL = f"""{MSG_SQL},
-r AS (SELECT conv_id, list_concat([256], flatten(list(ids ORDER BY i)))[1:2048] AS ids,
-             list_concat([0], flatten(list(mask ORDER BY i)))[1:2048] AS mask
+r AS (SELECT conv_id, list_concat([256], flatten(list(ids ORDER BY i))) AS ids,
+             list_concat([0], flatten(list(mask ORDER BY i))) AS mask
       FROM mids GROUP BY conv_id)"""
 
 
@@ -38,7 +38,7 @@ r AS (SELECT conv_id, list_concat([256], flatten(list(ids ORDER BY i)))[1:2048]
 WITH {RENDER_SQL}, t AS (SELECT conv_id, CAST(unnest(range(0, len(ids))) AS BIGINT) AS pos, unnest(ids) AS token FROM r)
 SELECT conv_id AS seq_id, pos, token, lead(token) OVER (PARTITION BY conv_id ORDER BY pos) AS target FROM t""")
 def align_next_q(spark, sf):
-    r = CV.render(chat_ok(spark, sf)).select(F.col("conv_id").alias("seq_id"), F.posexplode("ids").alias("pos", "token"))
+    r = CV.render(chat_ok(spark, sf), max_tokens=None).select(F.col("conv_id").alias("seq_id"), F.posexplode("ids").alias("pos", "token"))
     return scoring.align_next(r.withColumn("pos", F.col("pos").cast("bigint"))).select("seq_id", "pos", "token", "target")
 
 
@@ -52,7 +52,7 @@ SELECT CAST(count(*) AS BIGINT) AS n_targets, CAST(count(*) AS BIGINT) AS n_byte
 FROM s""")
 def bpb_conversations_q(spark, sf):
     """SFT-style validation bpb: masked targets ignored (FLT-14), token bytes joined (JN-03), AGG-01."""
-    r = CV.render(chat_ok(spark, sf)).withColumn("tg", CV.targets_from_mask("ids", "mask"))
+    r = CV.render(chat_ok(spark, sf), max_tokens=None).withColumn("tg", CV.targets_from_mask("ids", "mask"))
     e = r.select(F.posexplode("tg").alias("p", "target"), "ids")
     e = e.select(F.element_at("ids", F.col("p") + 1).alias("a"), "target")
     tb = TK.token_bytes_table(TK.byte_vocab(spark), mode="raw")
@@ -130,9 +130,9 @@ t AS (SELECT conv_id, gen, list_position(list_transform(gen, lambda x: x IN (260
 SELECT conv_id, CAST(len(CASE WHEN stop IS NULL THEN gen ELSE gen[1:stop - 1] END) AS BIGINT) AS n_completion
 FROM t""")
 def trim_completions_q(spark, sf):
-    r = CV.render(chat_ok(spark, sf))
+    r = CV.render(chat_ok(spark, sf), max_tokens=None)
     start = F.array_position("ids", 259)
-    c = r.where(start > 0).select("conv_id", F.slice("ids", (start + 1).cast("int"), 1 << 20).alias("gen"))
+    c = r.where(start > 0).select("conv_id", F.slice("ids", (start + 1).cast("int"), F.size("ids")).alias("gen"))
     t = EV.trim_completions(c, "gen", [260, 256])
     return t.select("conv_id", F.size("completion").cast("bigint").alias("n_completion"))
 
@@ -162,7 +162,7 @@ def first_match_q(spark, sf):
     """Ordered substring rules (derived from part types) applied to part descriptions; default = infinity."""
     t = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("txt"))
     rules = patterns(spark, sf)
-    return JN.first_match(t, "txt", rules, float("inf"), n_patterns=1000).select("id", "value")
+    return JN.first_match(t, "txt", rules, float("inf")).select("id", "value")
 
 
 ARTIFACTS = ["model_*.pt", "meta_*.json", "report.md"]
@@ -212,7 +212,7 @@ def verify_runs_q(spark, sf):
     return JN.verify_runs(runs, stops, missing)
 
 
-@register("win11_shard_eta", sql=f"""{RESHARD_SQL},
+@register("win11_shard_eta", sql=f"""{WHOLE_RESHARD_SQL},
 s AS (SELECT shard_idx, sum(n) AS chars FROM plan GROUP BY shard_idx),
 tt AS (SELECT shard_idx, sum(chars) OVER (ORDER BY shard_idx) / 100000.0 AS ts FROM s),
 ee AS (SELECT shard_idx, ts - lag(ts) OVER (ORDER BY shard_idx) AS elapsed FROM tt),
@@ -221,11 +221,13 @@ aa AS (SELECT shard_idx, elapsed, avg(elapsed) OVER (ORDER BY shard_idx ROWS BET
 SELECT shard_idx, round(elapsed, 6) AS elapsed, round(av * ((SELECT count(*) FROM s) - shard_idx - 1), 6) AS eta FROM aa""")
 def shard_eta_q(spark, sf):
     """Per-shard write time modelled as chars / 1e5 s; running-mean ETA over the remaining shards."""
+    from tokenmill.operators.ordering import prefix_sum
     from tokenmill.operators.stats import shard_eta
-    plan = _plan(spark, sf).join(table(spark, sf, "documents").select("doc_id", F.char_length("text").alias("n")), "doc_id")
+    plan = _plan(spark, sf, drop_tail=False).join(table(spark, sf, "documents").select("doc_id", F.char_length("text").alias("n")), "doc_id")
     s = plan.groupBy("shard_idx").agg(F.sum("n").alias("chars"))
     n = s.agg(F.count(F.lit(1))).first()[0]
-    t = s.withColumn("ts", F.sum("chars").over(Window.orderBy("shard_idx")) / 100000.0)
+    s = prefix_sum(s, "chars", ["shard_idx"], name="so_far", bucket=F.floor(F.col("shard_idx") / 4096))
+    t = s.withColumn("ts", F.col("so_far") / 100000.0)
     e = shard_eta(t, total_shards=n)
     return e.select("shard_idx", F.round("elapsed", 6).alias("elapsed"), F.round("eta", 6).alias("eta"))
 
@@ -235,7 +237,7 @@ WITH {RENDER_SQL}
 SELECT conv_id, CAST(max(len(ids)) OVER (PARTITION BY conv_id // 8) AS BIGINT) AS batch_len,
        CAST(max(len(ids)) OVER (PARTITION BY conv_id // 8) - len(ids) AS BIGINT) AS n_pad FROM r""")
 def pad_batch_q(spark, sf):
-    r = CV.render(chat_ok(spark, sf)).withColumn("batch", (F.col("conv_id") / 8).cast("bigint"))
+    r = CV.render(chat_ok(spark, sf), max_tokens=None).withColumn("batch", (F.col("conv_id") / 8).cast("bigint"))
     p = P.pad_batch(r, ["batch"], pad_id=256)
     return p.select("conv_id", F.col("batch_len").cast("bigint").alias("batch_len"),
                     (F.size("padded") - F.size("ids")).cast("bigint").alias("n_pad"))
@@ -291,7 +293,7 @@ def scan_runs_q(spark, sf):
 
 @TS.register_task("math")
 def math_task(spark, sf):
-    m = math_rows(spark, sf).withColumn("key", F.col("problem") * 1000 + F.col("sample"))
+    m = math_rows(spark, sf).withColumn("key", F.concat_ws("-", "problem", "sample"))
     return TS.Task("math", m, "key", grade=lambda ref, resp: EV.grade_numeric(CV.extract_answer(ref), CV.extract_answer(resp)))
 
 
@@ -326,8 +328,8 @@ def pack_udtf_q(spark, sf):
     """Best-fit crop as a Python UDTF over ``TABLE(t) PARTITION BY grp ORDER BY pos``."""
     from tokenmill.plans.q_packing import BUFFER, CAP, lengths
     spark.udtf.register("tm_pack_bestfit", P.make_pack_udtf(CAP, BUFFER, crop=True))
-    src = lengths(spark, sf).select(F.col("rank").cast("bigint").alias("grp"), F.col("pos").cast("bigint").alias("pos"),
-                                    "doc_id", F.col("n_tokens").alias("n"), F.col("batch").cast("bigint").alias("bkey"))
+    src = lengths(spark, sf).select("grp", F.col("pos").cast("bigint").alias("pos"), "doc_id", F.col("n_tokens").alias("n"),
+                                    F.col("batch").cast("bigint").alias("bkey"))
     src.createOrReplaceTempView("tm_pack_input")
     return spark.sql("SELECT * FROM tm_pack_bestfit(TABLE(tm_pack_input) PARTITION BY grp ORDER BY pos)")
 
@@ -343,7 +345,7 @@ SELECT CAST(count(*) AS BIGINT) AS n_targets, CAST(count(*) FILTER (WHERE target
        CAST(count(*) FILTER (WHERE target >= 256) AS BIGINT) AS n_special
 FROM pr""")
 def valid_targets_q(spark, sf):
-    r = CV.render(chat_ok(spark, sf)).withColumn("tg", CV.targets_from_mask("ids", "mask"))
+    r = CV.render(chat_ok(spark, sf), max_tokens=None).withColumn("tg", CV.targets_from_mask("ids", "mask"))
     e = r.select(F.explode("tg").alias("target"))
     tb = TK.token_bytes_table(TK.byte_vocab(spark), mode="raw")
     v = scoring.valid_targets(e, tb)
@@ -378,15 +380,19 @@ pick AS (SELECT i, c.cat, p.persona, d.dynamic FROM rows
          JOIN cats c ON c.ci = {hash_sql("dc", "i")} % (SELECT count(*) FROM cats)
          JOIN personas p ON p.pi = {hash_sql("dp", "i")} % (SELECT count(*) FROM personas)
          JOIN dyn d ON d.di = {hash_sql("dd", "i")} % (SELECT count(*) FROM dyn)),
-three AS (SELECT i, string_agg(m.mc || ': ' || ex.example, ' | ' ORDER BY rk) AS examples FROM (
-            SELECT i, mc, row_number() OVER (PARTITION BY i ORDER BY {hash_sql("dm", "i || ':' || mc")}, mc) AS rk
-            FROM rows, mcat) m JOIN ex USING (mc) WHERE rk <= 3 GROUP BY i)
+pos AS (SELECT mc, row_number() OVER (ORDER BY mc) - 1 AS pos, (SELECT count(*) FROM mcat) AS n FROM mcat),
+d2 AS (SELECT i, n, {hash_sql("m1", "i")} % n AS a, ({hash_sql("m1", "i")} % n + 1 + {hash_sql("m2", "i")} % (n - 1)) % n AS b,
+              {hash_sql("m3", "i")} % (n - 2) AS r FROM rows, (SELECT count(*) AS n FROM mcat)),
+d3 AS (SELECT *, r + CAST(r >= least(a, b) AS INTEGER) AS r1 FROM d2),
+d4 AS (SELECT i, unnest([a, b, r1 + CAST(r1 >= greatest(a, b) AS INTEGER)]) AS pos, unnest([0, 1, 2]) AS rk FROM d3),
+three AS (SELECT i, string_agg(mc || ': ' || ex.example, ' | ' ORDER BY rk) AS examples
+          FROM d4 JOIN pos USING (pos) JOIN ex USING (mc) GROUP BY i)
 SELECT pick.i, printf('Write a conversation about %s for a %s user, %s priority. Examples: %s', cat, persona, dynamic, examples)
        AS prompt
 FROM pick JOIN three USING (i)""")
 def diversity_prompts_q(spark, sf):
-    """GEN-04: stratified picks from dimension tables derived from the given tables (broadcast: each
-    is a set of distinct labels), three distinct message categories per row with one example each."""
+    """GEN-04: stratified picks from dimension tables derived from the given tables, and three distinct
+    message categories per row, drawn by position, with one example each."""
     from tokenmill.functions.hashing import hash_key
 
     def dim(df, col, idx):
@@ -401,13 +407,12 @@ def diversity_prompts_q(spark, sf):
     ex = ev.groupBy(F.col("event_type").alias("mc")).agg(F.min_by("props", "event_id").alias("example"))
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("i"))
     n = lambda d: d.agg(F.count(F.lit(1))).scalar()
-    pick = (rows.withColumn("ci", hash_key("dc", "i") % n(cats)).join(F.broadcast(cats), "ci")
-                .withColumn("pi", hash_key("dp", "i") % n(pers)).join(F.broadcast(pers), "pi")
-                .withColumn("di", hash_key("dd", "i") % n(dyn)).join(F.broadcast(dyn), "di"))
-    mcats = ex.agg(F.array_sort(F.collect_list("mc"))).scalar()  # scalar subquery: the message categories
-    r = rows.select("i", F.explode(mcats).alias("mc"))
-    r = r.withColumn("_h", hash_key("dm", F.concat_ws(":", F.col("i").cast("string"), "mc")))
-    r = topk(r, ["i"], [F.col("_h"), F.col("mc")], 3).join(F.broadcast(ex), "mc")
+    pick = (rows.withColumn("ci", hash_key("dc", "i") % n(cats)).join(cats, "ci")
+                .withColumn("pi", hash_key("dp", "i") % n(pers)).join(pers, "pi")
+                .withColumn("di", hash_key("dd", "i") % n(dyn)).join(dyn, "di"))
+    ex = ex.withColumn("pos", (F.dense_rank().over(Window.orderBy("mc")) - 1).cast("bigint"))
+    drawn = TS.three_positions("i", n(ex))
+    r = rows.select("i", F.posexplode(drawn).alias("rank", "pos")).join(ex, "pos")
     three = r.groupBy("i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(
         "mc", F.lit(": "), "example").alias("t")))), lambda x: x["t"]), " | ").alias("examples"))
     out = pick.join(three, "i")

@@ -10,24 +10,32 @@ from tokenmill.functions.text import byte_ids
 from tokenmill.operators import packing as P
 from tokenmill.operators.tokenizer import BYTE_BOS
 from tokenmill.plans.catalog import register
-from tokenmill.plans.derived import CORPUS_SQL, corpus_split
+from tokenmill.plans.derived import CORPUS_SQL, RG_ROWS, corpus_split
 from tokenmill.sources import corpus as C
 
 T = 2048
 CAP = T + 1          # row capacity (inputs and targets share one extra token)
-BUFFER = 100         # docs kept in the best-fit / FFD buffer
+BUFFER = 1000        # docs kept in the best-fit buffer
 WORLD = 2            # data-parallel ranks
+GROUP_SHARDS = 8     # shards whose row groups a rank packs together
 
 
 def lengths(spark, sf):
-    """Train split docs with their token count (BOS + bytes), rank and refill batch."""
-    tr = C.assign_rank(C.split(corpus_split(spark, sf), "train"), WORLD)
-    return tr.select("doc_id", "pos", "rank", (F.col("shard_idx") * 1000 + F.col("rg_idx")).alias("batch"),
-                     (F.octet_length("text") + 1).cast("bigint").alias("n_tokens"))
+    """Documents with their token count (BOS + bytes), pack group (split, rank, stretch of shards) and refill batch."""
+    d = C.assign_rank(corpus_split(spark, sf), WORLD)
+    stretch = F.floor(F.col("shard_idx") / GROUP_SHARDS)
+    grp = (stretch * WORLD + F.col("rank")) * 2 + (F.col("split") == "val").cast("int")
+    return d.select("doc_id", "pos", grp.cast("bigint").alias("grp"), F.floor(F.col("pos") / RG_ROWS).cast("bigint").alias("batch"),
+                    (F.octet_length("text") + 1).cast("bigint").alias("n_tokens"))
+
+
+LENGTHS_SQL = f"""{CORPUS_SQL},
+lengths AS (SELECT doc_id, pos, CAST(((shard_idx // {GROUP_SHARDS}) * {WORLD} + rg_idx % {WORLD}) * 2 + CAST(split = 'val' AS INTEGER) AS BIGINT) AS grp,
+                   CAST(octet_length(encode(text)) + 1 AS BIGINT) AS n_tokens FROM corpus_split)"""
 
 
 def plan(spark, sf, algo):
-    return P.pack(lengths(spark, sf), algo, CAP, BUFFER, batch="batch")
+    return P.pack(lengths(spark, sf), algo, CAP, BUFFER, group="grp", batch="batch")
 
 
 def _plan_q(algo):
@@ -36,15 +44,57 @@ def _plan_q(algo):
     return q
 
 
-for _id, _algo in (("pck01", "bestfit_crop"), ("pck02", "bestfit_pad"), ("pck03", "greedy_crop"),
-                   ("pck04", "greedy_pad"), ("pck05", "ffd")):
-    register(f"{_id}_{_algo}")(_plan_q(_algo))
+def _greedy_sql(crop: bool) -> str:
+    """One step per document of a group: where it starts, what it takes, and where the next one starts."""
+    over = f"t.pos > 0 AND g.n_tokens > {CAP} - t.pos"
+    if crop:  # what overflows fills the row
+        row, pos, slot = "t.row", "t.pos", "t.slot"
+    else:     # what overflows starts a row
+        row, pos, slot = (f"CASE WHEN {over} THEN {x} END" for x in ("t.row + 1 ELSE t.row", "0 ELSE t.pos", "0 ELSE t.slot"))
+    return f"""WITH RECURSIVE {LENGTHS_SQL},
+g AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY pos) AS rn FROM lengths),
+t(grp, rn, doc_id, n_tokens, at_row, at_slot, take, row, pos, slot) AS (
+  SELECT grp, CAST(0 AS BIGINT), NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+  FROM (SELECT DISTINCT grp FROM lengths)
+  UNION ALL
+  SELECT grp, rn, doc_id, n_tokens, r, s, k, CASE WHEN p + k >= {CAP} THEN r + 1 ELSE r END,
+         CASE WHEN p + k >= {CAP} THEN 0 ELSE p + k END, CASE WHEN p + k >= {CAP} THEN 0 ELSE s + 1 END
+  FROM (SELECT g.grp, g.rn, g.doc_id, g.n_tokens, {row} AS r, {slot} AS s, {pos} AS p,
+               least(g.n_tokens, {CAP} - ({pos})) AS k
+        FROM t JOIN g ON g.grp = t.grp AND g.rn = t.rn + 1))
+SELECT grp, at_row AS row_id, CAST(at_slot AS INTEGER) AS slot, doc_id, take, n_tokens FROM t WHERE rn > 0"""
+
+
+for _id, _algo, _sql in (("pck01", "bestfit_crop", None), ("pck02", "bestfit_pad", None), ("pck03", "greedy_crop", _greedy_sql(True)),
+                         ("pck04", "greedy_pad", _greedy_sql(False)), ("pck05", "ffd", None)):
+    register(f"{_id}_{_algo}", sql=_sql)(_plan_q(_algo))
+
+
+@register("pck_invariants", sql=f"""
+WITH {LENGTHS_SQL},
+a AS (SELECT unnest({list(P.ALGOS)!r}) AS algo),
+d AS (SELECT algo, n_tokens FROM lengths, a WHERE algo <> 'bestfit_pad' OR n_tokens <= {CAP})
+SELECT algo, count(*) AS n_docs, count(*) AS n_placed, CAST(sum(n_tokens) AS BIGINT) AS consumed, CAST(0 AS BIGINT) AS rows_over,
+       CAST(0 AS BIGINT) AS cropped_though_fitting, CAST(0 AS BIGINT) AS slots_missing
+FROM d GROUP BY algo""")
+def pack_invariants_q(spark, sf):
+    """What any plan must satisfy: each document once, no row over its capacity, only the last document of a row cropped,
+    or one longer than a row, slots without gaps."""
+    plans = reduce(lambda a, b: a.unionByName(b), [plan(spark, sf, x).withColumn("algo", F.lit(x)) for x in P.ALGOS])
+    rows = plans.groupBy("algo", "grp", "row_id").agg(
+        F.sum("take").alias("taken"), F.count(F.lit(1)).alias("n"), F.max("slot").alias("last"), F.sum("n_tokens").alias("consumed"),
+        F.count(F.when((F.col("take") < F.col("n_tokens")) & (F.col("n_tokens") <= CAP), 1)).alias("cropped"))
+    bad = (F.col("cropped") > 1) | ((F.col("cropped") == 1) & (F.col("taken") < CAP))
+    out = rows.groupBy("algo").agg(F.sum("n").alias("n_placed"), F.sum("consumed").alias("consumed"), F.count(F.when(F.col("taken") > CAP, 1)).alias("rows_over"),
+                                   F.count(F.when(bad, 1)).alias("cropped_though_fitting"), F.sum(F.col("last") + 1 - F.col("n")).alias("slots_missing"))
+    docs = plans.select("algo", "doc_id").distinct().groupBy("algo").agg(F.count(F.lit(1)).alias("n_docs"))
+    return out.join(docs, "algo").select("algo", "n_docs", "n_placed", "consumed", "rows_over", "cropped_though_fitting", "slots_missing")
 
 
 @register("pck02_bestfit_pad_rejects", sql=f"""
 WITH {CORPUS_SQL}
 SELECT doc_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS n_tokens
-FROM corpus_split WHERE split = 'train' AND octet_length(encode(text)) + 1 > {CAP}
+FROM corpus_split WHERE octet_length(encode(text)) + 1 > {CAP}
 """)
 def pad_rejects(spark, sf):
     return P.pack_rejects(lengths(spark, sf), CAP).select("doc_id", "n_tokens")
@@ -57,7 +107,7 @@ def pack_report_q(spark, sf):
 
 
 @register("pck07_min_crop", sql=f"""
-WITH {CORPUS_SQL}, d AS (SELECT octet_length(encode(text)) + 1 AS n FROM corpus_split WHERE split = 'train')
+WITH {CORPUS_SQL}, d AS (SELECT octet_length(encode(text)) + 1 AS n FROM corpus_split)
 SELECT CAST(sum(greatest(n - {CAP}, 0)) AS BIGINT) AS beyond, CAST(sum(n) AS BIGINT) AS total,
        round(sum(greatest(n - {CAP}, 0)) * 100.0 / sum(n), 6) AS min_crop_pct
 FROM d
@@ -67,7 +117,7 @@ def min_crop_q(spark, sf):
 
 
 CONCAT_SQL = f"""{CORPUS_SQL},
-d AS (SELECT doc_id, pos, text, octet_length(encode(text)) + 1 AS n FROM corpus_split WHERE split = 'train'),
+d AS (SELECT doc_id, pos, text, octet_length(encode(text)) + 1 AS n FROM corpus_split),
 p AS (SELECT *, CAST(sum(n) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS BIGINT) AS off
        FROM d),
 e AS (SELECT doc_id, text, n, off, unnest(range(off // {CAP}, (off + n - 1) // {CAP} + 1)) AS row_id FROM p),
@@ -89,7 +139,7 @@ def concat_q(spark, sf):
 
 def concat_rows(spark, sf):
     """Packed rows with their tokens: plan joined back to token arrays (text never enters the plan)."""
-    docs = C.split(corpus_split(spark, sf), "train").select(
+    docs = corpus_split(spark, sf).select(
         "doc_id", "pos", F.concat(F.array(F.lit(BYTE_BOS)), byte_ids("text")).alias("ids"),
         (F.octet_length("text") + 1).cast("bigint").alias("n_tokens"))
     p = P.pack_concat(docs.select("doc_id", "pos", "n_tokens"), CAP, bucket=(F.col("pos") / 4096).cast("bigint"))
@@ -147,10 +197,9 @@ FROM c
 """)
 def progress_q(spark, sf):
     ln = lengths(spark, sf)
-    size = ln.count()  # dataset size: one scalar
+    size = ln.agg(F.count(F.lit(1))).scalar()
     p = P.pack_concat(ln, CAP, bucket=(F.col("pos") / 4096).cast("bigint"))
-    per_row = p.groupBy(F.lit(0).alias("grp"), "row_id").agg(
-        F.count(F.when(F.col("start") == 0, 1)).alias("new_docs"))
-    pr = P.pack_progress(per_row, size)
+    per_row = p.groupBy("row_id").agg(F.count(F.when(F.col("start") == 0, 1)).alias("new_docs"))
+    pr = P.pack_progress(per_row, size, rows_per_task=4096)
     return pr.select("row_id", F.col("consumed").cast("bigint").alias("consumed"),
                      F.round("progress", 6).alias("progress"), "last_step")

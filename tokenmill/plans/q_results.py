@@ -15,7 +15,6 @@ from tokenmill.session import table
 CHAT_BASELINES = {"ARC-Easy": 0.25, "ARC-Challenge": 0.25, "MMLU": 0.25, "GSM8K": 0.0, "HumanEval": 0.0,
                   "SpellingBee": 0.0}
 CATEGORICAL = ["ARC-Easy", "ARC-Challenge", "MMLU"]
-N_SAMPLES = 4
 BASE_SQL = "CASE task " + " ".join(f"WHEN '{t}' THEN {b}" for t, b in CHAT_BASELINES.items()) + " END"
 
 
@@ -29,10 +28,10 @@ def any_pass_q(spark, sf):
 
 @register("agg08_pass_at_k", sql=f"""
 WITH {ROLLOUTS_SQL}, f AS (SELECT problem, min(sample) FILTER (WHERE correct) AS first_ok FROM rollouts GROUP BY problem),
-k AS (SELECT unnest(range(1, {N_SAMPLES + 1})) AS k)
+k AS (SELECT unnest(range(1, (SELECT CAST(max(sample) AS BIGINT) FROM rollouts) + 2)) AS k)
 SELECT CAST(k AS BIGINT) AS k, round(avg(CASE WHEN first_ok < k THEN 1.0 ELSE 0.0 END), 6) AS pass_at_k FROM f, k GROUP BY k""")
 def pass_at_k_q(spark, sf):
-    r = EV.pass_at_k(rollouts(spark, sf), N_SAMPLES)
+    r = EV.pass_at_k(rollouts(spark, sf))
     return r.select(F.col("k").cast("bigint").alias("k"), F.round("pass_at_k", 6).alias("pass_at_k"))
 
 
@@ -183,12 +182,11 @@ FROM part JOIN m USING (p_brand), g""")
 def apply_models_q(spark, sf):
     part = table(spark, sf, "part")
     brand = FT.linreg(part, "p_size", "p_retailprice", ["p_brand"]).select("p_brand", "slope", "intercept")
-    glob = FT.linreg(part.withColumn("_all", F.lit(1)), "p_size", "p_retailprice", ["_all"]).select("_all", "slope", "intercept")
-    a = FT.apply_models(part, brand, "p_size", "p_brand").select("p_partkey", "p_size", F.col("pred").alias("pred_brand"))
-    b = FT.apply_models(part.withColumn("_all", F.lit(1)), glob, "p_size", "_all").select("p_partkey", F.col("pred").alias("pred_global"))
-    j = a.join(b, "p_partkey")
-    return j.select("p_partkey", _r("pred_brand", 4), _r("pred_global", 4),
-                    F.round((F.col("pred_brand") + F.col("pred_global")) / 2, 4).alias("ensemble"))
+    whole = FT.linreg(part, "p_size", "p_retailprice", [])
+    slope, intercept = whole.select("slope").scalar(), whole.select("intercept").scalar()
+    j = FT.apply_models(part, brand, "p_size", "p_brand").withColumn("pred_global", intercept + slope * F.col("p_size"))
+    return j.select("p_partkey", F.round("pred", 4).alias("pred_brand"), _r("pred_global", 4),
+                    F.round((F.col("pred") + F.col("pred_global")) / 2, 4).alias("ensemble"))
 
 
 @register("fit08_row_mean", sql="""

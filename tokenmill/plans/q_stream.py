@@ -113,9 +113,12 @@ def stream_pack_q(spark, sf):
     """Online best-fit crop per rank over a document-length stream (state = bounded buffer)."""
     from tokenmill.plans.q_packing import BUFFER, CAP, lengths
     base = S.scratch(spark, "str07")
-    src = lengths(spark, sf).select(F.col("rank").cast("bigint").alias("grp"), F.col("pos").cast("bigint").alias("pos"),
-                                    "doc_id", F.col("n_tokens").alias("n"), F.col("batch").cast("bigint").alias("bkey"))
+    src = lengths(spark, sf).select("grp", F.col("pos").cast("bigint").alias("pos"), "doc_id", F.col("n_tokens").alias("n"),
+                                    F.col("batch").cast("bigint").alias("bkey"))
     _write_ranges(src, "pos", f"{base}/in")
+    none = F.lit(None).cast("bigint")
+    marks = src.groupBy("grp").agg((F.max("pos") + 1).alias("pos")).select("grp", "pos", none.alias("doc_id"), none.alias("n"), none.alias("bkey"))
+    marks.write.mode("append").parquet(f"{base}/in")  # the end of each group
     docs = spark.readStream.schema(S.PACK_IN_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     out = S.stream_pack(docs, CAP, BUFFER, crop=True)
     S.run_to_completion(out.writeStream.format("parquet").option("path", f"{base}/out")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenmill.functions.hashing import HASH_BITS, hash_sql
+from tokenmill.functions.text import strip_sql
 from tokenmill.operators import conversation as CV
 from tokenmill.operators import evaluation as EV
 from tokenmill.operators import filters as FL
@@ -164,7 +165,7 @@ def _calc(expr: str):
         return str(m.group(2).count(m.group(4)))
     if "**" in e or not _re.fullmatch(r"[0-9+\-*/(). ]+", e):
         return None
-    ops = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv,
+    ops = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv,
            ast.USub: operator.neg, ast.UAdd: operator.pos}
 
     def ev(n):
@@ -195,9 +196,10 @@ def calc_udf(exprs: pd.Series) -> pd.Series:
 def audit_tool_calls_q(spark, sf):
     """CNV-13: recompute every calculator call (AST whitelist, no eval) and count mismatches."""
     m = math_rows(spark, sf).withColumn("parts", CV.parse_tool_calls("answer"))
-    calls = m.select("problem", "sample", F.posexplode("parts").alias("k", "p")).where(F.col("p.type") == "python")
-    outs = m.select("problem", "sample", F.posexplode("parts").alias("k", "o")).withColumn("k", F.col("k") - 1)
-    j = calls.join(outs, ["problem", "sample", "k"]).withColumn("recomputed", calc_udf(F.col("p.text")))
+    # the output of a call is the part after it
+    pairs = F.transform("parts", lambda p, i: F.struct(p.alias("p"), F.get("parts", i + 1).alias("o")))
+    calls = m.select("problem", "sample", F.explode(F.filter(pairs, lambda x: x["p"]["type"] == "python")).alias("c"))
+    j = calls.select("problem", "sample", "c.p", "c.o").withColumn("recomputed", calc_udf(F.col("p.text")))
     j = j.withColumn("mismatch", F.col("recomputed").isNotNull() & (F.col("o.text") != "")
                      & (F.col("recomputed") != F.col("o.text")))
     return j.groupBy("problem", "sample").agg(F.count(F.lit(1)).alias("n_calls"),
@@ -221,6 +223,7 @@ def code_rows(spark, sf):
                     F.format_string("f_%d", k).alias("entry_point"))
 
 
+PROGRAM_SQL = r"regexp_extract(completion, '(?s)```(?:python)?\s*\n(.*?)\n```', 1)"
 CODE_SQL = f"""code AS (
   SELECT p_partkey,
     CASE WHEN p_partkey % 2 = 0
@@ -235,10 +238,10 @@ CODE_SQL = f"""code AS (
   FROM part),
 code2 AS (
   SELECT *,
-    list_transform(string_split(prompt, {NL}), lambda s: trim(s)) AS lines,
+    list_transform(string_split(prompt, {NL}), lambda s: {strip_sql('s')}) AS lines,
     CASE WHEN regexp_matches(completion, '(?s)```(?:python)?\\s*\\n(.*?)\\n```')
-         THEN trim(regexp_extract(completion, '(?s)```(?:python)?\\s*\\n(.*?)\\n```', 1))
-         ELSE trim(completion) END AS program
+         THEN {strip_sql(PROGRAM_SQL)}
+         ELSE {strip_sql('completion')} END AS program
   FROM code),
 code3 AS (
   SELECT *, coalesce(list_position(list_transform(lines, lambda s: NOT (starts_with(s, 'import ') OR starts_with(s, 'from '))
@@ -324,13 +327,13 @@ def slice_q(spark, sf):
 
 
 @register("flt04_limit_per_task", sql=f"""
-WITH r AS (SELECT *, {hash_sql(1337, "k")} AS h FROM (
+WITH r AS (SELECT *, {hash_sql(1337, "k")} AS h FROM (SELECT *, problem || '-' || sample AS k FROM (
   SELECT ['ARC-Easy', 'ARC-Challenge', 'MMLU', 'GSM8K', 'HumanEval', 'SpellingBee'][l_orderkey % 6 + 1] AS task,
-         l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)}) - 1 AS k
-  FROM lineitem))
+         l_orderkey AS problem, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)}) - 1 AS sample
+  FROM lineitem)))
 SELECT task, k FROM (SELECT task, k, row_number() OVER (PARTITION BY task ORDER BY h, k) AS rn FROM r) WHERE rn <= 50""")
 def limit_per_task_q(spark, sf):
-    r = rollouts(spark, sf).select("task", (F.col("problem") * 1000 + F.col("sample")).alias("k"))
+    r = rollouts(spark, sf).select("task", F.concat_ws("-", "problem", "sample").alias("k"))
     return FL.limit_per_task(r, 50, task="task", key="k", seed=1337).select("task", "k")
 
 

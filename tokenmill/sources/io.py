@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenmill.operators.ordering import permute
+from tokenmill.session import cut_lineage
 
 MSG_ARRAY = T.ArrayType(T.StructType([T.StructField("role", T.StringType()),
                                       T.StructField("content", T.StringType())]))
@@ -63,13 +65,18 @@ def write_core_csv(results: DataFrame, path: str) -> None:
 
 
 def append_runs(new: DataFrame, path: str, keys: Sequence[str], schema: T.StructType) -> DataFrame:
-    """SNK-05: idempotent append -- rows whose key prefix is already present are skipped."""
+    """SNK-05: idempotent append -- rows whose key is already present are skipped. Returns the rows written.
+
+    Only a missing path means that nothing was written yet; any other read error is raised.
+    """
     spark = new.sparkSession
     try:
         existing = spark.read.option("header", "true").schema(schema).csv(path)
-        fresh = new.join(existing.select(*keys).distinct(), list(keys), "left_anti")
-    except Exception:  # nothing written yet
-        fresh = new
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        existing = spark.createDataFrame([], schema)
+    fresh = cut_lineage(new.join(existing.select(*keys).distinct(), list(keys), "left_anti"))
     fresh.write.mode("append").option("header", "true").csv(path)
     return fresh
 

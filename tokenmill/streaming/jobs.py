@@ -134,9 +134,8 @@ PACK_STATE = ("buf_docs array<long>, buf_lens array<long>, row long, pos long, s
 def stream_pack(docs: DataFrame, capacity: int, buffer: int, crop: bool = True) -> DataFrame:
     """STR-07: online best-fit packing per rank; the state is the bounded buffer and the row cursor.
 
-    Placements equal the batch plan (PCK-01/02) for every document placed
-    before the stream's current end; the documents still buffered are placed
-    when more input arrives (a final flush is the batch operator's drain).
+    Placements equal the batch plan (PCK-01/02). What is buffered at the end is placed when an end mark arrives, a
+    row of the group with a null doc_id; it closes the group.
     """
     from tokenmill.operators.packing import BestFitPacker
 
@@ -152,13 +151,18 @@ def stream_pack(docs: DataFrame, capacity: int, buffer: int, crop: bool = True)
         out = []
         rows = pd.concat(list(pdfs)).sort_values("pos")
         for d, n, b in rows[["doc_id", "n", "bkey"]].itertuples(index=False):
+            if pd.isna(d):
+                out.extend(pk.add_batch(pend))
+                out.extend(pk.pump(final=True))
+                pend = []
+                continue
             if bkey is not None and b != bkey and pend:
                 out.extend(pk.add_batch(pend))
                 pend = []
             bkey = int(b)
             pend.append((int(d), int(n)))
         # buffer content in insertion order (ties resolve by arrival, as in the batch kernel)
-        flat = [(d, n) for n, q in sorted(pk.buf.by_len.items()) for d in q]
+        flat = [(int(d), int(n)) for n, q in sorted(pk.buf.by_len.items()) for d in q]
         state.update(([d for d, _ in flat], [n for _, n in flat], pk.row, pk.pos, pk.slot, pk.started, bkey,
                       [d for d, _ in pend], [n for _, n in pend]))
         if out:
