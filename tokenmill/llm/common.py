@@ -14,6 +14,8 @@ from tokenmill.session import ensure_checkpoint_dir
 
 #: Rows and bytes of one Arrow batch handed to a Python worker, so that a batch of long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: Parts that the ids of a label are ranked in.
+SALTS = 64
 #: Entries a worker's word table may hold before it is emptied (it is only a cache).
 CACHE_WORDS = 200_000
 
@@ -51,12 +53,14 @@ def labelled_sample(docs: DataFrame, ids: DataFrame, label: str, per_label: int,
 
     ``ids`` has (doc_id, label). The choice is by hash of the id, so it is the same on every run. Only ids are ranked
     and moved; at most ``per_label`` ids of each of ``max_labels`` labels, the first in order, come back as a broadcast.
-    Of rows with the same id, the least text counts.
+    Ids of a frequent label are ranked in ``SALTS`` parts first. Of rows with the same id, the least text counts.
     """
     spark = docs.sparkSession
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    by_id = [F.xxhash64("doc_id"), F.col("doc_id")]
+    salted, order = Window.partitionBy("label", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS))).orderBy(*by_id), Window.partitionBy("label").orderBy(*by_id)
     picked = (ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
               .groupBy("doc_id").agg(F.min("label").alias("label"))
+              .withColumn("rank", F.row_number().over(salted)).where(F.col("rank") <= per_label)
               .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label).drop("rank"))
     names = {r[0] for r in picked.select("label").distinct().orderBy("label").limit(max_labels).collect()}
     schema = picked.schema
