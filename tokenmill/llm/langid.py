@@ -23,7 +23,7 @@ from tokenmill.llm.common import arrow_batches, bounded_batches, in_fold, labell
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3, 4)
 #: Texts of each language that the classifiers are fitted on, at most, and the languages there may be.
-PER_LANGUAGE, MOST_LANGUAGES = 300, 512
+PER_LANGUAGE, MOST_LANGUAGES = 100, 256
 #: Lengths in bytes of the snippets that are cut out of each of them besides the whole text, so that short texts are learned, too.
 SNIPPETS = (12, 30, 80, 200)
 STEPS, RATE, DECAY = 40, 0.5, 1e-4
@@ -85,13 +85,6 @@ class Model(NamedTuple):
     sharpness: float  # from losses to probabilities
 
 
-def _means(weights: np.ndarray, data: list[np.ndarray]) -> np.ndarray:
-    """Mean of the weights over each text's n-grams."""
-    sizes = np.array([len(d) for d in data])
-    starts = np.cumsum(sizes) - sizes
-    return np.add.reduceat(weights[np.concatenate(data)], starts, axis=0, dtype=np.float32) / sizes[:, None]
-
-
 def _losses(f: np.ndarray, model: Model) -> np.ndarray:
     """Weighted logistic loss of the outputs f (texts x bits) against each language's bits."""
     return np.stack([(model.trust * np.logaddexp(0, -f * c)).sum(1) for c in model.code], 1)
@@ -102,17 +95,34 @@ def _probabilities(loss: np.ndarray, sharpness: float) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def _examples(texts: list[bytes], labels: list[int], seed: int) -> tuple[list[np.ndarray], np.ndarray]:
-    rng, data, y = np.random.default_rng(seed), [], []
+class _Examples(NamedTuple):
+    """Texts and snippets as sparse rows: each row's distinct buckets and their shares of its n-grams."""
+
+    column: np.ndarray
+    share: np.ndarray
+    row: np.ndarray
+    starts: np.ndarray  # of each row
+    y: np.ndarray
+
+    def outputs(self, weights: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(weights[self.column] * self.share[:, None], self.starts, axis=0)
+
+
+def _examples(texts: list[bytes], labels: list[int], seed: int) -> _Examples:
+    rng, columns, shares, y = np.random.default_rng(seed), [], [], []
     for text, label in zip(texts, labels):
-        data.append(buckets_of(text))
-        y.append(label)
+        parts = [text]
         for size in SNIPPETS:
             if len(text) > size:
                 a = int(rng.integers(0, len(text) - size))
-                data.append(buckets_of(b" " + text[a: a + size].strip() + b" "))
-                y.append(label)
-    return data, np.array(y)
+                parts.append(b" " + text[a: a + size].strip() + b" ")
+        for part in parts:
+            found, count = np.unique(buckets_of(part), return_counts=True)
+            columns.append(found.astype(np.int32))
+            shares.append((count / count.sum()).astype(np.float32))
+            y.append(label)
+    sizes = np.array([len(c) for c in columns])
+    return _Examples(np.concatenate(columns), np.concatenate(shares), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.cumsum(sizes) - sizes, np.array(y))
 
 
 def fit(texts: list[bytes], labels: list[str], seed: int = 5) -> Model | None:
@@ -128,30 +138,26 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 5) -> Model | None:
     number = {x: i for i, x in enumerate(languages)}
     y = [number[x] for x in labels]
     fitted = [i for i in range(len(texts)) if i % 5]
-    data, target = _examples([texts[i] for i in fitted] or texts, [y[i] for i in fitted] or y, seed)
-    of_language = 1 / np.bincount(target, minlength=len(languages))[target] / len(languages)
-    sign = code[target].astype(np.float32)
-    sizes = np.array([len(d) for d in data])
-    every, owner = np.concatenate(data), np.repeat(np.arange(len(data)), sizes)
-    cells, cell = np.unique(owner * BUCKETS + every, return_inverse=True)
-    row, column = cells // BUCKETS, cells % BUCKETS
-    share = (np.bincount(cell) / sizes[row]).astype(np.float32)
-    order = np.argsort(column, kind="stable")
-    row_starts, col_starts = np.flatnonzero(np.diff(row, prepend=-1)), np.flatnonzero(np.diff(column[order], prepend=-1))
-    used = column[order][col_starts]
+    data = _examples([texts[i] for i in fitted] or texts, [y[i] for i in fitted] or y, seed)
+    of_language = 1 / np.bincount(data.y, minlength=len(languages))[data.y] / len(languages)
+    sign = code[data.y].astype(np.float32)
+    order = np.argsort(data.column, kind="stable")
+    by_column, row_of, share_of = data.column[order], data.row[order], data.share[order][:, None]
+    col_starts = np.flatnonzero(np.diff(by_column, prepend=-1))
+    used = by_column[col_starts]
     w, b = np.zeros((BUCKETS, bits), np.float32), np.zeros(bits, np.float32)
     squares = np.full((len(used), bits), 1e-8, np.float32)
     for _ in range(STEPS):
-        z = np.add.reduceat(w[column] * share[:, None], row_starts, axis=0) + b
+        z = data.outputs(w) + b
         g = (-sign / (1 + np.exp(np.clip(sign * z, -30, 30))) * of_language[:, None]).astype(np.float32)
-        grad = np.add.reduceat((g[row] * share[:, None])[order], col_starts, axis=0)
+        grad = np.add.reduceat(g[row_of] * share_of, col_starts, axis=0)
         squares += grad * grad
         w[used] = (1 - DECAY) * w[used] - RATE * grad / np.sqrt(squares)
         b -= RATE * g.sum(0)
     model = empty._replace(weights=w, bias=b)
     held = [i for i in range(len(texts)) if not i % 5]
-    tests, truth = _examples([texts[i] for i in held] or texts, [y[i] for i in held] or y, seed + 1)
-    f = _means(w, tests) + b
+    tests = _examples([texts[i] for i in held] or texts, [y[i] for i in held] or y, seed + 1)
+    truth, f = tests.y, tests.outputs(w) + b
     right = ((f * code[truth]) > 0).mean(0)
     model = model._replace(trust=np.maximum(2 * right - 1, 0.01))
     loss = _losses(f, model)
