@@ -1,5 +1,8 @@
 """BPE training / encoding and the pre-tokenizer against plain-Python models."""
 
+import random
+
+import numpy as np
 import regex
 from pyspark.sql import functions as F
 
@@ -41,8 +44,33 @@ def test_train_bpe_matches_plain_python(spark, sf):
     docs = table(spark, sf, "documents").limit(60)  # a small fixture; the registered query uses whole tables
     cc = TK.chunk_counts(docs)
     counts = {r["chunk"]: r["n"] for r in cc.collect()}
-    model = TK.train_bpe(cc, 256 + 9 + 24, checkpoint_every=5)
-    assert model.merges == py_bpe(counts, 24)
+    model = TK.train_bpe(cc, 256 + 9 + 160, checkpoint_every=5)
+    assert model.merges == py_bpe(counts, 160)
+
+
+def test_batched_rounds_are_greedy_on_ties_and_runs(spark):
+    rng = random.Random(3)
+    counts = {"".join(rng.choices("abc", k=rng.randint(1, 9))): rng.randint(1, 4) for _ in range(150)} | {"aaaaaaa": 5, "abababa": 5, "bbbbb": 3}
+    cc = spark.createDataFrame(list(counts.items()), "chunk string, n long")
+    model = TK.train_bpe(cc, 256 + 9 + 60)
+    assert model.merges == py_bpe(counts, 60)
+
+
+def test_merge_ids_goes_left_to_right():
+    for seq in ([1, 1, 1], [1, 1, 1, 1], [1, 2, 1, 2, 2, 1], [2, 1, 1, 2], [], [1], [3, 3, 3, 1, 2, 3, 3]):
+        ids, ends = TK.merge_ids(np.array(seq + [1, 1], np.int32), np.array([len(seq), len(seq) + 2]), [(1, 2, 9), (3, 3, 8)])
+        assert ids[:ends[0]].tolist() == naive_merge(naive_merge(seq, 1, 2, 9), 3, 3, 8) and ids[ends[0]:].tolist() == [1, 1]
+        ids, ends = TK.merge_ids(np.array(seq + [1, 1], np.int32), np.array([len(seq), len(seq) + 2]), [(1, 1, 9)])
+        assert ids[:ends[0]].tolist() == naive_merge(seq, 1, 1, 9) and ids[ends[0]:].tolist() == [9]
+
+
+def naive_merge(ids, a, b, m):
+    out, i = [], 0
+    while i < len(ids):
+        hit = ids[i:i + 2] == [a, b]
+        out.append(m if hit else ids[i])
+        i += 1 + hit
+    return out
 
 
 def test_bpe_encode_roundtrip_and_consistency(spark, sf):

@@ -123,11 +123,24 @@ def linreg_each_q(spark, sf):
     return r.select("feature", _r("r2"), _r("slope"), "rank")
 
 
-@register("fit03_ridge")
+@register("fit03_ridge", sql="""
+WITH p AS (SELECT CAST(p_size AS DOUBLE) AS u, CAST(length(p_name) AS DOUBLE) AS v, p_retailprice AS y FROM part),
+s AS (SELECT count(*) * 1.0 AS n, sum(u) AS u, sum(v) AS v, sum(u * u) AS uu, sum(u * v) AS uv, sum(v * v) AS vv, sum(y) AS y, sum(u * y) AS uy,
+             sum(v * y) AS vy, sum(y * y) AS yy FROM p),
+g AS (SELECT s.*, a AS alpha, uu + a AS pu, vv + a AS pv FROM s, (SELECT unnest([0.0, 1.0, 100.0]::DOUBLE[]) AS a)),
+d AS (SELECT *, n * (pu * pv - uv * uv) - u * (u * pv - uv * v) + v * (u * uv - pu * v) AS det FROM g),
+w AS (SELECT *, (y * (pu * pv - uv * uv) - u * (uy * pv - uv * vy) + v * (uy * uv - pu * vy)) / det AS w0,
+             (n * (uy * pv - uv * vy) - y * (u * pv - uv * v) + v * (u * vy - uy * v)) / det AS w1,
+             (n * (pu * vy - uy * uv) - u * (u * vy - uy * v) + y * (u * uv - pu * v)) / det AS w2 FROM d)
+SELECT alpha, round(w0, 6) AS intercept, round(w1, 6) AS coef_p_size, round(w2, 6) AS coef_name_len, round(sqrt(w1 * w1 + w2 * w2), 6) AS weight_norm,
+       round(1 - (yy - 2 * (w0 * y + w1 * uy + w2 * vy)
+                  + w0 * (n * w0 + u * w1 + v * w2) + w1 * (u * w0 + uu * w1 + uv * w2) + w2 * (v * w0 + uv * w1 + vv * w2)) / (yy - y * y / n), 6) AS r2
+FROM w""")
 def ridge_q(spark, sf):
     p = table(spark, sf, "part").withColumn("name_len", F.char_length("p_name"))
-    return FT.ridge_df(spark, FT.ridge(p, ["p_size", "name_len"], "p_retailprice", [0.0, 1.0, 100.0]),
-                       ["p_size", "name_len"])
+    r = FT.ridge_df(spark, FT.ridge(p, ["p_size", "name_len"], "p_retailprice", [0.0, 1.0, 100.0]),
+                    ["p_size", "name_len"])
+    return r.select("alpha", *[_r(c) for c in r.columns[1:]])
 
 
 @register("fit04_isoflop_fit", sql="""

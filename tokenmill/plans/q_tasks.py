@@ -192,7 +192,14 @@ def calc_udf(exprs: pd.Series) -> pd.Series:
     return exprs.map(lambda e: None if e is None else _calc(e))
 
 
-@register("cnv13_audit_tool_calls")
+@register("cnv13_audit_tool_calls", sql=f"""
+WITH {MATH_SQL}, {PARTS_SQL},
+calls AS (SELECT problem, sample, parts[i].text AS e, parts[i + 1].text AS o
+          FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM parts) WHERE parts[i].type = 'python'),
+c AS (SELECT problem, sample, o, CAST(CASE WHEN contains(e, '*') THEN CAST(split_part(e, '*', 1) AS BIGINT) * CAST(split_part(e, '*', 2) AS BIGINT)
+                                          ELSE CAST(split_part(e, '+', 1) AS BIGINT) + CAST(split_part(e, '+', 2) AS BIGINT) END AS VARCHAR) AS v FROM calls)
+SELECT problem, sample, count(*) AS n_calls, count(*) FILTER (WHERE o <> '' AND o <> v) AS n_mismatch, count(*) FILTER (WHERE v IS NULL) AS n_unsupported
+FROM c GROUP BY problem, sample""")
 def audit_tool_calls_q(spark, sf):
     """CNV-13: recompute every calculator call (AST whitelist, no eval) and count mismatches."""
     m = math_rows(spark, sf).withColumn("parts", CV.parse_tool_calls("answer"))

@@ -106,21 +106,17 @@ def join_docs_q(spark, sf):
 
 
 # ----------------------------------------------------------------------------- BPE (plain-Python model tests)
-BPE_VOCAB = 256 + 9 + 48
-_MODELS: dict[str, TK.BPEModel] = {}
-
-
-DOC_CAP = 10_000             # reference default: crop each document to 10k code points
-MAX_CHARS = 2_000_000_000    # reference default budget (covers the whole train split here)
+#: Vocabulary of the registered queries: bytes, specials and so many merges. A parameter; training is greedy for any number.
+BPE_MERGES = 256
+BPE_VOCAB = 256 + 9 + BPE_MERGES
+_MODELS: dict[tuple, TK.BPEModel] = {}
 
 
 def train_corpus_bpe(spark, sf, vocab_size: int = BPE_VOCAB) -> TK.BPEModel:
-    """Reference tokenizer-training flow: train split -> crop -> char budget -> chunk counts -> BPE."""
-    key = f"{sf}:{vocab_size}"
+    """Chunk counts of all documents, whole -> BPE; one model for each session, path and size."""
+    key = (spark.sparkContext.applicationId, sf, vocab_size)
     if key not in _MODELS:
-        tr = crop_docs(C.split(corpus(spark, sf), "train"), cap=DOC_CAP)
-        b = char_budget(tr, MAX_CHARS, ["pos"], bucket=(F.col("pos") / 4096).cast("bigint"))
-        _MODELS[key] = TK.train_bpe(TK.chunk_counts(b), vocab_size)
+        _MODELS[key] = TK.train_bpe(TK.chunk_counts(corpus(spark, sf)), vocab_size)
     return _MODELS[key]
 
 
@@ -138,6 +134,17 @@ def bpe_encode_q(spark, sf):
                     (F.col("decoded") == F.col("text")).alias("roundtrip_ok"))
 
 
+@register("tok04_bpe_roundtrip", sql="""
+SELECT doc_id, md5(text) AS decoded_md5, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes FROM documents""")
+def bpe_roundtrip_q(spark, sf):
+    """What the ids decode to, and the bytes of the ids' tokens."""
+    m = train_corpus_bpe(spark, sf)
+    d = TK.bpe_decode(TK.bpe_encode(table(spark, sf, "documents"), m), m, out="decoded")
+    sizes = F.array(*[F.lit(len(b)) for _, b in sorted(m.token_bytes().items())])
+    n = F.aggregate("ids", F.lit(0).cast("bigint"), lambda acc, i: acc + F.get(sizes, i))
+    return d.select("doc_id", F.md5("decoded").alias("decoded_md5"), n.alias("n_bytes"))
+
+
 @register("tok09_compression")
 def compression_q(spark, sf):
     m = train_corpus_bpe(spark, sf)
