@@ -97,8 +97,8 @@ def test_bytes_that_are_no_utf8_are_replaced(spark):
 
 
 def test_calculator_floor_division():
-    from tokenmill.plans.q_tasks import _calc
-    assert [_calc(e) for e in ("7//2", "12/60", "2**3", "-(3+4)*2", "'abca'.count('a')", "1//0", "__import__")] == ["3", "0.2", None, "-14", "2", None, None]
+    from tokenmill.functions.calculator import calculate
+    assert [calculate(e) for e in ("7//2", "12/60", "2**3", "-(3+4)*2", "'abca'.count('a')", "1//0", "__import__")] == ["3", "0.2", None, "-14", "2", None, None]
 
 
 def test_ema_keeps_the_whole_history(spark):
@@ -157,3 +157,26 @@ def test_tool_calls_are_rendered_with_their_masks(spark):
             (sp("<|python_start|>"), 1), *[(ord(c), 1) for c in "1+1"], (sp("<|python_end|>"), 1), (sp("<|output_start|>"), 0), (ord("2"), 0),
             (sp("<|output_end|>"), 0), (ord("b"), 1), (sp("<|assistant_end|>"), 1)]
     assert list(zip(r["ids"], r["mask"])) == want
+
+
+def test_nonfinite_values_at_any_depth(spark):
+    from tokenmill.operators import tasks as TS
+    schema = "i int, x double, s struct<a:float,t:struct<b:array<double>,c:string>>, m map<string,double>, l array<struct<q:double>>"
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, 1.0, (1.0, ([1.0], "c")), {"k": 2.0}, [(1.0,)]), (1, nan, (inf, ([1.0, -inf, nan], "c")), {"k": nan}, [(1.0,), (inf,)]), (2, None, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    got = {r["i"]: r["nonfinite"] for r in TS.nonfinite_columns(df, ["i", "x", "s", "m", "l"]).collect()}
+    assert got == {0: None, 1: "x,s.a,s.t.b[],m{},l[].q", 2: None}
+
+
+def test_every_check_of_a_run(spark):
+    from tokenmill.operators import joins as JN
+    full = ["model", "meta", "optim"]
+    rows = [(0, "complete", 5, 9, full, False, 9, True), (1, "running", 5, 9, full, False, 9, True), (2, "complete", 5, 9, full, False, 9, True),
+            (3, "complete", None, 9, full, False, 9, True), (4, "complete", 5, 9, full, False, 9, True), (5, "complete", 5, 9, ["meta"], False, 9, True),
+            (6, "complete", 5, 9, full, True, 9, True), (7, "complete", 5, 9, full, False, 8, True), (8, "complete", 5, 9, full, False, 9, False)]
+    runs = spark.createDataFrame(rows, "run int, state string, log_lines int, final_step int, critical array<string>, meta_nonfinite boolean, meta_step int, has_cursor boolean")
+    stops, missing = spark.createDataFrame([(4, "guard_fail")], "run int, kind string"), spark.createDataFrame([(2, "b*"), (2, "a")], "run int, pattern string")
+    got = {r["run"]: r["reason"] for r in JN.verify_runs(runs, stops, missing).collect()}
+    assert got == {0: None, 1: "state:running", 2: "missing:a,b*", 3: "no_log", 4: "stop:guard_fail", 5: "critical:model,optim", 6: "nonfinite_metadata",
+                   7: "metadata_step", 8: "no_cursor"}

@@ -237,6 +237,20 @@ def parse_tool_calls(answer: str | Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), n), piece))
 
 
+def audit_tool_calls(df: DataFrame, by: Sequence[str], parts: str = "parts") -> DataFrame:
+    """CNV-13: recompute every calculator call of the parts (AST whitelist, no eval): calls, mismatches with the
+    output that follows a call, and calls that can't be computed, per group."""
+    from tokenmill.functions.calculator import calculated
+
+    # the output of a call is the part after it
+    pairs = F.transform(parts, lambda p, i: F.struct(p.alias("p"), F.get(parts, i + 1).alias("o")))
+    calls = df.select(*by, F.explode(F.filter(pairs, lambda x: x["p"]["type"] == "python")).alias("c"))
+    j = calls.select(*by, "c.p", "c.o").withColumn("recomputed", calculated(F.col("p.text")))
+    wrong = F.col("recomputed").isNotNull() & (F.col("o.text") != "") & (F.col("recomputed") != F.col("o.text"))
+    return j.groupBy(*by).agg(F.count(F.lit(1)).alias("n_calls"), F.count(F.when(wrong, 1)).alias("n_mismatch"),
+                              F.count(F.when(F.col("recomputed").isNull(), 1)).alias("n_unsupported"))
+
+
 def parts_to_text(parts: str | Column) -> Column:
     """CNV-14: plain text with calls shown as ``<<expr=result>>`` (inverse of CNV-08)."""
     p = col(parts)

@@ -51,11 +51,28 @@ def missing_artifacts(expected: DataFrame, present: DataFrame, run: str = "run")
     return j.drop("_re")
 
 
+# fixed values: launcher states that count as complete
+TERMINAL_OK_STATES = ("complete", "completed", "stopped")
+
+
 def verify_runs(runs: DataFrame, stops: DataFrame, missing: DataFrame, run: str = "run") -> DataFrame:
-    """LOG-12: pass / fail with the first failing reason: stop signal, missing artefacts, incomplete."""
+    """LOG-12: pass / fail with the first failing reason of each run.
+
+    ``runs``: run, state (launcher), log_lines, final_step, critical (names of the final step's files that are there:
+    model, meta, optim), meta_nonfinite, meta_step, has_cursor. Checked in this order: launcher state, expected
+    artefacts, log presence, stop signal in the log, resume-critical files, non-finite metadata, metadata step, resume cursor.
+    Null counts as not there.
+    """
     m = missing.groupBy(run).agg(F.array_join(F.array_sort(F.collect_list("pattern")), ",").alias("_missing"))
     j = runs.join(stops.select(run, F.col("kind").alias("_stop")), run, "left").join(m, run, "left")
-    reason = (F.when(F.col("_stop").isNotNull(), F.concat(F.lit("stop:"), F.col("_stop")))
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    lacking = F.array_except(F.array(*[F.lit(x) for x in ("model", "meta", "optim")]), F.coalesce("critical", F.array().cast("array<string>")))
+    reason = (F.when(no(F.col("state").isin(*TERMINAL_OK_STATES)), F.concat(F.lit("state:"), F.coalesce("state", F.lit("none"))))
                .when(F.col("_missing").isNotNull(), F.concat(F.lit("missing:"), F.col("_missing")))
-               .when(F.col("last_step") != F.col("total") - 1, F.lit("incomplete")))
+               .when(no(F.col("log_lines") > 0), F.lit("no_log"))
+               .when(F.col("_stop").isNotNull(), F.concat(F.lit("stop:"), F.col("_stop")))
+               .when(F.size(lacking) > 0, F.concat(F.lit("critical:"), F.array_join(F.array_sort(lacking), ",")))
+               .when(F.coalesce("meta_nonfinite", F.lit(True)), F.lit("nonfinite_metadata"))
+               .when(no(F.col("meta_step") == F.col("final_step")), F.lit("metadata_step"))
+               .when(no(F.col("has_cursor")), F.lit("no_cursor")))
     return j.select(run, F.when(reason.isNull(), "pass").otherwise("fail").alias("status"), reason.alias("reason"))

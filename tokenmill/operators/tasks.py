@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenmill.functions.hashing import HASH_BITS, hash_key
 from tokenmill.operators.ordering import hash_bucket, member_offsets, permute, with_index
@@ -106,10 +107,32 @@ def audit_requests(df: DataFrame, messages: str = "messages", temperature: str =
     return df.withColumn("reject_reason", reason)
 
 
+def _nonfinite_paths(c: Column, kind: T.DataType, path: str) -> Column | None:
+    """Array of the paths below ``c`` that hold NaN or +-inf; None if there can be none."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.array(F.lit(path))).otherwise(F.array().cast("array<string>"))
+    if isinstance(kind, T.StructType):
+        parts = [p for f in kind if (p := _nonfinite_paths(c[f.name], f.dataType, f"{path}.{f.name}")) is not None]
+        return F.concat(*parts) if parts else None
+    if isinstance(kind, T.MapType):
+        c, kind, path = F.map_values(c), T.ArrayType(kind.valueType), f"{path}{{}}"
+    elif isinstance(kind, T.ArrayType):
+        path = f"{path}[]"
+    else:
+        return None
+    if _nonfinite_paths(F.lit(None), kind.elementType, path) is None:
+        return None
+    found = F.flatten(F.transform(c, lambda x: F.coalesce(_nonfinite_paths(x, kind.elementType, path), F.array().cast("array<string>"))))
+    return F.array_distinct(F.coalesce(found, F.array().cast("array<string>")))
+
+
 def nonfinite_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """FLT-12: names of the numeric columns holding NaN or +-inf, per row (null when all finite)."""
-    flags = [F.when(F.isnan(F.col(c)) | (F.abs(F.col(c)) == float("inf")), F.lit(c)) for c in cols]
-    arr = F.filter(F.array(*flags), lambda x: x.isNotNull())
+    """FLT-12: paths holding NaN or +-inf in ``cols``, per row (null when all finite).
+
+    Structs, arrays and maps are searched at any depth: ``a.b``, ``a[]``, ``a{}``.
+    """
+    parts = [F.coalesce(p, F.array().cast("array<string>")) for c in cols if (p := _nonfinite_paths(F.col(c), df.schema[c].dataType, c)) is not None]
+    arr = F.concat(F.array().cast("array<string>"), *parts)
     return df.withColumn("nonfinite", F.when(F.size(arr) > 0, F.array_join(arr, ",")))
 
 

@@ -39,8 +39,18 @@ BYTE_BOS = byte_special_id("<|bos|>")
 
 def byte_encode(df: DataFrame, text: str = "text", out: str = "ids", prepend: int | None = None,
                 append: int | None = None) -> DataFrame:
-    """TOK-13/TOK-04 (byte): ids column, optional special prepended/appended."""
-    ids = byte_ids(text)
+    """TOK-13/TOK-04 (byte): ids column, optional special prepended/appended. A text's bytes become its ids in one
+    Arrow conversion for a whole batch."""
+    @F.arrow_udf("array<int>")
+    def ids_of(texts: pa.Array) -> pa.Array:
+        data = texts.cast(pa.large_binary())
+        _, offsets, values = data.buffers()
+        at = np.frombuffer(offsets, np.int64)[data.offset: data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int64)
+        flat = np.frombuffer(values, np.uint8)[at[0]: at[-1]].astype(np.int32) if values is not None else np.zeros(0, np.int32)
+        mask = data.is_null() if data.null_count else None
+        return pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), pa.array(flat), mask=mask)
+
+    ids = ids_of(col(text))
     if prepend is not None:
         ids = F.concat(F.array(F.lit(prepend)), ids)
     if append is not None:
@@ -431,6 +441,17 @@ def roundtrip_failures(df: DataFrame, text: str = "text", decoded: str = "decode
 LN2 = math.log(2.0)
 
 
+def save_tokenizer(spark: SparkSession, model: BPEModel, path: str) -> None:
+    """SNK-02: merges and vocabulary of a model as two tables below ``path``."""
+    model.merges_df(spark).write.mode("overwrite").parquet(f"{path}/merges")
+    model.vocab_df(spark).write.mode("overwrite").parquet(f"{path}/vocab")
+
+
+def exclude_specials(vocab: DataFrame) -> DataFrame:
+    """SET-05: the vocabulary without its special tokens."""
+    return vocab.where(~F.col("is_special"))
+
+
 # ----------------------------------------------------------------------------- UDF-03: tokenizer protocol
 
 

@@ -186,6 +186,5 @@ def save_tokenizer_q(spark, sf):
     from tokenmill.plans.q_tokenizer import train_corpus_bpe
     m = train_corpus_bpe(spark, sf)
     path = scratch(spark, "snk02")
-    m.merges_df(spark).write.parquet(f"{path}/merges")
-    m.vocab_df(spark).write.parquet(f"{path}/vocab")
+    TK.save_tokenizer(spark, m, path)
     return spark.read.parquet(f"{path}/vocab").groupBy("is_special").agg(F.count(F.lit(1)).alias("n"))

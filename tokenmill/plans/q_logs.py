@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tokenmill.functions.timefns import epoch_seconds
 from tokenmill.operators import runlogs as RL
 from tokenmill.operators.ordering import distinct_sorted, first_per_group
+from tokenmill.operators.results import largest_run, mean_std
 from tokenmill.plans.catalog import register
 from tokenmill.plans.derived import RUN_STEPS_SQL, run_steps
 from tokenmill.session import table
@@ -239,10 +240,8 @@ t AS (SELECT run, {TAG_SQL} AS tag, max(ts) AS mtime, max(step) AS last_step FRO
 SELECT run, tag, last_step FROM t
 ORDER BY CAST(regexp_extract(tag, '^d(\\d+)', 1) AS INTEGER) DESC, mtime DESC, run LIMIT 1""")
 def largest_run_q(spark, sf):
-    t = tags(spark, sf).withColumn("depth", F.regexp_extract("tag", r"^d(\d+)", 1).cast("int"))
-    best = t.agg(F.max_by(F.struct("run", "tag", "last_step"),
-                          F.struct("depth", "mtime", -F.col("run"))).alias("b"))
-    return best.select("b.run", "b.tag", "b.last_step")
+    best = largest_run(tags(spark, sf), F.regexp_extract("tag", r"^d(\d+)", 1).cast("int"))
+    return best.select("run", "tag", "last_step")
 
 
 @register("log13_metric_guards", sql=f"""
@@ -353,9 +352,8 @@ SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean,
 FROM events GROUP BY event_type""")
 def mean_std_q(spark, sf):
     ev = table(spark, sf, "events")
-    return ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"),
-                                        F.round(F.stddev_samp("value"), 6).alias("std"),
-                                        F.round(F.max("value") - F.min("value"), 6).alias("spread"))
+    m = mean_std(ev, ["event_type"], "value")
+    return m.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "spread")])
 
 
 @register("agg15_distinct_sorted", sql="""

@@ -21,7 +21,7 @@ from tokenmill.plans.q_conversation import MSG_SQL, chat_ok
 from tokenmill.plans.q_eval import MODEL_SQL, model
 from tokenmill.plans.q_io import WHOLE_RESHARD_SQL, _plan
 from tokenmill.plans.q_logs import CLASSIFY_SQL, RUN_LOG_SQL, TAG_SQL, run_log, tags
-from tokenmill.plans.q_tasks import ANSWER_SQL, MATH_SQL, math_rows
+from tokenmill.plans.q_tasks import ANSWER_SQL, MATH_SQL, PARTS_SQL, math_rows
 from tokenmill.session import table
 from tokenmill.streaming.jobs import scratch
 
@@ -197,19 +197,30 @@ def missing_artifacts_q(spark, sf):
 
 @register("log12_verify_runs", sql=f"""
 WITH {PRESENT_SQL}, {RUN_LOG_SQL.replace(RUN_STEPS_SQL + ",", "")}, {CLASSIFY_SQL},
-stops AS (SELECT run, arg_min(kind, line_no) AS kind FROM classified WHERE kind IS NOT NULL GROUP BY run),
-mis AS (SELECT run, array_to_string(list_sort(list(pattern)), ',') AS m FROM missing GROUP BY run),
-runs AS (SELECT run, max(step) AS last_step, count(*) AS total FROM run_steps GROUP BY run),
-j AS (SELECT runs.run, CASE WHEN stops.kind IS NOT NULL THEN 'stop:' || stops.kind WHEN mis.m IS NOT NULL THEN 'missing:' || mis.m
-                            WHEN last_step <> total - 1 THEN 'incomplete' END AS reason
-      FROM runs LEFT JOIN stops USING (run) LEFT JOIN mis USING (run))
+stops AS (SELECT run, arg_min(kind, line_no) AS kind FROM classified WHERE kind IS NOT NULL AND run % 3 = 0 GROUP BY run),
+mis AS (SELECT run, array_to_string(list_sort(list(pattern)), ',') AS m FROM missing WHERE run % 5 = 0 GROUP BY run),
+runs AS (SELECT run, max(step) AS final_step, arg_max(event_type, step) AS last_event FROM run_steps GROUP BY run),
+logs AS (SELECT run, count(*) AS n FROM run_log WHERE run % 13 <> 5 GROUP BY run),
+j AS (SELECT runs.run,
+        CASE WHEN last_event = 'view' AND runs.run % 2 = 0 THEN 'state:running' WHEN mis.m IS NOT NULL THEN 'missing:' || mis.m WHEN logs.n IS NULL THEN 'no_log'
+             WHEN stops.kind IS NOT NULL THEN 'stop:' || stops.kind WHEN runs.run % 17 = 2 THEN 'critical:meta,optim' WHEN final_step % 23 = 6 THEN 'nonfinite_metadata'
+             WHEN final_step % 19 = 4 THEN 'metadata_step' WHEN runs.run % 7 = 1 THEN 'no_cursor' END AS reason
+      FROM runs LEFT JOIN stops USING (run) LEFT JOIN mis USING (run) LEFT JOIN logs USING (run))
 SELECT run, CASE WHEN reason IS NULL THEN 'pass' ELSE 'fail' END AS status, reason FROM j""")
 def verify_runs_q(spark, sf):
+    """Runs of the event log with launcher, artefact and metadata facts derived from their steps and ids."""
     from tokenmill.operators import runlogs as RL
-    runs = run_steps(spark, sf).groupBy("run").agg(F.max("step").alias("last_step"), F.count(F.lit(1)).alias("total"))
-    stops = RL.first_stop(run_log(spark, sf))
-    missing = JN.missing_artifacts(expected_files(spark, sf), present_files(spark, sf))
-    return JN.verify_runs(runs, stops, missing)
+    steps, log = run_steps(spark, sf), run_log(spark, sf)
+    runs = steps.groupBy("run").agg(F.max("step").alias("final_step"), F.max_by("event_type", "step").alias("_event"))
+    lines = log.where(F.col("run") % 13 != 5).groupBy("run").agg(F.count(F.lit(1)).alias("log_lines"))
+    running = (F.col("_event") == "view") & (F.col("run") % 2 == 0)
+    facts = runs.join(lines, "run", "left").select(
+        "run", "final_step", "log_lines", F.when(running, "running").otherwise("complete").alias("state"),
+        F.when(F.col("run") % 17 == 2, F.array(F.lit("model"))).otherwise(F.array(F.lit("model"), F.lit("meta"), F.lit("optim"))).alias("critical"),
+        (F.col("final_step") % 23 == 6).alias("meta_nonfinite"), (F.col("final_step") - (F.col("final_step") % 19 == 4).cast("int")).alias("meta_step"),
+        (F.col("run") % 7 != 1).alias("has_cursor"))
+    missing = JN.missing_artifacts(expected_files(spark, sf), present_files(spark, sf)).where(F.col("run") % 5 == 0)
+    return JN.verify_runs(facts, RL.first_stop(log.where(F.col("run") % 3 == 0)), missing)
 
 
 @register("win11_shard_eta", sql=f"""{WHOLE_RESHARD_SQL},
@@ -232,6 +243,33 @@ def shard_eta_q(spark, sf):
     return e.select("shard_idx", F.round("elapsed", 6).alias("elapsed"), F.round("eta", 6).alias("eta"))
 
 
+PARTS_RENDER_SQL = f"""{MATH_SQL}, {PARTS_SQL},
+pt AS (SELECT problem, sample, i, parts[i].type AS type, hex(encode(parts[i].text)) AS h FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM parts)),
+pb AS (SELECT *, list_transform(range(1, length(h) // 2 + 1), lambda k: CAST(('0x' || substr(h, 2 * k - 1, 2)) AS INTEGER)) AS b FROM pt),
+pe AS (SELECT problem, sample, i,
+         CASE type WHEN 'python' THEN list_concat(list_concat([261], b), [262]) WHEN 'python_output' THEN list_concat(list_concat([263], b), [264]) ELSE b END AS ids,
+         CASE type WHEN 'python_output' THEN list_transform(range(len(b) + 2), lambda x: 0) WHEN 'python' THEN list_transform(range(len(b) + 2), lambda x: 1)
+                   ELSE list_transform(b, lambda x: 1) END AS mask FROM pb),
+rp AS (SELECT problem, sample, list_concat(list_concat([256, 257, 63, 258, 259], flatten(list(ids ORDER BY i))), [260]) AS ids,
+              list_concat(list_concat([0, 0, 0, 0, 0], flatten(list(mask ORDER BY i))), [1]) AS mask FROM pe GROUP BY problem, sample)"""
+
+
+@register("cnv03_render_parts", sql=f"""
+WITH {PARTS_RENDER_SQL}
+SELECT problem, sample, md5(array_to_string(ids, ',')) AS ids_md5, md5(array_to_string(mask, ',')) AS mask_md5 FROM rp""")
+def render_parts_q(spark, sf):
+    """Worked answers with their calculator calls as assistant parts: special tokens and loss mask of each kind of part."""
+    none = F.lit(None).cast("array<struct<type:string,text:string>>")
+
+    def msg(turn, role, text, parts):
+        return F.struct(F.lit(turn).cast("bigint").alias("turn"), F.lit(role).alias("role"), F.lit(text).alias("text"), parts.alias("parts"))
+
+    m = math_rows(spark, sf).select("problem", "sample", F.array(msg(0, "user", "?", none), msg(1, "assistant", "", CV.parse_tool_calls("answer"))).alias("messages"))
+    r = CV.render(m, max_tokens=None)
+    md5 = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ","))
+    return r.select("problem", "sample", md5("ids").alias("ids_md5"), md5("mask").alias("mask_md5"))
+
+
 @register("pck09_pad_batch", sql=f"""
 WITH {RENDER_SQL}
 SELECT conv_id, CAST(max(len(ids)) OVER (PARTITION BY conv_id // 8) AS BIGINT) AS batch_len,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.operators import evaluation as EV
 from tokenmill.operators import fits as FT
+from tokenmill.operators import results as RS
 from tokenmill.operators.ordering import rank_by
 from tokenmill.plans.catalog import register
 from tokenmill.plans.derived import CHAT_TASKS, ROLLOUTS_SQL, rollouts
@@ -223,8 +224,7 @@ SELECT p_brand, arg_min(p_partkey, (p_retailprice, p_partkey)) AS p_partkey, min
 FROM part GROUP BY p_brand""")
 def argmin_row_q(spark, sf):
     p = table(spark, sf, "part")
-    return p.groupBy("p_brand").agg(F.min_by("p_partkey", F.struct("p_retailprice", "p_partkey")).alias("p_partkey"),
-                                    F.min("p_retailprice").alias("min_price"))
+    return RS.argmin_row(p, ["p_brand"], "p_retailprice", "p_partkey").withColumnRenamed("least", "min_price")
 
 
 def _priority_tables(spark, sf):
@@ -245,9 +245,8 @@ SELECT a.task, a.shots AS shots_a, b.shots AS shots_b, round(a.acc, 4) AS acc_a,
 FROM a JOIN b ON a.task = b.task AND (a.shots = 0) = (b.shots = 0)""")
 def comparable_q(spark, sf):
     a, b = _priority_tables(spark, sf)
-    j = a.alias("a").join(b.alias("b"), (F.col("a.task") == F.col("b.task")) & ((F.col("a.shots") == 0) == (F.col("b.shots") == 0)))
-    return j.select(F.col("a.task").alias("task"), F.col("a.shots").alias("shots_a"), F.col("b.shots").alias("shots_b"),
-                    F.round("a.acc", 4).alias("acc_a"), F.round("b.acc", 4).alias("acc_b"))
+    j = RS.comparable_tasks(a, b)
+    return j.select("task", "shots_a", "shots_b", _r("acc_a", 4), _r("acc_b", 4))
 
 
 @register("jn09_head_to_head", sql="""
@@ -256,11 +255,8 @@ b AS (SELECT o_orderpriority AS k, avg(o_totalprice) AS vb FROM orders WHERE o_o
 SELECT k, round(vb - va, 4) AS delta, round((vb - va) / va * 100, 4) AS improvement_pct FROM a JOIN b USING (k)""")
 def head_to_head_q(spark, sf):
     o = table(spark, sf, "orders")
-    a = o.where(F.col("o_orderstatus") == "F").groupBy(F.col("o_orderpriority").alias("k")).agg(F.avg("o_totalprice").alias("va"))
-    b = o.where(F.col("o_orderstatus") == "O").groupBy(F.col("o_orderpriority").alias("k")).agg(F.avg("o_totalprice").alias("vb"))
-    j = a.join(b, "k")
-    return j.select("k", F.round(F.col("vb") - F.col("va"), 4).alias("delta"),
-                    F.round((F.col("vb") - F.col("va")) / F.col("va") * 100, 4).alias("improvement_pct"))
+    of = lambda s: o.where(F.col("o_orderstatus") == s).groupBy(F.col("o_orderpriority").alias("k")).agg(F.avg("o_totalprice").alias("v"))
+    return RS.head_to_head(of("F"), of("O"), "k", "v").select("k", _r("delta", 4), _r("improvement_pct", 4))
 
 
 @register("jn11_interp", sql="""

@@ -154,44 +154,6 @@ def parts_to_text_q(spark, sf):
     return m.select("problem", "sample", (CV.parts_to_text("parts") == F.col("answer")).alias("roundtrip_ok"))
 
 
-def _calc(expr: str):
-    """Safe calculator for audited tool calls: digits and + - * / ( ) . only (no **), or a quoted .count()."""
-    import ast
-    import operator
-    import re as _re
-    e = expr.replace(",", "").strip()
-    m = _re.fullmatch(r"""(['"])(.*)\1\.count\((['"])(.*)\3\)""", e)
-    if m:
-        return str(m.group(2).count(m.group(4)))
-    if "**" in e or not _re.fullmatch(r"[0-9+\-*/(). ]+", e):
-        return None
-    ops = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv,
-           ast.USub: operator.neg, ast.UAdd: operator.pos}
-
-    def ev(n):
-        if isinstance(n, ast.Expression):
-            return ev(n.body)
-        if isinstance(n, ast.Constant) and isinstance(n.value, (int, float)):
-            return n.value
-        if isinstance(n, ast.BinOp) and type(n.op) in ops:
-            return ops[type(n.op)](ev(n.left), ev(n.right))
-        if isinstance(n, ast.UnaryOp) and type(n.op) in ops:
-            return ops[type(n.op)](ev(n.operand))
-        raise ValueError("unsupported")
-    try:
-        v = ev(ast.parse(e, mode="eval"))
-    except Exception:
-        return None
-    if isinstance(v, float) and v.is_integer():
-        v = int(v)
-    return str(v)
-
-
-@F.pandas_udf(T.StringType())
-def calc_udf(exprs: pd.Series) -> pd.Series:
-    return exprs.map(lambda e: None if e is None else _calc(e))
-
-
 @register("cnv13_audit_tool_calls", sql=f"""
 WITH {MATH_SQL}, {PARTS_SQL},
 calls AS (SELECT problem, sample, parts[i].text AS e, parts[i + 1].text AS o
@@ -201,17 +163,8 @@ c AS (SELECT problem, sample, o, CAST(CASE WHEN contains(e, '*') THEN CAST(split
 SELECT problem, sample, count(*) AS n_calls, count(*) FILTER (WHERE o <> '' AND o <> v) AS n_mismatch, count(*) FILTER (WHERE v IS NULL) AS n_unsupported
 FROM c GROUP BY problem, sample""")
 def audit_tool_calls_q(spark, sf):
-    """CNV-13: recompute every calculator call (AST whitelist, no eval) and count mismatches."""
     m = math_rows(spark, sf).withColumn("parts", CV.parse_tool_calls("answer"))
-    # the output of a call is the part after it
-    pairs = F.transform("parts", lambda p, i: F.struct(p.alias("p"), F.get("parts", i + 1).alias("o")))
-    calls = m.select("problem", "sample", F.explode(F.filter(pairs, lambda x: x["p"]["type"] == "python")).alias("c"))
-    j = calls.select("problem", "sample", "c.p", "c.o").withColumn("recomputed", calc_udf(F.col("p.text")))
-    j = j.withColumn("mismatch", F.col("recomputed").isNotNull() & (F.col("o.text") != "")
-                     & (F.col("recomputed") != F.col("o.text")))
-    return j.groupBy("problem", "sample").agg(F.count(F.lit(1)).alias("n_calls"),
-                                             F.count(F.when(F.col("mismatch"), 1)).alias("n_mismatch"),
-                                             F.count(F.when(F.col("recomputed").isNull(), 1)).alias("n_unsupported"))
+    return CV.audit_tool_calls(m, ["problem", "sample"])
 
 
 # ----------------------------------------------------------------------------- code rows

@@ -53,6 +53,15 @@ def pretokenize_q(spark, sf):
                     (F.array_join(ch, "") == F.col("text")).cast("bigint").alias("lossless"))
 
 
+@register("tok01_pretokenize_full", sql="""
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS joined_md5 FROM documents""")
+def pretokenize_full_q(spark, sf):
+    """The pattern that training uses: chunks make up the text again."""
+    d = table(spark, sf, "documents").select("doc_id", pretokenize("text").alias("c"))
+    n = F.aggregate("c", F.lit(0).cast("bigint"), lambda acc, x: acc + F.char_length(x))
+    return d.select("doc_id", n.alias("n_chars"), F.md5(F.array_join("c", "")).alias("joined_md5"))
+
+
 @register("tok02_chunk_counts", sql=f"""
 SELECT chunk, CAST(count(*) AS BIGINT) AS n
 FROM (SELECT unnest(regexp_extract_all(text, '{SIMPLE_SQL}')) AS chunk FROM documents) GROUP BY chunk
@@ -184,7 +193,6 @@ def token_bytes_stats_q(spark, sf):
 
 @register("set05_exclude_specials")
 def exclude_specials_q(spark, sf):
-    """SET-05: the vocabulary without its special tokens (anti join)."""
+    """SET-05: the vocabulary without its special tokens."""
     v = train_corpus_bpe(spark, sf).vocab_df(spark)
-    sp = v.where(F.col("is_special")).select("token_id")
-    return v.join(sp, "token_id", "left_anti").select("token_id", "token_hex", "n_bytes")
+    return TK.exclude_specials(v).select("token_id", "token_hex", "n_bytes")

@@ -13,14 +13,10 @@ Two ways to get there:
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenmill.operators.ordering import checked_broadcast
-
 ROW_GROUP_ROWS = 1024  # rows per parquet row group written by the resharder
 CORPUS_COLS = ["shard_idx", "rg_idx", "row_in_rg", "pos"]
 
@@ -32,12 +28,10 @@ def scan_corpus(spark: SparkSession, path: str, rows_per_group: int = ROW_GROUP_
           .select(F.col(text_col).alias("text"),
                   F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("file_path"),
                   F.col("_metadata.row_index").alias("row_index")))
-    # file names come from the listing (driver metadata, one entry per file); local URIs are
-    # normalised because the listing and the scan metadata spell them differently
-    files = sorted(re.sub(r"^file:/+", "/", f) for f in df.inputFiles())
-    file_tab = spark.createDataFrame([(f, i) for i, f in enumerate(files)],
-                                     "file_path string, shard_idx int")
-    out = df.join(checked_broadcast(file_tab, len(files)), "file_path")
+    # one row per file, numbered in path order; only the metadata column is read for it
+    files = df.select("file_path").distinct()
+    order = files.withColumn("shard_idx", (F.row_number().over(Window.orderBy("file_path")) - 1).cast("int"))
+    out = df.join(order, "file_path")
     return (out.withColumn("rg_idx", (F.col("row_index") / rows_per_group).cast("int"))
                .withColumn("row_in_rg", (F.col("row_index") % rows_per_group).cast("int"))
                .withColumn("pos", F.col("row_index"))
