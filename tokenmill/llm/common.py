@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenmill.session import ensure_checkpoint_dir
 
 #: Rows and bytes of one Arrow batch handed to a Python worker, so that a batch of long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 #: Parts that the ids of a label are ranked in.
 SALTS = 64
 #: Entries a worker's word table may hold before it is emptied (it is only a cache).

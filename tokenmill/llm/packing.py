@@ -9,6 +9,7 @@ neither a task's memory nor its time grows with the corpus.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,23 +39,28 @@ def encoder(tokenizer_path: str, ranks_path: str | None):
     """Function from text to a numpy array of ids; one per worker process.
 
     With ``ranks_path`` (the same vocabulary as byte-pair ranks) plain text goes through the faster reader of ranks.
-    A text that spells out an added token goes through the tokenizer file itself, which has it as one id.
+    A text that spells out an added token goes through the tokenizer file itself, which has it as one id; it is
+    loaded when such a text comes.
     """
-    from tokenizers import Tokenizer
+    @lru_cache(maxsize=1)
+    def slow():
+        from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(tokenizer_path)
-    slow.no_truncation()
-    slow.no_padding()
-    added = [t.content for t in slow.get_added_tokens_decoder().values()]
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
 
     def by_file(text: str) -> np.ndarray:
-        return np.asarray(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.asarray(slow().encode(text, add_special_tokens=False).ids, np.uint32)
 
     if ranks_path is None:
         return by_file
     import public_tokenizers
     import tiktoken
 
+    with open(tokenizer_path, encoding="utf-8") as f:
+        added = [t["content"] for t in json.load(f)["added_tokens"]]
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
