@@ -331,6 +331,18 @@ def test_url_verdicts(spark):
         assert (r.host, r.path, r.rule if isinstance(r.rule, str) else None, r.verdict) == VERDICTS[None if np.isnan(r.page_id) else int(r.page_id)]
 
 
+def test_url_sql_agrees_on_links(spark):
+    import duckdb
+    import pandas as pd
+    rows = [p for p in PAGES if p[0] not in (18, 19)]
+    pages = pd.DataFrame(rows, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"})
+    con = duckdb.connect()
+    con.register("pages", pages)
+    want = Counter(con.execute(urls.judge_sql() + " ").fetchall())
+    out = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert Counter(tuple(r) for r in out.collect()) == want
+
+
 def test_urls_of_nothing(spark):
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 

@@ -21,7 +21,7 @@ META = r"""(?is)<meta\b[^>]*>"""
 HREF = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 REFRESH = r"""(?is)\bcontent\s*=\s*["']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["']?([^"'>]+)"""
 #: Query parameters that only say where a visitor came from.
-TRACKING = r"(?i)([?&])(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
+TRACKING = r"^(?:utm_[a-z]+|ref|fbclid|gclid)=|^$"
 
 
 def host_of(url: Column) -> Column:
@@ -52,10 +52,9 @@ def node_of(url: Column) -> Column:
     """Name of the page a URL stands for: host, path and query without scheme, fragment, tracking parameters, default
     port and final slash; null for a URL without host."""
     host = F.regexp_replace(host_of(url), r":(?:80|443)$", "")
-    query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?:.*?)://[^?#]*(\?[^#]*)?", 1)
-    query = F.regexp_replace(F.regexp_replace(F.regexp_replace(query, TRACKING, "$1"), r"&+(?=&|$)", ""), r"^\?&*(?=$|&)", "?")
-    query = F.when(query.isin("?", "&"), "").otherwise(query)
-    return F.when(host != "", F.concat(host, F.regexp_replace(path_of(url), "/+$", ""), query))
+    query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?:.*?)://[^?#]*\?([^#]*)", 1)
+    kept = F.array_join(F.filter(F.split(query, "&"), lambda x: ~x.rlike(TRACKING)), "&")
+    return F.when(host != "", F.concat(host, F.regexp_replace(path_of(url), "/+$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
 def absolute(target: Column, base: Column) -> Column:
@@ -108,3 +107,54 @@ def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     out = rows.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("rule", rule).withColumn("own", verdict).join(of_url, "url", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("own", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"), "alias_of")
+
+
+def _host_sql(u: str) -> str:
+    return f"translate(regexp_extract(coalesce({u}, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _path_sql(u: str) -> str:
+    return f"regexp_extract(coalesce({u}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+
+
+def _node_sql(u: str) -> str:
+    kept = f"array_to_string(list_filter(string_split(regexp_extract(coalesce({u}, ''), '(?s)^.*?://[^?#]*\\?([^#]*)', 1), '&'), lambda x: NOT regexp_matches(x, '{TRACKING}')), '&')"
+    query = f"CASE WHEN {kept} <> '' THEN '?' || {kept} ELSE '' END"
+    return f"(CASE WHEN {_host_sql(u)} <> '' THEN regexp_replace({_host_sql(u)}, ':(?:80|443)$', '') || regexp_replace({_path_sql(u)}, '/+$', '') || {query} END)"
+
+
+def _rule_sql(host: str, path: str, rules, which: int) -> str:
+    found = "NULL"
+    for what, text in sorted(rules, key=lambda r: (len(r[1]), r[0] == "allow")):
+        of_host, of_path = text.split("/", 1)
+        found = f"CASE WHEN ({host} = '{of_host}' OR ends_with({host}, '.{of_host}')) AND starts_with({path}, '/{of_path}') THEN '{(what, text)[which]}' ELSE {found} END"
+    return found
+
+
+def judge_sql(rules=RULES) -> str:
+    """DuckDB SQL for ``judge_urls`` of the table ``pages``, without known redirects."""
+    q = lambda pattern: pattern.replace("'", "''")
+    href = " || ".join(f"regexp_extract(tag, '{q(HREF)}', {k})" for k in (1, 2, 3))
+    scheme = "regexp_extract(url, '^([^:/?#]*)://', 1)"
+    host, path = _host_sql("url"), _path_sql("url")
+    return f"""
+WITH RECURSIVE tags AS (
+  SELECT url, unnest(list_filter(regexp_extract_all(html, '{q(LINK)}'), lambda x: regexp_matches(x, '(?i)\\brel\\s*=\\s*["'']?[^"''>]*\\bcanonical\\b'))) AS tag, true AS link FROM pages
+  UNION ALL
+  SELECT url, unnest(list_filter(regexp_extract_all(html, '{q(META)}'), lambda x: regexp_matches(x, '(?i)http-equiv\\s*=\\s*["'']?refresh\\b'))), false FROM pages),
+found AS (SELECT url, replace(trim(CASE WHEN link THEN {href} ELSE regexp_extract(tag, '{q(REFRESH)}', 1) END), '&amp;', '&') AS t FROM tags),
+links AS (
+  SELECT url AS src, CASE WHEN t = '' THEN NULL WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN {scheme} || ':' || t
+                          WHEN starts_with(t, '/') THEN {scheme} || '://' || {host} || t END AS dst FROM found),
+urls AS (SELECT url, {_node_sql("url")} AS node, {_rule_sql(host, path, rules, 0)} AS verdict
+         FROM (SELECT url FROM pages UNION SELECT src FROM links WHERE dst IS NOT NULL UNION SELECT dst FROM links) WHERE url IS NOT NULL AND {host} <> ''),
+edges AS (SELECT {_node_sql("src")} AS x, {_node_sql("dst")} AS y FROM links WHERE dst IS NOT NULL),
+pairs AS (SELECT x, y FROM edges WHERE x IS NOT NULL AND y IS NOT NULL UNION SELECT y, x FROM edges WHERE x IS NOT NULL AND y IS NOT NULL),
+reach AS (SELECT DISTINCT node, node AS c FROM urls UNION SELECT b.y, r.c FROM reach r JOIN pairs b ON b.x = r.node),
+comp AS (SELECT node, min(c) AS component FROM reach GROUP BY node),
+groups AS (SELECT component, bool_or(coalesce(verdict = 'block', false)) AND NOT bool_or(coalesce(verdict = 'allow', false)) AS blocked
+           FROM urls JOIN comp USING (node) GROUP BY component HAVING count(*) > 1),
+of_url AS (SELECT url, component AS alias_of, blocked FROM urls JOIN comp USING (node) JOIN groups USING (component))
+SELECT page_id, {host} AS host, {path} AS path, {_rule_sql(host, path, rules, 1)} AS rule,
+       coalesce({_rule_sql(host, path, rules, 0)}, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict, alias_of
+FROM pages LEFT JOIN of_url USING (url)"""
