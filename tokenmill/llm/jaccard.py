@@ -216,12 +216,14 @@ def links_of(a: list[tuple[int, np.ndarray]], b: list[tuple[int, np.ndarray]] |
     return list(_forest(den * shared >= num * (sizes - shared), [i for i, _ in a], [i for i, _ in (b or a)]))
 
 
+PAIR = ["ca", "sa", "cb", "sb"]
+
+
 def blocks_of(members: DataFrame, block_items: int) -> tuple[DataFrame, DataFrame]:
-    """((fp, c, s) block of each set, (ca, sa, cb, sb) pairs of blocks to compare).
+    """((fp, c, s) block of each set, the same for the sets of large clusters only).
 
-    Sets that share signatures, directly or not, are a block if they have up to ``block_items`` elements in all.
-    Of a larger cluster those with the same most frequent signature are a block, split by hash where that is too
-    large; then only blocks that have a signature in common are paired.
+    Sets that share signatures, directly or not, are one block (c, 0) if they have up to ``block_items`` elements in all.
+    Of a larger cluster, those with the same most frequent signature are a block, split by hash where that is too large.
     """
     cluster = connected_components(members.select("fp", "lead"), "fp", "lead").select(F.col("node").alias("fp"), F.col("component").alias("c"))
     placed = saved(members.select("fp", "n").distinct().join(cluster, "fp"))
@@ -231,46 +233,69 @@ def blocks_of(members: DataFrame, block_items: int) -> tuple[DataFrame, DataFram
     per_sig = large.groupBy("sig").agg(F.sum("n").alias("w"))
     main = large.join(per_sig, "sig").groupBy("fp", "c").agg(F.max(F.struct("w", "sig")).alias("m"))
     part = F.pmod(F.xxhash64("fp"), F.ceil(F.col("m.w") / block_items).cast("long"))
-    large_blocks = saved(main.select("fp", "c", F.xxhash64("m.sig", part).alias("s")))
-    with_block = large.select("sig", "fp").join(large_blocks, "fp").select("sig", "c", "s").distinct()
-    one, two = with_block.select("sig", F.col("c").alias("ca"), F.col("s").alias("sa")), with_block.select("sig", F.col("c").alias("cb"), F.col("s").alias("sb"))
-    pairs = one.join(two, "sig").where("sa <= sb").select("ca", "sa", "cb", "sb").distinct()
-    alone = weight.where(F.col("w") <= block_items).select(F.col("c").alias("ca"), F.lit(0).cast("long").alias("sa"), F.col("c").alias("cb"), F.lit(0).cast("long").alias("sb"))
-    return small.union(large_blocks), alone.union(pairs)
+    split = saved(main.select("fp", "c", F.xxhash64("m.sig", part).alias("s")))
+    return small.union(split), split
+
+
+def compared(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y) links found by comparing the sets of each pair of blocks, no more of them than there are sets in it."""
+    one = lambda c, s, side: F.struct(F.col(c).alias("c"), F.col(s).alias("s"), F.lit(side).alias("side"))
+    same = (F.col("ca") == F.col("cb")) & (F.col("sa") == F.col("sb"))
+    sides = pairs.select(*PAIR, F.explode(F.when(same, F.array(one("ca", "sa", 0))).otherwise(F.array(one("ca", "sa", 0), one("cb", "sb", 1)))).alias("e"))
+    dealt = sides.select(*PAIR, "e.*").join(held, ["c", "s"]).select(*PAIR, "side", "fp", "items").repartition(*PAIR).sortWithinPartitions(*PAIR, "fp")
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (row for batch in batches for row in zip(*(batch[k].to_pylist() for k in (*PAIR, "side", "fp", "items"))))
+        for key, group in groupby(found, key=lambda r: r[:4]):
+            both: tuple[list, list] = ([], [])
+            for *_, side, fp, items in group:
+                both[side].append((fp, np.frombuffer(items, np.uint64)))
+            inside = key[:2] == key[2:]
+            if (len(both[0]) > 1) if inside else (both[0] and both[1]):
+                links = links_of(both[0], None if inside else both[1], num, den)
+                yield pa.RecordBatch.from_pydict({"x": [x for x, _ in links], "y": [y for _, y in links]}, schema=schema)
+
+    return dealt.mapInArrow(run, "x long, y long")
 
 
 def similar_sets(docs: DataFrame, sketch: DataFrame, width: int, num: int, den: int, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(node, component) over hashes of sets that are linked, directly or not.
 
-    Signatures shared by different sets give candidates, in blocks of bounded size. Every candidate set goes to the
-    tasks of the block pairs that its block is in; a task compares the sets of one pair of blocks exactly and gives
-    back no more links than there are sets in it, so neither a task nor the output holds all pairs of a group.
+    Signatures shared by different sets give candidates, in blocks of bounded size, and a task compares the sets of one
+    pair of blocks exactly. First every block is compared with itself. Of the blocks of a large cluster, each is then compared with
+    the first block that it shares a signature with; near copies are mostly joined by that, in a number of comparisons in
+    proportion to the blocks. What is left are pairs of blocks with a signature whose sets still lie in different components; all
+    of those are compared, so no link between components is lost.
     """
     rows = sketch.select(F.explode("sigs").alias("sig"), "fp", "n")
     shared = rows.groupBy("sig").agg(F.min("fp").alias("lead"), F.max("fp").alias("top")).where("lead <> top").select("sig", "lead")
     members = saved(rows.join(shared, "sig").select("sig", "fp", "n", "lead").distinct())
     chosen = members.select("fp").distinct().join(sketch.select("doc_id", "fp"), "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
     sets = candidate_sets(docs, saved(chosen), width)
-    block, pairs = blocks_of(members, block_items)
+    block, split = blocks_of(members, block_items)
     held = saved(sets.join(block, "fp").select("c", "s", "fp", "items"))
-    sides = pairs.select("ca", "sa", "cb", "sb", F.explode(F.when((F.col("ca") == F.col("cb")) & (F.col("sa") == F.col("sb")), F.array(
-        F.struct(F.col("ca").alias("c"), F.col("sa").alias("s"), F.lit(0).alias("side")))).otherwise(F.array(
-            F.struct(F.col("ca").alias("c"), F.col("sa").alias("s"), F.lit(0).alias("side")),
-            F.struct(F.col("cb").alias("c"), F.col("sb").alias("s"), F.lit(1).alias("side"))))).alias("e")).select("ca", "sa", "cb", "sb", "e.*")
-    keys = ["ca", "sa", "cb", "sb"]
-    dealt = sides.join(held, ["c", "s"]).select(*keys, "side", "fp", "items").repartition(*keys).sortWithinPartitions(*keys, "fp")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = (row for batch in batches for row in zip(*(batch[k].to_pylist() for k in (*keys, "side", "fp", "items"))))
-        for _, group in groupby(found, key=lambda r: r[:4]):
-            both: tuple[list, list] = ([], [])
-            for *_, side, fp, items in group:
-                both[side].append((fp, np.frombuffer(items, np.uint64)))
-            if len(both[0]) + len(both[1]) > 1 and (both[1] or len(both[0]) > 1) and both[0]:
-                links = links_of(both[0], both[1] or None, num, den)
-                yield pa.RecordBatch.from_pydict({"x": [x for x, _ in links], "y": [y for _, y in links]}, schema=pa.schema([("x", pa.int64()), ("y", pa.int64())]))
-
-    return connected_components(dealt.mapInArrow(run, "x long, y long"), "x", "y")
+    pair = lambda c, sa, sb: [F.col(c).alias("ca"), F.col(sa).alias("sa"), F.col(c).alias("cb"), F.col(sb).alias("sb")]
+    links = saved(compared(block.select("c", "s").distinct().select(*pair("c", "s", "s")), held, num, den))
+    if not split.isEmpty():
+        of_sig = members.select("sig", "fp").join(split, "fp")
+        tried = None
+        for first in (True, False):
+            comps = connected_components(links, "x", "y").withColumnRenamed("node", "fp")
+            placed = of_sig.join(comps, "fp", "left").withColumn("comp", F.coalesce("component", "fp"))
+            by_block = placed.groupBy("sig", "c", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            open_ = by_block.groupBy("sig").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.min("s").alias("s0"), F.max("s").alias("s1"))
+            open_ = open_.where("least <> most and s0 <> s1").select("sig", "s0")
+            left = saved(by_block.join(open_, "sig"))
+            if first:
+                pairs = left.where("s <> s0").groupBy("c", "s").agg(F.min("s0").alias("s0")).select(*pair("c", "s0", "s"))
+                tried = pairs = saved(pairs)
+            else:
+                other = left.select("sig", F.col("s").alias("t"), F.col("lo").alias("tlo"), F.col("hi").alias("thi"))
+                pairs = left.join(other, "sig").where((F.col("s") < F.col("t")) & ~((F.col("lo") == F.col("thi")) & (F.col("hi") == F.col("tlo"))))
+                pairs = pairs.select(*pair("c", "s", "t")).distinct().join(tried, PAIR, "left_anti")
+            links = saved(links.union(compared(pairs, held, num, den)))
+    return connected_components(links, "x", "y")
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
