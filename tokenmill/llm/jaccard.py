@@ -29,7 +29,7 @@ WIDTH, NUM, DEN = 3, 90, 100
 #: Elements that a signature should cover on average, and signatures a document may have for it.
 COVER, MOST = 8, 1.35
 #: Elements in the sets of one block of the exact comparison (8 bytes each).
-BLOCK_ITEMS = 2_000_000
+BLOCK_ITEMS = 250_000
 #: Bits of the table that preselects documents for the exact comparison.
 FILTER_BITS = 1 << 23
 
