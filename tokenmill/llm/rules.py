@@ -91,7 +91,6 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoo
     """
     texts = _texts(docs)
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_ids)
-    ids = docs.sparkSession.createDataFrame(ids.toPandas(), "doc_id long")
     raw, target = _counts(texts, buckets), _counts(texts.join(F.broadcast(ids), "doc_id", "left_semi"), buckets)
     both = saved(raw.join(target.withColumnRenamed("n", "t"), "bucket", "left").fillna(0, ["t"]))
     total = both.agg(F.sum("n").alias("sum_n"), F.sum("t").alias("sum_t"))
