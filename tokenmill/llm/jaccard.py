@@ -29,7 +29,7 @@ WIDTH, NUM, DEN = 3, 90, 100
 #: Elements that a signature should cover on average, and signatures a document may have for it.
 COVER, MOST = 8, 1.35
 #: Elements in the sets of one block of the exact comparison (8 bytes each).
-BLOCK_ITEMS = 250_000
+BLOCK_ITEMS = 500_000
 #: Bits of the table that preselects documents for the exact comparison.
 FILTER_BITS = 1 << 23
 
@@ -223,17 +223,20 @@ def blocks_of(members: DataFrame, block_items: int) -> tuple[DataFrame, DataFram
     """((fp, c, s) block of each set, the same for the sets of large clusters only).
 
     Sets that share signatures, directly or not, are one block (c, 0) if they have up to ``block_items`` elements in all.
-    Of a larger cluster, those with the same most frequent signature are a block, split by hash where that is too large.
+    A larger cluster is dealt over about as many blocks of that size as it fills. Sets with the same most frequent signature go to the
+    same block, unless they alone fill more than one; then they are split by hash.
     """
     cluster = connected_components(members.select("fp", "lead"), "fp", "lead").select(F.col("node").alias("fp"), F.col("component").alias("c"))
     placed = saved(members.select("fp", "n").distinct().join(cluster, "fp"))
     weight = placed.groupBy("c").agg(F.sum("n").alias("w"))
     small = placed.join(weight.where(F.col("w") <= block_items), "c").select("fp", "c", F.lit(0).cast("long").alias("s"))
-    large = members.join(placed.join(weight.where(F.col("w") > block_items), "c").select("fp", "c"), "fp")
+    bins = F.ceil(F.col("w") / block_items).cast("long")
+    large = members.join(placed.join(weight.where(F.col("w") > block_items).select("c", bins.alias("bins")), "c").select("fp", "c", "bins"), "fp")
     per_sig = large.groupBy("sig").agg(F.sum("n").alias("w"))
-    main = large.join(per_sig, "sig").groupBy("fp", "c").agg(F.max(F.struct("w", "sig")).alias("m"))
+    main = large.join(per_sig, "sig").groupBy("fp", "c", "bins").agg(F.max(F.struct("w", "sig")).alias("m"))
     part = F.pmod(F.xxhash64("fp"), F.ceil(F.col("m.w") / block_items).cast("long"))
-    split = saved(main.select("fp", "c", F.xxhash64("m.sig", part).alias("s")))
+    of_bin = F.when(F.col("m.w") <= block_items, F.pmod(F.xxhash64("m.sig"), F.col("bins"))).otherwise(F.xxhash64("m.sig", part))
+    split = saved(main.select("fp", "c", of_bin.alias("s")))
     return small.union(split), split
 
 
