@@ -180,3 +180,21 @@ def test_every_check_of_a_run(spark):
     got = {r["run"]: r["reason"] for r in JN.verify_runs(runs, stops, missing).collect()}
     assert got == {0: None, 1: "state:running", 2: "missing:a,b*", 3: "no_log", 4: "stop:guard_fail", 5: "critical:model,optim", 6: "nonfinite_metadata",
                    7: "metadata_step", 8: "no_cursor"}
+
+
+def test_checkpoints_by_name(spark):
+    from tokenmill.sources.io import checkpoint_paths
+    paths = ["a/d12/meta_000100.json", "d12-mlp/meta_5.json", "x/model_000100.pt", "b/other/meta_7.json", "meta_9.json", "c/tag=d4/meta_000001.json"]
+    got = {r["path"]: (r["tag"], r["step"], r["depth"]) for r in checkpoint_paths(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert got == {paths[0]: ("d12", 100, 12), paths[1]: ("d12-mlp", 5, 12), paths[3]: ("other", 7, None), paths[5]: ("d4", 1, 4)}
+
+
+def test_few_shot_draws_are_distinct_and_never_the_item(spark):
+    from tokenmill.operators import evaluation as EV
+    for n, k in ((1, 2), (2, 3), (5, 4), (60, 5)):
+        items = spark.range(n).withColumnRenamed("id", "item_id")
+        shots = {}
+        for r in EV.fewshot(items, k, seed=3).collect():
+            shots.setdefault(r["item_id"], []).append(r["shot_id"])
+        assert all(i not in s and len(set(s)) == len(s) == min(k, n - 1) for i, s in shots.items()) and len(shots) == (n if n > 1 else 0)
+    assert len({tuple(sorted((x - i) % 60 for x in s)) for i, s in shots.items()}) > 30  # not the same distances for all

@@ -184,14 +184,20 @@ def targets_from_mask(ids: str | Column, mask: str | Column) -> Column:
 # ----------------------------------------------------------------------------- task shaping
 
 
+# --- fixed values that must equal the reference: wording of prompts, patterns of calls, answers and programs ---
+MC_HEAD, MC_TAIL = "Multiple Choice question: ", "\nRespond only with the letter of the correct answer."
+LETTERS = ["A", "B", "C", "D"]
+CALL_RE = "<<[^>]+>>"
+ANSWER_RE = r"#### (\-?[0-9\.\,]+)"
+PROGRAM_RE = r"(?s)```(?:python)?\s*\n(.*?)\n```"
+# ---------------------------------------------------------------------------------
+
+
 def render_mc(question: Column, letters: Column, choices: Column) -> Column:
     """CNV-06: multiple-choice prompt, ``- choice=LETTER`` lines (no space before the letter)."""
     lines = F.zip_with(choices, letters, lambda c, l: F.concat(F.lit("- "), c, F.lit("="), l, F.lit("\n")))
-    return F.concat(F.lit("Multiple Choice question: "), question, F.lit("\n"), F.array_join(lines, ""),
-                    F.lit("\nRespond only with the letter of the correct answer."))
-
-
-LETTERS = ["A", "B", "C", "D"]
+    return F.concat(F.lit(MC_HEAD), question, F.lit("\n"), F.array_join(lines, ""),
+                    F.lit(MC_TAIL))
 
 
 def mc_to_conversation(df: DataFrame, question: str = "query", choices: str = "choices",
@@ -210,9 +216,6 @@ def mc_to_conversation(df: DataFrame, question: str = "query", choices: str = "c
              .withColumn("messages", msgs).withColumn("reason", F.when(~ok, F.lit("need_4_choices")))
 
 
-CALL_RE = "<<[^>]+>>"
-
-
 def parse_tool_calls(answer: str | Column) -> Column:
     """CNV-08: text / python / python_output parts from ``<<expr=result>>`` markers.
 
@@ -265,9 +268,6 @@ def parts_to_text(parts: str | Column) -> Column:
     return F.array_join(F.transform(idx, show), "")
 
 
-ANSWER_RE = r"#### (\-?[0-9\.\,]+)"
-
-
 def extract_answer(text: str | Column) -> Column:
     """CNV-09: first ``#### number``, commas removed; null when absent."""
     t = col(text)
@@ -289,9 +289,6 @@ def extract_imports(prompt: str | Column) -> Column:
     return F.aggregate(lines, state, step, lambda st: F.array_join(st["acc"], "\n"))
 
 
-PROGRAM_RE = r"(?s)```(?:python)?\s*\n(.*?)\n```"
-
-
 def extract_program(completion: str | Column) -> Column:
     """CNV-11: first fenced code block (trimmed), else the whole trimmed text."""
     c = col(completion)

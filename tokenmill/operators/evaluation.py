@@ -23,16 +23,22 @@ from tokenmill.operators.tokenizer import BYTE_BOS
 
 
 def fewshot(items: DataFrame, k: int, seed: int = 1234, key: str = "item_id", n_buckets: int = 64) -> DataFrame:
-    """JN-02: for every item, ``k`` other items, deterministic per seed, never itself.
+    """JN-02: for every item, ``k`` different other items (all others, if there are fewer), deterministic per seed.
 
-    Items are laid out in a seeded permutation; item at position p takes the
-    items at p+1..p+k (cyclic). O(n*k) rows via an equi-join on position.
+    Items are laid out in a seeded permutation; every item draws its own distinct distances by hash, and the items that
+    far ahead (cyclic) are its shots. O(n*k) rows via an equi-join on position.
     """
     it = with_index(items.select(key).withColumn("_h", hash_key(seed, key)), ["_h", key], name="_p",
                     bucket=hash_bucket("_h", n_buckets), n_buckets=n_buckets).drop("_h")
-    n = it.agg(F.count(F.lit(1))).scalar()
-    want = it.select(F.col(key).alias("item"), "_p", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("shot_rank"))
-    want = want.withColumn("_q", (F.col("_p") + F.col("shot_rank")) % n)
+    d = it.withColumn("_n", it.agg(F.count(F.lit(1))).scalar())
+    drawn = F.array().cast("array<bigint>")
+    for j in range(k):  # a draw among what is left, moved past the distances that are taken
+        d = d.withColumn(f"_r{j}", hash_key(f"{seed}/{j}", key) % F.greatest(F.col("_n") - 1 - j, F.lit(1)))
+        free = F.aggregate(F.array_sort(drawn), F.col(f"_r{j}"), lambda acc, x: acc + (acc >= x).cast("bigint"))
+        drawn = F.concat(drawn, F.array(free))
+    drawn = F.slice(drawn, F.lit(1), F.greatest(F.least(F.col("_n") - 1, F.lit(k)), F.lit(0)).cast("int"))
+    want = d.select(F.col(key).alias("item"), "_p", "_n", F.posexplode(drawn).alias("shot_rank", "_d"))
+    want = want.withColumn("shot_rank", F.col("shot_rank") + 1).withColumn("_q", (F.col("_p") + 1 + F.col("_d")) % F.col("_n"))
     return want.join(it.select(F.col("_p").alias("_q"), F.col(key).alias("shot_id")), "_q") \
                .select(F.col("item").alias(key), F.col("shot_rank").cast("bigint").alias("shot_rank"), "shot_id") \
                .persist()  # k rows per item, read by every prompt builder

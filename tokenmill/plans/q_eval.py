@@ -90,10 +90,12 @@ ITEMS_SQL = eval_items_sql()
 SHOTS_SQL = f"""{ITEMS_SQL},
 sp AS (SELECT item_id, row_number() OVER (ORDER BY {hash_sql(SHOT_SEED, "item_id")}, item_id) - 1 AS p
        FROM eval_items),
+sd AS (SELECT item_id, p, n, {hash_sql(f"{SHOT_SEED}/0", "item_id")} % greatest(n - 1, 1) AS d0,
+              {hash_sql(f"{SHOT_SEED}/1", "item_id")} % greatest(n - 2, 1) AS r1 FROM sp, (SELECT count(*) AS n FROM sp)),
 shots AS (
   SELECT a.item_id, CAST(a.r AS BIGINT) AS shot_rank, b.item_id AS shot_id
-  FROM (SELECT item_id, p, unnest(range(1, {K + 1})) AS r FROM sp) a
-  JOIN sp b ON b.p = (a.p + a.r) % (SELECT count(*) FROM sp))"""
+  FROM (SELECT item_id, p, n, unnest([1, 2]) AS r, unnest([d0, r1 + CAST(r1 >= d0 AS INTEGER)]) AS d FROM sd) a
+  JOIN sp b ON b.p = (a.p + 1 + a.d) % a.n WHERE a.r < a.n)"""  # two shots (K)
 
 
 def _prefix_sql(shot_expr: str) -> str:

@@ -312,6 +312,17 @@ def eval_bundle_q(spark, sf):
         F.col("n_items").cast("bigint").alias("n_items"), "baseline")
 
 
+@register("src16_checkpoint_names", sql=f"""
+WITH {RUN_STEPS_SQL}, t AS (SELECT run, step, {TAG_SQL} AS tag FROM run_steps WHERE step % 100 = 0)
+SELECT tag, CAST(regexp_extract(tag, '^d(\\d+)', 1) AS INTEGER) AS depth, max(step) AS last_step, count(*) AS n_checkpoints FROM t GROUP BY tag""")
+def checkpoint_names_q(spark, sf):
+    """A listing of checkpoint files (every 100 steps of a run; model files beside them) read by their names."""
+    from tokenmill.sources.io import latest_checkpoints
+    t = run_steps(spark, sf).where(F.col("step") % 100 == 0).join(tags(spark, sf).select("run", "tag"), "run")
+    name = F.explode(F.array(F.format_string("runs/%s/meta_%06d.json", "tag", "step"), F.format_string("runs/%s/model_%06d.pt", "tag", "step")))
+    return latest_checkpoints(t.select(name.alias("path")))
+
+
 @register("src16_scan_runs", sql=f"""
 WITH {RUN_STEPS_SQL}, t AS (SELECT run, {TAG_SQL} AS tag, max(step) AS step FROM run_steps GROUP BY run)
 SELECT tag, CAST(max(step) AS BIGINT) AS last_step, CAST(count(*) AS BIGINT) AS n_runs FROM t GROUP BY tag""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenmill.plans.catalog import ORACLES, register
 from tokenmill.plans.derived import run_steps
 from tokenmill.plans.q_conversation import assembled  # noqa: F401  (shared derivations)
-from tokenmill.plans.q_logs import RUN_STEPS_SQL, run_log
+from tokenmill.plans.q_logs import CLASSIFY_SQL, RUN_LOG_SQL, RUN_STEPS_SQL, run_log
 from tokenmill.session import table
 from tokenmill.streaming import jobs as S
 
@@ -58,14 +58,27 @@ def stream_stop_q(spark, sf):
     return spark.read.parquet(f"{base}/out").select("run", "s.line_no", "s.kind", "s.reason")
 
 
-@register("str05_failure_records")
+TAIL_BYTES = 8192
+
+
+@register("str05_failure_records", sql=f"""
+WITH {RUN_LOG_SQL}, {CLASSIFY_SQL},
+stops AS (SELECT run, min(line_no) AS s FROM classified WHERE kind IS NOT NULL GROUP BY run),
+t AS (SELECT c.run, c.line_no, c.line, s, sum(octet_length(encode(c.line)) + 1) OVER (PARTITION BY c.run ORDER BY c.line_no DESC ROWS UNBOUNDED PRECEDING) AS b
+      FROM classified c JOIN stops ON c.run = stops.run AND c.line_no <= s),
+tails AS (SELECT run, s, md5(string_agg(line, chr(10) ORDER BY line_no)) AS tail_md5 FROM t WHERE b <= {TAIL_BYTES} GROUP BY run, s)
+SELECT c.run, c.line_no, c.kind, c.reason, tail_md5,
+       CASE WHEN c.kind = 'guard_fail' THEN 'micro_step=' || regexp_extract(line, 'micro_step=(\\d+)', 1) || ' model_tag=' || regexp_extract(line, 'model_tag="(\\w+)"', 1)
+            || ' reason=' || c.reason || ' step=' || regexp_extract(line, ' step=(\\d+)', 1) ELSE '' END AS fields
+FROM classified c JOIN tails ON c.run = tails.run AND c.line_no = tails.s""")
 def failure_records_q(spark, sf):
     base = S.scratch(spark, "str05")
-    _write_ranges(run_log(spark, sf).select("run", "line_no", "line"), "run", f"{base}/in")
+    _write_ranges(run_log(spark, sf).select("run", "line_no", "line"), "line_no", f"{base}/in")  # a run's lines come in several batches
     logs = spark.readStream.schema(S.LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    S.failure_records(logs, f"{base}/out", f"{base}/ck")
-    return spark.read.json(f"{base}/out").select(F.col("run").cast("bigint").alias("run"),
-                                                 F.col("line_no").cast("bigint").alias("line_no"), "kind", "reason")
+    S.run_to_completion(S.failure_records(logs, TAIL_BYTES).writeStream.format("json").option("path", f"{base}/out")
+                        .option("checkpointLocation", f"{base}/ck"))
+    r = spark.read.schema(S.FAILURE_OUT).json(f"{base}/out")
+    return r.select("run", "line_no", "kind", "reason", F.md5("log_tail").alias("tail_md5"), F.coalesce("fields", F.lit("")).alias("fields"))
 
 
 @register("str06_online_metrics", sql=f"""
@@ -101,7 +114,6 @@ def append_validated_q(spark, sf):
 def _share_oracles():
     from tokenmill.plans import q_conversation, q_logs  # noqa: F401
     ORACLES["str02_stream_stop_events"] = ORACLES["log04_first_stop"]
-    ORACLES["str05_failure_records"] = ORACLES["log01_classify_lines"]
     ORACLES["str08_append_validated"] = ORACLES["flt08_validate_strict"]
 
 

@@ -58,6 +58,7 @@ def write_core_csv(results: DataFrame, path: str) -> None:
                           F.format_string("%.6f", "centered").alias("cen")).unionByName(
         core.select(F.lit("CORE").alias("task"), F.lit("").alias("acc"), F.format_string("%.6f", "centered").alias("cen")))
     line = F.concat_ws(", ", F.rpad("task", 35, " "), F.rpad("acc", 10, " "), F.rpad("cen", 10, " "))
+    # fixed value: the padded header
     header = F.lit(f"{'Task':<35}, {'Accuracy':<10}, {'Centered':<10}")
     out = rows.select(line.alias("value")).coalesce(1)
     out = results.sparkSession.range(1).select(header.alias("value")).unionByName(out).coalesce(1)
@@ -156,10 +157,29 @@ def write_reshard(docs: DataFrame, plan: DataFrame, path: str, key: str = "doc_i
 # ----------------------------------------------------------------------------- run catalog
 
 
+# fixed value: name of a checkpoint's metadata file below its model tag
+META_PATH = r"(?:^|/)(?:tag=)?([^/]+)/meta_(\d+)\.json$"
+
+
+def checkpoint_paths(files: DataFrame, path: str = "path") -> DataFrame:
+    """SRC-16: tag, step and depth (``d<depth>`` in the tag, null without) of checkpoint metadata files; other files are left out."""
+    f = files.where(F.col(path).rlike(META_PATH)).select(
+        "*", F.regexp_extract(path, META_PATH, 1).alias("tag"), F.regexp_extract(path, META_PATH, 2).cast("bigint").alias("step"))
+    depth = F.regexp_extract("tag", r"^d(\d+)", 1)
+    return f.withColumn("depth", F.when(depth != "", depth.cast("int")))
+
+
+def latest_checkpoints(files: DataFrame, path: str = "path") -> DataFrame:
+    """SRC-16: last step and number of checkpoints of each tag."""
+    return checkpoint_paths(files, path).groupBy("tag", "depth").agg(F.max("step").alias("last_step"), F.count(F.lit(1)).alias("n_checkpoints"))
+
+
 def scan_runs(spark: SparkSession, root: str) -> DataFrame:
     """SRC-16: run catalog of checkpoint metadata JSON, one ``tag=<model tag>`` folder per run family.
 
-    The tag comes from partition discovery, the write time from ``_metadata``.
+    The tag comes from partition discovery, the write time from ``_metadata``; the step of files that are named for it, from their name.
     """
     m = spark.read.json(root)
-    return m.select("*", F.col("_metadata.file_modification_time").alias("mtime"))
+    named = F.regexp_extract(F.col("_metadata.file_path"), META_PATH, 2)
+    step = F.coalesce(F.when(named != "", named.cast("bigint")), F.col("step") if "step" in m.columns else F.lit(None).cast("bigint"))
+    return m.select(*[c for c in m.columns if c != "step"], step.alias("step"), F.col("_metadata.file_modification_time").alias("mtime"))

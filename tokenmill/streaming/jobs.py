@@ -57,19 +57,38 @@ def stream_stop_events(logs: DataFrame) -> DataFrame:
                                                   F.col("_c.reason").alias("reason")), "line_no").alias("s"))
 
 
-def failure_records(logs: DataFrame, out_path: str, checkpoint: str, tail_lines: int = 20) -> None:
-    """STR-05: per micro-batch, write one JSON record per stop event with its field map and log tail."""
-    def write(batch: DataFrame, epoch: int) -> None:
-        c = batch.withColumn("_c", RL.classify_line("line"))
-        ev = c.where(F.col("_c.kind").isin(*RL.STOP_KINDS))
-        tail = RL.log_tail(batch, tail_lines * 200).groupBy("run").agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]),
-                         "\n").alias("log_tail"))
-        rec = ev.select("run", "line_no", F.col("_c.kind").alias("kind"), F.col("_c.reason").alias("reason"),
-                        RL.parse_fields(F.regexp_extract("line", RL.GUARD_RE, 1)).alias("fields"), "line") \
-                .join(tail, "run", "left").withColumn("epoch", F.lit(epoch))
-        rec.write.mode("append").json(out_path)
-    run_to_completion(logs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
+FAILURE_OUT = "run long, line_no long, kind string, reason string, fields string, log_tail string"
+FAILURE_STATE = "tail string, done boolean"
+
+
+def failure_records(logs: DataFrame, tail_bytes: int = 8192) -> DataFrame:
+    """STR-05: one record for each run, at its first stop signal: fields of the line and the tail of the run's log.
+
+    The tail is the last whole lines, the stop line included, of at most ``tail_bytes`` bytes (with their newlines). It is
+    kept in the state, so the record does not depend on how lines fall into micro-batches. Lines of a run arrive in order.
+    """
+    c = logs.withColumn("_c", RL.classify_line("line"))
+    fields = RL.fields_text(RL.parse_fields(F.regexp_extract("line", RL.GUARD_RE, 1)))
+    rows = c.select("run", "line_no", "line", F.when(F.col("_c.kind").isin(*RL.STOP_KINDS), F.col("_c.kind")).alias("kind"), F.col("_c.reason").alias("reason"),
+                    fields.alias("fields"))
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tail, done = state.get if state.exists else ("", False)
+        lines = tail.splitlines(keepends=True)
+        size = len(tail.encode())
+        for r in pd.concat(list(pdfs)).sort_values("line_no").itertuples(index=False):
+            if done:
+                break
+            lines.append(f"{r.line}\n")
+            size += len(lines[-1].encode())
+            while size > tail_bytes:
+                size -= len(lines.pop(0).encode())
+            if isinstance(r.kind, str):
+                done = True
+                yield pd.DataFrame([(key[0], r.line_no, r.kind, r.reason, r.fields, "".join(lines)[:-1])], columns=["run", "line_no", "kind", "reason", "fields", "log_tail"])
+        state.update(("" if done else "".join(lines), done))
+
+    return rows.groupBy("run").applyInPandasWithState(fn, FAILURE_OUT, FAILURE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 # ----------------------------------------------------------------------------- STR-06
