@@ -455,7 +455,7 @@ def test_misspelled_words_share_vectors(spark, sf, prose):
 # op9
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "</s>", "\\"]), st.text(st.sampled_from(["\\", "<", "s", ">", "/", "[", "INST", "]", "<s>", "</s>", "[INST]", "[/INST]", "\n", "é"]), max_size=14)), max_size=6))
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "</s>", "\\"]), st.lists(st.sampled_from(["\\", "<", "s", ">", "/", "[", "INST", "]", "<s>", "</s>", "[INST]", "[/INST]", "\n", "é"]), max_size=14).map("".join)), max_size=6))
 def test_render_and_parse_are_inverse(turns):
     text, loss = chat.render(turns)
     assert chat.parse(text) == turns
