@@ -183,6 +183,14 @@ def test_rules_against_brute_force(spark, sf, prose):
     assert got == want
 
 
+def test_target_counts_are_over_all_trusted_rows(spark):
+    n = 20_500  # more ids than one block of trusted ids ever held
+    rows = [(i, f"w{i}") for i in range(n)] + [(0, "w0"), (None, "x"), (None, "y"), (n, "z")]
+    trusted = spark.createDataFrame([(i,) for i in [*range(n), 0, None]], "doc_id long")
+    got = rules.counted(documents(spark, rows), trusted, 1 << 16).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
+    assert (got["n"], got["t"]) == (2 * (n + 4), 2 * (n + 1))
+
+
 def test_rules_without_trust_or_rows(spark, prose):
     nobody = spark.createDataFrame([], "doc_id long")
     assert rules.quality_rules(documents(spark, []), nobody).count() == 0

@@ -1,7 +1,7 @@
 """Quality rules on the JVM only: base counts and a hashed n-gram log-likelihood ratio of target against raw corpus.
 
 Both corpora are multinomials over ``buckets`` hashed word unigrams and bigrams. The raw one is counted over every document, the
-target over a bounded number of trusted ones. A text's
+target over every trusted one. A text's
 score is the sum of log(target / raw) over its n-grams divided by their number, and each document is kept or not by a
 fixed threshold on its score.
 """
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tokenmill.llm.common import saved
 
 BUCKETS = 1 << 16
-#: Trusted documents that the target's counts are taken from, at most.
-TRUSTED_IDS = 20_000
+#: Parts that documents without an id are dealt out in.
+SALTS = 1024
 #: Added to every count, so that a bucket unseen in one corpus has a finite ratio.
 SMOOTHING = 1.0
 #: Least score (nats per n-gram) of a kept document.
@@ -78,21 +78,30 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def _counts(texts: DataFrame, buckets: int) -> DataFrame:
-    return texts.select(F.explode(grams(F.col("text"), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+def counted(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, n, t): n-grams of all rows of ``docs``, and of all rows with one of the ids of ``trusted`` (doc_id).
+
+    Texts are read once and turned into bucket numbers, of two bytes each up to 65,536 buckets; only these are dealt out by id and
+    meet the trusted ids, which are hashed, not broadcast. Documents without an id are dealt out by their text. Counts are
+    combined within each task before they are shuffled.
+    """
+    low, kind = buckets // 2, "short" if buckets <= 1 << 16 else "int"
+    text = F.col("text")
+    salt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64(text), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    rows = _texts(docs).select("doc_id", salt.alias("salt"), F.transform(grams(text, buckets), lambda g: (g - low).cast(kind)).alias("g"))
+    # pmod by 1 is 0, as salt is, but no literal, which would not be a key to deal out by
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().select("doc_id", F.pmod("doc_id", F.lit(1)).cast("long").alias("salt"), F.lit(1).cast("long").alias("t"))
+    both = rows.join(ids.hint("shuffle_hash"), ["doc_id", "salt"], "left").select(F.explode_outer("g").alias("g"), "t").where("g is not null")  # plain explode tests the array's size below the join, which makes it twice
+    return both.groupBy("g").agg(F.count("*").alias("n"), F.count("t").alias("t")).select((F.col("g").cast("long") + low).alias("bucket"), "n", "t")
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, trusted_ids: int = TRUSTED_IDS) -> DataFrame:
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
     """(bucket, ratio) with log(target / raw) of every bucket seen; at most ``buckets`` rows, whatever the corpus.
 
-    Raw counts are over all ``docs``. Target counts are over all rows with one of at most ``trusted_ids`` ids of ``trusted``
-    (doc_id), chosen by hash, so that the ids can be broadcast and no text is moved. Counts are combined within each task
-    before the shuffle. With no trusted document every ratio is 0.
+    Raw counts are over all ``docs``, target counts over all of their rows that are ``trusted``. With no trusted
+    document every ratio is 0.
     """
-    texts = _texts(docs)
-    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_ids)
-    raw, target = _counts(texts, buckets), _counts(texts.join(F.broadcast(ids), "doc_id", "left_semi"), buckets)
-    both = saved(raw.join(target.withColumnRenamed("n", "t"), "bucket", "left").fillna(0, ["t"]))
+    both = saved(counted(docs, trusted, buckets))
     total = both.agg(F.sum("n").alias("sum_n"), F.sum("t").alias("sum_t"))
     share = lambda n, of: F.log((F.col(n) + smoothing) / (F.col(of) + smoothing * buckets))
     return both.join(F.broadcast(total)).select("bucket", F.when(F.col("sum_t") > 0, share("t", "sum_t") - share("n", "sum_n")).otherwise(0.0).alias("ratio"))
