@@ -535,6 +535,18 @@ def test_random_tokens_are_told_from_text(spark):
     assert clean.agg(F.sum("n_random")).first()[0] == 0
 
 
+def test_random_tokens_of_any_length_are_secrets(spark):
+    rng = random.Random(8)
+    kinds = (secrets.DIGITS64, secrets.DIGITS16.upper(), secrets.DIGITS32)
+    sizes = [n for n in (1000, 1300, 1400, 1600, 4000, 8000, 10_000) for _ in range(5)]
+    keys = ["".join(rng.choices(a, k=n)) for a in kinds for n in sizes]
+    out = {r["doc_id"]: r["spans"] for r in secrets.scan(documents(spark, [(i, f"key {k} end") for i, k in enumerate(keys)] + [(-1, "=" * 30), (-2, "A" + "=" * 30), (-3, "word" * 900)])).collect()}
+    for a in range(len(kinds)):
+        found = [out[i] == f"random:4:{4 + len(k)}" for i, k in enumerate(keys) if i // len(sizes) == a]
+        assert sum(found) >= 0.95 * len(found)
+    assert not out[-1] and not out[-2] and not out[-3]
+
+
 def test_redaction(spark):
     rows = [(i, t) for i, t in enumerate(SECRETS)]
     docs = documents(spark, rows)

@@ -83,10 +83,11 @@ def tokens(text: Column, base: Column) -> Column:
     return F.filter(found, lambda t: ~F.exists(base, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
 
 
-def _tail(z: Column) -> Column:
-    """Upper tail of the normal distribution, to a few parts in a hundred."""
-    half = lambda x: 0.5 * F.exp(-0.717 * x - 0.416 * x * x)
-    return F.when(z >= 0, half(z)).otherwise(1.0 - half(-z))
+def _log_tail(z: Column) -> Column:
+    """Log of the upper tail of the normal distribution, which is known to a few parts in a hundred. Taken without the
+    tail itself, which is 0 from z of about 41 on, as tokens of some thousand characters have it."""
+    half = lambda x: F.log(F.lit(0.5)) - 0.717 * x - 0.416 * x * x
+    return F.when(z >= 0, half(z)).otherwise(F.log(1.0 - F.exp(half(-z))))
 
 
 def battery(token: Column) -> Column:
@@ -101,7 +102,7 @@ def battery(token: Column) -> Column:
 
     def stats(v: Column) -> Column:
         c, a = v["codes"], v["a"].cast("double")
-        n = F.size(c).cast("double")
+        n = F.when(F.size(c) >= 2, F.size(c)).cast("double")  # null: too short for any statistic
         kind = lambda x: F.when(v["a"] == 64, F.when(x < 26, 0).when(x < 52, 1).when(x < 62, 2).otherwise(3)).when(v["a"] == 32, (x < 26).cast("int")).otherwise((x < 10).cast("int"))
         pairs = F.filter(F.transform(c, lambda x, i: F.struct(x.alias("x"), F.get(c, i + 1).alias("y"))), lambda e: e["y"].isNotNull())
         squares = F.aggregate(F.array_sort(c), F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("sum")),
@@ -121,9 +122,9 @@ def battery(token: Column) -> Column:
         chi_text = (a - 1 + (n - 1) * (a * TEXT_SQUARES - 1) - s["chi"]) / F.sqrt(2 * (a - 1) + 4 * (n - 1) * a * a * TEXT_SPREAD)
         changes_text = (s["changes"] - (n - 1) * TEXT_CHANGES) / F.sqrt((n - 1) * TEXT_CHANGES * (1 - TEXT_CHANGES))
         serial_text = F.when(a == 64, ((n - 1) * TEXT_SERIAL - s["serial"]) / F.sqrt(n - 1)).otherwise(0.0)
-        x = -(F.log(_tail(chi_text)) + F.log(_tail(changes_text)) + F.log(_tail(serial_text)))
-        return F.struct(n.cast("int").alias("n"), F.coalesce(F.when(token.rlike("^[0-9]+$"), 1e9).otherwise(from_uniform), F.lit(1e9)).alias("far"),
-                        F.coalesce(F.exp(-x) * (1 + x + x * x / 2), F.lit(1.0)).alias("p"))
+        x = -(_log_tail(chi_text) + _log_tail(changes_text) + _log_tail(serial_text))
+        return F.struct(F.coalesce(n.cast("int"), F.lit(0)).alias("n"), F.coalesce(F.when(token.rlike("^[0-9]+$"), 1e9).otherwise(from_uniform), F.lit(1e9)).alias("far"),
+                        F.when(n.isNull(), 1.0).otherwise(F.exp(-x) * (1 + x + x * x / 2)).alias("p"))
 
     return _let(_let(F.struct(codes.alias("codes"), size.alias("a")), stats), verdict)
 
