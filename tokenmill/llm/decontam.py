@@ -4,7 +4,9 @@ Each benchmark item has a window size a little under its own length, from a ladd
 ``stride`` words of the corpus, and at each of the first and last ``stride`` places of the item; as the item is longer than the window by
 as much, a copied item always holds a corpus window that starts at the same word as one of its own. A window's fingerprint
 is the 64-bit SimHash of its word bigrams. Fingerprints within ``RADIUS`` bits agree in one of four 16-bit blocks up
-to one bit; the item side stores each block with all single-bit changes, so that one look-up in each block finds all of them. Candidates
+to one bit; the item side stores each block with all single-bit changes, so that one look-up in each block finds all of them. Edits
+in an item's middle lie in all of these windows. So shorter ones are looked for too, of a length of which a copy above the threshold must have left
+one run unchanged however its edits lie; they are taken at every place of the corpus and at every few words of the item, and must be equal. Candidates
 are compared exactly: weighted Jaccard similarity of the five-word shingles of the item and of as many words at that place,
 where a shingle weighs the more the fewer items have it.
 """
@@ -27,7 +29,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, RADIUS = 4, 7
 #: Items whose windows are searched for in one pass over the corpus; more items take more passes.
 ITEMS_A_PASS = 1000
-#: Words by which a candidate's place may be off.
+#: Words by which a candidate's place may be off, at least; by as many as an item may have edited otherwise.
 SHIFT = 3
 #: Windows are made of so many words at a time.
 CHUNK = 1 << 15
@@ -93,8 +95,18 @@ class _Class(NamedTuple):
     entries: list[np.ndarray]
 
 
+class _Runs(NamedTuple):
+    """Short item windows of one size: sums of bigram hashes in order, item and place of each."""
+
+    sums: np.ndarray
+    items: np.ndarray
+    places: np.ndarray
+
+
 class Index(NamedTuple):
     classes: dict[tuple[int, int], _Class]
+    runs: dict[int, _Runs]
+    shifts: list[int]
     ids: list[int]
     sizes: list[int]
     shingles: list[tuple[np.ndarray, np.ndarray]]
@@ -107,11 +119,24 @@ def _weighted(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingles, return_counts=True)
 
 
+def edits_of(weights: np.ndarray, default: float) -> int:
+    """Most words at the ends that an edit of an item can change above the threshold, each in one shingle of the least weight.
+    An edit elsewhere changes four shingles at least, so that there are a quarter as many of those."""
+    return int((1 - SIMILARITY) * weights.sum() / (weights.min() + SIMILARITY * default) + 1e-9)
+
+
+def _sums(bigrams: np.ndarray, grams: int) -> np.ndarray:
+    """Sum of the hashes in every window of so many bigrams."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(bigrams, dtype=np.uint64)])
+    return total[grams:] - total[:-grams]
+
+
 def build_index(items: list[tuple[int, str]]) -> Index:
     """Index of (item_id, text); items of fewer than ``SHINGLE`` words can't be told from ordinary text and are left out."""
     memo = WordHash()
     ids, sizes, shingles = [], [], []
     found: dict[tuple[int, int], list] = {}
+    pairs = []
     for item, text in items:
         h = memo.of(words_of(text))
         if len(h) < SHINGLE:
@@ -120,8 +145,9 @@ def build_index(items: list[tuple[int, str]]) -> Index:
         ids.append(item)
         sizes.append(len(h))
         shingles.append(_weighted(ngram_hashes(h, SHINGLE)))
+        pairs.append(ngram_hashes(h, 2))
         grams, stride = window_of(len(h))
-        _, prints = simhash(ngram_hashes(h, 2), [(grams, 1)])[grams, 1]
+        _, prints = simhash(pairs[k], [(grams, 1)])[grams, 1]
         for place in sorted({*range(min(stride, len(prints))), *range(max(0, len(prints) - stride), len(prints))}):
             found.setdefault((grams, stride), []).append((prints[place], k, place))
     classes = {}
@@ -140,7 +166,20 @@ def build_index(items: list[tuple[int, str]]) -> Index:
         for x in s.tolist():
             df[x] = df.get(x, 0) + 1
     n = max(len(ids), 1)
-    return Index(classes, ids, sizes, shingles, {x: float(np.log1p(n / c)) for x, c in df.items()}, float(np.log1p(n)), max(sizes, default=0))
+    weights, default = {x: float(np.log1p(n / c)) for x, c in df.items()}, float(np.log1p(n))
+    shifts, short = [], {}
+    for k, (own, count) in enumerate(shingles):
+        edits = edits_of(np.repeat([weights[x] for x in own.tolist()], count), default)
+        shifts.append(max(SHIFT, edits))
+        grams, stride = window_of(max(2, (sizes[k] - edits) // (edits // 4 + 1)))
+        sums = _sums(pairs[k], grams)
+        short.setdefault(grams, []).extend((sums[place], k, place) for place in range(0, len(sums), stride))
+    runs = {}
+    for grams, rows in short.items():
+        sums = np.array([r[0] for r in rows], np.uint64)
+        order = np.argsort(sums, kind="stable")
+        runs[grams] = _Runs(sums[order], np.array([r[1] for r in rows])[order], np.array([r[2] for r in rows])[order])
+    return Index(classes, runs, shifts, ids, sizes, shingles, weights, default, max(sizes, default=0))
 
 
 def _candidates(c: _Class, at: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,6 +199,14 @@ def _candidates(c: _Class, at: np.ndarray, prints: np.ndarray) -> tuple[np.ndarr
     return np.concatenate(places), np.concatenate(entries)
 
 
+def _equal(r: _Runs, table: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the corpus, entry) of all pairs of equal sums; ``table`` is true at the low bits of each of the item's."""
+    some = np.flatnonzero(table[sums & np.uint64(len(table) - 1)])
+    low = np.searchsorted(r.sums, sums[some], "left")
+    count = np.searchsorted(r.sums, sums[some], "right") - low
+    return np.repeat(some, count), np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 def similarity(index: Index, item: int, shingles: np.ndarray) -> float:
     """Weighted Jaccard similarity of an item's shingles and some others, both with their counts."""
     own, n_own = index.shingles[item]
@@ -178,6 +225,10 @@ class Searcher:
 
     def __init__(self, index: Index):
         self.index, self.memo = index, WordHash()
+        self.tables = {}
+        for grams, r in index.runs.items():
+            self.tables[grams] = np.zeros(1 << 20, bool)
+            self.tables[grams][r.sums & np.uint64((1 << 20) - 1)] = True
 
     def __call__(self, texts: list[str | None]) -> list[list[tuple[int, int, float]]]:
         split = [words_of(t or "") for t in texts]
@@ -200,10 +251,16 @@ class Searcher:
                 places, entries = _candidates(c, at[mine] + first, prints[mine])
                 for place, k, off in zip(places.tolist(), c.items[entries].tolist(), c.places[entries].tolist()):
                     seen.add((place - off, int(np.searchsorted(ends, place, "right")), k))
+            for grams, r in self.index.runs.items():
+                some = pairs[first: first + CHUNK + grams - 1]
+                if len(some) >= grams:
+                    places, entries = _equal(r, self.tables[grams], _sums(some, grams))
+                    for place, k, off in zip((places + first).tolist(), r.items[entries].tolist(), r.places[entries].tolist()):
+                        seen.add((place - off, int(np.searchsorted(ends, place, "right")), k))
         for place, text, k in seen:
             low, high = (int(ends[text - 1]) if text else 0), int(ends[text])
-            size = self.index.sizes[k]
-            for a in range(max(low, place - SHIFT), min(max(place + SHIFT, low), high - SHINGLE) + 1):
+            size, shift = self.index.sizes[k], self.index.shifts[k]
+            for a in range(max(low, place - shift), min(max(place + shift, low), high - SHINGLE) + 1):
                 s = similarity(self.index, k, ngram_hashes(h[a: min(a + size, high)], SHINGLE))
                 old = out[text].get(k, (0.0, 0))
                 if s >= SIMILARITY and (s, low - a) > (old[0], -old[1]):
