@@ -1,12 +1,14 @@
 """BPE training / encoding and the pre-tokenizer against plain-Python models."""
 
 import random
+import time
 
 import numpy as np
 import regex
 from pyspark.sql import functions as F
 
 from tokenmill.functions.text import SPLIT_PATTERN, pretokenize
+from tokenmill.operators import bpe_train as BT
 from tokenmill.operators import tokenizer as TK
 from tokenmill.session import table
 
@@ -44,8 +46,10 @@ def test_train_bpe_matches_plain_python(spark, sf):
     docs = table(spark, sf, "documents").limit(60)  # a small fixture; the registered query uses whole tables
     cc = TK.chunk_counts(docs)
     counts = {r["chunk"]: r["n"] for r in cc.collect()}
-    model = TK.train_bpe(cc, 256 + 9 + 160, checkpoint_every=5)
-    assert model.merges == py_bpe(counts, 160)
+    want = py_bpe(counts, 160)
+    assert TK.train_bpe(cc, 256 + 9 + 160, replayed=50).merges == want
+    # a sample of few chunks foretells badly: more rounds, the same merges
+    assert TK.train_bpe(cc, 256 + 9 + 160, sample_chunks=30).merges == want
 
 
 def test_batched_rounds_are_greedy_on_ties_and_runs(spark):
@@ -56,12 +60,27 @@ def test_batched_rounds_are_greedy_on_ties_and_runs(spark):
     assert model.merges == py_bpe(counts, 60)
 
 
-def test_merge_ids_goes_left_to_right():
-    for seq in ([1, 1, 1], [1, 1, 1, 1], [1, 2, 1, 2, 2, 1], [2, 1, 1, 2], [], [1], [3, 3, 3, 1, 2, 3, 3]):
-        ids, ends = TK.merge_ids(np.array(seq + [1, 1], np.int32), np.array([len(seq), len(seq) + 2]), [(1, 2, 9), (3, 3, 8)])
-        assert ids[:ends[0]].tolist() == naive_merge(naive_merge(seq, 1, 2, 9), 3, 3, 8) and ids[ends[0]:].tolist() == [1, 1]
-        ids, ends = TK.merge_ids(np.array(seq + [1, 1], np.int32), np.array([len(seq), len(seq) + 2]), [(1, 1, 9)])
-        assert ids[:ends[0]].tolist() == naive_merge(seq, 1, 1, 9) and ids[ends[0]:].tolist() == [9]
+def test_merges_go_left_to_right_and_keep_the_counts():
+    rng = random.Random(2)
+    for trial in range(200):
+        seqs = [rng.choices([1, 2, 3], k=rng.randint(0, 9)) for _ in range(6)]
+        n = [rng.randint(1, 4) for _ in seqs]
+        index = BT.PairIndex(np.array([i for s in seqs for i in s], np.int64), np.array([len(s) for s in seqs]), np.array(n))
+        counts = dict(zip(*(x.tolist() for x in index.counts())))
+        spare = index.copy()
+        for m in range(4, 9):
+            a, b = rng.choice([1, 2, 3, *range(4, m)]), rng.choice([1, 2, 3, *range(4, m)])
+            seqs = [naive_merge(s, a, b, m) for s in seqs]
+            for k, d in zip(*(x.tolist() for x in index.merge(a, b, m))):
+                counts[k] = counts.get(k, 0) + d
+            want = {}
+            for s, c in zip(seqs, n):
+                for x, y in zip(s, s[1:]):
+                    want[x << 32 | y] = want.get(x << 32 | y, 0) + c
+            assert {k: c for k, c in counts.items() if c} == want == dict(zip(*(x.tolist() for x in index.counts())))
+        ids, sizes, weights = index.sequences()
+        assert ids.tolist() == [i for s in seqs for i in s] and sizes.tolist() == [len(s) for s in seqs if s]
+        assert (spare.tok < 4).all() and (spare.tok > 0).all()
 
 
 def naive_merge(ids, a, b, m):
@@ -128,3 +147,50 @@ def test_byte_ids_edge_cases(spark):
     df = spark.createDataFrame([("",), ("é\x00€",), ("a",)], "text string")
     got = [r["ids"] for r in df.select(byte_ids("text").alias("ids")).collect()]
     assert got == [[], list("é\x00€".encode()), [97]]
+
+
+def test_training_of_a_thousand_merges_is_greedy(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").limit(120)
+    cc = TK.chunk_counts(docs)
+    model = TK.train_bpe(cc, 256 + 9 + 1000, replayed=300)
+    assert model.merges == lazy_bpe({r["chunk"]: r["n"] for r in cc.collect()}, 1000)
+
+
+def lazy_bpe(counts, n_merges):
+    """Greedy BPE that recounts only the words a merge changes."""
+    words = [(list(w.encode()), c) for w, c in counts.items()]
+    pairs, where = {}, {}
+    for k, (w, c) in enumerate(words):
+        for p in zip(w, w[1:]):
+            pairs[p] = pairs.get(p, 0) + c
+            where.setdefault(p, set()).add(k)
+    merges = []
+    for m in range(256, 256 + n_merges):
+        best = min(pairs, key=lambda p: (-pairs[p], p))
+        merges.append(best)
+        for k in where.pop(best):
+            w, c = words[k]
+            for p in zip(w, w[1:]):
+                pairs[p] -= c
+            w = naive_merge(w, *best, m)
+            words[k] = w, c
+            for p in zip(w, w[1:]):
+                pairs[p] = pairs.get(p, 0) + c
+                where.setdefault(p, set()).add(k)
+        pairs = {p: c for p, c in pairs.items() if c}
+    return merges
+
+
+def test_long_chunks_are_encoded_in_time(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choices("abcd", k=100_000))
+    cc = spark.createDataFrame([(text[k:k + 12], 1 + k % 3) for k in range(0, 20_000, 12)], "chunk string, n long")
+    model = TK.train_bpe(cc, 256 + 9 + 300)
+    ranks = {p: i for i, p in enumerate(model.merges)}
+    began = time.process_time()
+    ids = TK._encode_chunk(text.encode(), ranks)
+    assert time.process_time() - began < 2
+    assert TK._encode_chunk(text[:3000].encode(), ranks) == naive_apply(text[:3000].encode(), model.merges)
+    assert TK._encode_chunk(b"a" * 2001, ranks) == naive_apply(b"a" * 2001, model.merges)
+    table_ = model.token_bytes()
+    assert b"".join(table_[i] for i in ids) == text.encode()

@@ -10,8 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenmill.functions.hashing import hash_key, hash_unit
 from tokenmill.functions.text import byte_ids, strip
@@ -87,38 +91,61 @@ def with_tokens(df: DataFrame, prompt: str = "prompt", out: str = "tokens", bos:
     return df.withColumn(out, F.concat(F.array(F.lit(bos)), byte_ids(prompt)))
 
 
-def _common_len(arrs: Column, reverse: bool) -> Column:
-    """Length of the common prefix (or suffix) of a small array of arrays."""
-    a = F.transform(arrs, lambda x: F.reverse(x)) if reverse else arrs
-    minlen = F.array_min(F.transform(a, lambda x: F.size(x)))
-    first = F.element_at(a, 1)
+def shared_ends(groups: pa.ListArray, reverse: bool) -> np.ndarray:
+    """Length of the common prefix (or suffix) of the lists in each group; 0 for a group without lists.
 
-    def step(acc, i):
-        same = F.forall(a, lambda x: F.element_at(x, i) == F.element_at(first, i))
-        go = acc["go"] & same
-        return F.struct(F.when(go, acc["n"] + 1).otherwise(acc["n"]).alias("n"), go.alias("go"))
-
-    init = F.struct(F.lit(0).alias("n"), F.lit(True).alias("go"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(minlen, F.lit(1))), init, step,
-                       lambda acc: F.least(acc["n"], minlen))
+    All lists of a batch are compared with the first of their group at once, on the flat values.
+    """
+    n = len(groups)
+    count = pc.list_value_length(groups).to_numpy(zero_copy_only=False)
+    lists = groups.flatten()
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    low = np.cumsum(size) - size
+    first = np.cumsum(count) - count
+    group = np.repeat(np.arange(n), count)
+    head = first[group] if len(group) else group
+    length = np.minimum(size, size[head])
+    step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)  # place from the left end, or from the right
+    at = (lambda x: np.repeat((low + size - 1)[x], length) - step) if reverse else (lambda x: np.repeat(low[x], length) + step)
+    differ = values[at(np.arange(len(size)))] != values[at(head)]
+    same = length.copy()
+    which = np.repeat(np.arange(len(size)), length)
+    np.minimum.at(same, which[differ], step[differ])
+    out = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(out, group, same)
+    out[count == 0] = 0
+    return out
+
+
+@F.arrow_udf(T.LongType())
+def _common_prefix(groups: pa.Array) -> pa.Array:
+    return pa.array(shared_ends(groups, False))
+
+
+@F.arrow_udf(T.LongType())
+def _common_suffix(groups: pa.Array) -> pa.Array:
+    return pa.array(shared_ends(groups, True))
 
 
 def common_length(df: DataFrame, by: Sequence[str], tokens: str = "tokens", side: str = "left") -> DataFrame:
-    """EVL-04: common prefix (left) / suffix (right) length of the token arrays in a group."""
+    """EVL-04: common prefix (left) / suffix (right) length of the token arrays in a group (an item's few choices)."""
     g = df.groupBy(*by).agg(F.collect_list(tokens).alias("_a"))
-    return g.select(*by, _common_len(F.col("_a"), side == "right").cast("bigint").alias("common_len"))
+    return g.select(*by, (_common_suffix if side == "right" else _common_prefix)("_a").alias("common_len"))
 
 
 def scored_spans(tokens: DataFrame, kind: str, key: str = "item_id") -> DataFrame:
     """EVL-05: (start, end) of the scored span for mc / schema sequences.
 
-    mc: after the common prefix; schema: the common suffix.
+    mc: after the common prefix; schema: the common suffix. The rows of an item are gathered once; its span is found on them and they are
+    unfolded again, so the tokens are neither made nor shuffled twice.
     """
-    side = "left" if kind == "mc" else "right"
-    cl = common_length(tokens, [key], side=side)
-    j = tokens.join(cl, key).withColumn("end", F.size("tokens").cast("bigint"))
-    start = F.col("common_len") if kind == "mc" else F.col("end") - F.col("common_len")
-    return j.withColumn("start", start.cast("bigint")).drop("common_len")
+    cols = [c for c in tokens.columns if c != key]
+    g = tokens.groupBy(key).agg(F.collect_list(F.struct(*cols)).alias("_r"))
+    common = (_common_prefix if kind == "mc" else _common_suffix)(F.transform("_r", lambda r: r["tokens"]))
+    j = g.withColumn("_c", common).select(key, "_c", F.inline("_r")).withColumn("end", F.size("tokens").cast("bigint"))
+    start = F.col("_c") if kind == "mc" else F.col("end") - F.col("_c")
+    return j.withColumn("start", start.cast("bigint")).select(key, *cols, "end", "start")
 
 
 def spans_lm(lm: DataFrame) -> DataFrame:

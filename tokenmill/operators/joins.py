@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def grade_choice(pred: DataFrame, gold: DataFrame, key: str = "item_id", domain: str | None = None) -> DataFrame:
@@ -15,26 +21,63 @@ def grade_choice(pred: DataFrame, gold: DataFrame, key: str = "item_id", domain:
     return j.withColumn("correct", ok)
 
 
-def first_match(df: DataFrame, text: str, patterns: DataFrame, default: float, key: str = "id", width: int = 3) -> DataFrame:
+#: Rules whose automaton is in a task's memory at once; more go in blocks.
+RULES_A_PASS = 20_000
+
+
+def _matcher(rules: list[tuple], names: list[str]):
+    """Column function: (priority, value) of the first rule whose substrings all occur; ``rules`` are (substrings, priority, value) in order."""
+    def matched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        automaton, holders = ahocorasick.Automaton(), defaultdict(list)
+        for k, (subs, _, _) in enumerate(rules):
+            for word in subs:
+                holders[word].append(k)
+        for word in holders:
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        for texts in batches:
+            out = []
+            for text in texts:
+                found, best = [0] * len(rules), len(rules)
+                for word in {w for _, w in automaton.iter(text)}:
+                    for k in holders[word]:
+                        found[k] += 1
+                        if k < best and found[k] == len(rules[k][0]):
+                            best = k
+                out.append(rules[best][1:] if best < len(rules) else (None, None))
+            yield pd.DataFrame(out, columns=names)
+
+    return matched
+
+
+def first_match(df: DataFrame, text: str, patterns: DataFrame, default: float, key: str = "id", rules_a_pass: int = RULES_A_PASS) -> DataFrame:
     """JN-05: ordered rules ``(priority, substrings ARRAY<STRING>, value)``: the first rule whose
-    substrings all occur in ``text`` (any case) gives the value, else ``default``.
+    substrings all occur in ``text`` (any case) gives the value, else ``default``. Of rules with the same priority the least value counts.
 
-    A rule is filed under the first ``width`` characters of its longest substring, a text under all its runs of up
-    to ``width`` characters; an equi-join on these finds the candidates, which are then checked. Rules of shorter
-    substrings are filed under all they have, rules without any under the empty run, which every text has.
+    A task goes over each text once, with an Aho-Corasick automaton of all substrings; no row is moved or multiplied. The rules are a
+    table of parameters: they come to the driver in blocks of ``rules_a_pass``. Rules without substrings match every text, so the first of them is
+    a literal; a null list, or a null in it, matches none. A null text is empty. ``key`` is not used: every row gets its own value.
     """
-    subs = F.transform("substrings", lambda s: F.lower(s))
-    longest = F.coalesce(F.max_by("_s", F.length("_s")), F.lit(""))
-    filed = patterns.select("priority", "value", subs.alias("_subs"))
-    grams = filed.select("priority", "value", "_subs", F.explode_outer("_subs").alias("_s")).groupBy("priority", "value", "_subs").agg(
-        F.substring(longest, 1, width).alias("_g"))
+    filed = patterns.where(F.col("substrings").isNotNull() & ~F.exists("substrings", lambda x: x.isNull())).select(
+        F.array_distinct(F.filter(F.transform("substrings", F.lower), lambda x: x != "")).alias("subs"), "priority", "value")
+    always = filed.where(F.size("subs") == 0).orderBy("priority", "value").limit(1).collect()
+    some = filed.where(F.size("subs") > 0)
+    blocks = -(-some.count() // rules_a_pass)
+    kind = T.StructType([filed.schema["priority"], filed.schema["value"]])
+    best = F.lit(None).cast(kind)
+    if always:
+        best = F.struct(F.lit(always[0]["priority"]).cast(kind[0].dataType).alias("priority"), F.lit(always[0]["value"]).cast(kind[1].dataType).alias("value"))
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
-    runs = F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(low, i, F.lit(k)) for k in range(width + 1)])))
-    t = df.select(key, low.alias("_t"), F.explode(F.array_distinct(runs)).alias("_g"))
-    hits = t.join(grams, "_g").where(F.forall("_subs", lambda s: F.contains(F.col("_t"), s)))
-    hits = hits.groupBy(key).agg(F.min_by("value", "priority").alias("value"))
-    return df.join(hits, key, "left").withColumn("value", F.coalesce("value", F.lit(float(default))))
+    for b in range(blocks):
+        mine = some.where(F.pmod(F.xxhash64("subs"), F.lit(blocks)) == b).orderBy("priority", "value").collect() if blocks > 1 else some.orderBy("priority", "value").collect()
+        rules = [(r["subs"], r["priority"], r["value"]) for r in mine]
+        found = F.pandas_udf(_matcher(rules, kind.names), kind)(low)
+        sooner = F.col("_m.priority").isNotNull() & (F.col("_b").isNull() | (F.col("_m.priority") < F.col("_b.priority"))
+                                                     | ((F.col("_m.priority") == F.col("_b.priority")) & (F.col("_m.value") < F.col("_b.value"))))
+        df = df.withColumn("_b", best if b == 0 else F.col("_b")).withColumn("_m", found).withColumn("_b", F.when(sooner, F.col("_m")).otherwise(F.col("_b")))
+    if not blocks:
+        df = df.withColumn("_b", best)
+    return df.withColumn("value", F.coalesce("_b.value", F.lit(float(default)))).drop("_b", "_m")
 
 
 def glob_to_regex(glob: Column) -> Column:

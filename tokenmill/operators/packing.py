@@ -20,8 +20,8 @@ import heapq
 from collections import deque
 from collections.abc import Iterable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -235,30 +235,43 @@ def greedy(docs: Iterable[tuple[int, int, object]], capacity: int, crop: bool
 def ffd(docs: Iterable[tuple[int, int, object]], capacity: int) -> Iterator[tuple[int, int, int, int, int]]:
     """PCK-05: first-fit decreasing over the whole group; docs come longest first (:func:`pack` sorts them).
 
-    Docs longer than the capacity are cropped to it; rows are padded. The state is the open rows by their free
-    room: for each room the rows that have it, and the lowest of them; full rows are forgotten.
+    Docs longer than the capacity are cropped to it; rows are padded. The open rows are filed by their free room, and a tree over the rooms
+    has the lowest row of every range of them, so the first row with room enough is found in log2(capacity) steps. Full rows are forgotten.
     """
-    none = np.iinfo(np.int64).max
+    none, leaves = float("inf"), 1 << capacity.bit_length()
+    tree: list[float] = [none] * (2 * leaves)
     rows: list[list[int]] = [[] for _ in range(capacity + 1)]
-    lowest = np.full(capacity + 1, none, np.int64)
-    slots: dict[int, int] = {}
+    state: dict[int, list[int]] = {}  # row -> [free room, next slot]
     made = 0
+
+    def file(room: int) -> None:
+        k = leaves + room
+        tree[k] = rows[room][0] if rows[room] else none
+        while k > 1:
+            k >>= 1
+            tree[k] = min(tree[2 * k], tree[2 * k + 1])
+
     for d, n, _ in docs:
         take = min(n, capacity)
-        room = take + int(lowest[take:].argmin())
-        if lowest[room] == none:
-            row, room, made = made, capacity, made + 1
-            slots[row] = 0
+        k, row = leaves + take, tree[leaves + take]
+        while k > 1:  # what lies to the right has more room
+            if not k & 1:
+                row = min(row, tree[k + 1])
+            k >>= 1
+        if row == none:
+            row, made = made, made + 1
+            state[row] = [capacity, 0]
         else:
-            row = heapq.heappop(rows[room])
-            lowest[room] = rows[room][0] if rows[room] else none
-        yield row, slots[row], d, take, n
+            heapq.heappop(rows[state[row][0]])
+            file(state[row][0])
+        room, slot = state[row]
+        yield row, slot, d, take, n
         if left := room - take:
-            slots[row] += 1
+            state[row] = [left, slot + 1]
             heapq.heappush(rows[left], row)
-            lowest[left] = rows[left][0]
+            file(left)
         else:
-            del slots[row]
+            del state[row]
 
 
 def pack_rejects(df: DataFrame, capacity: int, n: str = "n_tokens") -> DataFrame:
@@ -342,34 +355,35 @@ def pack(df: DataFrame, algo: str, capacity: int, buffer: int = 1000, group: str
 def make_pack_udtf(capacity: int, buffer: int, crop: bool = True):
     """UDF-05: ``SELECT * FROM pack(TABLE(t) PARTITION BY grp ORDER BY pos)``.
 
-    Spark hands each partition's rows in order to one instance; the state is
-    the bounded buffer plus the pending refill batch.
+    Spark hands each partition's rows in order to one instance, as Arrow batches; the state is the bounded buffer
+    plus the pending refill batch.
     """
-    from pyspark.sql.functions import udtf
+    names = ["row_id", "slot", "doc_id", "take", "n_tokens"]
 
-    @udtf(returnType="grp bigint, row_id bigint, slot int, doc_id bigint, take bigint, n_tokens bigint")
     class Pack:
         def __init__(self):
             self.packer = BestFitPacker(capacity, buffer, crop)
-            self.grp, self.batch, self.key = None, [], None
-
-        def _flush(self):
-            out = list(self.packer.add_batch(self.batch)) if self.batch else []
-            self.batch = []
-            return out
-
-        def eval(self, row):
-            out = []
-            if self.key is not None and row["bkey"] != self.key:
-                out = self._flush()
-            self.grp, self.key = row["grp"], row["bkey"]
-            self.batch.append((row["doc_id"], row["n"]))
-            for r in out:
-                yield (self.grp, *r)
+            self.grp, self.key, self.pending = None, None, []
+
+        def _table(self, placed) -> pa.Table:
+            columns = list(zip(*placed)) or [[]] * 5
+            made = {"grp": pa.array([self.grp] * len(columns[0]), pa.int64())}
+            return pa.table(made | {c: pa.array(v, pa.int32() if c == "slot" else pa.int64()) for c, v in zip(names, columns)})
+
+        def eval(self, batch):
+            doc, n, key = (batch[c].to_pylist() for c in ("doc_id", "n", "bkey"))
+            if not doc:
+                return
+            self.grp, placed = batch["grp"][0].as_py(), []
+            for d, size, k in zip(doc, n, key):
+                if self.pending and k != self.key:
+                    placed += self.packer.add_batch(self.pending)
+                    self.pending = []
+                self.key = k
+                self.pending.append((d, size))
+            yield self._table(placed)
 
         def terminate(self):
-            out = self._flush() + list(self.packer.pump(final=True))
-            for r in out:
-                yield (self.grp, *r)
+            yield self._table([*self.packer.add_batch(self.pending), *self.packer.pump(final=True)])
 
-    return Pack
+    return F.arrow_udtf(Pack, returnType="grp bigint, row_id bigint, slot int, doc_id bigint, take bigint, n_tokens bigint")

@@ -3,29 +3,29 @@
 * Byte tokenizer (TOK-13): ids = UTF-8 bytes, specials at 256..264. Pure SQL
   functions, so every byte-level result has an exact SQL oracle.
 * BPE (TOK-02/03/04): chunk counts with a partial+final hash aggregate, then
-  training rounds over the *distinct chunk* table (a round is one numpy pass in
-  Arrow batches that merges several pairs and counts the new ones).
+  training over the *distinct chunk* table (``bpe_train``: an index from pairs to
+  places in the tasks, exact counts and a priority queue on the driver).
   Encoding runs per partition with a chunk cache of the task; the merge table is
   bounded by the vocabulary size, so shipping it to the tasks is safe.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenmill.functions.text import (N_BYTES, SPECIAL_TOKENS, SPLIT_PATTERN, byte_ids, col,
                                       pretokenize)
-from tokenmill.session import cut_lineage
+from tokenmill.operators import bpe_train
 
 # ----------------------------------------------------------------------------- byte level
 
@@ -117,192 +117,36 @@ class BPEModel:
         return spark.createDataFrame(rows, "token_id int, token_hex string, is_special boolean, n_bytes int, name string")
 
 
-def merge_ids(ids: np.ndarray, ends: np.ndarray, merges: Sequence[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences (concatenated ids, end of each) after merges (a, b, m) that share no token, each left to right."""
-    top = int(max(ids.max(initial=0), max(max(p) for p in merges))) + 1
-    new, right = np.full(top, -1, np.int64), np.full(top, -1, np.int64)
-    for a, b, m in merges:
-        new[a], right[a] = m, b
-    inner = np.ones(len(ids), bool)
-    inner[ends[ends > 0] - 1] = False
-    at = np.flatnonzero(inner[:-1] & (right[ids[:-1]] == ids[1:])) if len(ids) else np.zeros(0, np.int64)
-    same = ids[at] == right[ids[at]]
-    if same.any():  # in a run of one token every other place starts a pair
-        run = np.cumsum(np.diff(at, prepend=-2) != 1)
-        first = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1])
-        at = at[~same | ((np.arange(len(at)) - first[run - 1]) % 2 == 0)]
-    keep = np.ones(len(ids), bool)
-    keep[at + 1] = False
-    out = ids.copy()
-    out[at] = new[ids[at]]
-    return out[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
-
-
-def _pairs_of(ids: np.ndarray, ends: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a << 32 | b, count) of adjacent pairs inside the sequences, each weighted by its sequence's n."""
-    if len(ids) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    weight = np.repeat(n, np.diff(ends, prepend=0))
-    inner = np.ones(len(ids) - 1, bool)
-    inner[ends[(ends > 0) & (ends < len(ids))] - 1] = False
-    keys, at = np.unique((ids[:-1].astype(np.int64) << 32 | ids[1:])[inner], return_inverse=True)
-    sums = np.zeros(len(keys), np.int64)
-    np.add.at(sums, at, weight[:-1][inner])
-    return keys, sums
-
-
-_ROUND = pa.schema([("ids", pa.list_(pa.int32())), ("n", pa.int64()), ("pair", pa.int64()), ("cnt", pa.int64())])
-
-
-def _round(chunks: DataFrame, merges: Sequence[tuple[int, int, int]]) -> DataFrame:
-    """One pass over (ids, n): rows of the merged chunks, and rows (pair, cnt) with each batch's pair counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            col_, n = batch["ids"], batch["n"].to_numpy(zero_copy_only=False)
-            ids = col_.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-            ends = np.cumsum(pc.list_value_length(col_).to_numpy(zero_copy_only=False)).astype(np.int64)
-            if merges:
-                ids, ends = merge_ids(ids, ends, merges)
-            size = np.diff(ends, prepend=0)
-            live = size > 1  # a chunk of one token has no pair left
-            ids, n = ids[np.repeat(live, size)], n[live]
-            ends = np.cumsum(size[live])
-            offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
-            none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(n), none, none], schema=_ROUND)
-            keys, sums = _pairs_of(ids, ends, n)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.list_(pa.int32())), pa.nulls(len(keys), pa.int64()), pa.array(keys), pa.array(sums)], schema=_ROUND)
-
-    return chunks.select("ids", "n").mapInArrow(run, "ids array<int>, n long, pair long, cnt long")
-
-
-def _accepted(batch: list[tuple[int, int, int]], skipped: list[tuple[int, int, int]], first_new: int, after: dict[tuple[int, int], int]) -> int:
-    """How many merges of ``batch`` (a, b, count), in order, a greedy training makes before any other.
-
-    ``after`` has the counts, after the whole batch, of all pairs with a new token and of the ``skipped`` pairs.
-    A pair with a new token may have been more frequent before later merges took its neighbour into another new
-    token; those pairs are added to it. A skipped pair is counted rightly as soon as no later merge touches it.
-    """
-    end_of = {b: k for k, (_, b, _) in enumerate(batch)}
-    start_of = {a: k for k, (a, _, _) in enumerate(batch)}
-    best = [0] * (len(batch) + 1)  # the largest count that a new pair may have once that many merges are made
-    for (x, y), c in after.items():
-        new = [t - first_new for t in (x, y) if t >= first_new]
-        if not new:
-            continue
-        made = max(new) + 1
-        best[made] = max(best[made], c)
-        if y >= first_new > x:
-            c += after.get((first_new + end_of[x], y), 0) if x in end_of else 0
-        elif x >= first_new > y:
-            c += after.get((x, first_new + start_of[y]), 0) if y in start_of else 0
-        best[made] = max(best[made], c)
-        if len(new) == 2 and x != y:  # seen from the earlier of the two, the later one's parts stood there
-            early = min(new) + 1
-            part = (batch[y - first_new][0], "right") if x < y else (batch[x - first_new][1], "left")
-            old = after.get((x, part[0]), 0) if part[1] == "right" else after.get((part[0], y), 0)
-            best[early] = max(best[early], c + old)
-    for j in range(1, len(batch)):
-        best[j] = max(best[j], best[j - 1])
-        if best[j] >= batch[j][2]:
-            return j
-        for a, b, c in skipped:
-            if c < batch[j][2] or (c == batch[j][2] and (a, b) > batch[j][:2]):
-                continue
-            if any({a, b} & {p, q} for p, q, _ in batch[j:]) or after.get((a, b), 0) >= batch[j][2]:
-                return j
-    return len(batch)
-
-
-def train_bpe(chunks: DataFrame, vocab_size: int, max_batch: int = 128, checkpoint_every: int = 16) -> BPEModel:
-    """TOK-03: greedy BPE on a ``(chunk, n)`` table of any size.
-
-    Greedy means: the most frequent adjacent pair (ties: smaller left id, then smaller right id) is merged everywhere,
-    again and again. A round makes as many of these merges as it can prove right: it takes the most frequent pairs that
-    share no token, merges them in one pass over the chunks, which also counts the new pairs, and keeps the
-    merges up to the first one that a new or a skipped pair could have come before; if that is not all of them, the pass
-    is made again with those. The result is the same as one merge a round. The table stays distributed; only the top
-    pairs and the pairs of a round's new tokens come to the driver. Chunks reduced to one token drop out. Lineage is cut
-    with reliable checkpoints.
-    """
-    from tokenmill.session import spread
+def train_bpe(chunks: DataFrame, vocab_size: int, **sizes: int) -> BPEModel:
+    """TOK-03: greedy BPE on a ``(chunk, n)`` table of any size; see ``bpe_train`` for how, and for ``sizes``."""
     n_merges = vocab_size - N_BYTES - len(SPECIAL_TOKENS)
     if n_merges < 0:
         raise ValueError(f"vocab_size must be >= {N_BYTES + len(SPECIAL_TOKENS)}")
-    start = chunks.where(F.octet_length("chunk") >= 2).select(byte_ids("chunk").alias("ids"), F.col("n").cast("bigint").alias("n"))
-    cur = cut_lineage(_round(cut_lineage(spread(start)), []))
-    model, size, rounds, held = BPEModel(), 8, 0, []
-    while model.n_merges < n_merges:
-        want = min(size, n_merges - model.n_merges)
-        counts = cur.where("pair is not null").groupBy("pair").agg(F.sum("cnt").alias("cnt"))
-        pairs = counts.select(F.shiftright("pair", 32).cast("int").alias("a"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("b"), "cnt")
-        top = [tuple(r) for r in pairs.orderBy(F.desc("cnt"), "a", "b").limit(4 * want).collect()]
-        if not top:
-            break
-        batch, skipped, used = [], [], set()
-        for a, b, c in top:
-            if len(batch) == want:
-                break
-            if {a, b} & used:  # its tokens are left alone from here on, so that its count after the batch is certain
-                skipped.append((a, b, c))
-            else:
-                batch.append((a, b, c))
-            used |= {a, b}
-        first_new = N_BYTES + model.n_merges
-        made = len(batch)
-        while True:
-            nxt = _round(cur.where("pair is null"), [(a, b, first_new + k) for k, (a, b, _) in enumerate(batch[:made])]).persist()
-            if made < len(batch) or made == 1:
-                break
-            watched = [a << 32 | b for a, b, _ in skipped]
-            new = nxt.where("pair is not null").groupBy("pair").agg(F.sum("cnt").alias("cnt")).where(
-                (F.shiftright("pair", 32) >= first_new) | (F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)) >= first_new) | F.col("pair").isin(watched))
-            after = {(r["pair"] >> 32, r["pair"] & 0xFFFFFFFF): r["cnt"] for r in new.collect()}
-            ok = _accepted(batch, skipped, first_new, after)
-            if ok == made:
-                break
-            nxt.unpersist()
-            made = ok
-        model.merges += [(a, b) for a, b, _ in batch[:made]]
-        size = min(max_batch, 2 * made) if made == len(batch) else max(4, made + made // 2)
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            cur = cut_lineage(nxt)
-            for df in (*held, nxt):
-                df.unpersist()
-            held = []
-        else:
-            cur = nxt
-            held.append(nxt)
-    for df in held:
-        df.unpersist()
-    return model
+    return BPEModel(bpe_train.train(chunks, n_merges, **sizes))
 
 
 # ----------------------------------------------------------------------------- BPE encode / decode
 
 
 def _encode_chunk(chunk: bytes, ranks: dict[tuple[int, int], int]) -> list[int]:
-    ids = list(chunk)
-    while len(ids) >= 2:
-        best, best_rank = None, None
-        for i in range(len(ids) - 1):
-            r = ranks.get((ids[i], ids[i + 1]))
-            if r is not None and (best_rank is None or r < best_rank):
-                best, best_rank = (ids[i], ids[i + 1]), r
-        if best is None:
-            break
-        m, out, i = N_BYTES + best_rank, [], 0
-        while i < len(ids):
-            if i + 1 < len(ids) and (ids[i], ids[i + 1]) == best:
-                out.append(m)
-                i += 2
-            else:
-                out.append(ids[i])
-                i += 1
-        ids = out
-    return ids
+    """Merges of the lowest rank first, left to right: a linked list of tokens and a heap of (rank, place), n log n in the chunk's length."""
+    ids, n = list(chunk), len(chunk)
+    heap = [(r, i) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1]))) is not None]
+    heapq.heapify(heap)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    while heap:
+        r, i = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] is None or j >= n or ranks.get((ids[i], ids[j])) != r:
+            continue  # one of the two has been merged since
+        ids[i], ids[j], after[i] = N_BYTES + r, None, after[j]
+        if after[j] < n:
+            before[after[j]] = i
+            if (s := ranks.get((ids[i], ids[after[j]]))) is not None:
+                heapq.heappush(heap, (s, i))
+        if before[i] >= 0 and (s := ranks.get((ids[before[i]], ids[i]))) is not None:
+            heapq.heappush(heap, (s, before[i]))
+    return [t for t in ids if t is not None]
 
 
 def bpe_encode(df: DataFrame, model: BPEModel, text: str = "text", out: str = "ids",

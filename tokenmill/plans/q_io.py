@@ -13,6 +13,7 @@ from tokenmill.plans.catalog import register
 from tokenmill.plans.derived import ROLLOUTS_SQL, rollouts
 from tokenmill.plans.q_conversation import assembled
 from tokenmill.plans.q_results import BASE_SQL, CHAT_BASELINES
+from tokenmill.plans.q_tokenizer import BPE_SQL
 from tokenmill.sources import corpus as C
 from tokenmill.sources import io as IO
 from tokenmill.session import table
@@ -57,7 +58,7 @@ def reshard_files_q(spark, sf):
     """Write the shards, then read them back as a corpus (SRC-01 over real files)."""
     docs = table(spark, sf, "documents")
     path = scratch(spark, "snk01")
-    IO.write_reshard(docs, _plan(spark, sf), path)
+    IO.write_reshard(docs, _plan(spark, sf), path, rows_per_group=RG)
     back = spark.read.parquet(path)
     return back.groupBy(F.col("shard").cast("bigint").alias("shard_idx")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.char_length("text")).cast("bigint").alias("n_chars"))
@@ -69,15 +70,39 @@ SELECT shard_idx, CAST(count(*) AS BIGINT) AS n_docs, CAST(count(DISTINCT rg_idx
 FROM plan GROUP BY shard_idx""")
 def scan_corpus_files_q(spark, sf):
     """Resharded files scanned back as a corpus: shard from the sorted file listing, row group
-    from ``_metadata.row_index``, split from the last shard."""
+    from the files' footers, split from the last shard."""
     path = scratch(spark, "src01")
-    IO.write_reshard(table(spark, sf, "documents"), _plan(spark, sf, drop_tail=False), path)
-    c = C.with_split(C.scan_corpus(spark, path, rows_per_group=RG))
+    IO.write_reshard(table(spark, sf, "documents"), _plan(spark, sf, drop_tail=False), path, rows_per_group=RG)
+    c = C.with_split(C.scan_corpus(spark, path))
     return c.groupBy(F.col("shard_idx").cast("bigint").alias("shard_idx")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.countDistinct("rg_idx").alias("n_row_groups"),
         F.max(F.when(F.col("split") == "val", 1).otherwise(0)).cast("bigint").alias("is_val"))
 
 
+@register("src01_row_groups", sql=f"""{WHOLE_RESHARD_SQL}
+SELECT shard_idx, rg_idx, CAST(sum(count(*)) OVER w - count(*) AS BIGINT) AS first_row, CAST(count(*) AS BIGINT) AS n_rows
+FROM plan GROUP BY shard_idx, rg_idx WINDOW w AS (PARTITION BY shard_idx ORDER BY rg_idx)""")
+def row_groups_q(spark, sf):
+    """The row groups that the written files really have."""
+    path = scratch(spark, "src01g")
+    IO.write_reshard(table(spark, sf, "documents"), _plan(spark, sf, drop_tail=False), path, rows_per_group=RG)
+    return C.row_groups(spark, path).select(F.col("shard_idx").cast("bigint").alias("shard_idx"), F.col("rg_idx").cast("bigint").alias("rg_idx"), "first_row", "n_rows")
+
+
+@register("src03_row_group_stride_files", sql=f"""{WHOLE_RESHARD_SQL}
+SELECT shard_idx, rg_idx, md5(string_agg(text, chr(10) ORDER BY pos)) AS texts_md5
+FROM plan JOIN (SELECT doc_id, text FROM documents) USING (doc_id) JOIN (SELECT doc_id, pos FROM p) USING (doc_id)
+WHERE rg_idx >= 1 AND (rg_idx - 1) % 2 = 0 GROUP BY shard_idx, rg_idx""")
+def row_group_stride_files_q(spark, sf):
+    """Every second real row group from the second on, restarting with each file; texts in file order."""
+    path = scratch(spark, "src03")
+    IO.write_reshard(table(spark, sf, "documents"), _plan(spark, sf, drop_tail=False), path, rows_per_group=RG)
+    c = C.stride(C.scan_corpus(spark, path), start=1, step=2)
+    g = c.groupBy("shard_idx", "rg_idx").agg(F.array_sort(F.collect_list(F.struct("row_in_rg", "text"))).alias("t"))
+    return g.select(F.col("shard_idx").cast("bigint").alias("shard_idx"), F.col("rg_idx").cast("bigint").alias("rg_idx"),
+                    F.md5(F.array_join(F.transform("t", lambda x: x["text"]), "\n")).alias("texts_md5"))
+
+
 @register("snk06_src08_conversations_jsonl", sql="""
 WITH m AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i,
                   count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
@@ -181,10 +206,17 @@ def detokenize_q(spark, sf):
     return back.select("doc_id", F.md5(bytes_to_text("tokens")).alias("text_md5"))
 
 
-@register("snk02_save_tokenizer")
+@register("snk02_save_tokenizer", sql=f"""{BPE_SQL}
+SELECT is_special, count(*) AS n, CAST(sum(n_bytes) AS BIGINT) AS n_bytes, md5(string_agg(coalesce(token_hex, name), ',' ORDER BY token_id)) AS tokens_md5,
+       (SELECT md5(string_agg(a || ' ' || b, ',' ORDER BY rank)) FROM merges) AS merges_md5 FROM vocab GROUP BY is_special""")
 def save_tokenizer_q(spark, sf):
     from tokenmill.plans.q_tokenizer import train_corpus_bpe
     m = train_corpus_bpe(spark, sf)
     path = scratch(spark, "snk02")
     TK.save_tokenizer(spark, m, path)
-    return spark.read.parquet(f"{path}/vocab").groupBy("is_special").agg(F.count(F.lit(1)).alias("n"))
+    vocab, merges = (spark.read.parquet(f"{path}/{t}") for t in ("vocab", "merges"))
+    joined = lambda rows: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["t"]), ","))
+    of_merges = merges.agg(joined(F.struct("rank", F.concat_ws(" ", "left", "right").alias("t"))).alias("merges_md5"))  # vocabulary-sized
+    out = vocab.groupBy("is_special").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("n_bytes"),
+                                          joined(F.struct("token_id", F.coalesce("token_hex", "name").alias("t"))).alias("tokens_md5"))
+    return out.withColumn("merges_md5", of_merges.scalar())

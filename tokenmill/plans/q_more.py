@@ -21,7 +21,9 @@ from tokenmill.plans.q_conversation import MSG_SQL, chat_ok
 from tokenmill.plans.q_eval import MODEL_SQL, model
 from tokenmill.plans.q_io import WHOLE_RESHARD_SQL, _plan
 from tokenmill.plans.q_logs import CLASSIFY_SQL, RUN_LOG_SQL, TAG_SQL, run_log, tags
+from tokenmill.plans.q_packing import PLAN_SQL
 from tokenmill.plans.q_tasks import ANSWER_SQL, MATH_SQL, PARTS_SQL, math_rows
+from tokenmill.plans.q_tokenizer import BPE_SQL
 from tokenmill.session import table
 from tokenmill.streaming.jobs import scratch
 
@@ -357,7 +359,9 @@ def task_registry_q(spark, sf):
     return r.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("reward"), 6).alias("mean_reward"))
 
 
-@register("udf03_tokenizer_protocol")
+@register("udf03_tokenizer_protocol", sql=f"""{BPE_SQL}
+SELECT lang, 'byte' AS tokenizer, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_tokens, CAST(0 AS BIGINT) AS n_failures FROM documents GROUP BY lang
+UNION ALL SELECT lang, 'bpe', CAST(sum(n_ids) AS BIGINT), CAST(0 AS BIGINT) FROM encoded GROUP BY lang""")
 def tokenizer_protocol_q(spark, sf):
     """Both tokenizers through one protocol: tokens per language and round-trip success."""
     from tokenmill.plans.q_tokenizer import train_corpus_bpe
@@ -372,9 +376,9 @@ def tokenizer_protocol_q(spark, sf):
     return out
 
 
-@register("udf05_pack_udtf")
+@register("udf05_pack_udtf", sql=PLAN_SQL["bestfit_crop"])
 def pack_udtf_q(spark, sf):
-    """Best-fit crop as a Python UDTF over ``TABLE(t) PARTITION BY grp ORDER BY pos``."""
+    """Best-fit crop as an Arrow table function over ``TABLE(t) PARTITION BY grp ORDER BY pos``."""
     from tokenmill.plans.q_packing import BUFFER, CAP, lengths
     spark.udtf.register("tm_pack_bestfit", P.make_pack_udtf(CAP, BUFFER, crop=True))
     src = lengths(spark, sf).select("grp", F.col("pos").cast("bigint").alias("pos"), "doc_id", F.col("n_tokens").alias("n"),
@@ -409,6 +413,14 @@ def roundtrip_failures_q(spark, sf):
     return TK.roundtrip_failures(d).select("doc_id")
 
 
+@register("tok06_roundtrip_failures_fault", sql="SELECT doc_id FROM documents WHERE contains(text, 'z')")
+def roundtrip_failures_fault_q(spark, sf):
+    """What the check finds if the decoder has lost a byte: z comes back as a question mark."""
+    ids = F.transform("ids", lambda i: F.when(i == ord("z"), ord("?")).otherwise(i))
+    d = TK.byte_decode(TK.byte_encode(table(spark, sf, "documents")).withColumn("ids", ids), out="decoded")
+    return TK.roundtrip_failures(d).select("doc_id")
+
+
 @register("src13_shuffled_scan", sql=f"""
 SELECT conv_id, CAST(row_number() OVER (ORDER BY {hash_sql(42, "conv_id")}, conv_id) - 1 AS BIGINT) AS pos
 FROM (SELECT DISTINCT conv_id FROM conversations)""")

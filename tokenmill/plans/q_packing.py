@@ -65,9 +65,42 @@ t(grp, rn, doc_id, n_tokens, at_row, at_slot, take, row, pos, slot) AS (
 SELECT grp, at_row AS row_id, CAST(at_slot AS INTEGER) AS slot, doc_id, take, n_tokens FROM t WHERE rn > 0"""
 
 
-for _id, _algo, _sql in (("pck01", "bestfit_crop", None), ("pck02", "bestfit_pad", None), ("pck03", "greedy_crop", _greedy_sql(True)),
-                         ("pck04", "greedy_pad", _greedy_sql(False)), ("pck05", "ffd", None)):
-    register(f"{_id}_{_algo}", sql=_sql)(_plan_q(_algo))
+def _bestfit_sql(crop: bool) -> str:
+    """One step per placement. A group has at most RG_ROWS * 4 * GROUP_SHARDS / WORLD documents, fewer than BUFFER, so that all are
+    waiting when the first is placed: they are a list, shortest first, of equal ones the earliest last."""
+    at = f"""SELECT *, CASE WHEN k > 0 THEN k ELSE {"len(list_filter(ns, lambda x: x = ns[1]))" if crop else "0"} END AS i,
+              CASE WHEN k > 0 THEN ns[k] ELSE {CAP} - pos END AS use
+       FROM (SELECT *, len(list_filter(ns, lambda x: x <= {CAP} - pos)) AS k FROM t WHERE len(ns) > 0)"""
+    return f"""WITH RECURSIVE {LENGTHS_SQL},
+g AS (SELECT grp, list(n_tokens ORDER BY n_tokens, pos DESC) AS ns, list(doc_id ORDER BY n_tokens, pos DESC) AS ds
+      FROM lengths {"" if crop else f"WHERE n_tokens <= {CAP}"} GROUP BY grp),
+t(grp, ns, ds, row, slot, pos, at_row, at_slot, doc_id, take, n_tokens) AS (
+  SELECT grp, ns, ds, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM g
+  UNION ALL
+  SELECT grp, CASE WHEN i = 0 THEN ns ELSE list_concat(ns[1:i - 1], ns[i + 1:]) END, CASE WHEN i = 0 THEN ds ELSE list_concat(ds[1:i - 1], ds[i + 1:]) END,
+         CASE WHEN i = 0 OR pos + use >= {CAP} THEN row + 1 ELSE row END, CASE WHEN i = 0 OR pos + use >= {CAP} THEN 0 ELSE slot + 1 END,
+         CASE WHEN i = 0 OR pos + use >= {CAP} THEN 0 ELSE pos + use END, row, slot, CASE WHEN i > 0 THEN ds[i] END, use, CASE WHEN i > 0 THEN ns[i] END
+  FROM ({at}))
+SELECT grp, at_row AS row_id, CAST(at_slot AS INTEGER) AS slot, doc_id, take, n_tokens FROM t WHERE doc_id IS NOT NULL"""
+
+
+FFD_SQL = f"""WITH RECURSIVE {LENGTHS_SQL},
+g AS (SELECT *, least(n_tokens, {CAP}) AS take, row_number() OVER (PARTITION BY grp ORDER BY least(n_tokens, {CAP}) DESC, pos) AS rn FROM lengths),
+t(grp, rn, free, used, r, slot, doc_id, take, n_tokens) AS (
+  SELECT DISTINCT grp, CAST(0 AS BIGINT), []::BIGINT[], []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM g
+  UNION ALL
+  SELECT grp, rn, CASE WHEN r > len(free) THEN list_append(free, {CAP} - take) ELSE list_concat(list_append(free[1:r - 1], free[r] - take), free[r + 1:]) END,
+         CASE WHEN r > len(free) THEN list_append(used, 1) ELSE list_concat(list_append(used[1:r - 1], used[r] + 1), used[r + 1:]) END,
+         r, CASE WHEN r > len(free) THEN 0 ELSE used[r] END, doc_id, take, n_tokens
+  FROM (SELECT t.grp, g.rn, free, used, g.doc_id, g.take, g.n_tokens,
+               coalesce(nullif(list_position(list_transform(free, lambda x: x >= g.take), true), 0), len(free) + 1) AS r
+        FROM t JOIN g ON g.grp = t.grp AND g.rn = t.rn + 1))
+SELECT grp, CAST(r - 1 AS BIGINT) AS row_id, CAST(slot AS INTEGER) AS slot, doc_id, take, n_tokens FROM t WHERE rn > 0"""
+
+PLAN_SQL = {"bestfit_crop": _bestfit_sql(True), "bestfit_pad": _bestfit_sql(False), "greedy_crop": _greedy_sql(True), "greedy_pad": _greedy_sql(False), "ffd": FFD_SQL}
+
+for _id, _algo in (("pck01", "bestfit_crop"), ("pck02", "bestfit_pad"), ("pck03", "greedy_crop"), ("pck04", "greedy_pad"), ("pck05", "ffd")):
+    register(f"{_id}_{_algo}", sql=PLAN_SQL[_algo])(_plan_q(_algo))
 
 
 @register("pck_invariants", sql=f"""
@@ -100,7 +133,10 @@ def pad_rejects(spark, sf):
     return P.pack_rejects(lengths(spark, sf), CAP).select("doc_id", "n_tokens")
 
 
-@register("pck07_pack_report")
+@register("pck07_pack_report", sql="WITH plans AS (" + " UNION ALL ".join(f"SELECT '{a}' AS algo, * FROM ({PLAN_SQL[a]})" for a in P.ALGOS) + f"""),
+a AS (SELECT algo, sum(take) AS kept, sum(n_tokens) AS consumed, count(*) AS n_docs, count(DISTINCT (grp, row_id)) AS n_rows FROM plans GROUP BY algo)
+SELECT algo, n_rows, n_docs, round(kept * 100.0 / (n_rows * {CAP}), 6) AS util_pct, round((consumed - kept) * 100.0 / consumed, 6) AS crop_pct,
+       round((n_rows * {CAP} - kept) * 100.0 / (n_rows * {CAP}), 6) AS pad_pct FROM a""")
 def pack_report_q(spark, sf):
     plans = [plan(spark, sf, a).withColumn("algo", F.lit(a)) for a in P.ALGOS]
     return P.pack_report(reduce(lambda a, b: a.unionByName(b), plans), CAP, ["algo"])

@@ -7,20 +7,24 @@ from pyspark.sql import functions as F
 from tokenmill.plans.catalog import ORACLES, register
 from tokenmill.plans.derived import run_steps
 from tokenmill.plans.q_conversation import assembled  # noqa: F401  (shared derivations)
-from tokenmill.plans.q_logs import CLASSIFY_SQL, RUN_LOG_SQL, RUN_STEPS_SQL, run_log
-from tokenmill.session import table
+from tokenmill.plans.q_logs import BUDGET_MIN, CLASSIFY_SQL, HEARTBEAT_MIN, RUN_LOG_SQL, RUN_STEPS_SQL, run_log
+from tokenmill.plans.q_packing import PLAN_SQL
+from tokenmill.session import spread, table
 from tokenmill.streaming import jobs as S
 
 N_FILES = 4
+LATE_HOURS = 24   # how late a line may come
+FILES_A_BATCH = 4  # files of a micro-batch of the document stream
 
 
-def _write_ranges(df, key: str, path: str, n: int = N_FILES) -> None:
-    """Write ``n`` files in ``key`` order, one job per range, so arrival order follows ``key``."""
+def _write_ranges(df, key: str, path: str, n: int = N_FILES, by: str | None = None) -> None:
+    """Write ``n`` ranges of ``key`` one after another, each by as many tasks as it fills. The rows of a range that have the same ``by`` are in one
+    file, so that they arrive in order of the ranges."""
     lo, hi = df.agg(F.min(key), F.max(key)).first()
     width = (hi - lo) // n + 1
     for i in range(n):
         part = df.where((F.col(key) >= lo + i * width) & (F.col(key) < lo + (i + 1) * width))
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(by or key).write.mode("append").parquet(path)
 
 
 @register("str01_stream_corpus", sql="SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents")
@@ -31,15 +35,15 @@ def stream_corpus_q(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     cut = lo + (hi - lo) * 3 // 4
-    _write_ranges(docs.where(F.col("doc_id") <= cut), "doc_id", src, 3)
+    spread(docs).where(F.col("doc_id") <= cut).write.parquet(src)
     schema = docs.schema
 
     def run():
-        st = S.stream_corpus(spark, src, schema).select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"))
+        st = S.stream_corpus(spark, src, schema, max_files=FILES_A_BATCH).select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"))
         S.run_to_completion(st.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ck))
 
     run()                                                     # first session
-    docs.where(F.col("doc_id") > cut).coalesce(1).write.mode("append").parquet(src)
+    spread(docs).where(F.col("doc_id") > cut).write.mode("append").parquet(src)
     run()                                                     # restart: resumes from the checkpoint
     return spark.read.parquet(sink)
 
@@ -73,7 +77,7 @@ SELECT c.run, c.line_no, c.kind, c.reason, tail_md5,
 FROM classified c JOIN tails ON c.run = tails.run AND c.line_no = tails.s""")
 def failure_records_q(spark, sf):
     base = S.scratch(spark, "str05")
-    _write_ranges(run_log(spark, sf).select("run", "line_no", "line"), "line_no", f"{base}/in")  # a run's lines come in several batches
+    _write_ranges(run_log(spark, sf).select("run", "line_no", "line"), "line_no", f"{base}/in", by="run")  # a run's lines come in several batches
     logs = spark.readStream.schema(S.LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     S.run_to_completion(S.failure_records(logs, TAIL_BYTES).writeStream.format("json").option("path", f"{base}/out")
                         .option("checkpointLocation", f"{base}/ck"))
@@ -90,7 +94,7 @@ FROM run_steps a JOIN run_steps b ON a.run = b.run AND b.step <= a.step
 GROUP BY a.run, a.step""")
 def online_metrics_q(spark, sf):
     base = S.scratch(spark, "str06")
-    _write_ranges(run_steps(spark, sf).select("run", "step", "metric"), "step", f"{base}/in")
+    _write_ranges(run_steps(spark, sf).select("run", "step", "metric"), "step", f"{base}/in", by="run")
     m = spark.readStream.schema(S.METRIC_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     out = S.online_metrics(m, beta=0.9)
     S.run_to_completion(out.writeStream.format("parquet").option("path", f"{base}/out")
@@ -120,14 +124,14 @@ def _share_oracles():
 _share_oracles()
 
 
-@register("str07_stream_pack")
+@register("str07_stream_pack", sql=PLAN_SQL["bestfit_crop"])
 def stream_pack_q(spark, sf):
     """Online best-fit crop per rank over a document-length stream (state = bounded buffer)."""
     from tokenmill.plans.q_packing import BUFFER, CAP, lengths
     base = S.scratch(spark, "str07")
     src = lengths(spark, sf).select("grp", F.col("pos").cast("bigint").alias("pos"), "doc_id", F.col("n_tokens").alias("n"),
                                     F.col("batch").cast("bigint").alias("bkey"))
-    _write_ranges(src, "pos", f"{base}/in")
+    _write_ranges(src, "pos", f"{base}/in", by="grp")
     none = F.lit(None).cast("bigint")
     marks = src.groupBy("grp").agg((F.max("pos") + 1).alias("pos")).select("grp", "pos", none.alias("doc_id"), none.alias("n"), none.alias("bkey"))
     marks.write.mode("append").parquet(f"{base}/in")  # the end of each group
@@ -139,14 +143,13 @@ def stream_pack_q(spark, sf):
 
 
 def _watch(spark, sf):
-    from tokenmill.plans.q_logs import BUDGET_MIN, HEARTBEAT_MIN
     base = S.scratch(spark, "watch")
     from tokenmill.functions.timefns import epoch_micros
     lines = run_steps(spark, sf).select("run", "step", "ts").withColumn("_us", epoch_micros("ts"))
-    _write_ranges(lines, "_us", f"{base}/in")  # a log arrives in time order
+    _write_ranges(lines, "_us", f"{base}/in", by="run")  # a log arrives in time order
     schema = "run long, step long, ts timestamp_ntz, _us long"
     lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    out = S.watchdog(lines, HEARTBEAT_MIN, BUDGET_MIN)
+    out = S.watchdog(lines, HEARTBEAT_MIN, BUDGET_MIN, watermark=f"{LATE_HOURS} hours")
     S.run_to_completion(out.writeStream.format("parquet").option("path", f"{base}/out")
                         .option("checkpointLocation", f"{base}/ck"))
     return spark.read.parquet(f"{base}/out")
@@ -159,6 +162,18 @@ def heartbeat_stream_q(spark, sf):
     return w.where(F.col("kind") == "gap").select("run", "step", F.col("value_sec").alias("gap_sec"))
 
 
+@register("str03_silent_runs", sql=f"""
+WITH {RUN_STEPS_SQL},
+last AS (SELECT run, max(step) AS step, max(ts) AS ts FROM run_steps GROUP BY run)
+SELECT run, step FROM last WHERE epoch_ms(ts) + {int(HEARTBEAT_MIN * 60_000)} < (SELECT max(epoch_ms(ts)) FROM run_steps) - {LATE_HOURS * 3_600_000}""")
+def silent_runs_q(spark, sf):
+    """Runs that the timers of the watchdog report as silent and that no line has followed: those whose last line is older than the heartbeat
+    limit when the watermark has passed all input. A timer that fired during a gap is undone by the gap's own row."""
+    w = _watch(spark, sf)
+    resumed = w.where(F.col("kind") == "gap").select("run", "step")
+    return w.where(F.col("kind") == "silent").select("run", "step").join(resumed, ["run", "step"], "left_anti")
+
+
 @register("str04_budget_exceeded_stream")
 def budget_stream_q(spark, sf):
     w = _watch(spark, sf)

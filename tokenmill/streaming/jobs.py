@@ -199,8 +199,8 @@ WATCH_STATE = "last_us long, last_step long, start_us long, budget_hit boolean"
 def watchdog(lines: DataFrame, heartbeat_min: float, budget_min: float, watermark: str = "1 day") -> DataFrame:
     """STR-03 + STR-04: per run, gaps longer than the heartbeat limit and the first line past the
     runtime budget. State = (last line time, last step, start time, budget flag); an event-time
-    timeout at ``last + heartbeat`` reports a run that went silent without a following line
-    (``kind = 'silent'``) once the watermark passes it.
+    timeout at ``last + heartbeat`` reports a run that went silent
+    (``kind = 'silent'``) once the watermark passes it; if a line follows after all, its gap is reported too.
 
     Input: (run, step, ts) with ``ts`` a timestamp; lines of a run arrive in step order.
     """
@@ -212,8 +212,7 @@ def watchdog(lines: DataFrame, heartbeat_min: float, budget_min: float, watermar
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run = key[0]
         if state.hasTimedOut:
-            last_us, last_step, start_us, hit = state.get
-            state.remove()
+            last_step = state.get[1]  # the state stays: a line that follows reports the gap
             yield pd.DataFrame([(run, last_step, "silent", None)], columns=["run", "step", "kind", "value_sec"])
             return
         last_us, last_step, start_us, hit = state.get if state.exists else (None, None, None, False)
@@ -229,9 +228,8 @@ def watchdog(lines: DataFrame, heartbeat_min: float, budget_min: float, watermar
                 hit = True
             last_us, last_step = t, step
         state.update((last_us, last_step, start_us, hit))
-        deadline = last_us // 1000 + hb_us // 1000
-        if deadline > state.getCurrentWatermarkMs():  # an elapsed silence shows up as a gap on the next line
-            state.setTimeoutTimestamp(deadline)
+        # a silence that has elapsed already is reported as soon as the watermark moves on
+        state.setTimeoutTimestamp(max(last_us // 1000 + hb_us // 1000, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["run", "step", "kind", "value_sec"])
 
