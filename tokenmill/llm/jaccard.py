@@ -30,6 +30,8 @@ WIDTH, NUM, DEN = 3, 90, 100
 COVER, MOST = 8, 1.35
 #: Elements in the sets of one block of the exact comparison (8 bytes each).
 BLOCK_ITEMS = 500_000
+#: Hashes of sets that a task remembers, so as to hand on their signatures once.
+SEEN = 1_000_000
 #: Bits of the table that preselects documents for the exact comparison.
 FILTER_BITS = 1 << 23
 
@@ -133,6 +135,54 @@ def sketches(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN
     return _texts(docs).mapInArrow(run, "doc_id long, n long, fp long, sigs array<long>")
 
 
+def shared_signatures(sketch: DataFrame) -> DataFrame:
+    """(sig, fp, n, lead) for the signatures that different sets have; lead is the least of their hashes.
+
+    A task hands on the signatures of a set once, so those of a frequent text are few. They are shuffled once, sorted, and gone through
+    with one row held, however many sets share a signature.
+    """
+    made = pa.schema([("sig", pa.int64()), ("fp", pa.int64()), ("n", pa.int64())])
+    kept = pa.schema([*made, ("lead", pa.int64())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            fps, rows = batch["fp"].to_pylist(), []
+            for k, fp in enumerate(fps):
+                if fp is not None and fp not in seen:
+                    seen.add(fp)
+                    rows.append(k)
+            if len(seen) > SEEN:
+                seen.clear()
+            batch = batch.take(pa.array(rows, pa.int64()))
+            sigs = batch["sigs"]
+            of = np.repeat(np.arange(batch.num_rows), np.diff(sigs.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays([sigs.flatten(), batch["fp"].take(pa.array(of)), batch["n"].take(pa.array(of))], schema=made)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, lead, is_out = np.empty((3, 0), np.int64), None, True  # the last row, the least set of its signature, whether the row is out
+        for batch in batches:
+            rows = np.concatenate([last, np.stack([batch[k].to_numpy() for k in made.names])], axis=1)
+            if not batch.num_rows:
+                continue
+            new_sig = np.append(True, rows[0, 1:] != rows[0, :-1])
+            new = new_sig | np.append(True, rows[1, 1:] != rows[1, :-1])
+            rows, new_sig = rows[:, new], new_sig[new]
+            group = np.cumsum(new_sig) - 1
+            leads, keep = rows[1, new_sig][group], np.bincount(group)[group] > 1
+            if last.shape[1]:
+                leads[group == 0] = lead
+            is_out_now = bool(keep[-1]) or (rows.shape[1] == 1 and last.shape[1] == 1 and is_out)
+            if last.shape[1] and is_out:
+                keep[0] = False
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.vstack([rows, leads])[:, keep]], schema=kept)
+            last, lead, is_out = rows[:, -1:], leads[-1], is_out_now
+
+    rows = sketch.select("fp", "n", "sigs").mapInArrow(each, "sig long, fp long, n long").repartition("sig").sortWithinPartitions("sig", "fp")
+    return rows.mapInArrow(shared, "sig long, fp long, n long, lead long")
+
+
 def _bit(ids: np.ndarray) -> np.ndarray:
     return (mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(41)).astype(np.int64)
 
@@ -169,51 +219,50 @@ def candidate_sets(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
     return found.join(chosen, ["doc_id", "fp"]).groupBy("fp").agg(F.first("items").alias("items"))
 
 
-def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every left with every right set."""
-    if len(left) == len(right) == 1:
-        return np.array([[np.intersect1d(left[0], right[0], assume_unique=True).size]])
-    sets = left if left is right else left + right
+def links_of(a: list[tuple[int, np.ndarray]], b: list[tuple[int, np.ndarray]] | None, num: int, den: int) -> list[tuple[int, int]]:
+    """Links among the sets of ``a``, or between ``a`` and ``b``, as far as they join components: at most one less than there are sets.
+
+    Sets are walked from neighbour to neighbour. If two sets are similar, then among the rarest elements of each, as many as may be missing and
+    one more, there is one that both have; only sets that share such an element are compared, and only until they are reached.
+    Memory is in proportion to the elements, whatever the number of sets.
+    """
+    ids, sets = [i for i, _ in a + (b or [])], [x for _, x in a + (b or [])]
+    sizes = np.array([len(x) for x in sets])
+    starts = np.append(0, np.cumsum(sizes))
     values, at = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    often = np.bincount(at, minlength=len(values)) > 1  # what only one set has is in no intersection
-    column = np.cumsum(often) - 1
-    owner, at = owner[often[at]], column[at[often[at]]]
-    order = np.argsort(at, kind="stable")
-    owner, at = owner[order], at[order]
-    n_left, total = len(left), np.zeros((len(left), len(right)), np.float32)
-    n_often = int(often.sum())
-    step = max(1, min(n_often, (32 << 20) // (4 * len(sets))))
-    for low in range(0, n_often, step):
-        a, b = np.searchsorted(at, (low, low + step))
-        has = np.zeros((len(sets), step), np.float32)
-        has[owner[a:b], at[a:b] - low] = 1
-        total += has[:n_left] @ (has if left is right else has[n_left:]).T
-    return total.astype(np.int64)
-
-
-def _forest(near: np.ndarray, left: list[int], right: list[int]) -> Iterator[tuple[int, int]]:
-    """Links that join what the matrix ``near`` (left x right) joins; at most one less than there are sets."""
-    todo_left, todo_right = np.ones(len(left), bool), np.ones(len(right), bool)
-    for seed in range(len(left)):
-        stack = [(seed, True)] if todo_left[seed] else []
-        todo_left[seed] = False
-        while stack:
-            at, is_left = stack.pop()
-            row, todo, there = (near[at], todo_right, right) if is_left else (near[:, at], todo_left, left)
-            found = np.flatnonzero(row & todo)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    rare_first = at[np.lexsort((at, np.bincount(at, minlength=len(values))[at], owner))]
+    chosen = np.arange(len(at)) - starts[owner] < (sizes - -(-num * sizes // den) + 1)[owner]
+    element, holder = rare_first[chosen], owner[chosen]
+    shared = np.bincount(element, minlength=len(values))[element] > 1
+    element, holder = element[shared], holder[shared]
+    first = np.searchsorted(holder, np.arange(len(sets) + 1))
+    by_element = np.argsort(element, kind="stable")
+    holders, ends = holder[by_element], np.searchsorted(element[by_element], np.arange(len(values) + 1))
+    todo, right, has, links = np.ones(len(sets), bool), np.arange(len(sets)) >= len(a), np.zeros(len(values), bool), []
+    for seed in range(len(a)):
+        walk = [seed] if todo[seed] else []
+        todo[seed] = False
+        while walk:
+            x = walk.pop()
+            near = [holders[ends[e]:ends[e + 1]] for e in element[first[x]:first[x + 1]]]
+            if not near:
+                continue
+            c = np.concatenate(near)
+            c = c[todo[c] & (sizes[c] * den >= num * sizes[x]) & (sizes[x] * den >= num * sizes[c])]
+            c = np.unique(c if b is None else c[right[c] != right[x]])
+            if not len(c):
+                continue
+            own = at[starts[x]:starts[x + 1]]
+            has[own] = True
+            upto = np.cumsum(sizes[c])
+            both = np.add.reduceat(has[at[np.arange(upto[-1]) + np.repeat(starts[c] - upto + sizes[c], sizes[c])]], upto - sizes[c], dtype=np.int64)
+            has[own] = False
+            found = c[den * both >= num * (sizes[x] + sizes[c] - both)]
             todo[found] = False
-            for f in found:
-                yield (left if is_left else right)[at], there[f]
-            stack += [(int(f), not is_left) for f in found]
-
-
-def links_of(a: list[tuple[int, np.ndarray]], b: list[tuple[int, np.ndarray]] | None, num: int, den: int) -> list[tuple[int, int]]:
-    """Links among the sets of ``a``, or between ``a`` and ``b``, as far as they join components."""
-    left, right = [x for _, x in a], [x for _, x in (b or a)]
-    shared = _shared_counts(left, left if b is None else right)
-    sizes = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
-    return list(_forest(den * shared >= num * (sizes - shared), [i for i, _ in a], [i for i, _ in (b or a)]))
+            links += [(ids[x], ids[f]) for f in found]
+            walk += found.tolist()
+    return links
 
 
 PAIR = ["ca", "sa", "cb", "sb"]
@@ -271,9 +320,7 @@ def similar_sets(docs: DataFrame, sketch: DataFrame, width: int, num: int, den:
     proportion to the blocks. What is left are pairs of blocks with a signature whose sets still lie in different components; all
     of those are compared, so no link between components is lost.
     """
-    rows = sketch.select(F.explode("sigs").alias("sig"), "fp", "n")
-    shared = rows.groupBy("sig").agg(F.min("fp").alias("lead"), F.max("fp").alias("top")).where("lead <> top").select("sig", "lead")
-    members = saved(rows.join(shared, "sig").select("sig", "fp", "n", "lead").distinct())
+    members = saved(shared_signatures(sketch))
     chosen = members.select("fp").distinct().join(sketch.select("doc_id", "fp"), "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
     sets = candidate_sets(docs, saved(chosen), width)
     block, split = blocks_of(members, block_items)
