@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -202,17 +203,17 @@ def test_rules_without_trust_or_rows(spark, prose):
 
 def brute_leaks(rows, items):
     words = lambda t: (t or "").lower().encode().translate(decontam._TABLE).split()
-    grams = lambda w: Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
-    held = {i: grams(words(t)) for i, t in items if len(words(t)) >= 5}
+    grams = lambda w, n=5: Counter(tuple(w[i:i + n]) for i in range(len(w) - n + 1))
+    held = {i: grams(words(t), min(5, len(words(t)))) for i, t in items if words(t)}
     df = Counter(g for c in held.values() for g in c)
-    weight = lambda g: np.log1p(len(held) / df[g]) if g in df else np.log1p(len(held))
     out = {}
     for d, t in rows:
         w = words(t)
         for i, own in held.items():
             size, best = len(words(dict(items)[i])), 0.0
-            for a in range(max(1, len(w) - 4)):
-                other = grams(w[a:a + size])
+            weight = lambda g, own=own: np.log1p(len(held) / df[g]) if g in own else np.log1p(len(held))
+            for a in range(max(1, len(w) - min(5, size) + 1)):
+                other = grams(w[a:a + size], min(5, size))
                 if own & other:
                     best = max(best, sum(weight(g) * n for g, n in (own & other).items()) / sum(weight(g) * n for g, n in (own | other).items()))
             if best >= 0.8:
@@ -221,7 +222,7 @@ def brute_leaks(rows, items):
 
 
 def test_leaks_against_brute_force(spark, sf, prose):
-    items = [(r["item_id"], r["text"]) for r in table(spark, sf, "benchmark").collect()] + [(1000, "too short"), (1001, None), (1002, prose(200)), (1003, "one two three four five")]
+    items = [(r["item_id"], r["text"]) for r in table(spark, sf, "benchmark").collect()] + [(1000, "too short"), (1001, None), (1002, prose(200)), (1003, "one two three four five"), (1004, "..."), (1005, "Zwei")]
     rows = [(r["doc_id"], r["text"]) for r in table(spark, sf, "documents").limit(60).collect()]
     rng = random.Random(4)
     for k, (i, t) in enumerate(items):
@@ -230,18 +231,62 @@ def test_leaks_against_brute_force(spark, sf, prose):
             if k % 3 == 0:
                 w[rng.randrange(len(w))] = "changed"
             rows.append((5000 + k, f"{prose(rng.randrange(80))} {', '.join(w)}! {prose(rng.randrange(60))}"))
-    rows += [(9000, None), (9001, ""), (9002, "word")]
+    rows += [(9000, None), (9001, ""), (9002, "word"), (9003, "zwei!"), (9004, "it is too short, too short"), (9005, "too"), (9006, "zwei drei vier fünf")]
     want = brute_leaks(rows, items)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for a_pass in (1000, 15):
-        if a_pass == 1000:
-            out = decontam.leaks(documents(spark, rows), bench, a_pass).toPandas()
-            got = {(r.doc_id, r.item_id): r.similarity for r in out.itertuples()}
-            assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
-        else:
-            assert {(r.doc_id, r.item_id) for r in decontam.leaks(documents(spark, rows), bench, a_pass).toPandas().itertuples()} >= {k for k in want if want[k] == 1}
-    kept = decontam.without_leaks(documents(spark, rows), bench)
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({d for d, _ in rows} - {d for d, _ in want}) and kept.columns == documents(spark, rows).columns
+    for a_pass in (1000, 15, 1):
+        out = decontam.leaks(documents(spark, rows), bench if a_pass > 1 else bench.where("item_id >= 1000 or item_id % 8 = 0"), a_pass).toPandas()
+        got = {(r.doc_id, r.item_id): r.similarity for r in out.itertuples()}
+        some = want if a_pass > 1 else brute_leaks(rows, [(i, t) for i, t in items if i >= 1000 or i % 8 == 0])
+        assert got.keys() == some.keys() and all(got[k] == pytest.approx(some[k]) for k in some)
+    places = {(r.doc_id, r.item_id): r.place for r in out.itertuples()}
+    assert places[9004, 1000] == 2 and places[9003, 1005] == places[9006, 1005] == 0
+    gone = {d for d, i in want if i not in (1000, 1005)} | {9003}  # fewer than five words drop a text only if they are all of it
+    for a_pass in (1000, 60):
+        kept = decontam.without_leaks(documents(spark, rows), bench, a_pass)
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted({d for d, _ in rows} - gone) and kept.columns == documents(spark, rows).columns
+
+
+def searcher(*texts):
+    items = decontam.items_alone([(k + 1, t) for k, t in enumerate(texts)])
+    return decontam.Searcher(decontam.build_index(items, len(items)))
+
+
+@pytest.mark.parametrize("size", [50, 200, 800])
+def test_a_copy_of_a_long_item_is_verified_in_time(size):
+    rng = random.Random(size)
+    item = [f"w{k}" for k in rng.sample(range(10**6), size)]
+    search = searcher(" ".join(item))
+    search([" ".join(item)])
+    began = time.process_time()
+    (found,), = search([" ".join([f"a{k}" for k in range(60)] + item + ["z"] * 30)])
+    assert (found.place, found.similarity) == (60, pytest.approx(1.0)) and time.process_time() - began < 0.2
+
+
+@pytest.mark.parametrize("size, edits", [(53, 1), (80, 1), (150, 2), (300, 5), (500, 9)])
+def test_edited_copies_above_the_threshold_are_found(size, edits):
+    rng, missed, asked = random.Random(size), 0, 0
+    for _ in range(3):
+        item = [f"w{k}" for k in rng.sample(range(10**6), size)]
+        search = searcher(" ".join(item))
+        texts = []
+        for c in range(8):
+            copy = list(item)
+            for e in range(edits):
+                at = rng.randrange(len(copy))
+                if (kind := rng.randrange(3)) == 0:
+                    copy[at] = f"new{c}x{e}"
+                elif kind == 1:
+                    copy.insert(at, f"new{c}x{e}")
+                else:
+                    del copy[at]
+            texts.append([f"a{k}" for k in range(rng.randrange(40))] + copy + [f"z{k}" for k in range(30)])
+        for w, found in zip(texts, search([" ".join(w) for w in texts])):
+            h = search.memo.of([x.encode() for x in w])
+            best = max(s for _, s in decontam.similarities(search.index, 0, h, 0, len(h) - 5))
+            asked += best >= 0.8
+            missed += best >= 0.8 and not found
+    assert asked >= 20 and missed == 0
 
 
 def test_copies_edited_in_the_middle_are_found():
@@ -253,12 +298,12 @@ def test_copies_edited_in_the_middle_are_found():
             copy = list(item)
             copy[rng.randrange(size // 4, size - size // 4)] = f"new{c}x0"
             texts.append(" ".join([f"a{k}" for k in range(rng.randrange(40))] + copy + [f"z{k}" for k in range(30)]))
-        missed += sum(not m for m in decontam.Searcher(decontam.build_index([(1, " ".join(item))]))(texts))
+        missed += sum(not m for m in searcher(" ".join(item))(texts))
     assert missed == 0
 
 
 def test_hamming_search_finds_all_within_the_radius():
-    index = decontam.build_index([(k, " ".join(f"w{k}x{j}" for j in range(30))) for k in range(40)])
+    index = searcher(*(" ".join(f"w{k}x{j}" for j in range(30)) for k in range(40))).index
     (key, c), = index.classes.items()
     rng = np.random.default_rng(0)
     at = rng.integers(0, len(c.prints), 300)

@@ -8,12 +8,14 @@ to one bit; the item side stores each block with all single-bit changes, so that
 in an item's middle lie in all of these windows. So shorter ones are looked for too, of a length of which a copy above the threshold must have left
 one run unchanged however its edits lie; they are taken at every place of the corpus and at every few words of the item, and must be equal. Candidates
 are compared exactly: weighted Jaccard similarity of the five-word shingles of the item and of as many words at that place,
-where a shingle weighs the more the fewer items have it.
+where a shingle of the item weighs the more the fewer items of the whole benchmark have it, and any other as much as one that no item has. An item
+of fewer than five words is one shingle, all of it: it is found where the same words stand.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import islice
 from typing import NamedTuple
 
@@ -22,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import WordHash, bounded_batches, ngram_hashes
+from tokenmill.llm.common import WordHash, bounded_batches, ngram_hashes, saved
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Sums that slide along a text may be off by so little.
+ROUNDING = 1e-9
 #: Four blocks, each searched within one bit, guarantee every fingerprint within 7 bits.
 BLOCKS, RADIUS = 4, 7
 #: Items whose windows are searched for in one pass over the corpus; more items take more passes.
@@ -103,20 +107,30 @@ class _Runs(NamedTuple):
     places: np.ndarray
 
 
+class Item(NamedTuple):
+    """An item with its distinct shingles, their counts in it and the number of the benchmark's items that have each."""
+
+    item_id: int
+    text: str
+    shingles: np.ndarray
+    counts: np.ndarray
+    holders: np.ndarray
+
+
 class Index(NamedTuple):
     classes: dict[tuple[int, int], _Class]
     runs: dict[int, _Runs]
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
     shifts: list[int]
     ids: list[int]
     sizes: list[int]
-    shingles: list[tuple[np.ndarray, np.ndarray]]
-    weights: dict[int, float]
+    shingles: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # hashes, counts, weights
     default: float
-    longest: int
 
 
-def _weighted(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(shingles, return_counts=True)
+def shingles_of(h: np.ndarray) -> np.ndarray:
+    """Shingle hashes of word hashes in order; fewer than ``SHINGLE`` words are one shingle, none have none."""
+    return ngram_hashes(h, min(SHINGLE, len(h))) if len(h) else h
 
 
 def edits_of(weights: np.ndarray, default: float) -> int:
@@ -131,25 +145,45 @@ def _sums(bigrams: np.ndarray, grams: int) -> np.ndarray:
     return total[grams:] - total[:-grams]
 
 
-def build_index(items: list[tuple[int, str]]) -> Index:
-    """Index of (item_id, text); items of fewer than ``SHINGLE`` words can't be told from ordinary text and are left out."""
+def items_alone(items: list[tuple[int, str]]) -> list[Item]:
+    """Items (item_id, text) as a benchmark of their own."""
     memo = WordHash()
-    ids, sizes, shingles = [], [], []
+    own = [np.unique(shingles_of(memo.of(words_of(t))), return_counts=True) for _, t in items]
+    values, holders = np.unique(np.concatenate([x for x, _ in own] or [np.empty(0, np.uint64)]), return_counts=True)
+    return [Item(i, t, x, n, holders[np.searchsorted(values, x)]) for (i, t), (x, n) in zip(items, own)]
+
+
+def build_index(items: list[Item], n_items: int) -> Index:
+    """Index of some items of a benchmark that has ``n_items`` in all; items without words are left out."""
+    memo = WordHash()
+    ids, sizes, shingles, shifts = [], [], [], []
     found: dict[tuple[int, int], list] = {}
-    pairs = []
-    for item, text in items:
-        h = memo.of(words_of(text))
-        if len(h) < SHINGLE:
+    runs_of: dict[int, list] = {}
+    short_of: dict[int, list] = {}
+    default = float(np.log1p(n_items))
+    for item in items:
+        h = memo.of(words_of(item.text))
+        if not len(h):
             continue
         k = len(ids)
-        ids.append(item)
+        ids.append(item.item_id)
         sizes.append(len(h))
-        shingles.append(_weighted(ngram_hashes(h, SHINGLE)))
-        pairs.append(ngram_hashes(h, 2))
+        weights = np.log1p(n_items / item.holders)
+        shingles.append((item.shingles, item.counts, weights))
+        if len(h) < SHINGLE:
+            shifts.append(0)
+            short_of.setdefault(len(h), []).append((item.shingles[0], k))
+            continue
+        pairs = ngram_hashes(h, 2)
         grams, stride = window_of(len(h))
-        _, prints = simhash(pairs[k], [(grams, 1)])[grams, 1]
+        _, prints = simhash(pairs, [(grams, 1)])[grams, 1]
         for place in sorted({*range(min(stride, len(prints))), *range(max(0, len(prints) - stride), len(prints))}):
             found.setdefault((grams, stride), []).append((prints[place], k, place))
+        edits = edits_of(np.repeat(weights, item.counts), default)
+        shifts.append(max(SHIFT, edits))
+        grams, stride = window_of(max(2, (len(h) - edits) // (edits // 4 + 1)))
+        sums = _sums(pairs, grams)
+        runs_of.setdefault(grams, []).extend((sums[place], k, place) for place in range(0, len(sums), stride))
     classes = {}
     for key, rows in found.items():
         prints = np.array([r[0] for r in rows], np.uint64)
@@ -161,25 +195,15 @@ def build_index(items: list[tuple[int, str]]) -> Index:
             starts.append(np.searchsorted(near[order], np.arange(65537)).astype(np.int32))
             entries.append(np.tile(np.arange(len(prints), dtype=np.int32), 17)[order])
         classes[key] = _Class(prints, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), starts, entries)
-    df: dict[int, int] = {}
-    for s, _ in shingles:
-        for x in s.tolist():
-            df[x] = df.get(x, 0) + 1
-    n = max(len(ids), 1)
-    weights, default = {x: float(np.log1p(n / c)) for x, c in df.items()}, float(np.log1p(n))
-    shifts, short = [], {}
-    for k, (own, count) in enumerate(shingles):
-        edits = edits_of(np.repeat([weights[x] for x in own.tolist()], count), default)
-        shifts.append(max(SHIFT, edits))
-        grams, stride = window_of(max(2, (sizes[k] - edits) // (edits // 4 + 1)))
-        sums = _sums(pairs[k], grams)
-        short.setdefault(grams, []).extend((sums[place], k, place) for place in range(0, len(sums), stride))
-    runs = {}
-    for grams, rows in short.items():
+    runs, short = {}, {}
+    for grams, rows in runs_of.items():
         sums = np.array([r[0] for r in rows], np.uint64)
         order = np.argsort(sums, kind="stable")
         runs[grams] = _Runs(sums[order], np.array([r[1] for r in rows])[order], np.array([r[2] for r in rows])[order])
-    return Index(classes, runs, shifts, ids, sizes, shingles, weights, default, max(sizes, default=0))
+    for n, rows in short_of.items():
+        rows.sort()
+        short[n] = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows])
+    return Index(classes, runs, short, shifts, ids, sizes, shingles, default)
 
 
 def _candidates(c: _Class, at: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,21 +231,54 @@ def _equal(r: _Runs, table: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, n
     return np.repeat(some, count), np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
-def similarity(index: Index, item: int, shingles: np.ndarray) -> float:
-    """Weighted Jaccard similarity of an item's shingles and some others, both with their counts."""
-    own, n_own = index.shingles[item]
-    other, n_other = _weighted(shingles)
-    counts = dict(zip(other.tolist(), n_other.tolist()))
-    both = every = 0.0
-    for x, n in zip(own.tolist(), n_own.tolist()):
-        w, m = index.weights[x], counts.pop(x, 0)
-        both += w * min(n, m)
-        every += w * max(n, m)
-    return both / (every + sum(index.weights.get(x, index.default) * m for x, m in counts.items()))
+def similarities(index: Index, item: int, words: np.ndarray, first: int, last: int) -> Iterator[tuple[int, float]]:
+    """(place, similarity) of an item at every place from first to last of a text's word hashes.
+
+    The window slides: a shingle comes in on the right, one goes out on the left, and the sums follow.
+    """
+    own, n_own, weights = index.shingles[item]
+    size = index.sizes[item]
+    there = ngram_hashes(words[first: min(last + size, len(words))], SHINGLE)
+    at = np.searchsorted(own, there)
+    at[at == len(own)] = 0
+    which = np.where(own[at] == there, at, -1).tolist()
+    w, n = weights.tolist(), n_own.tolist()
+    have = [0] * len(own)
+    all_own, both, known, others, right = float((weights * n_own).sum()), 0.0, 0.0, 0, 0
+    for a in range(first, last + 1):
+        stop = min(a + size, len(words)) - SHINGLE + 1 - first
+        while right < stop:
+            x = which[right]
+            right += 1
+            if x < 0:
+                others += 1
+                continue
+            if have[x] < n[x]:
+                both += w[x]
+            have[x] += 1
+            known += w[x]
+        yield a, both / (all_own + known - both + index.default * others)
+        x = which[a - first] if a - first < right else None
+        if x is None:
+            return
+        if x < 0:
+            others -= 1
+            continue
+        have[x] -= 1
+        if have[x] < n[x]:
+            both -= w[x]
+        known -= w[x]
+
+
+class Match(NamedTuple):
+    item_id: int
+    place: int  # words before it
+    similarity: float
+    whole: bool  # it tells a copy from ordinary text: an item of ``SHINGLE`` words or more, or all of the text
 
 
 class Searcher:
-    """Matches of texts: for each text a list of (item_id, place of the first word, similarity), the best of each item."""
+    """Matches of texts: for each text, the best match of each item."""
 
     def __init__(self, index: Index):
         self.index, self.memo = index, WordHash()
@@ -230,14 +287,27 @@ class Searcher:
             self.tables[grams] = np.zeros(1 << 20, bool)
             self.tables[grams][r.sums & np.uint64((1 << 20) - 1)] = True
 
-    def __call__(self, texts: list[str | None]) -> list[list[tuple[int, int, float]]]:
+    def __call__(self, texts: list[str | None]) -> list[list[Match]]:
         split = [words_of(t or "") for t in texts]
         ends = np.cumsum([len(w) for w in split])
         h = np.concatenate([self.memo.of(w) for w in split]) if len(split) else np.empty(0, np.uint64)
         out: list[dict[int, tuple[float, int]]] = [{} for _ in texts]
         if len(h) >= 2 and self.index.classes:
             self._search(h, ends, out)
-        return [[(self.index.ids[k], place, s) for k, (s, place) in sorted(found.items())] for found in out]
+        self._search_short(h, ends, out)
+        sizes = self.index.sizes
+        return [[Match(self.index.ids[k], place, s, sizes[k] >= SHINGLE or sizes[k] == len(words)) for k, (s, place) in sorted(found.items())]
+                for words, found in zip(split, out)]
+
+    def _search_short(self, h: np.ndarray, ends: np.ndarray, out: list[dict]) -> None:
+        for n, (hashes, items) in self.index.short.items():
+            there = ngram_hashes(h, n)
+            for place in np.flatnonzero(np.isin(there, hashes)).tolist():
+                text = int(np.searchsorted(ends, place, "right"))
+                if place + n <= ends[text]:
+                    low, high = np.searchsorted(hashes, there[place], "left"), np.searchsorted(hashes, there[place], "right")
+                    for k in items[low:high].tolist():
+                        out[text].setdefault(k, (1.0, place - (int(ends[text - 1]) if text else 0)))
 
     def _search(self, h: np.ndarray, ends: np.ndarray, out: list[dict]) -> None:
         pairs = ngram_hashes(h, 2)
@@ -257,63 +327,109 @@ class Searcher:
                     places, entries = _equal(r, self.tables[grams], _sums(some, grams))
                     for place, k, off in zip((places + first).tolist(), r.items[entries].tolist(), r.places[entries].tolist()):
                         seen.add((place - off, int(np.searchsorted(ends, place, "right")), k))
+        spots: dict[tuple[int, int], list[int]] = {}
         for place, text, k in seen:
+            spots.setdefault((text, k), []).append(place)
+        for (text, k), places in spots.items():
             low, high = (int(ends[text - 1]) if text else 0), int(ends[text])
-            size, shift = self.index.sizes[k], self.index.shifts[k]
-            for a in range(max(low, place - shift), min(max(place + shift, low), high - SHINGLE) + 1):
-                s = similarity(self.index, k, ngram_hashes(h[a: min(a + size, high)], SHINGLE))
-                old = out[text].get(k, (0.0, 0))
-                if s >= SIMILARITY and (s, low - a) > (old[0], -old[1]):
-                    out[text][k] = (s, a - low)
+            shift, best, upto = self.index.shifts[k], (0.0, 0), low - 1
+            for place in sorted(places):
+                first, last = max(upto + 1, place - shift), min(max(place + shift, low), high - SHINGLE)
+                if first <= last:
+                    for a, s in similarities(self.index, k, h[:high], first, last):
+                        if s > best[0] + ROUNDING:
+                            best = min(s, 1.0), a - low
+                    upto = last
+            if best[0] >= SIMILARITY - ROUNDING:
+                out[text][k] = best
+
+
+def benchmark_items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """(item_id, text, shingles, counts, holders) of each different item with words, stored, and how many there are.
+
+    How many items hold a shingle is counted over the whole benchmark, so that weights don't depend on how it is cut into blocks.
+    """
+    made = pa.schema([("row", pa.int64()), ("shingle", pa.int64()), ("n", pa.int64())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHash()
+        for batch in batches:
+            for row, text in zip(batch["row"].to_pylist(), batch["text"].to_pylist()):
+                x, n = np.unique(shingles_of(memo.of(words_of(text))), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), row)), pa.array(x.view(np.int64)), pa.array(n)], schema=made)
 
-def _passes(benchmark: DataFrame, items_a_pass: int) -> Iterator[list[tuple[int, str]]]:
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    rows = rows.distinct().orderBy("item_id", "text").toLocalIterator()
-    while some := [(r["item_id"], r["text"]) for r in islice(rows, items_a_pass)]:
-        yield some
+    rows = saved(rows.distinct().withColumn("row", F.monotonically_increasing_id()))
+    each = saved(rows.select("row", "text").mapInArrow(run, "row long, shingle long, n long"))
+    held = each.groupBy("shingle").agg(F.count("*").alias("holders"))
+    lists = each.join(held, "shingle").groupBy("row").agg(F.collect_list(F.struct("shingle", "n", "holders")).alias("s"))
+    items = saved(rows.join(lists, "row").select("item_id", "text", "s"))
+    return items, items.count()
+
+
+def _passes(items: DataFrame, items_a_pass: int) -> Iterator[list[Item]]:
+    """The items in blocks; a block at a time comes to the driver."""
+    rows = items.orderBy("item_id", "text").toLocalIterator()
+    while some := list(islice(rows, items_a_pass)):
+        out = []
+        for r in some:
+            x = np.array([e["shingle"] for e in r["s"]], np.int64).view(np.uint64)
+            order = np.argsort(x)
+            out.append(Item(r["item_id"], r["text"], x[order], np.array([e["n"] for e in r["s"]])[order], np.array([e["holders"] for e in r["s"]])[order]))
+        yield out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
     """(doc_id, item_id, place, similarity) for every row of ``docs`` and every item that it holds: the item's best place
-    (number of words before it) and similarity, at least ``SIMILARITY``.
+    (number of words before it, the first of equals) and similarity, at least ``SIMILARITY``.
 
     The benchmark is read in blocks of ``items_a_pass`` items; each block's index is broadcast and is searched for in one pass over
-    all texts, without a shuffle. Null and empty texts hold nothing; null items, and items of fewer than five words, are
-    found nowhere. Repeated rows of ``docs`` each have their matches; of repeated items with the same text one
-    counts, others are items of their own. Texts are read whole; other columns are ignored; empty tables give no rows.
+    all texts, without a shuffle. With more than one block, the blocks go one after another: a block's rows are stored and its index is let go
+    before the next. The result does not depend on the blocks. Null and empty texts hold nothing; null items and items without words are
+    found nowhere; an item of fewer than five words is found, with similarity 1, wherever the same words stand. Repeated rows of ``docs`` each have their matches;
+    of repeated items with the same text one counts, others are items of their own. Texts are read whole; other columns are ignored; empty
+    tables give no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("place", pa.int64()), ("similarity", pa.float64())])
-    out = None
-    for some in _passes(benchmark, items_a_pass):
-        index = spark.sparkContext.broadcast(build_index(some))
+    items, n = benchmark_items(benchmark)
+    parts = []
+    for some in _passes(items, items_a_pass):
+        index = spark.sparkContext.broadcast(build_index(some, n))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             search = Searcher(index.value)
             for batch in batches:
-                rows = [(d, *m) for d, found in zip(batch["doc_id"].to_pylist(), search(batch["text"].to_pylist())) for m in found]
+                rows = [(d, *m[:3]) for d, found in zip(batch["doc_id"].to_pylist(), search(batch["text"].to_pylist())) for m in found]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
         part = texts.mapInArrow(run, "doc_id long, item_id long, place long, similarity double")
-        out = part if out is None else out.union(part)
-    return spark.createDataFrame([], "doc_id long, item_id long, place long, similarity double") if out is None else out
+        if n > items_a_pass:
+            part = saved(part)
+            index.unpersist()
+        parts.append(part)
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "doc_id long, item_id long, place long, similarity double")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no item."""
+    """The rows of ``docs``, all columns, whose text holds no item. Fewer than five words also stand in ordinary text, so an item of so few
+    drops a text only if it is all of it."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    for some in _passes(benchmark, items_a_pass):
-        index = spark.sparkContext.broadcast(build_index(some))
+    items, n = benchmark_items(benchmark)
+    for some in _passes(items, items_a_pass):
+        index = spark.sparkContext.broadcast(build_index(some, n))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             search = Searcher(index.value)
             for batch in batches:
-                yield batch.filter(pa.array([not found for found in search(batch["text"].to_pylist())], pa.bool_()))
+                yield batch.filter(pa.array([not any(m.whole for m in found) for found in search(batch["text"].to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if n > items_a_pass:
+            docs = saved(docs)
+            index.unpersist()
     return docs
