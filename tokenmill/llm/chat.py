@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 from itertools import count, groupby, islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenmill.llm.common import bounded_batches
@@ -77,18 +77,30 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def turn_events(conversations: DataFrame) -> DataFrame:
-    """The event log of stored turns: each opens its message with half of its text, the rest comes as a delta.
+    """An event log that leads to the stored turns.
 
-    Turns are ordered by turn (null first), then role, then text, so ties have a defined order and repeated rows are
-    repeated turns. A null text is empty, a null role is an empty role, and rows without conv_id are one conversation.
+    A user's message opens with a draft, its text backwards, which an edit replaces by the first half; an assistant's opens with the first half, streams a wrong
+    rest, is regenerated and streamed anew; others open with the first half. The rest of a text comes as a delta. After every first turn
+    of a conversation a message is opened and deleted. Turns are ordered by turn (null first), then role, then text, so ties have a
+    defined order and repeated rows are repeated turns. A null text is empty, a null role is an empty role, and rows without conv_id are one
+    conversation.
     """
     rows = conversations.select(*[F.col(c).cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))])
-    rows = rows.fillna("", ["role", "text"]).withColumn("msg", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
+    rows = rows.fillna("", ["role", "text"]).withColumn("msg", 2 * F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
     half = F.floor(F.length("text") / 2).cast("int")
-    steps = F.array(F.struct(F.lit(0).alias("k"), F.lit("start").alias("op"), F.col("role").alias("role"), F.substring("text", F.lit(1), half).alias("text")),
-                    F.struct(F.lit(1).alias("k"), F.lit("delta").alias("op"), F.lit(None).cast("string").alias("role"),
-                             F.substring("text", half + 1, F.length("text")).alias("text")))
-    return rows.select("conv_id", "msg", F.explode(steps).alias("e")).select("conv_id", (F.col("msg") * 2 + F.col("e.k")).alias("seq"), "msg", "e.op", "e.role", "e.text")
+    head, rest, none = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text")), F.lit(None).cast("string")
+
+    def events(*steps) -> Column:
+        made = [F.struct(F.lit(k).alias("k"), F.lit(after).alias("after"), F.lit(op).alias("op"), role.alias("role"), text.alias("text")) for k, (after, op, role, text) in enumerate(steps)]
+        return F.array(*made)
+
+    role = F.col("role")
+    log = (F.when(role == "user", events((0, "start", role, F.reverse("text")), (0, "edit", none, head), (0, "delta", none, rest)))
+           .when(role == LOSS_ROLE, events((0, "start", role, head), (0, "delta", none, F.reverse(rest)), (0, "regenerate", none, none), (0, "delta", none, head), (0, "delta", none, rest)))
+           .otherwise(events((0, "start", role, head), (0, "delta", none, rest))))
+    gone = F.when(F.col("msg") == 2, events((1, "start", role, rest), (1, "delete", none, none))).otherwise(F.filter(events((1, "delete", none, none)), lambda x: F.lit(False)))
+    log = rows.select("conv_id", "msg", F.explode(F.concat(log, gone)).alias("e"))
+    return log.select("conv_id", ((F.col("msg") + F.col("e.after")) * 8 + F.col("e.k")).alias("seq"), (F.col("msg") + F.col("e.after")).alias("msg"), "e.op", "e.role", "e.text")
 
 
 def final_messages(rows: Iterable[tuple]) -> Iterator[tuple]:

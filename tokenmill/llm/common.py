@@ -16,6 +16,8 @@ from tokenmill.session import ensure_checkpoint_dir
 BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 #: Parts that the ids of a label are ranked in.
 SALTS = 64
+#: Rows of a labelled sample over all labels (more only if there are more labels).
+SAMPLE_ROWS = 25_600
 #: Entries a worker's word table may hold before it is emptied (it is only a cache).
 CACHE_WORDS = 200_000
 
@@ -48,12 +50,13 @@ def in_fold(col: str, n: int, k: int) -> Column:
     return F.coalesce(fold(col, n) == k, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, ids: DataFrame, label: str, per_label: int, max_labels: int = 512) -> DataFrame:
+def labelled_sample(docs: DataFrame, ids: DataFrame, label: str, per_label: int, most: int = SAMPLE_ROWS) -> DataFrame:
     """Texts of a bounded sample of labelled documents: (doc_id, text, label), at most ``per_label`` rows a label.
 
-    ``ids`` has (doc_id, label). The choice is by hash of the id, so it is the same on every run. Only ids are ranked
-    and moved; at most ``per_label`` ids of each of ``max_labels`` labels, the first in order, come back as a broadcast.
-    Ids of a frequent label are ranked in ``SALTS`` parts first. Of rows with the same id, the least text counts.
+    ``ids`` has (doc_id, label). Every label has its part: if there are so many that the rows would be more than ``most``, each has as many
+    fewer, one at least. The choice is by hash of the id, so it is the same on every run. Only ids are ranked
+    and moved; those chosen come back as a broadcast. Ids of a frequent label are ranked in ``SALTS`` parts first. Of rows with the
+    same id, the least text counts.
     """
     spark = docs.sparkSession
     by_id = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -61,11 +64,12 @@ def labelled_sample(docs: DataFrame, ids: DataFrame, label: str, per_label: int,
     picked = (ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
               .groupBy("doc_id").agg(F.min("label").alias("label"))
               .withColumn("rank", F.row_number().over(salted)).where(F.col("rank") <= per_label)
-              .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label).drop("rank"))
-    names = {r[0] for r in picked.select("label").distinct().orderBy("label").limit(max_labels).collect()}
+              .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label))
+    picked = saved(picked.select("doc_id", "label", "rank"))
+    labels = picked.where("rank = 1").count()
     schema = picked.schema
-    rows = sorted((tuple(r) for r in picked.where(F.col("label").isin(list(names))).collect()), key=lambda r: r[0]) if names else []
-    chosen = spark.createDataFrame(rows, schema)
+    rows = sorted((tuple(r) for r in picked.where(F.col("rank") <= max(1, min(per_label, most // max(labels, 1)))).collect()), key=lambda r: r[0])
+    chosen = spark.createDataFrame(rows, schema).drop("rank")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     return found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 

@@ -22,8 +22,8 @@ from tokenmill.llm.common import arrow_batches, bounded_batches, in_fold, labell
 
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3, 4)
-#: Texts of each language that the classifiers are fitted on, at most, and the languages there may be.
-PER_LANGUAGE, MOST_LANGUAGES = 100, 256
+#: Texts of each language that the classifiers are fitted on, at most; fewer if there are so many languages that they are more than SAMPLE_ROWS in all.
+PER_LANGUAGE = 100
 #: Lengths in bytes of the snippets that are cut out of each of them besides the whole text, so that short texts are learned, too.
 SNIPPETS = (12, 30, 80, 200)
 STEPS, RATE, DECAY = 40, 0.5, 1e-4
@@ -203,9 +203,9 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pr
 
 
 def train(docs: DataFrame, folds: int, held: int, per_language: int = PER_LANGUAGE) -> Model | None:
-    """A model from at most ``per_language`` texts of each of the first ``MOST_LANGUAGES`` values of ``lang``."""
+    """A model from at most ``per_language`` texts of each value of ``lang``."""
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang")).where(~in_fold("doc_id", folds, held) & F.col("lang").isNotNull())
-    rows = labelled_sample(docs, known, "lang", per_language, MOST_LANGUAGES).orderBy("doc_id", "label").collect()
+    rows = labelled_sample(docs, known, "lang", per_language).orderBy("doc_id", "label").collect()
     found = [(t, r["label"]) for t, r in ((letters_of(r["text"]), r) for r in rows) if t]
     return fit([t for t, _ in found], [x for _, x in found])
 

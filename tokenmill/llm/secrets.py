@@ -217,6 +217,9 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", rate: float = RATE) -> Dat
         return _let(done, lambda d: F.concat(d["out"], F.substring(t, d["at"] + 1, F.length(t))))
 
     with_spans = _let(F.struct(text.alias("text"), spans_of(text, found)["all"].alias("spans")), lambda v: F.when(F.size(v["spans"]) > 0, cut(v)))
-    out = docs.withColumn("__cut", with_spans)
-    new = {"text": F.coalesce("__cut", "text")} | ({"n_chars": F.when(F.col("__cut").isNotNull(), F.length("__cut")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    name = "__cut"
+    while name in docs.columns:  # a user's column keeps its name
+        name += "_"
+    out = docs.withColumn(name, with_spans)
+    new = {"text": F.coalesce(name, "text")} | ({"n_chars": F.when(F.col(name).isNotNull(), F.length(name)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

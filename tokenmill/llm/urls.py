@@ -57,12 +57,27 @@ def node_of(url: Column) -> Column:
     return F.when(host != "", F.concat(host, F.regexp_replace(path_of(url), "/+$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its . and .. steps taken; .. at the root stays there."""
+    def step(done: Column, part: Column) -> Column:
+        up = F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step), "/")
+
+
 def absolute(target: Column, base: Column) -> Column:
-    """A link target as a full URL: as it is, or with the scheme or the host of the page it stands on."""
+    """A link target as a full URL: as it is, or with the scheme, the host, the folder or the path of the page it stands on.
+
+    Null for an empty target, a place on the page itself (#...) and schemes without host (mailto: and the like).
+    """
     t = F.regexp_replace(F.trim(target), "&amp;", "&")
-    scheme = F.regexp_extract(base, r"^([^:/?#]*)://", 1)
-    return (F.when(t == "", None).when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t).when(F.startswith(t, F.lit("//")), F.concat(scheme, F.lit(":"), t))
-            .when(F.startswith(t, F.lit("/")), F.concat(scheme, F.lit("://"), host_of(base), t)))
+    site = F.concat(F.regexp_extract(base, r"^([^:/?#]*)://", 1), F.lit("://"), host_of(base))
+    own, rest = F.regexp_extract(t, r"(?s)^([^?#]*)", 1), F.regexp_extract(t, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(F.concat(F.lit("/"), F.regexp_replace(path_of(base), "^/", "")), r"(?s)^(.*/)", 1)
+    return (F.when((t == "") | F.startswith(t, F.lit("#")), None).when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t).when(F.startswith(t, F.lit("//")), F.concat(F.regexp_extract(base, r"^([^:/?#]*)://", 1), F.lit(":"), t))
+            .when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None).when(own == "", F.concat(site, path_of(base), rest)).when(F.startswith(t, F.lit("/")), F.concat(site, without_dots(own), rest))
+            .otherwise(F.concat(site, without_dots(F.concat(folder, own)), rest)))
 
 
 def targets_of(html: Column, url: Column) -> Column:
@@ -123,6 +138,12 @@ def _node_sql(u: str) -> str:
     return f"(CASE WHEN {_host_sql(u)} <> '' THEN regexp_replace({_host_sql(u)}, ':(?:80|443)$', '') || regexp_replace({_path_sql(u)}, '/+$', '') || {query} END)"
 
 
+def _dots_sql(path: str) -> str:
+    step = "CASE WHEN x[1] = '..' THEN CASE WHEN len(done) > 1 THEN done[1:len(done) - 1] ELSE done END WHEN x[1] = '.' THEN done ELSE list_concat(done, x) END"
+    parts = f"list_transform(string_split({path}, '/'), lambda p: [p])"
+    return f"array_to_string(list_reduce({parts}, lambda done, x: {step}), '/')"
+
+
 def _rule_sql(host: str, path: str, rules, which: int) -> str:
     found = "NULL"
     for what, text in sorted(rules, key=lambda r: (len(r[1]), r[0] == "allow")):
@@ -143,9 +164,13 @@ WITH RECURSIVE tags AS (
   UNION ALL
   SELECT url, unnest(list_filter(regexp_extract_all(html, '{q(META)}'), lambda x: regexp_matches(x, '(?i)http-equiv\\s*=\\s*["'']?refresh\\b'))), false FROM pages),
 found AS (SELECT url, replace(trim(CASE WHEN link THEN {href} ELSE regexp_extract(tag, '{q(REFRESH)}', 1) END), '&amp;', '&') AS t FROM tags),
+parts AS (
+  SELECT url, t, {scheme} || '://' || {host} AS site, regexp_extract(t, '(?s)^([^?#]*)', 1) AS own, regexp_extract(t, '(?s)^[^?#]*(.*)$', 1) AS rest,
+         regexp_extract('/' || regexp_replace({path}, '^/', ''), '(?s)^(.*/)', 1) AS folder FROM found),
 links AS (
-  SELECT url AS src, CASE WHEN t = '' THEN NULL WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN {scheme} || ':' || t
-                          WHEN starts_with(t, '/') THEN {scheme} || '://' || {host} || t END AS dst FROM found),
+  SELECT url AS src, CASE WHEN t = '' OR starts_with(t, '#') THEN NULL WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN {scheme} || ':' || t
+                          WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN own = '' THEN site || {path} || rest
+                          WHEN starts_with(t, '/') THEN site || {_dots_sql("own")} || rest ELSE site || {_dots_sql("folder || own")} || rest END AS dst FROM parts),
 urls AS (SELECT url, {_node_sql("url")} AS node, {_rule_sql(host, path, rules, 0)} AS verdict
          FROM (SELECT url FROM pages UNION SELECT src FROM links WHERE dst IS NOT NULL UNION SELECT dst FROM links) WHERE url IS NOT NULL AND {host} <> ''),
 edges AS (SELECT {_node_sql("src")} AS x, {_node_sql("dst")} AS y FROM links WHERE dst IS NOT NULL),
