@@ -2,10 +2,9 @@
 
 A bag is ``WINDOW`` words; it is the mean of its words, and a word the mean of the vectors of its character n-grams and of
 itself, so a misspelling or a new compound shares most vectors with the words it was made from. A bag goes through a linear
-softmax, and a text is as toxic as its worst bag. Labels are of whole texts, so training has two rounds: every bag
-gets its text's label first; then, in toxic texts, only the bags that stand out from nearly all bags of clean texts keep it.
-The embeddings start from the n-grams' smoothed log-odds. The trained model is linear in the n-grams and is sent out as one number
-for each hash bucket.
+softmax; a text's log-odds are a soft maximum over those of its bags, because a text is as toxic as its worst part. Embeddings and
+softmax start at random and are trained together, through the soft maximum, on labels of whole texts, until the loss on a part of
+the sample that is not trained on stops falling. The trained model is linear in the n-grams and is sent out as one number for each hash bucket.
 """
 
 from __future__ import annotations
@@ -21,13 +20,14 @@ from pyspark.sql import functions as F
 
 from tokenmill.llm.common import CACHE_WORDS, arrow_batches, bounded_batches, in_fold, labelled_sample, mixed, texts_of
 
-BUCKETS, DIM, WINDOW = 1 << 16, 8, 1
+BUCKETS, DIM, WINDOW = 1 << 18, 8, 3
 GRAMS = (4, 5, 6)
-#: Labelled texts of each class that the model is fitted on, at most.
-PER_LABEL = 500
-ROUNDS, STEPS, RATE = 2, 8, 0.01
-#: Smoothing of the log-odds that training starts from, texts that a bucket must occur in, first weight of the odds.
-SMOOTH, LEAST_TEXTS, START = 2.0, 4, 2.0
+#: Labelled texts of each class that the model is fitted on, at most; every fifth of them tells when to stop and what a score means.
+PER_LABEL, HELD = 2000, 5
+#: Texts that a bucket must occur in; sharpness of the soft maximum.
+LEAST_TEXTS, SHARP = 4, 4.0
+#: Steps at most, steps between two looks at the loss, looks without a lower one that end training; step of the largest coordinate, of the softmax; decay.
+STEPS, LOOK, PATIENCE, RATE, RATE_OUT, DECAY = 160, 10, 4, 0.3, 0.01, 0.004
 THRESHOLD = 0.3
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -36,8 +36,9 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() el
 class Model(NamedTuple):
     value: np.ndarray  # of each bucket, for the difference of the two classes' scores
     bias: float
-    slope: float  # from a text's worst window to its log-odds
+    slope: float  # from a text's soft maximum to its log-odds
     offset: float
+    losses: tuple[tuple[float, float], ...] = ()  # (of the trained part, of the held part) at each look
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -61,91 +62,96 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         inside = owner[: len(data) - n + 1] == owner[n - 1:]
         owners.append(owner[: len(data) - n + 1][inside])
         hashes.append(mixed(h[inside]))
-    return np.concatenate(owners), (np.concatenate(hashes) >> np.uint64(48)).astype(np.int64) % BUCKETS
+    return np.concatenate(owners), ((np.concatenate(hashes) >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32)
 
 
-def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, stop) of windows over n words; the last one is full, too, if there are enough words."""
-    starts = np.arange(0, max(n, 1), WINDOW)
-    starts[-1] = max(0, min(starts[-1], n - WINDOW))
-    return starts, np.minimum(starts + WINDOW, n)
+def bags_of(n: int) -> np.ndarray:
+    """Bag of each of n words."""
+    return np.arange(n) // WINDOW
 
 
-class _Sparse:
-    """A matrix with one weight per row: rows are means over their columns."""
+def soft_maximum(z: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Soft maximum of each run of z (log of the mean of exponentials, ``SHARP`` times as steep), and its derivative by each z."""
+    most = np.maximum.reduceat(z, first)
+    e = np.exp(SHARP * (z - np.repeat(most, size)))
+    total = np.add.reduceat(e, first)
+    return most + np.log(total / size) / SHARP, e / np.repeat(total, size)
 
-    def __init__(self, row: np.ndarray, col: np.ndarray, shape: tuple[int, int]):
-        self.shape = shape
-        self.weight = 1 / np.maximum(np.bincount(row, minlength=shape[0]), 1).astype(np.float32)
-        self.by_row, self.by_col = self._order(row, col, shape[0]), self._order(col, row, shape[1])
 
-    @staticmethod
-    def _order(key: np.ndarray, other: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(key, kind="stable")
-        count = np.bincount(key, minlength=n)
-        full = np.flatnonzero(count)
-        return other[order].astype(np.int32), (np.cumsum(count) - count)[full], full
+class Means:
+    """A sparse matrix whose rows are means over their columns; rows come in order."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, rows: int, cols: int):
+        count = np.bincount(row, minlength=rows)
+        self.shape, self.size = (rows, cols), np.maximum(count, 1).astype(np.float32)
+        order = np.argsort(row, kind="stable")
+        self.of_row = col[order].astype(np.int32), (np.cumsum(count) - count)[count > 0], count > 0
+        count = np.bincount(col, minlength=cols)
+        order = np.argsort(col, kind="stable")
+        self.of_col = row[order].astype(np.int32), (np.cumsum(count) - count)[count > 0], count > 0
 
-    def _sums(self, side: tuple, x: np.ndarray, n: int) -> np.ndarray:
+    @staticmethod
+    def _sums(side: tuple, x: np.ndarray, n: int) -> np.ndarray:
         other, starts, full = side
-        out = np.zeros((n, x.shape[1]), np.float32)
-        if len(full):
-            out[full] = np.add.reduceat(x[other], starts, axis=0)
+        out = np.zeros(n, np.float32)
+        if len(starts):
+            out[full] = np.add.reduceat(x[other], starts)
         return out
 
     def times(self, x: np.ndarray) -> np.ndarray:
-        return self._sums(self.by_row, x, self.shape[0]) * self.weight[:, None]
+        return self._sums(self.of_row, x, self.shape[0]) / self.size
 
     def transposed_times(self, x: np.ndarray) -> np.ndarray:
-        return self._sums(self.by_col, x * self.weight[:, None], self.shape[1])
+        return self._sums(self.of_col, x / self.size, self.shape[1])
+
+
+class Bags:
+    """Texts as bags of words of subwords."""
+
+    def __init__(self, texts: list[bytes], y: np.ndarray):
+        vocabulary: dict[bytes, int] = {}
+        ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t) or [b""]], np.int32) for t in texts]
+        n_bags = np.array([(len(x) - 1) // WINDOW + 1 for x in ids])
+        self.size, self.first = n_bags, np.cumsum(n_bags) - n_bags
+        words = np.concatenate(ids)
+        bag = np.concatenate([bags_of(len(x)) + a for x, a in zip(ids, self.first)])
+        owner, bucket = subwords(list(vocabulary))
+        self.words = Means(owner, bucket, len(vocabulary), BUCKETS)
+        self.bags = Means(bag, words, int(n_bags.sum()), len(vocabulary))
+        self.y = y.astype(np.float32)
+        self.weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1)).astype(np.float32)
+        of_text = np.unique(np.repeat(np.arange(len(ids)), [len(x) for x in ids]) * len(vocabulary) + words)
+        self.texts_with = self._texts_with(of_text // len(vocabulary), of_text % len(vocabulary), owner, bucket)
+
+    @staticmethod
+    def _texts_with(text: np.ndarray, word: np.ndarray, owner: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """How many texts have each bucket; (text, word) are the distinct words of each text. A few texts at a time."""
+        order = np.argsort(owner, kind="stable")
+        bucket, n = bucket[order], np.bincount(owner, minlength=int(word.max()) + 1)
+        starts, out = np.cumsum(n) - n, np.zeros(BUCKETS, np.int64)
+        for low in range(0, int(text[-1]) + 1, 64):
+            a, b = np.searchsorted(text, (low, low + 64))
+            reps = n[word[a:b]]
+            at = np.repeat(starts[word[a:b]] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+            out += np.bincount(np.unique(np.repeat(text[a:b], reps) * BUCKETS + bucket[at]) % BUCKETS, minlength=BUCKETS)
+        return out
 
+    def odds(self, value: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
+        return soft_maximum(self.bags.times(self.words.times(value.astype(np.float32))) + bias, self.first, self.size)
 
-def _odds(doc: np.ndarray, word: np.ndarray, owner: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Smoothed log-odds of the texts of the two classes that have each bucket; 0 for buckets of few texts.
+    def loss(self, value: np.ndarray, bias: float) -> float:
+        z, _ = self.odds(value, bias)
+        return float((self.weight * np.logaddexp(0, np.where(self.y == 1, -z, z))).sum())
 
-    (doc, word) are the distinct words of each text, (owner, bucket) the buckets of each word.
-    """
-    order = np.argsort(owner, kind="stable")
-    bucket = bucket[order].astype(np.int32)
-    n_of = np.bincount(owner, minlength=int(word.max()) + 1)
-    starts = np.cumsum(n_of) - n_of
-    one, zero = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for low in range(0, len(y), 64):  # a few texts at a time
-        a, b = np.searchsorted(doc, (low, low + 64))
-        reps = n_of[word[a:b]]
-        at = np.repeat(starts[word[a:b]] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-        pairs = np.unique(np.repeat(doc[a:b], reps) * BUCKETS + bucket[at])
-        of = y[pairs // BUCKETS] == 1
-        one += np.bincount(pairs[of] % BUCKETS, minlength=BUCKETS)
-        zero += np.bincount(pairs[~of] % BUCKETS, minlength=BUCKETS)
-    odds = np.log((one + SMOOTH) / ((y == 1).sum() + SMOOTH)) - np.log((zero + SMOOTH) / ((y == 0).sum() + SMOOTH))
-    return np.where(one + zero >= LEAST_TEXTS, odds, 0.0).astype(np.float32)
-
-
-def _fit(words: _Sparse, wins: _Sparse, y: np.ndarray, importance: np.ndarray, odds: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
-    """Embeddings and softmax by Adam over all windows; gives the value of each bucket and the bias.
-
-    The first direction of the embeddings starts at the buckets' log-odds; buckets without stay at zero.
-    """
-    rng = np.random.default_rng(seed)
-    known = (odds != 0).astype(np.float32)[:, None]
-    params = [rng.normal(0, 0.02, (words.shape[1], DIM)).astype(np.float32) * known, rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros((1, 2), np.float32)]
-    params[0][:, 0], params[1][0] = odds, (-START, START)
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    target = np.stack([1 - y, y], 1).astype(np.float32)
-    importance = (importance / importance.sum())[:, None].astype(np.float32)
-    for t in range(1, STEPS + 1):
-        hidden = wins.times(words.times(params[0]))
-        z = hidden @ params[1] + params[2]
-        p = np.exp(z - z.max(1, keepdims=True))
-        g = (p / p.sum(1, keepdims=True) - target) * importance
-        grads = [words.transposed_times(wins.transposed_times(g @ params[1].T)), hidden.T @ g, g.sum(0, keepdims=True)]
-        grads[0] *= known
-        for i, d in enumerate(grads):
-            first[i] = 0.9 * first[i] + 0.1 * d
-            second[i] = 0.99 * second[i] + 0.01 * d * d
-            params[i] = params[i] - RATE * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.99**t)) + 1e-8)
-    return params[0] @ (params[1][:, 1] - params[1][:, 0]), float(params[2][0, 1] - params[2][0, 0])
+    def gradients(self, embed: np.ndarray, out: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, float]:
+        """Of the loss, by the embeddings (buckets x DIM), the softmax (DIM x 2) and its bias (of class 1)."""
+        turn = out[:, 1] - out[:, 0]
+        z, part = self.odds(embed @ turn, bias)
+        of_text = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - self.y) * self.weight
+        of_bag = part * np.repeat(of_text, self.size)
+        of_bucket = self.words.transposed_times(self.bags.transposed_times(of_bag))
+        of_turn = embed.T @ of_bucket
+        return of_bucket[:, None] * turn, np.stack([-of_turn, of_turn], 1), float(of_bag.sum())
 
 
 def fit(texts: list[bytes], labels: list[int], shares: dict[int, float], seed: int = 7) -> Model:
@@ -155,37 +161,54 @@ def fit(texts: list[bytes], labels: list[int], shares: dict[int, float], seed: i
     """
     share = min(max(shares.get(1, 0.0), 1e-3), 1 - 1e-3)
     prior = float(np.log(share / (1 - share)))
+    y = np.array(labels)
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, prior)
-    vocabulary: dict[bytes, int] = {}
-    word_at, win_at, text_of = [], [], []
-    for i, text in enumerate(texts):
-        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)], np.int64)
-        for a, b in zip(*windows(len(ids))):
-            word_at.append(ids[a:b])
-            win_at.append(np.full(b - a, len(text_of)))
-            text_of.append(i)
-    text_of, y = np.array(text_of), np.array(labels)
-    owner, bucket = subwords(list(vocabulary))
-    words = _Sparse(owner, bucket, (len(vocabulary), BUCKETS))
-    all_words = np.concatenate(word_at)
-    wins = _Sparse(np.concatenate(win_at), all_words, (len(text_of), len(vocabulary)))
-    distinct = np.unique(np.repeat(text_of, [len(w) for w in word_at]) * len(vocabulary) + all_words)
-    odds = _odds(distinct // len(vocabulary), distinct % len(vocabulary), owner, bucket, y)
-    toxic = y[text_of] == 1
-    marked, used = toxic.copy(), np.ones(len(text_of), bool)
-    for r in range(ROUNDS):
-        weight = np.where(marked, 0.5 / max(marked.sum(), 1), 0.5 / max((used & ~marked).sum(), 1)) * used
-        value, bias = _fit(words, wins, marked.astype(float), weight, odds, seed)
-        z = wins.times(words.times(value[:, None]))[:, 0] + bias
-        if r + 1 < ROUNDS:
-            high = z > np.quantile(z[~toxic], 0.995)
-            if (toxic & high).any():
-                marked, used = toxic & high, ~toxic | high
-    worst = np.full(len(texts), -np.inf)
-    np.maximum.at(worst, text_of, z)
-    slope, offset = _calibrated(worst, y)
-    return Model(value.astype(np.float32), bias, slope, offset + prior)
+    turn = np.zeros(len(y), np.int64)
+    for label in (0, 1):  # every HELD-th of each class
+        turn[y == label] = np.arange((y == label).sum())
+    held = turn % HELD == 1
+    every = np.ones(len(y), bool)
+    if len(set(y[held])) < 2:
+        held, every = ~every, held | ~held
+    of = lambda some: Bags([t for t, h in zip(texts, some) if h], y[some])
+    test = of(held if held.any() else every)
+    steps, value, bias, losses = _trained(of(~held), STEPS, seed, test)
+    slope, offset = _calibrated(test.odds(value, bias)[0].astype(np.float64), test.y)
+    if held.any():  # as many steps again, with what was held back
+        _, value, bias, _ = _trained(of(every), steps, seed)
+    return Model(value.astype(np.float32), bias, slope, offset + prior, tuple(losses))
+
+
+def _trained(data: Bags, steps: int, seed: int, test: Bags | None = None) -> tuple[int, np.ndarray, float, list[tuple[float, float]]]:
+    """(steps, value of each bucket, bias, losses): where the loss on ``test`` is least, or after ``steps`` steps without one."""
+    known = (data.texts_with >= min(LEAST_TEXTS, 1 + len(data.y) // 8)).astype(np.float32)[:, None]
+    rng = np.random.default_rng(seed)
+    embed = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32) * known
+    half = rng.normal(0, 0.5, DIM)
+    out, bias = np.stack([-half, half], 1).astype(np.float32), 0.0
+    speed, first, second = np.zeros_like(embed), np.zeros_like(out), np.zeros_like(out)
+    best, losses = None, []
+    for t in range(steps + 1):
+        if test is not None and t % LOOK == 0:
+            value = embed @ (out[:, 1] - out[:, 0])
+            losses.append((data.loss(value, bias), test.loss(value, bias)))
+            if best is None or losses[-1][1] < best[0]:
+                best = losses[-1][1], t, value, bias
+            elif t - best[1] >= PATIENCE * LOOK:
+                break
+        if t == steps:
+            break
+        g_embed, g_out, g_bias = data.gradients(embed, out, bias)
+        g_embed *= known
+        speed = 0.9 * speed + 0.1 * g_embed
+        embed = (embed - RATE * speed / (1 - 0.9 ** (t + 1)) / (np.abs(g_embed).max() + 1e-12)) * np.float32(1 - DECAY)
+        first, second = 0.9 * first + 0.1 * g_out, 0.99 * second + 0.01 * g_out * g_out
+        out = out - RATE_OUT * (first / (1 - 0.9 ** (t + 1))) / (np.sqrt(second / (1 - 0.99 ** (t + 1))) + 1e-8)
+        bias -= RATE * g_bias
+    if best is None:
+        return steps, embed @ (out[:, 1] - out[:, 0]), bias, losses
+    return best[1], best[2], best[3], losses
 
 
 def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -223,13 +246,12 @@ class Scorer:
             self._learn(list(new))
         out = np.empty(len(texts))
         for i, words in enumerate(split):
-            z = 0.0
+            z = self.model.bias
             if words:
                 v = np.fromiter(map(self.cache.__getitem__, words), np.float64, len(words))
-                a, b = windows(len(words))
-                total = np.concatenate([[0.0], np.cumsum(v)])
-                z = float(((total[b] - total[a]) / (b - a)).max())
-            out[i] = self.model.slope * (z + self.model.bias) + self.model.offset
+                bag = bags_of(len(v))
+                z = float(soft_maximum(np.bincount(bag, v) / np.bincount(bag) + self.model.bias, np.zeros(1, np.int64), bag[-1:] + 1)[0][0])
+            out[i] = self.model.slope * z + self.model.offset
         return 1 / (1 + np.exp(-out))
 
 
@@ -238,8 +260,9 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score",
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     """A model from at most ``per_label`` labelled texts of each class; ``labels`` has (doc_id, label), label 0 or 1."""
-    rows = labelled_sample(docs, labels, "label", per_label).where(F.col("label").isin(0, 1)).orderBy("doc_id").collect()
-    counts = {r["label"]: r["count"] for r in labels.where(F.col("label").isin(0, 1)).groupBy("label").count().collect()}
+    labels = labels.where(F.col("label").isin(0, 1))
+    rows = labelled_sample(docs, labels, "label", per_label).orderBy("doc_id").collect()
+    counts = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     total = sum(counts.values()) or 1
     return fit([(r["text"] or "").encode() for r in rows], [r["label"] for r in rows], {k: v / total for k, v in counts.items()})
 
