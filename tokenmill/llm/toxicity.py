@@ -27,7 +27,7 @@ PER_LABEL, HELD = 2000, 5
 #: Texts that a bucket must occur in; sharpness of the soft maximum.
 LEAST_TEXTS, SHARP = 4, 4.0
 #: Steps at most, steps between two looks at the loss, looks without a lower one that end training; step of the largest coordinate, of the softmax; decay.
-STEPS, LOOK, PATIENCE, RATE, RATE_OUT, DECAY = 160, 10, 4, 0.3, 0.01, 0.004
+STEPS, LOOK, PATIENCE, RATE, RATE_OUT, DECAY = 160, 10, 8, 0.3, 0.01, 0.004
 THRESHOLD = 0.3
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -188,7 +188,7 @@ def _trained(data: Bags, steps: int, seed: int, test: Bags | None = None) -> tup
     half = rng.normal(0, 0.5, DIM)
     out, bias = np.stack([-half, half], 1).astype(np.float32), 0.0
     speed, first, second = np.zeros_like(embed), np.zeros_like(out), np.zeros_like(out)
-    best, losses = None, []
+    best, losses, largest = None, [], 0.0
     for t in range(steps + 1):
         if test is not None and t % LOOK == 0:
             value = embed @ (out[:, 1] - out[:, 0])
@@ -202,7 +202,9 @@ def _trained(data: Bags, steps: int, seed: int, test: Bags | None = None) -> tup
         g_embed, g_out, g_bias = data.gradients(embed, out, bias)
         g_embed *= known
         speed = 0.9 * speed + 0.1 * g_embed
-        embed = (embed - RATE * speed / (1 - 0.9 ** (t + 1)) / (np.abs(g_embed).max() + 1e-12)) * np.float32(1 - DECAY)
+        top = float(np.abs(g_embed).max()) + 1e-12
+        largest = max(largest, top)
+        embed = (embed - RATE * speed / (1 - 0.9 ** (t + 1)) / max(top, 0.02 * largest)) * np.float32(1 - DECAY)
         first, second = 0.9 * first + 0.1 * g_out, 0.99 * second + 0.01 * g_out * g_out
         out = out - RATE_OUT * (first / (1 - 0.9 ** (t + 1))) / (np.sqrt(second / (1 - 0.99 ** (t + 1))) + 1e-8)
         bias -= RATE * g_bias
