@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions.hashing import hash_key, hash_sql
 from tokenmill.functions.text import first_half, second_half
-from tokenmill.session import spread, table
+from tokenmill.session import cut_lineage, spread, table
 from tokenmill.sources.corpus import corpus_layout, with_split
 
 # virtual corpus layout of `documents`: 16 rows per row group, 4 row groups per shard
@@ -122,7 +122,18 @@ BENCH_ITEMS_SQL = f"""bench_items AS (
         FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)))"""
 
 
+_ITEMS: dict[tuple, DataFrame] = {}
+
+
 def eval_items(spark: SparkSession, sf: str, n_choices: int = 4) -> DataFrame:
+    """The item table, stored once for each session, path and size: every stage of the evaluation reads it."""
+    key = (spark.sparkContext.applicationId, sf, n_choices)
+    if key not in _ITEMS:
+        _ITEMS[key] = cut_lineage(_eval_items(spark, sf, n_choices))
+    return _ITEMS[key]
+
+
+def _eval_items(spark: SparkSession, sf: str, n_choices: int) -> DataFrame:
     """(item_id, perm, query, continuation, gold, choices, context_options).
 
     Distractors are the items at the next ``n_choices - 1`` permutation
@@ -142,10 +153,9 @@ def eval_items(spark: SparkSession, sf: str, n_choices: int = 4) -> DataFrame:
         ds = F.transform("ds", lambda s: s[field])
         return F.concat(F.slice(ds, 1, F.col("gold")), F.array(own), F.slice(ds, F.col("gold") + 1, n_choices))
 
-    # a benchmark item table is read by every stage of the evaluation: persist it once
     return j.select("item_id", "perm", "query", "continuation", "gold",
                     insert("continuation", "dc").alias("choices"),
-                    insert("query", "dq").alias("context_options")).persist()
+                    insert("query", "dq").alias("context_options"))
 
 
 def mc_items(spark: SparkSession, sf: str, n_choices: int = 4) -> DataFrame:

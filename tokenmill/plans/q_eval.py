@@ -12,6 +12,7 @@ from tokenmill.operators import evaluation as EV
 from tokenmill.operators import scoring
 from tokenmill.plans.catalog import register
 from tokenmill.plans.derived import CORPUS_SQL, byte_rows_sql, corpus_split, eval_items, eval_items_sql
+from tokenmill.session import cut_lineage
 
 K = 2             # shots
 SHOT_SEED = 1234
@@ -26,14 +27,25 @@ def items(spark, sf):
     return eval_items(spark, sf)
 
 
+_STORED: dict = {}
+
+
+def _stored(spark, sf, name, make):
+    """What ``make`` gives, stored in the checkpoint folder once for each session and path."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        _STORED[key] = cut_lineage(make())
+    return _STORED[key]
+
+
 def shots(spark, sf):
-    return EV.fewshot(items(spark, sf), K, seed=SHOT_SEED)
+    return _stored(spark, sf, "shots", lambda: EV.fewshot(items(spark, sf), K, seed=SHOT_SEED))
 
 
 def model(spark, sf):
-    # the pair-count table is small (splits x V^2 rows); persisting it lets the
+    # the pair-count table is small (splits x V^2 rows); storing it lets the
     # three model lookups (pair, context, argmax) share one corpus scan
-    pc = scoring.byte_pair_counts(corpus_split(spark, sf), ["split"]).persist()
+    pc = _stored(spark, sf, "pairs", lambda: scoring.byte_pair_counts(corpus_split(spark, sf), ["split"]))
     m = scoring.bigram_model(pc, F.col("split") == "train")
     return m, scoring.argmax_table(m)
 
@@ -63,16 +75,10 @@ def decide(spark, sf, kind):
     return EV.decide_choice(losses, choices.withColumn("choice", F.col("choice").cast("bigint")))
 
 
-_RESULTS: dict = {}
-
-
 def results(spark, sf):
-    """Per-task accuracy of the three CORE-style tasks (one row per task, persisted once per session)."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _RESULTS:
-        parts = [EV.accuracy(decide(spark, sf, k).withColumn("task", F.lit(k))) for k in ("mc", "schema", "lm")]
-        _RESULTS[key] = reduce(lambda a, b: a.unionByName(b), parts).persist()
-    return _RESULTS[key]
+    """Per-task accuracy of the three CORE-style tasks (one row per task, stored once per session)."""
+    parts = lambda: [EV.accuracy(decide(spark, sf, k).withColumn("task", F.lit(k))) for k in ("mc", "schema", "lm")]
+    return _stored(spark, sf, "results", lambda: reduce(lambda a, b: a.unionByName(b), parts()))
 
 
 def baselines(spark, sf):

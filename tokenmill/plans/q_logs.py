@@ -11,7 +11,7 @@ from tokenmill.operators.ordering import distinct_sorted, first_per_group
 from tokenmill.operators.results import largest_run, mean_std
 from tokenmill.plans.catalog import register
 from tokenmill.plans.derived import RUN_STEPS_SQL, run_steps
-from tokenmill.session import table
+from tokenmill.session import cut_lineage, table
 
 BETA = 0.9
 MAX_VALUE = 45.0          # metric ceiling (LOG-13)
@@ -30,10 +30,10 @@ _RUN_LOGS: dict = {}
 
 
 def run_log(spark, sf):
-    """One log line per event (persisted once per session: every log query reads it)."""
+    """One log line per event (stored once per session: every log query reads it)."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _RUN_LOGS:
-        _RUN_LOGS[key] = _build_run_log(spark, sf).persist()
+        _RUN_LOGS[key] = cut_lineage(_build_run_log(spark, sf))
     return _RUN_LOGS[key]
 
 
