@@ -69,3 +69,55 @@ def test_redaction_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, key, "kept", 3)], "doc_id long, text string, __cut string, n_chars int")
     out = secrets.redacted(docs)
     assert out.columns == docs.columns and out.first()["__cut"] == "kept" and "hunter2" not in out.first()["text"]
+
+
+def test_ftrl_updates_are_those_of_the_plain_rule():
+    """Follow the regularised leader, one coordinate at a time in Python numbers."""
+    import math
+
+    import numpy as np
+
+    from tokenmill.llm import quality
+
+    rng = np.random.default_rng(4)
+    labels = [1, 0, 0, 1, 0, 0]
+    examples = [(np.append(np.sort(rng.choice(9, 4, replace=False)), quality.BUCKETS), np.append(rng.random(4) * 5, 1.0)) for _ in labels]
+    model = quality.fit(examples, labels, 0.3)
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= quality.L1 else -(zi - math.copysign(quality.L1, zi)) / ((quality.BETA + math.sqrt(n.get(i, 0.0))) / quality.ALPHA + quality.L2)
+
+    for k in range(quality.PASSES):
+        for e in np.random.default_rng(k).permutation(len(examples)):
+            at, x = (v.tolist() for v in examples[e])
+            w = [weight(i) for i in at]
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x))))
+            for i, wi, xi in zip(at, w, x):
+                g = (0.5 * 6 / 2 if labels[e] else 0.5 * 6 / 4) * (p - labels[e]) * xi
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / quality.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * wi
+                n[i] = n.get(i, 0.0) + g * g
+    assert np.allclose([model.weights[i] for i in range(9)], [weight(i) for i in range(9)], atol=1e-5)
+    assert abs(model.bias - (weight(quality.BUCKETS) + math.log(0.3 / 0.7))) < 1e-6
+
+
+def test_language_decoding_is_that_of_plain_sums():
+    """Each bit's output is a mean of weights over the text's n-grams; a language's loss is the trusted sum of logistic losses."""
+    import math
+
+    texts = {"aa": "the cat and the dog", "bb": "der hund und die katze", "cc": "el perro y el gato", "dd": "le chien et le chat"}
+    learned = [(langid.letters_of(f"{t} {k}x{chr(97 + k)}"), x) for k in range(12) for x, t in texts.items()]
+    model = langid.fit([t for t, _ in learned], [x for _, x in learned])
+    predict = langid.Predictor(model)
+    for text in ("a cat", "hund", "y", "chat et chien", "xyz"):
+        grams = langid.buckets_of(langid.letters_of(text)).tolist()
+        outputs = [sum(float(model.weights[g, b]) for g in grams) / len(grams) + float(model.bias[b]) for b in range(model.code.shape[1])]
+        loss = [sum(float(model.trust[b]) * math.log1p(math.exp(-f * int(word[b]))) for b, f in enumerate(outputs)) for word in model.code]
+        share = [math.exp(-model.sharpness * (x - min(loss))) for x in loss]
+        (lang, score, ambiguous), = predict([text])
+        best = max(range(4), key=lambda i: share[i])
+        assert lang == model.languages[best] and abs(score - share[best] / sum(share)) < 1e-4
+        top = sorted(share)[-2:]
+        assert ambiguous == ((top[1] - top[0]) / sum(share) < langid.CLEAR)
