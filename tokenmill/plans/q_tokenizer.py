@@ -204,6 +204,16 @@ def train_bpe_q(spark, sf):
     return train_corpus_bpe(spark, sf).merges_df(spark)
 
 
+#: Merges of a real vocabulary: 32,768 entries less bytes and specials.
+VOCAB_MERGES = 32_768 - 256 - len(TK.SPECIAL_TOKENS)
+
+
+@register("tok03_train_bpe_vocab")
+def train_bpe_vocab_q(spark, sf):
+    """Training to the size of a real vocabulary, or as far as there are pairs."""
+    return train_corpus_bpe(spark, sf, 256 + len(TK.SPECIAL_TOKENS) + VOCAB_MERGES).merges_df(spark)
+
+
 @register("tok04_bpe_encode", sql=f"""{BPE_SQL}
 SELECT doc_id, CAST(n_ids + 1 AS BIGINT) AS n_tokens, true AS roundtrip_ok FROM encoded""")
 def bpe_encode_q(spark, sf):
