@@ -26,8 +26,8 @@ from tokenmill.session import cut_lineage
 SAMPLE_CHUNKS, SAMPLE_BYTES = 400_000, 8_000_000
 #: Token ids that a task indexes at a time.
 BLOCK_IDS = 2_000_000
-#: Merges of a round: at least, at most.
-LEAST_ROUND, MOST_ROUND = 16, 2_048
+#: Merges of a round: at least, in the first one, at most.
+LEAST_ROUND, FIRST_ROUND, MOST_ROUND = 16, 256, 2_048
 #: Merges made again in each round before the chunk table is written with them.
 REPLAYED = 2_048
 
@@ -268,7 +268,7 @@ def train(chunks: DataFrame, n_merges: int, sample_chunks: int = SAMPLE_CHUNKS,
     exact = Queue({r["pair"]: r["delta"] for r in first.collect()})  # at most 65,536 pairs of bytes
     sample = sampled(state, sample_chunks, sample_bytes)
     done: list[tuple[int, int, int]] = []
-    base, want = 0, LEAST_ROUND
+    base, want = 0, FIRST_ROUND
     while len(done) < n_merges and exact.top():
         spare = sample.copy()
         plan = foretold(sample, exact.copy(), N_BYTES + len(done), min(want, n_merges - len(done)))
