@@ -196,8 +196,8 @@ def align_tokenizers(docs: DataFrame, ranks_path: str, pieces_path: str, pairs_a
         held += r.n
     parts = []
     for low, high in zip(first, [*first[1:], 1 << 16]):
-        some = counts.where(F.col("pair").bitwiseAND(0xFFFF).between(low, high - 1)).toPandas().sort_values("pair")
-        pairs, n = some["pair"].to_numpy(np.int64), some["n"].to_numpy(np.int64)
+        some = counts.where(F.col("pair").bitwiseAND(0xFFFF).between(low, high - 1)).toArrow().sort_by("pair")  # a block, as columns
+        pairs, n = some["pair"].to_numpy(), some["n"].to_numpy()
         if not len(pairs):
             continue
         table = spark.sparkContext.broadcast((pairs.astype(np.uint32), n, best_of(pairs, n)))
