@@ -1,8 +1,8 @@
 """Conversation tables: assemble, validate, normalise, render to (ids, mask).
 
 A message is ``STRUCT<turn, role, text, parts ARRAY<STRUCT<type, text>>>``;
-``parts`` is null for plain-string content. All of it is array/struct SQL, so
-the per-conversation work stays inside whole-stage codegen; the only shuffle
+``parts`` is null for plain-string content. It is array/struct SQL, but for the
+last step of rendering, which lays out a batch of spans at once in Arrow; the only shuffle
 is the ``groupBy(conv_id)`` that assembles turns (one group = one
 conversation, bounded by its turn count).
 """
@@ -11,10 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.functions.text import N_BYTES, SPECIAL_TOKENS, byte_ids, col, strip
+from tokenmill.session import small_batches
 
 PART = "struct<type:string,text:string>"
 
@@ -101,8 +105,33 @@ def _arr(v: int) -> Column:
     return F.array(F.lit(v))
 
 
-def _mask(n: Column, v: int | Column) -> Column:
-    return F.array_repeat(F.lit(v) if isinstance(v, int) else v, n.cast("int"))
+def rendered(spans: pa.ListArray, bos: int) -> pa.StructArray:
+    """(ids, mask) of each list of spans, a batch at a time on the flat values; both null where a span's text is null, the row null without spans."""
+    count = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+    open_, e, close, on, ends = spans.flatten().flatten()
+    open_, close, on, ends = (x.to_numpy(zero_copy_only=False) for x in (open_, close, on, ends))
+    if pa.types.is_list(e.type):
+        size, values = pc.list_value_length(e), e.flatten().to_numpy(zero_copy_only=False)
+    else:
+        size, values = pc.binary_length(e), np.frombuffer(b"".join(x for x in e.to_pylist() if x), np.uint8)
+    size = pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(spans)), count)
+    begins, closes = open_ >= 0, close >= 0
+    whole = size + begins + closes
+    before = np.cumsum(whole) - whole
+    at = before + row + 1  # each row begins with the bos
+    per_row = 1 + np.bincount(row, whole, len(spans)).astype(np.int64)
+    first = np.append(0, np.cumsum(per_row))
+    ids, mask = np.full(first[-1], bos, np.int32), np.zeros(first[-1], np.int32)
+    ids[at[begins]], mask[at[begins]] = open_[begins], ends[begins]
+    at = at + begins
+    text = np.arange(size.sum()) + np.repeat(at - np.cumsum(size) + size, size)
+    ids[text], mask[text] = values, np.repeat(on, size)
+    at = (at + size)[closes]
+    ids[at], mask[at] = close[closes], ends[closes]
+    lost = np.bincount(row, e.is_null().to_numpy(zero_copy_only=False), len(spans)) > 0
+    lists = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(x), mask=pa.array(lost)) for x in (ids, mask)]
+    return pa.StructArray.from_arrays(lists, ["ids", "mask"], mask=spans.is_null())
 
 
 def render(df: DataFrame, messages: str = "messages", max_tokens: int | None = 2048,
@@ -116,7 +145,7 @@ def render(df: DataFrame, messages: str = "messages", max_tokens: int | None = 2
     Conversations that can't be rendered (a system message that can't be merged, a
     role other than user and assistant) are left out: :func:`unrenderable` has them.
     """
-    d = merge_system(df, messages).where(F.col("merge_error").isNull() & ~F.exists(messages, _other_role))
+    d = merge_system(df, messages)
     us, ue = special("<|user_start|>"), special("<|user_end|>")
     as_, ae = special("<|assistant_start|>"), special("<|assistant_end|>")
     ps, pe = special("<|python_start|>"), special("<|python_end|>")
@@ -126,31 +155,36 @@ def render(df: DataFrame, messages: str = "messages", max_tokens: int | None = 2
     def parts_of(m):
         return F.coalesce(m["parts"], F.array(F.struct(F.lit("text").alias("type"), m["text"].alias("text"))))
 
+    coded = (lambda t: F.encode(t, "UTF-8")) if encode is byte_ids else encode  # the bytes of a text are its ids: they needn't be taken apart here
+    kind = "binary" if encode is byte_ids else "array<int>"
+    nothing = F.lit(b"") if encode is byte_ids else F.array().cast("array<int>")
+
     # a span is (open token, encoded text, close token, mask of text and of both tokens); -1 stands for no token
-    def span(open_, text, close, on, ends):
-        return F.struct(F.lit(open_).alias("open"), encode(text).alias("e"), F.lit(close).alias("close"), F.lit(on).alias("on"), F.lit(ends).alias("ends"))
+    def span(open_, e, close, on, ends):
+        return F.struct(open_.alias("open"), e.cast(kind).alias("e"), close.alias("close"), on.alias("on"), ends.alias("ends"))
+
+    def edge(t, on):
+        return F.array(span(F.lit(t), nothing, F.lit(-1), F.lit(on), F.lit(on)))
 
     def part_span(p):
-        return F.when(p["type"] == "python", span(ps, p["text"], pe, 1, 1)) \
-                .when(p["type"] == "python_output", span(os_, p["text"], oe, 0, 0)).otherwise(span(-1, p["text"], -1, 1, 1))
+        of = lambda python, output, text: F.when(p["type"] == "python", python).when(p["type"] == "python_output", output).otherwise(text)
+        return span(of(ps, os_, -1), coded(p["text"]), of(pe, oe, -1), of(1, 0, 1), of(1, 0, 1))
 
     def spans_of(m):
-        none = F.array().cast("array<int>")
-        edge = lambda t, on: F.array(F.struct(F.lit(t).alias("open"), none.alias("e"), F.lit(-1).alias("close"), F.lit(on).alias("on"), F.lit(on).alias("ends")))
-        return F.when(m["role"] == "user", F.array(span(us, m["text"], ue, 0, 0))).otherwise(
+        return F.when(m["role"] == "user", F.array(span(F.lit(us), coded(m["text"]), F.lit(ue), F.lit(0), F.lit(0)))).otherwise(
             F.concat(edge(as_, 0), F.transform(parts_of(m), part_span), edge(ae, 1)))
 
-    def one(t):
-        return F.when(t == -1, F.array().cast("array<int>")).otherwise(F.array(t))
-
-    def span_mask(s):
-        return F.concat(_mask(F.size(one(s["open"])), s["ends"]), _mask(F.size(s["e"]), s["on"]), _mask(F.size(one(s["close"])), s["ends"]))
+    @F.arrow_udf("struct<ids:array<int>,mask:array<int>>")
+    def ids_and_mask(spans: pa.Array) -> pa.Array:
+        return rendered(spans, bos)
 
-    r = d.withColumn("_spans", F.flatten(F.transform(F.col(messages), spans_of)))
-    ids = F.concat(_arr(bos), F.flatten(F.transform("_spans", lambda s: F.concat(one(s["open"]), s["e"], one(s["close"])))))
-    mask = F.concat(_arr(0), F.flatten(F.transform("_spans", span_mask)))
+    small_batches(df.sparkSession)
+    # what can't be rendered has no spans; it is left out after the Arrow step. A filter that Spark can push below it would work out the
+    # messages, and the step, once more for each place that names them; hence the mark as not deterministic
+    spans = F.when(F.col("merge_error").isNull() & ~F.exists(messages, _other_role), F.flatten(F.transform(F.col(messages), spans_of)))
+    r = d.withColumn("_r", ids_and_mask.asNondeterministic()(spans)).where(F.col("_r").isNotNull())
     cut = (lambda c: c) if max_tokens is None else (lambda c: F.slice(c, 1, max_tokens))
-    return r.withColumn("ids", cut(ids)).withColumn("mask", cut(mask)).drop("_spans")
+    return r.withColumn("ids", cut(F.col("_r.ids"))).withColumn("mask", cut(F.col("_r.mask"))).drop("_r")
 
 
 def _other_role(m: Column) -> Column:
@@ -225,19 +259,17 @@ def parse_tool_calls(answer: str | Column) -> Column:
     a = col(answer)
     texts = F.split(a, CALL_RE, -1)
     inners = F.regexp_extract_all(a, F.lit("<<([^>]+)>>"), 1)
-    n = F.size(inners)
 
-    def piece(i):
-        inner = F.try_element_at(inners, i + 1)
+    def pieces(t, inner):
         has_eq = inner.contains("=")
         expr = F.when(has_eq, F.regexp_extract(inner, "^(.*)=", 1)).otherwise(inner)
         res = F.when(has_eq, F.substring_index(inner, "=", -1)).otherwise(F.lit(""))
-        t = F.struct(F.lit("text").alias("type"), F.try_element_at(texts, i + 1).alias("text"))
+        text = F.struct(F.lit("text").alias("type"), t.alias("text"))
         py = F.struct(F.lit("python").alias("type"), expr.alias("text"))
         out = F.struct(F.lit("python_output").alias("type"), res.alias("text"))
-        return F.when(i < n, F.array(t, py, out)).otherwise(F.array(t))
+        return F.when(inner.isNull(), F.array(text)).otherwise(F.array(text, py, out))  # the last text has no call behind it
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), n), piece))
+    return F.flatten(F.zip_with(texts, inners, pieces))
 
 
 def audit_tool_calls(df: DataFrame, by: Sequence[str], parts: str = "parts") -> DataFrame:
