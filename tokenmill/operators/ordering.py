@@ -14,6 +14,7 @@ table into one task):
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections import Counter
 from collections.abc import Sequence
@@ -45,30 +46,39 @@ def range_bucket(df: DataFrame, order: Sequence[str], rows_per_bucket: int = ROW
     """``df`` with a bucket ``_bkt`` that is monotone in ``order``, and the bucket count.
 
     The limits are quantiles of the first key (one aggregate; at most ``MAX_LIMITS`` of them come back), so buckets
-    have about the same number of rows however the key is distributed. A value that fills more than one bucket gets
-    buckets of its own, cut at quantiles of the second key among its rows.
+    have about the same number of rows however the key is distributed. A value that fills more than one bucket has a
+    level of its own; the place of the second key between its least and its greatest value is added to that level, and the
+    limits are then quantiles of the sum. That is one more aggregate, however many such values there are.
     """
-    key = order[0]
-    num = F.col(key).cast("double")
+    num = F.col(order[0]).cast("double")
     n = df.count()
     want = min(MAX_LIMITS, math.ceil(n / rows_per_bucket))
     if want <= 1:
         return df.withColumn("_bkt", F.lit(0).cast("bigint")), 1
     shares = [i / want for i in range(1, want)]
-    limits = df.agg(F.percentile_approx(num, shares, 100 * want)).first()[0] or []
-    hot = {v: c for v, c in Counter(limits).items() if c > 1 and len(order) > 1}
+    quantiles = lambda d, c: [x for x in d.agg(F.percentile_approx(c, shares, 100 * want)).first()[0] or [] if math.isfinite(x)]
+    limits = quantiles(df, num)
+    hot = sorted(v for v, c in Counter(limits).items() if c > 1 and len(order) > 1)
     cuts = sorted({*limits, *(math.nextafter(v, math.inf) for v in hot)})
-    sub = {}
-    for v, c in hot.items():
-        sub[v] = df.where(num == v).agg(F.percentile_approx(F.col(order[1]).cast("double"), [i / (c + 1) for i in range(1, c + 1)], 100 * (c + 1))).first()[0]
-    b = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_num", outputCol="_lvl", handleInvalid="keep").transform(
-        df.withColumn("_num", num)).withColumn("_lvl", F.when(F.col("_num").isNull(), -1).otherwise(F.col("_lvl")).cast("bigint"))
-    width = 1 + max([len(set(x)) for x in sub.values()], default=0)
-    fine = F.lit(0)
-    for v, xs in sub.items():
+    b = _level(df.withColumn("_num", num), "_num", cuts, "_lvl")
+    if hot:
         second = F.col(order[1]).cast("double")
-        fine = F.when(F.col("_num") == v, sum(((second > x).cast("int") for x in sorted(set(xs))), F.lit(0))).otherwise(fine)
-    return b.withColumn("_bkt", F.col("_lvl") * width + fine).drop("_num", "_lvl"), (len(cuts) + 2) * width
+        usual = F.when(~F.isnan(second) & (F.abs(second) < math.inf), second)
+        lo, hi = df.agg(F.min(usual), F.max(usual)).first()
+        if lo is not None and hi > lo:
+            at = F.when(F.isnan(second), 1.0).otherwise(F.least(F.greatest((second - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0)))  # NaN comes last, null first
+            own = F.col("_lvl").isin([bisect.bisect_right(cuts, v) for v in hot])
+            b = b.withColumn("_place", F.col("_lvl") + F.when(own, 0.999 * F.coalesce(at, F.lit(0.0))).otherwise(0.0)).drop("_lvl")
+            cuts = sorted({*quantiles(b, F.col("_place")), *(float(i) for i in range(len(cuts) + 1))})
+            b = _level(b, "_place", cuts, "_lvl").drop("_place")
+    return b.withColumnRenamed("_lvl", "_bkt").drop("_num"), len(cuts) + 3
+
+
+def _level(df: DataFrame, key: str, cuts: list[float], name: str) -> DataFrame:
+    """Number of the limits in ``cuts`` up to ``key``; -1 for null, one more than the last for NaN."""
+    b = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=key, outputCol=name, handleInvalid="keep").transform(df) if cuts else df.withColumn(
+        name, F.isnan(key).cast("double"))
+    return b.withColumn(name, F.when(F.col(key).isNull(), -1).otherwise(F.col(name)).cast("bigint"))
 
 
 def hash_bucket(key: str | Column, n_buckets: int) -> Column:
