@@ -37,3 +37,10 @@ def test_index_over_many_frequent_values(spark, monkeypatch):
     assert sorted(r["idx"] for r in got) == list(range(len(rows)))
     b, n = ordering.range_bucket(df, ["k", "s"], 8)
     assert b.groupBy("_bkt").count().agg(F.max("count")).first()[0] < 64  # not one bucket for each value
+
+
+def test_words_are_found_once(spark, sf):
+    """The generators read stored words, whatever number of times they need them."""
+    from tokenmill.plans.q_tasks import corpus_words, letter_rows
+    assert corpus_words(spark, sf) is corpus_words(spark, sf)
+    assert "regexp_extract_all" not in letter_rows(spark, sf)._jdf.queryExecution().optimizedPlan().toString()

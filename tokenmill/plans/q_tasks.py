@@ -19,7 +19,7 @@ from tokenmill.plans.derived import BENCH_ITEMS_SQL, LINE_ORDER, eval_items, eva
 from tokenmill.plans.q_conversation import assembled
 from tokenmill.plans.q_logs import RUN_LOG_SQL, run_log
 from tokenmill.sources.corpus import words_from_text
-from tokenmill.session import spread, table
+from tokenmill.session import cut_lineage, spread, table
 
 NL = "chr(10)"
 
@@ -374,8 +374,15 @@ def union_source_q(spark, sf):
 # ----------------------------------------------------------------------------- generators
 
 
+_WORDS: dict = {}
+
+
 def corpus_words(spark, sf):
-    return words_from_text(table(spark, sf, "documents"))
+    """The corpus's distinct words, stored once for each session and path: the generators read them several times."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _WORDS:
+        _WORDS[key] = cut_lineage(words_from_text(spread(table(spark, sf, "documents").select("text"))))
+    return _WORDS[key]
 
 
 WORDS_SQL = r"""words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents)"""
@@ -449,7 +456,7 @@ SELECT r.i, w.word, 'Spell the word: ' || w.word AS user, w.word || ':' || array
 FROM r JOIN w ON w.widx = {hash_sql("sw", "r.i")} % (SELECT count(*) FROM w)""")
 def spelling_q(spark, sf):
     words = corpus_words(spark, sf)
-    n = TS.indexed_words(words).agg(F.count(F.lit(1))).first()[0]  # one scalar: rows = one per word
+    n = words.count()  # one scalar: rows = one per word
     return TS.spelling_rows(words, n)
 
 
