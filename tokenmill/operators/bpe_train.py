@@ -262,7 +262,8 @@ def train(chunks: DataFrame, n_merges: int, sample_chunks: int = SAMPLE_CHUNKS,
     Greedy means: the most frequent adjacent pair (ties: smaller left id, then smaller right id) is merged everywhere, again and again.
     Null and one-byte chunks have no pair; repeated chunks count as often as they come.
     """
-    from tokenmill.session import spread
+    from tokenmill.session import small_batches, spread
+    small_batches(chunks.sparkSession)
     state = cut_lineage(spread(chunks.where(F.octet_length("chunk") >= 2).select(byte_ids("chunk").alias("ids"), F.col("n").cast("bigint").alias("n")).where("n > 0")))
     first = pair_counts(state)
     exact = Queue({r["pair"]: r["delta"] for r in first.collect()})  # at most 65,536 pairs of bytes

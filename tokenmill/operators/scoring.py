@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tokenmill.functions.text import N_BYTES, SPECIAL_TOKENS
 from tokenmill.operators.ordering import checked_broadcast
 from tokenmill.operators.tokenizer import BYTE_BOS
+from tokenmill.session import small_batches
 
 LN2 = math.log(2.0)
 
@@ -47,6 +48,7 @@ def byte_pair_counts(docs: DataFrame, by: Sequence[str], text: str = "text", bos
     Each Arrow batch is counted with one ``bincount`` per group over ``a * width + b``; what leaves a batch is at
     most groups x width^2 partial counts, which Spark then sums. Null texts are empty.
     """
+    small_batches(docs.sparkSession)
     width = max(N_BYTES, bos) + 1
     schema = docs.select(*by).schema.add("a", "integer").add("b", "integer").add("n", "long")
 

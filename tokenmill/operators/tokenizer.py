@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from tokenmill.functions.text import (N_BYTES, SPECIAL_TOKENS, SPLIT_PATTERN, byte_ids, col,
                                       pretokenize)
 from tokenmill.operators import bpe_train
+from tokenmill.session import small_batches
 
 # ----------------------------------------------------------------------------- byte level
 
@@ -40,7 +41,9 @@ BYTE_BOS = byte_special_id("<|bos|>")
 def byte_encode(df: DataFrame, text: str = "text", out: str = "ids", prepend: int | None = None,
                 append: int | None = None) -> DataFrame:
     """TOK-13/TOK-04 (byte): ids column, optional special prepended/appended. A text's bytes become its ids in one
-    Arrow conversion for a whole batch."""
+    Arrow conversion for a whole batch, whose bytes are bounded."""
+    small_batches(df.sparkSession)
+
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
         data = texts.cast(pa.large_binary())
@@ -158,6 +161,7 @@ def bpe_encode(df: DataFrame, model: BPEModel, text: str = "text", out: str = "i
     as long as the task.
     """
     ranks = {pair: r for r, pair in enumerate(model.merges)}
+    small_batches(df.sparkSession)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -190,6 +194,7 @@ def bpe_decode(df: DataFrame, model: BPEModel, ids: str = "ids", out: str = "tex
     """TOK-05: ids -> text, invalid UTF-8 replaced by U+FFFD. Specials decode to their names."""
     tb = model.token_bytes()
     names = {model.special_id(s): s.encode("utf-8") for s in SPECIAL_TOKENS}
+    small_batches(df.sparkSession)
 
     @F.pandas_udf(T.StringType())
     def dec(seqs: pd.Series) -> pd.Series:
