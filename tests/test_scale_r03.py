@@ -44,3 +44,11 @@ def test_words_are_found_once(spark, sf):
     from tokenmill.plans.q_tasks import corpus_words, letter_rows
     assert corpus_words(spark, sf) is corpus_words(spark, sf)
     assert "regexp_extract_all" not in letter_rows(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_micro_batches_do_not_grow_with_the_files(spark, tmp_path):
+    from tokenmill.plans.q_stream import N_FILES, _per_batch
+    for files in (1, N_FILES, 3 * N_FILES):
+        path = str(tmp_path / str(files))
+        spark.range(40).repartition(files).write.parquet(path)
+        assert _per_batch(spark, path) == max(1, files // N_FILES)

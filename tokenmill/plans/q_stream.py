@@ -9,7 +9,7 @@ from tokenmill.plans.derived import run_steps
 from tokenmill.plans.q_conversation import assembled  # noqa: F401  (shared derivations)
 from tokenmill.plans.q_logs import BUDGET_MIN, CLASSIFY_SQL, HEARTBEAT_MIN, RUN_LOG_SQL, RUN_STEPS_SQL, run_log
 from tokenmill.plans.q_packing import PLAN_SQL
-from tokenmill.session import spread, table
+from tokenmill.session import cut_lineage, spread, table
 from tokenmill.streaming import jobs as S
 
 N_FILES = 4
@@ -20,6 +20,7 @@ FILES_A_BATCH = 4  # files of a micro-batch of the document stream
 def _write_ranges(df, key: str, path: str, n: int = N_FILES, by: str | None = None) -> None:
     """Write ``n`` ranges of ``key`` one after another, each by as many tasks as it fills. The rows of a range that have the same ``by`` are in one
     file, so that they arrive in order of the ranges."""
+    df = cut_lineage(df)  # read once for the limits and once for each range
     lo, hi = df.agg(F.min(key), F.max(key)).first()
     width = (hi - lo) // n + 1
     for i in range(n):
@@ -27,6 +28,12 @@ def _write_ranges(df, key: str, path: str, n: int = N_FILES, by: str | None = No
         part.repartition(by or key).write.mode("append").parquet(path)
 
 
+def _per_batch(spark, path: str, n: int = N_FILES) -> int:
+    """Files of a micro-batch, so that there are about ``n`` of those however many files the ranges fill: a micro-batch costs a round of state
+    commits, whatever it holds. Files come in the order of the ranges, so a run's lines still come in order."""
+    return max(1, len(spark.read.parquet(path).inputFiles()) // n)
+
+
 @register("str01_stream_corpus", sql="SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents")
 def stream_corpus_q(spark, sf):
     """Documents streamed file by file; a restart on the same checkpoint continues exactly (no dup, no loss)."""
@@ -52,7 +59,7 @@ def stream_corpus_q(spark, sf):
 def stream_stop_q(spark, sf):
     base = S.scratch(spark, "str02")
     _write_ranges(run_log(spark, sf).select("run", "line_no", "line"), "run", f"{base}/in")
-    logs = spark.readStream.schema(S.LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    logs = spark.readStream.schema(S.LOG_SCHEMA).option("maxFilesPerTrigger", _per_batch(spark, f"{base}/in")).parquet(f"{base}/in")
     agg = S.stream_stop_events(logs)
 
     def snap(batch, epoch):  # complete mode: every batch carries the full result
@@ -78,7 +85,7 @@ FROM classified c JOIN tails ON c.run = tails.run AND c.line_no = tails.s""")
 def failure_records_q(spark, sf):
     base = S.scratch(spark, "str05")
     _write_ranges(run_log(spark, sf).select("run", "line_no", "line"), "line_no", f"{base}/in", by="run")  # a run's lines come in several batches
-    logs = spark.readStream.schema(S.LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    logs = spark.readStream.schema(S.LOG_SCHEMA).option("maxFilesPerTrigger", _per_batch(spark, f"{base}/in")).parquet(f"{base}/in")
     S.run_to_completion(S.failure_records(logs, TAIL_BYTES).writeStream.format("json").option("path", f"{base}/out")
                         .option("checkpointLocation", f"{base}/ck"))
     r = spark.read.schema(S.FAILURE_OUT).json(f"{base}/out")
@@ -95,7 +102,7 @@ GROUP BY a.run, a.step""")
 def online_metrics_q(spark, sf):
     base = S.scratch(spark, "str06")
     _write_ranges(run_steps(spark, sf).select("run", "step", "metric"), "step", f"{base}/in", by="run")
-    m = spark.readStream.schema(S.METRIC_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    m = spark.readStream.schema(S.METRIC_SCHEMA).option("maxFilesPerTrigger", _per_batch(spark, f"{base}/in")).parquet(f"{base}/in")
     out = S.online_metrics(m, beta=0.9)
     S.run_to_completion(out.writeStream.format("parquet").option("path", f"{base}/out")
                         .option("checkpointLocation", f"{base}/ck"))
@@ -107,7 +114,7 @@ def online_metrics_q(spark, sf):
 def append_validated_q(spark, sf):
     base = S.scratch(spark, "str08")
     _write_ranges(table(spark, sf, "conversations"), "conv_id", f"{base}/in")
-    turns = spark.readStream.schema(S.CONV_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    turns = spark.readStream.schema(S.CONV_SCHEMA).option("maxFilesPerTrigger", _per_batch(spark, f"{base}/in")).parquet(f"{base}/in")
     S.append_validated(turns, f"{base}/ok", f"{base}/bad", f"{base}/ck")
     ok = spark.read.parquet(f"{base}/ok").select("conv_id", F.lit(None).cast("string").alias("reason"))
     bad = spark.read.parquet(f"{base}/bad").select("conv_id", "reason")
@@ -135,7 +142,7 @@ def stream_pack_q(spark, sf):
     none = F.lit(None).cast("bigint")
     marks = src.groupBy("grp").agg((F.max("pos") + 1).alias("pos")).select("grp", "pos", none.alias("doc_id"), none.alias("n"), none.alias("bkey"))
     marks.write.mode("append").parquet(f"{base}/in")  # the end of each group
-    docs = spark.readStream.schema(S.PACK_IN_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    docs = spark.readStream.schema(S.PACK_IN_SCHEMA).option("maxFilesPerTrigger", _per_batch(spark, f"{base}/in")).parquet(f"{base}/in")
     out = S.stream_pack(docs, CAP, BUFFER, crop=True)
     S.run_to_completion(out.writeStream.format("parquet").option("path", f"{base}/out")
                         .option("checkpointLocation", f"{base}/ck"))
@@ -148,7 +155,7 @@ def _watch(spark, sf):
     lines = run_steps(spark, sf).select("run", "step", "ts").withColumn("_us", epoch_micros("ts"))
     _write_ranges(lines, "_us", f"{base}/in", by="run")  # a log arrives in time order
     schema = "run long, step long, ts timestamp_ntz, _us long"
-    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", _per_batch(spark, f"{base}/in")).parquet(f"{base}/in")
     out = S.watchdog(lines, HEARTBEAT_MIN, BUDGET_MIN, watermark=f"{LATE_HOURS} hours")
     S.run_to_completion(out.writeStream.format("parquet").option("path", f"{base}/out")
                         .option("checkpointLocation", f"{base}/ck"))
