@@ -52,3 +52,18 @@ def test_micro_batches_do_not_grow_with_the_files(spark, tmp_path):
         path = str(tmp_path / str(files))
         spark.range(40).repartition(files).write.parquet(path)
         assert _per_batch(spark, path) == max(1, files // N_FILES)
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    from tokenmill.operators import scoring, tokenizer
+    from tokenmill.session import BATCH_BYTES
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs, model = spark.createDataFrame([("a b",)], "text string"), tokenizer.BPEModel()
+    for use in (lambda: tokenizer.byte_encode(docs), lambda: tokenizer.bpe_encode(docs, model), lambda: scoring.byte_pair_counts(docs, [])):
+        spark.conf.set(key, str(1 << 30))
+        use()
+        assert int(spark.conf.get(key)) == BATCH_BYTES
+    spark.conf.set(key, "1000")
+    tokenizer.byte_encode(docs)
+    assert spark.conf.get(key) == "1000"
+    spark.conf.unset(key)
