@@ -194,3 +194,19 @@ def test_long_chunks_are_encoded_in_time(spark):
     assert TK._encode_chunk(b"a" * 2001, ranks) == naive_apply(b"a" * 2001, model.merges)
     table_ = model.token_bytes()
     assert b"".join(table_[i] for i in ids) == text.encode()
+
+
+def test_few_rounds_though_the_driver_holds_a_part_of_the_chunks(spark, monkeypatch):
+    """The rounds don't grow with the distinct chunks: the driver merges on exact pieces, with no foretelling that can fail."""
+    rng = random.Random(8)
+    syllables = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(1, 3))) for _ in range(60)]
+    counts: dict[str, int] = {}
+    for _ in range(6_000):
+        word = "".join(syllables[min(int(rng.paretovariate(0.7)), 60) - 1] for _ in range(rng.randint(1, 5)))
+        counts[word] = counts.get(word, 0) + rng.randint(1, 3)
+    cc = spark.createDataFrame(list(counts.items()), "chunk string, n long")
+    calls, to_arrow = [], type(cc).toArrow
+    monkeypatch.setattr(type(cc), "toArrow", lambda self: calls.append(1) or to_arrow(self))
+    merges = TK.train_bpe(cc, 256 + 9 + 900, sample_chunks=len(counts) // 8).merges
+    assert merges == lazy_bpe(counts, 900)
+    assert len(calls) <= 40

@@ -1,11 +1,11 @@
 """TOK-03: greedy byte-pair training on a distributed table of distinct chunks.
 
-The driver holds the exact count of every adjacent pair and a priority queue over them (both grow with the vocabulary, not with the
-corpus). It foretells the next merges on a bounded sample of the chunks, the most frequent ones. The tasks make
-those merges on all chunks, through an index from pairs to their places, so that a merge touches only the places it
-changes, and return by how much each pair's count changes at each step. With these the driver replays the steps: a merge
-stands if its pair is the most frequent one by the exact counts; the first that is not ends the round. The first merge of a round always
-stands, so the merge list is the greedy one, however good the foretelling is.
+A round takes the most frequent pairs, in order of merging: the hot ones, by exact counts. The tasks cut every chunk between the tokens of a
+pair that is not hot. Equal pieces are added up, and the driver merges on these few pieces. Its counts are exact as long as the next
+pair is not after the last hot one in order. For the count of a pair never grows, and a pair of a new token lies where one older pair, always the
+same, lay before: it is at most as frequent and has a larger id. So if that pair was not hot, the new one comes after it, and after the last hot
+one. The first merge of a round always stands, and the merge list is the greedy one, however few pairs are hot. The tasks then make these merges on
+all chunks, through an index from pairs to their places.
 """
 
 from __future__ import annotations
@@ -22,16 +22,17 @@ from pyspark.sql import functions as F
 from tokenmill.functions.text import N_BYTES, byte_ids
 from tokenmill.session import cut_lineage
 
-#: Chunks that the driver foretells on, and their bytes at most (about 40 bytes of memory for each).
-SAMPLE_CHUNKS, SAMPLE_BYTES = 400_000, 8_000_000
+#: Distinct pieces that the driver merges on in a round, and their ids at most (about 60 bytes of memory for each).
+SAMPLE_CHUNKS, SAMPLE_BYTES = 400_000, 1_500_000
 #: Token ids that a task indexes at a time.
 BLOCK_IDS = 2_000_000
-#: Merges of a round: at least, in the first one, at most.
-LEAST_ROUND, FIRST_ROUND, MOST_ROUND = 16, 256, 2_048
-#: Merges made again in each round before the chunk table is written with them.
+#: Hot pairs of a round: in the first one, at most.
+FIRST_HOT, MOST_HOT = 32, 32_768
+#: Merges made again in each round before the chunk table is written with them; later, half of all merges made.
 REPLAYED = 2_048
 
-_DELTAS = pa.schema([("step", pa.int32()), ("pair", pa.int64()), ("delta", pa.int64())])
+_COUNTS = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
+_PIECES = pa.schema([("ids", pa.binary()), ("n", pa.int64())])
 _CHUNKS = pa.schema([("ids", pa.list_(pa.int32())), ("n", pa.int64())])
 MASK = 0xFFFFFFFF
 
@@ -59,10 +60,7 @@ class PairIndex:
             self.nxt[ends[sizes > 0] - 1] = -1
             self.prv[(ends - sizes)[sizes > 0]] = -1
         self.weight = np.repeat(n.astype(np.int64), sizes)
-        left = np.flatnonzero(self.nxt >= 0).astype(np.int32)
-        keys = self._keys(left)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.places = keys[order], left[order]
+        self.keys = self.places = None
         self.made: dict[int, list[np.ndarray]] = {}
         self.mark = np.zeros(len(ids), bool)
 
@@ -81,6 +79,11 @@ class PairIndex:
 
     def merge(self, a: int, b: int, m: int) -> tuple[np.ndarray, np.ndarray]:
         """Puts m for every (a, b), each sequence left to right; (pairs, change of their counts)."""
+        if self.keys is None:  # made for the first merge; counting needs none
+            left = np.flatnonzero(self.nxt >= 0).astype(np.int32)
+            keys = self._keys(left)
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.places = keys[order], left[order]
         key = a << 32 | b
         low, high = np.searchsorted(self.keys, (key, key + 1))
         at = np.concatenate([self.places[low:high], *self.made.pop(key, [])])
@@ -123,7 +126,7 @@ class PairIndex:
 
 
 class Queue:
-    """Exact or foretold pair counts with a priority queue that is corrected when an entry comes up."""
+    """Pair counts with a priority queue that is corrected when an entry comes up."""
 
     def __init__(self, counts: dict[int, int]):
         self.counts = counts
@@ -153,13 +156,16 @@ class Queue:
             else:
                 counts.pop(k, None)
 
-    def copy(self) -> Queue:
-        new = object.__new__(Queue)
-        new.counts, new.heap = dict(self.counts), self.heap[:]
-        return new
 
+def _blocks(batches: Iterator[pa.RecordBatch], done: list[tuple[int, int, int]]) -> Iterator[PairIndex]:
+    """Indexes of bounded size, after the merges ``done``."""
+
+    def made() -> PairIndex:
+        index = PairIndex(*(np.concatenate(x) for x in zip(*held)))
+        for merge in done:
+            index.merge(*merge)
+        return index
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[PairIndex]:
     held: list[tuple] = []
     size = 0
     for batch in batches:
@@ -168,49 +174,59 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[PairIndex]:
         held.append((col.flatten().to_numpy(zero_copy_only=False), sizes, n))
         size += int(sizes.sum())
         if size >= BLOCK_IDS:
-            yield PairIndex(*(np.concatenate(x) for x in zip(*held)))
+            yield made()
             held, size = [], 0
     if held:
-        yield PairIndex(*(np.concatenate(x) for x in zip(*held)))
+        yield made()
 
 
-def pair_counts(chunks: DataFrame) -> DataFrame:
-    """(pair, delta): the count of every pair of bytes."""
+def pair_counts(chunks: DataFrame, done: list[tuple[int, int, int]]) -> DataFrame:
+    """(pair, n): the count of every pair, after the merges ``done``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for index in _blocks(batches):
-            keys, sums = index.counts()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys), pa.array(sums)], schema=_DELTAS)
+        for index in _blocks(batches, done):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in index.counts()], schema=_COUNTS)
 
-    return chunks.mapInArrow(run, "step int, pair long, delta long").groupBy("pair").agg(F.sum("delta").alias("delta"))
+    return chunks.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def changes(chunks: DataFrame, done: list[tuple[int, int, int]], next_: list[tuple[int, int, int]]) -> DataFrame:
-    """(step, pair, delta): how each merge (a, b, m) of ``next_`` changes the pair counts of all chunks, after the merges ``done``."""
+def pieces(chunks: DataFrame, done: list[tuple[int, int, int]], hot: np.ndarray) -> DataFrame:
+    """(ids, n): what is left of all chunks after the merges ``done``, cut wherever a pair is not in ``hot`` (sorted); equal pieces are one row.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for index in _blocks(batches):
-            for merge in done:
-                index.merge(*merge)
-            steps, pairs, deltas = [], [], []
-            for k, merge in enumerate(next_):
-                p, d = index.merge(*merge)
-                steps.append(np.full(len(p), k, np.int32))
-                pairs.append(p)
-                deltas.append(d)
-            if steps:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (steps, pairs, deltas)], schema=_DELTAS)
+    Pieces of one token drop out. ``ids`` are 32-bit integers as bytes.
+    """
 
-    return chunks.mapInArrow(run, "step int, pair long, delta long").groupBy("step", "pair").agg(F.sum("delta").alias("delta")).where("delta <> 0")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for index in _blocks(batches, done):
+            ids, sizes, n = index.sequences()
+            if not len(ids):
+                continue
+            keys = ids[:-1] << 32 | ids[1:]
+            linked = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+            ends = np.cumsum(sizes)
+            linked[ends[:-1] - 1] = False  # from one chunk to the next
+            start = np.flatnonzero(np.append(True, ~linked))
+            length = np.diff(np.append(start, len(ids)))
+            live = length > 1
+            start, length = start[live], length[live]
+            if not len(start):
+                continue
+            of = np.searchsorted(ends, start, side="right")
+            to = np.cumsum(length)
+            flat = ids[np.arange(to[-1]) + np.repeat(start - to + length, length)].astype(np.int32)
+            cut = pa.py_buffer((np.append(0, to) * 4).astype(np.int32))
+            column = pa.Array.from_buffers(pa.binary(), len(start), [None, cut, pa.py_buffer(flat)])
+            t = pa.table([column, pa.array(n[of])], schema=_PIECES).group_by("ids").aggregate([("n", "sum")]).select(["ids", "n_sum"])
+            yield from t.rename_columns(["ids", "n"]).combine_chunks().to_batches(50_000)
+
+    return chunks.mapInArrow(run, "ids binary, n long").groupBy("ids").agg(F.sum("n").alias("n"))
 
 
 def merged(chunks: DataFrame, done: list[tuple[int, int, int]]) -> DataFrame:
     """The chunk table after the merges ``done``; chunks of one token drop out, as they have no pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for index in _blocks(batches):
-            for merge in done:
-                index.merge(*merge)
+        for index in _blocks(batches, done):
             ids, sizes, n = index.sequences()
             live = sizes > 1
             ids, sizes, n = ids[np.repeat(live, sizes)], sizes[live], n[live]
@@ -223,36 +239,17 @@ def merged(chunks: DataFrame, done: list[tuple[int, int, int]]) -> DataFrame:
     return chunks.mapInArrow(run, "ids array<int>, n long")
 
 
-def sampled(start: DataFrame, rows: int, size: int) -> PairIndex:
-    """The most frequent chunks: all whose count is in the highest classes (eight to a doubling) that make up at most ``rows`` chunks and ``size`` ids."""
-    of = F.floor(8 * F.log2("n")).cast("int")
-    classes = start.groupBy(of.alias("k")).agg(F.count("*").alias("rows"), F.sum(F.size("ids")).alias("ids")).orderBy(F.desc("k")).collect()  # at most 512
-    least = None
-    for r in classes:
-        rows, size = rows - r["rows"], size - r["ids"]
-        if rows < 0 or size < 0:
-            break
-        least = r["k"]
-    chosen = start.where(of >= least) if least is not None else start.limit(0)
-    got = chosen.select("ids", "n").toArrow().combine_chunks()
-    ids = got["ids"].combine_chunks()
-    return PairIndex(ids.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64), got["n"].to_numpy())
-
-
-def foretold(index: PairIndex, queue: Queue, first_new: int, want: int) -> list[tuple[int, int, int]]:
-    """The next ``want`` merges, if the sample's changes of counts hold in proportion for all chunks. ``index`` and ``queue`` are used up."""
-    out = []
+def greedy(index: PairIndex, last: tuple[int, int] | None, first_new: int, want: int) -> list[tuple[int, int, int]]:
+    """The next merges, ``want`` at most, up to the pair that comes after ``last`` (-count, pair) in order. ``index`` is used up."""
+    queue, out = Queue(dict(zip(*(x.tolist() for x in index.counts())))), []
     while len(out) < want and (top := queue.top()):
         pair, count = top
+        if last is not None and (-count, pair) > last:
+            break
         a, b, m = pair >> 32, pair & MASK, first_new + len(out)
         out.append((a, b, m))
         keys, deltas = index.merge(a, b, m)
-        here = keys == pair
-        seen = -int(deltas[here][0]) if here.any() else 0
-        if seen and seen != count:
-            deltas = np.rint(deltas * (count / seen)).astype(np.int64)
-        queue.change(keys[~here].tolist(), deltas[~here].tolist())
-        queue.change([pair], [-count])
+        queue.change(keys.tolist(), deltas.tolist())
     return out
 
 
@@ -260,36 +257,35 @@ def train(chunks: DataFrame, n_merges: int, sample_chunks: int = SAMPLE_CHUNKS,
     """The first ``n_merges`` greedy merges over ``(chunk, n)``, fewer if no pair is left.
 
     Greedy means: the most frequent adjacent pair (ties: smaller left id, then smaller right id) is merged everywhere, again and again.
-    Null and one-byte chunks have no pair; repeated chunks count as often as they come.
+    Null and one-byte chunks have no pair; repeated chunks count as often as they come. The driver holds ``sample_chunks`` pieces of
+    ``sample_bytes`` ids in all at most, unless those of a single hot pair are more; with fewer there are more rounds, and the same merges.
     """
     from tokenmill.session import small_batches, spread
     small_batches(chunks.sparkSession)
     state = cut_lineage(spread(chunks.where(F.octet_length("chunk") >= 2).select(byte_ids("chunk").alias("ids"), F.col("n").cast("bigint").alias("n")).where("n > 0")))
-    first = pair_counts(state)
-    exact = Queue({r["pair"]: r["delta"] for r in first.collect()})  # at most 65,536 pairs of bytes
-    sample = sampled(state, sample_chunks, sample_bytes)
     done: list[tuple[int, int, int]] = []
-    base, want = 0, FIRST_ROUND
-    while len(done) < n_merges and exact.top():
-        spare = sample.copy()
-        plan = foretold(sample, exact.copy(), N_BYTES + len(done), min(want, n_merges - len(done)))
-        steps, pairs, deltas = (c.to_numpy() for c in changes(state, done[base:], plan).toArrow().columns)
-        order = np.argsort(steps, kind="stable")
-        cuts = np.searchsorted(steps[order], np.arange(len(plan) + 1))
-        pairs, deltas = pairs[order], deltas[order]
-        made = 0
-        for k, (a, b, _) in enumerate(plan):
-            top = exact.top()
-            if top is None or top[0] != a << 32 | b:
+    base, want = 0, FIRST_HOT
+    while len(done) < n_merges:
+        want = min(want, MOST_HOT)
+        first = pair_counts(state, done[base:]).orderBy(F.desc("n"), "pair").limit(want + 1).toArrow()
+        pairs, counts = (first[k].to_numpy() for k in ("pair", "n"))
+        if not len(pairs):
+            break
+        while True:
+            hot = pairs[:want]
+            got = pieces(state, done[base:], np.sort(hot)).limit(sample_chunks + 1).toArrow()
+            size = max(got.num_rows / sample_chunks, got["ids"].nbytes / 4 / sample_bytes)
+            if size <= 1 or want == 1:
                 break
-            exact.change(pairs[cuts[k]:cuts[k + 1]].tolist(), deltas[cuts[k]:cuts[k + 1]].tolist())
-            made += 1
-        done += plan[:made]
-        if made < len(plan):  # the sample goes back to where the merges stood
-            sample = spare
-            for merge in plan[:made]:
-                sample.merge(*merge)
-        want = min(MOST_ROUND, 4 * want) if made == len(plan) else max(LEAST_ROUND, 2 * made)
-        if len(done) - base >= replayed and len(done) < n_merges:
+            want = max(1, min(want, len(pairs)) // 4)
+        if want == 1 and got.num_rows > sample_chunks:
+            got = pieces(state, done[base:], np.sort(hot)).toArrow()
+        ids = got["ids"].combine_chunks()
+        index = PairIndex(np.frombuffer(b"".join(ids.to_pylist()), np.int32), pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4, got["n"].to_numpy())
+        last = (-int(counts[want - 1]), int(pairs[want - 1])) if want < len(pairs) else None
+        done += greedy(index, last, N_BYTES + len(done), n_merges - len(done))
+        if size < 0.25:
+            want *= 2
+        if len(done) - base >= max(replayed, len(done) // 2) and len(done) < n_merges:
             state, base = cut_lineage(merged(state, done[base:])), len(done)
     return [(a, b) for a, b, _ in done]
