@@ -78,3 +78,26 @@ def test_shared_signatures_are_all_found_with_their_least_set(spark, rows_a_batc
     want = {(sig, fp, len(sets[fp]), min(fps)) for sig, fps in owners.items() if len(fps) > 1 for fp in fps}
     assert set(map(tuple, got)) == want
     assert len(got) == len(want)
+
+
+def test_candidate_sets_are_shuffled_once_without_a_broadcast(spark):
+    """What grows with the sets must not be shuffled more often when the chosen documents are too many to be broadcast."""
+    text = "the quick brown fox jumps over the lazy dog and runs far away"
+    docs = spark.createDataFrame([(1, text), (2, f"{text} now"), (2, f"{text} now"), (3, f"{text} now"), (4, text), (None, text), (5, None), (6, "other words here")], "doc_id long, text string")
+    held = {r["doc_id"]: r["fp"] for r in jaccard.sketches(docs).collect()}
+    chosen = spark.createDataFrame([(held[1], 1, 10, 0), (held[2], 2, 10, 0)], "fp long, doc_id long, c long, s long")
+    settings_ = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings_}
+    for k, v in settings_.items():
+        spark.conf.set(k, v)
+    try:
+        sets = jaccard.candidate_sets(docs, chosen, 3)
+        plan = sets._jdf.queryExecution().executedPlan().toString()
+        got = sets.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning") == 2  # the sets, and what was chosen
+    want = {held[i]: jaccard.shingle_set(t.encode().split(), jaccard.WordHash(), 3).tobytes() for i, t in ((1, text), (2, f"{text} now"))}
+    assert {r["fp"]: bytes(r["items"]) for r in got} == want and len(got) == 2
+    assert {(r["c"], r["s"]) for r in got} == {(10, 0)}

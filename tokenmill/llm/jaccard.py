@@ -107,7 +107,7 @@ def signatures(shingles: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarr
 
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("sigs", pa.list_(pa.int64()))])
-_SETS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("items", pa.binary())])
+_SETS = pa.schema([("fp", pa.int64()), ("items", pa.binary())])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -202,21 +202,31 @@ def _preselection(ids: DataFrame) -> np.ndarray:
 
 
 def candidate_sets(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    """(fp, items) for the (doc_id, fp) in ``chosen``: the sorted shingle hashes as bytes."""
+    """(fp, c, s, items) for the (fp, doc_id, c, s) in ``chosen``: the sorted shingle hashes as bytes, and their block.
+
+    ``chosen`` names one document for each set; another one that has the same set and the same flag does as well. A task hands on a set once. The
+    join and the aggregate have the same key, so the sets are shuffled once, whether ``chosen`` is broadcast or not.
+    """
     flags = docs.sparkSession.sparkContext.broadcast(_preselection(chosen.select("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, table = WordHash(), flags.value
+        seen: set[int] = set()
         for batch in batches:
             bit = _bit(batch["doc_id"].to_numpy(zero_copy_only=False))
             keep = (table[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)
-            batch = batch.filter(pa.array(keep.astype(bool)))
-            sets = [shingle_set(t.lower().split(), memo, width) for t in texts_of(batch["text"])]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "fp": [fingerprint(s) if len(s) else None for s in sets],
-                                              "items": [s.tobytes() for s in sets]}, schema=_SETS)
+            out: dict[int, bytes] = {}
+            for t in texts_of(batch["text"].filter(pa.array(keep.astype(bool)))):
+                x = shingle_set(t.lower().split(), memo, width)
+                if len(x) and (fp := fingerprint(x)) not in seen:
+                    seen.add(fp)
+                    out[fp] = x.tobytes()
+            if len(seen) > SEEN:
+                seen.clear()
+            yield pa.RecordBatch.from_pydict({"fp": list(out), "items": list(out.values())}, schema=_SETS)
 
-    found = _texts(docs).where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, fp long, items binary")
-    return found.join(chosen, ["doc_id", "fp"]).groupBy("fp").agg(F.first("items").alias("items"))
+    found = _texts(docs).where(F.col("doc_id").isNotNull()).mapInArrow(run, "fp long, items binary")
+    return found.join(chosen.select("fp", "c", "s"), "fp").groupBy("fp").agg(*[F.first(k).alias(k) for k in ("c", "s", "items")])
 
 
 def links_of(a: list[tuple[int, np.ndarray]], b: list[tuple[int, np.ndarray]] | None, num: int, den: int) -> list[tuple[int, int]]:
@@ -289,24 +299,38 @@ def blocks_of(members: DataFrame, block_items: int) -> tuple[DataFrame, DataFram
     return small.union(split), split
 
 
+_LINKS = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+
+def compared_inside(held: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y) links found by comparing the sets of each block with each other; ``held`` has each block in one partition, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (row for batch in batches for row in zip(*(batch[k].to_pylist() for k in ("c", "s", "fp", "items"))))
+        for _, group in groupby(found, key=lambda r: r[:2]):
+            sets = [(fp, np.frombuffer(items, np.uint64)) for *_, fp, items in group]
+            if len(sets) > 1:
+                links = links_of(sets, None, num, den)
+                yield pa.RecordBatch.from_pydict({"x": [x for x, _ in links], "y": [y for _, y in links]}, schema=_LINKS)
+
+    return held.select("c", "s", "fp", "items").mapInArrow(run, "x long, y long")
+
+
 def compared(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y) links found by comparing the sets of each pair of blocks, no more of them than there are sets in it."""
+    """(x, y) links found by comparing the sets of each pair of different blocks, no more of them than there are sets in it."""
     one = lambda c, s, side: F.struct(F.col(c).alias("c"), F.col(s).alias("s"), F.lit(side).alias("side"))
-    same = (F.col("ca") == F.col("cb")) & (F.col("sa") == F.col("sb"))
-    sides = pairs.select(*PAIR, F.explode(F.when(same, F.array(one("ca", "sa", 0))).otherwise(F.array(one("ca", "sa", 0), one("cb", "sb", 1)))).alias("e"))
+    sides = pairs.select(*PAIR, F.explode(F.array(one("ca", "sa", 0), one("cb", "sb", 1))).alias("e"))
     dealt = sides.select(*PAIR, "e.*").join(held, ["c", "s"]).select(*PAIR, "side", "fp", "items").repartition(*PAIR).sortWithinPartitions(*PAIR, "fp")
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (row for batch in batches for row in zip(*(batch[k].to_pylist() for k in (*PAIR, "side", "fp", "items"))))
-        for key, group in groupby(found, key=lambda r: r[:4]):
+        for _, group in groupby(found, key=lambda r: r[:4]):
             both: tuple[list, list] = ([], [])
             for *_, side, fp, items in group:
                 both[side].append((fp, np.frombuffer(items, np.uint64)))
-            inside = key[:2] == key[2:]
-            if (len(both[0]) > 1) if inside else (both[0] and both[1]):
-                links = links_of(both[0], None if inside else both[1], num, den)
-                yield pa.RecordBatch.from_pydict({"x": [x for x, _ in links], "y": [y for _, y in links]}, schema=schema)
+            if both[0] and both[1]:
+                links = links_of(both[0], both[1], num, den)
+                yield pa.RecordBatch.from_pydict({"x": [x for x, _ in links], "y": [y for _, y in links]}, schema=_LINKS)
 
     return dealt.mapInArrow(run, "x long, y long")
 
@@ -322,12 +346,13 @@ def similar_sets(docs: DataFrame, sketch: DataFrame, width: int, num: int, den:
     """
     members = saved(shared_signatures(sketch))
     chosen = members.select("fp").distinct().join(sketch.select("doc_id", "fp"), "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
-    sets = candidate_sets(docs, saved(chosen), width)
     block, split = blocks_of(members, block_items)
-    held = saved(sets.join(block, "fp").select("c", "s", "fp", "items"))
+    held = candidate_sets(docs, saved(chosen.join(block, "fp")), width).repartition("c", "s").sortWithinPartitions("c", "s", "fp")
+    if clustered := not split.isEmpty():
+        held = saved(held)  # the blocks of a large cluster are read again
     pair = lambda c, sa, sb: [F.col(c).alias("ca"), F.col(sa).alias("sa"), F.col(c).alias("cb"), F.col(sb).alias("sb")]
-    links = saved(compared(block.select("c", "s").distinct().select(*pair("c", "s", "s")), held, num, den))
-    if not split.isEmpty():
+    links = saved(compared_inside(held, num, den))
+    if clustered:
         of_sig = members.select("sig", "fp").join(split, "fp")
         tried = None
         for first in (True, False):
