@@ -101,3 +101,51 @@ def test_candidate_sets_are_shuffled_once_without_a_broadcast(spark):
     want = {held[i]: jaccard.shingle_set(t.encode().split(), jaccard.WordHash(), 3).tobytes() for i, t in ((1, text), (2, f"{text} now"))}
     assert {r["fp"]: bytes(r["items"]) for r in got} == want and len(got) == 2
     assert {(r["c"], r["s"]) for r in got} == {(10, 0)}
+
+
+def test_one_large_cluster_does_not_move_the_sets_of_the_others_again(spark, monkeypatch):
+    """Only the sets of the large cluster are stored, and only those that hold a signature of two components come to the comparison of blocks."""
+    rows, members = [], {}
+    for group, copies in enumerate((30, 3, 2, 4)):
+        for k in range(copies):
+            members.setdefault(group, set()).add(len(rows))
+            rows.append((len(rows), " ".join([*(f"word{group}x{i}" for i in range(60)), f"only{k}"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketch = jaccard.sketches(docs).collect()
+    large = {r["fp"] for r in sketch if r["doc_id"] in members[0]}
+    stored, dealt = [], []
+    saved, compared = jaccard.saved, jaccard.compared
+
+    def spy_saved(df):
+        out = saved(df)
+        if "items" in df.columns:
+            stored.extend(r["fp"] for r in out.select("fp").collect())
+        return out
+
+    def spy_compared(parts, *rest):
+        dealt.append({r["fp"] for r in parts.select("fp").collect()})
+        return compared(parts, *rest)
+
+    monkeypatch.setattr(jaccard, "saved", spy_saved)
+    monkeypatch.setattr(jaccard, "compared", spy_compared)
+    held = spark.createDataFrame(sketch, "doc_id long, n long, fp long, sigs array<long>")
+    comps = jaccard.similar_sets(docs, held, 3, 90, 100, 400).collect()
+    assert set(stored) == large and len(stored) == len(large)
+    assert len(dealt) == 2 and dealt[0] and not dealt[1] and dealt[0] <= large  # all are joined after the first pass
+    fp_of = {r["doc_id"]: r["fp"] for r in sketch}
+    groups = {}
+    for r in comps:
+        groups.setdefault(r["component"], set()).add(r["node"])
+    assert set(map(frozenset, groups.values())) == {frozenset(fp_of[i] for i in g) for g in members.values()}
+
+
+def test_blocks_of_small_clusters_are_whole_and_none_is_split(spark):
+    rows = [(1, 10, 5, 10), (1, 11, 5, 10), (2, 11, 5, 11), (2, 12, 5, 11), (3, 20, 7, 20), (3, 21, 7, 20)]
+    members = spark.createDataFrame(rows, "sig long, fp long, n long, lead long")
+    small, split, of_sig = jaccard.blocks_of(members, 15)
+    assert {tuple(r) for r in small.collect()} == {(10, 10, 0), (11, 10, 0), (12, 10, 0), (20, 20, 0), (21, 20, 0)} and small.count() == 5
+    assert split is None and of_sig is None
+    small, split, of_sig = jaccard.blocks_of(members, 14)
+    assert {tuple(r) for r in small.collect()} == {(20, 20, 0), (21, 20, 0)}
+    assert sorted((r["fp"], r["c"]) for r in split.collect()) == [(10, 10), (11, 10), (12, 10)]
+    assert sorted(map(tuple, of_sig.collect())) == [(1, 10), (1, 11), (2, 11), (2, 12)]

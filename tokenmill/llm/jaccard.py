@@ -278,25 +278,28 @@ def links_of(a: list[tuple[int, np.ndarray]], b: list[tuple[int, np.ndarray]] |
 PAIR = ["ca", "sa", "cb", "sb"]
 
 
-def blocks_of(members: DataFrame, block_items: int) -> tuple[DataFrame, DataFrame]:
-    """((fp, c, s) block of each set, the same for the sets of large clusters only).
+def blocks_of(members: DataFrame, block_items: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """((fp, c, s) block of each set of the small clusters, the same for the large clusters, (sig, fp) of the latter); None if none is large.
 
     Sets that share signatures, directly or not, are one block (c, 0) if they have up to ``block_items`` elements in all.
     A larger cluster is dealt over about as many blocks of that size as it fills. Sets with the same most frequent signature go to the
-    same block, unless they alone fill more than one; then they are split by hash.
+    same block, unless they alone fill more than one; then they are split by hash. The large clusters are few, one for ``block_items`` elements
+    at most, and so are broadcast; only the signatures of their sets are moved again.
     """
     cluster = connected_components(members.select("fp", "lead"), "fp", "lead").select(F.col("node").alias("fp"), F.col("component").alias("c"))
     placed = saved(members.select("fp", "n").distinct().join(cluster, "fp"))
-    weight = placed.groupBy("c").agg(F.sum("n").alias("w"))
-    small = placed.join(weight.where(F.col("w") <= block_items), "c").select("fp", "c", F.lit(0).cast("long").alias("s"))
     bins = F.ceil(F.col("w") / block_items).cast("long")
-    large = members.join(placed.join(weight.where(F.col("w") > block_items).select("c", bins.alias("bins")), "c").select("fp", "c", "bins"), "fp")
+    heavy = saved(placed.groupBy("c").agg(F.sum("n").alias("w")).where(F.col("w") > block_items).select("c", bins.alias("bins")))
+    whole = F.lit(0).cast("long").alias("s")
+    if heavy.isEmpty():
+        return placed.select("fp", "c", whole), None, None
+    small = placed.join(F.broadcast(heavy), "c", "left_anti").select("fp", "c", whole)
+    large = saved(members.select("sig", "fp", "n").join(placed.join(F.broadcast(heavy), "c").select("fp", "c", "bins"), "fp"))
     per_sig = large.groupBy("sig").agg(F.sum("n").alias("w"))
     main = large.join(per_sig, "sig").groupBy("fp", "c", "bins").agg(F.max(F.struct("w", "sig")).alias("m"))
     part = F.pmod(F.xxhash64("fp"), F.ceil(F.col("m.w") / block_items).cast("long"))
     of_bin = F.when(F.col("m.w") <= block_items, F.pmod(F.xxhash64("m.sig"), F.col("bins"))).otherwise(F.xxhash64("m.sig", part))
-    split = saved(main.select("fp", "c", of_bin.alias("s")))
-    return small.union(split), split
+    return small, saved(main.select("fp", "c", of_bin.alias("s"))), large.select("sig", "fp")
 
 
 _LINKS = pa.schema([("x", pa.int64()), ("y", pa.int64())])
@@ -316,11 +319,16 @@ def compared_inside(held: DataFrame, num: int, den: int) -> DataFrame:
     return held.select("c", "s", "fp", "items").mapInArrow(run, "x long, y long")
 
 
-def compared(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y) links found by comparing the sets of each pair of different blocks, no more of them than there are sets in it."""
+def dealt_to(pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """(fp, ca, sa, cb, sb, side): the pairs of blocks that each of the sets (fp, c, s) in ``near`` takes part in."""
     one = lambda c, s, side: F.struct(F.col(c).alias("c"), F.col(s).alias("s"), F.lit(side).alias("side"))
     sides = pairs.select(*PAIR, F.explode(F.array(one("ca", "sa", 0), one("cb", "sb", 1))).alias("e"))
-    dealt = sides.select(*PAIR, "e.*").join(held, ["c", "s"]).select(*PAIR, "side", "fp", "items").repartition(*PAIR).sortWithinPartitions(*PAIR, "fp")
+    return sides.select(*PAIR, "e.*").join(near, ["c", "s"]).select("fp", *PAIR, "side")
+
+
+def compared(parts: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y) links found by comparing the sets that ``parts`` deals to each pair of different blocks, no more of them than there are sets in it."""
+    dealt = parts.join(held.select("fp", "items"), "fp").select(*PAIR, "side", "fp", "items").repartition(*PAIR).sortWithinPartitions(*PAIR, "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (row for batch in batches for row in zip(*(batch[k].to_pylist() for k in (*PAIR, "side", "fp", "items"))))
@@ -342,22 +350,22 @@ def similar_sets(docs: DataFrame, sketch: DataFrame, width: int, num: int, den:
     pair of blocks exactly. First every block is compared with itself. Of the blocks of a large cluster, each is then compared with
     the first block that it shares a signature with; near copies are mostly joined by that, in a number of comparisons in
     proportion to the blocks. What is left are pairs of blocks with a signature whose sets still lie in different components; all
-    of those are compared, so no link between components is lost.
+    of those are compared, so no link between components is lost. Only the sets of large clusters are stored, and only those that hold a
+    signature whose sets lie in different components are moved again.
     """
     members = saved(shared_signatures(sketch))
-    chosen = members.select("fp").distinct().join(sketch.select("doc_id", "fp"), "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
-    block, split = blocks_of(members, block_items)
-    held = candidate_sets(docs, saved(chosen.join(block, "fp")), width).repartition("c", "s").sortWithinPartitions("c", "s", "fp")
-    if clustered := not split.isEmpty():
-        held = saved(held)  # the blocks of a large cluster are read again
+    small, split, of_sig = blocks_of(members, block_items)
+    first_doc = sketch.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).where("fp is not null and doc_id is not null")
+    held_of = lambda block: candidate_sets(docs, saved(first_doc.join(block, "fp")), width).repartition("c", "s").sortWithinPartitions("c", "s", "fp")
     pair = lambda c, sa, sb: [F.col(c).alias("ca"), F.col(sa).alias("sa"), F.col(c).alias("cb"), F.col(sb).alias("sb")]
-    links = saved(compared_inside(held, num, den))
-    if clustered:
-        of_sig = members.select("sig", "fp").join(split, "fp")
+    links = saved(compared_inside(held_of(small), num, den))
+    if split is not None:
+        held = saved(held_of(split))  # the blocks of a large cluster are read again
+        links = saved(links.union(compared_inside(held, num, den)))
         tried = None
         for first in (True, False):
             comps = connected_components(links, "x", "y").withColumnRenamed("node", "fp")
-            placed = of_sig.join(comps, "fp", "left").withColumn("comp", F.coalesce("component", "fp"))
+            placed = of_sig.join(split.join(comps, "fp", "left").withColumn("comp", F.coalesce("component", "fp")), "fp")
             by_block = placed.groupBy("sig", "c", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
             open_ = by_block.groupBy("sig").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.min("s").alias("s0"), F.max("s").alias("s1"))
             open_ = open_.where("least <> most and s0 <> s1").select("sig", "s0")
@@ -369,7 +377,8 @@ def similar_sets(docs: DataFrame, sketch: DataFrame, width: int, num: int, den:
                 other = left.select("sig", F.col("s").alias("t"), F.col("lo").alias("tlo"), F.col("hi").alias("thi"))
                 pairs = left.join(other, "sig").where((F.col("s") < F.col("t")) & ~((F.col("lo") == F.col("thi")) & (F.col("hi") == F.col("tlo"))))
                 pairs = pairs.select(*pair("c", "s", "t")).distinct().join(tried, PAIR, "left_anti")
-            links = saved(links.union(compared(pairs, held, num, den)))
+            near = of_sig.join(left.select("sig").distinct(), "sig", "left_semi").select("fp").distinct().join(split, "fp")
+            links = saved(links.union(compared(dealt_to(pairs, near), held, num, den)))
     return connected_components(links, "x", "y")
 
 
