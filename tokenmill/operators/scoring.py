@@ -129,9 +129,13 @@ def bits_per_byte(scored: DataFrame, by: Sequence[str], loss: str = "loss", n_by
 
 
 def valid_targets(tokens: DataFrame, token_bytes: DataFrame, target: str = "target") -> DataFrame:
-    """FLT-14 + JN-03: keep targets >= 0 and attach their byte length (0 when unknown)."""
+    """FLT-14 + JN-03: keep targets >= 0 and attach their byte length (0 when unknown).
+
+    The vocabulary is broadcast by name: Spark knows nothing of its size, and takes targets from an ``explode`` for few; by
+    itself it would collect those on the driver.
+    """
     tb = token_bytes.select(F.col("token_id").alias(target), "token_bytes")  # one row per vocabulary entry
-    j = tokens.where(F.col(target) >= 0).join(tb, target, "left")
+    j = tokens.where(F.col(target) >= 0).join(F.broadcast(tb), target, "left")
     return j.withColumn("token_bytes", F.coalesce("token_bytes", F.lit(0))).where(F.col("token_bytes") > 0)
 
 
